@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch, so that a batch of long texts stays small, and characters that are worked on at once.
+#: Rows in an Arrow batch, so that a batch of long texts stays small, and bytes of text that are worked on at once.
 BATCH_ROWS, CHUNK_CHARS = 1000, 4_000_000
 #: The separators of the words [^\x20\x09-\x0D]+
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,7 +21,7 @@ def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[
     """The columns `keep` as they are, and those of `schema` computed from the column `text`.
 
     make() runs once in each task and returns a function from a list of texts (None: null)
-    to a dict of columns.  Lists hold at most CHUNK_CHARS characters, or one text.
+    to a dict of columns.  Lists hold at most CHUNK_CHARS bytes, or one text.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     keep = list(keep)
@@ -35,7 +35,7 @@ def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[
         work = make()
         for batch in batches:
             texts = batch.column(len(keep))
-            sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
             start = 0
             while start < batch.num_rows:
                 end, total = start + 1, int(sizes[start])
