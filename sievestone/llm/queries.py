@@ -6,7 +6,14 @@ import importlib
 
 #: Query name to (module, function).
 PLACES = {
+    "op1_quality_gam": "quality_gam",
     "op2_simhash_covering": "simhash",
+    "op3_tokeniser_fertility": "rules",
+    "op5_byte_bpe": "bpe",
+    "op6_block_neighbours": "knn",
+    "op7_length_buckets": "packing",
+    "op9_token_counts": "token_counts",
+    "op10_secret_entropy": "secrets",
 }
 
 
