@@ -9,6 +9,7 @@ PLACES = {
     "op1_quality_gam": "quality_gam",
     "op2_simhash_covering": "simhash",
     "op3_tokeniser_fertility": "rules",
+    "op4_recurrent_blocks": "html_blocks",
     "op5_byte_bpe": "bpe",
     "op6_block_neighbours": "knn",
     "op7_length_buckets": "packing",
@@ -18,7 +19,8 @@ PLACES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"sievestone.llm.{module}"), name) for name, module in PLACES.items()}
+    found = {name: getattr(importlib.import_module(f"sievestone.llm.{module}"), name) for name, module in PLACES.items()}
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
