@@ -13,6 +13,7 @@ PLACES = {
     "op5_byte_bpe": "bpe",
     "op6_block_neighbours": "knn",
     "op7_length_buckets": "packing",
+    "op8_surrogates": "pii",
     "op9_token_counts": "token_counts",
     "op10_secret_entropy": "secrets",
 }
