@@ -1,0 +1,94 @@
+"""Classification of ratings as high or not, and honest measures of it."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+SMOOTHING = 1e-9
+
+
+def gaussian_scores(rows: DataFrame, columns: list[str], smoothing: float = SMOOTHING) -> DataFrame:
+    """`rows` with `score`: the probability of label 1 by Gaussian naive Bayes fitted on the rows with split 'train'.
+
+    One aggregate fits it; a score is one expression.  Variances get `smoothing` times the
+    largest variance of a column.  Without both classes in training the score is null.
+    """
+    train = rows.filter("split = 'train'")
+    fitted = {r["label"]: r for r in train.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.var_pop(c).alias(f"v_{c}") for c in columns]).collect()}
+    if set(fitted) != {0, 1}:
+        return rows.withColumn("score", F.lit(None).cast("double"))
+    widest = train.agg(F.greatest(*[F.var_pop(c) for c in columns], F.lit(0.0))).first()[0]
+    total = sum(r["n"] for r in fitted.values())
+
+    def log_likelihood(y: int) -> Column:
+        r, out = fitted[y], F.lit(math.log(fitted[y]["n"] / total))
+        for c in columns:
+            v = r[f"v_{c}"] + smoothing * widest
+            if v > 0:
+                out = out - F.lit(0.5 * math.log(2 * math.pi * v)) - (F.col(c) - F.lit(r[f"m_{c}"])) * (F.col(c) - F.lit(r[f"m_{c}"])) / F.lit(2 * v)
+        return out
+
+    return rows.withColumn("score", 1.0 / (1.0 + F.exp(F.least(F.greatest(log_likelihood(0) - log_likelihood(1), F.lit(-700.0)), F.lit(700.0)))))
+
+
+def tree_scores(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 100, seed: int = 42) -> DataFrame:
+    """`rows` with `score` by an entropy decision tree fitted on the rows with split 'train'."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    assembled = VectorAssembler(inputCols=columns, outputCol="__x").transform(rows)
+    model = DecisionTreeClassifier(featuresCol="__x", labelCol="label", impurity="entropy", maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(assembled.filter("split = 'train'"))
+    return model.transform(assembled).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+
+
+def _by_score(rows: DataFrame) -> DataFrame:
+    """Distinct scores, highest first, with running and total numbers of positives and negatives."""
+    each = rows.filter("score is not null").groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    down = Window.orderBy(F.desc("score"))  # one row a distinct score
+    every = Window.partitionBy(F.lit(1))
+    return each.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+
+
+def threshold_scan(rows: DataFrame) -> DataFrame:
+    """precision, recall, f1 and predicted rate of `score >= threshold`, for each distinct score."""
+    s = _by_score(rows)
+    precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.coalesce(F.try_divide("tp", "p"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    return s.select(F.col("score").alias("threshold"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), ((F.col("tp") + F.col("fp")) / (F.col("p") + F.col("n"))).alias("rate"))
+
+
+def best_threshold(rows: DataFrame, slack: float | None = 1.10) -> DataFrame:
+    """(threshold, f1) with the best F1 among those that predict at most slack times the base rate; if none does, among all.
+
+    Ties go to the highest threshold, which is kept off 0 and 1 by a millionth.
+    """
+    base = rows.filter("score is not null").agg(F.avg("label")).first()[0] or 0.0
+    scan = threshold_scan(rows).withColumn("allowed", F.lit(1) if slack is None else (F.col("rate") <= slack * base).cast("int"))
+    best = scan.orderBy(F.desc("allowed"), F.desc(F.round("f1", 12)), F.desc("threshold")).limit(1)
+    return best.select(F.least(F.greatest("threshold", F.lit(1e-6)), F.lit(1 - 1e-6)).alias("threshold"), "f1")
+
+
+def roc_auc(rows: DataFrame) -> DataFrame:
+    """(roc_auc): ties count half; null with one class only."""
+    s = _by_score(rows)
+    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2.0)), F.max("p") * F.max("n")).alias("roc_auc"))
+
+
+def average_precision(rows: DataFrame) -> DataFrame:
+    """(average_precision): sum of recall steps times precision over distinct scores; null without positives."""
+    s = _by_score(rows)
+    return s.agg(F.sum(F.try_divide("pos", "p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
+
+
+def confusion(rows: DataFrame, threshold: float, by: list[str] = ()) -> DataFrame:
+    """tp, fp, fn, tn, and accuracy, precision, recall, f1 and predicted rate (0 where they divide by nothing), by groups."""
+    hit, y = F.col("score") >= threshold, F.col("label") == 1
+    counts = rows.groupBy(*by).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"))
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    return counts.select(*by, "tp", "fp", "fn", "tn", *[F.round(v, 6).alias(name) for name, v in (("accuracy", zero(tp + tn, n)), ("precision", zero(tp, tp + fp)), ("recall", zero(tp, tp + fn)), ("f1", zero(2 * tp, 2 * tp + fp + fn)), ("predicted_rate", zero(tp + fp, n)))])
