@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Rows in an Arrow batch, so that a batch of long texts stays small, and bytes of text that are worked on at once.
 BATCH_ROWS, CHUNK_CHARS = 1000, 4_000_000
@@ -26,8 +26,9 @@ def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     keep = list(keep)
     new = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    inner = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].alias("__text"))
-    kept = inner.schema.fields[:-1]
+    # Names of its own, as those of the frame may clash with any that were chosen.
+    inner = df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], df[f"`{text}`"].alias("text"))
+    kept = [StructField(c, f.dataType, f.nullable) for c, f in zip(keep, inner.schema.fields, strict=False)]
     out = StructType(kept + list(new.fields))
     arrow = to_arrow_schema(new)
 

@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def cell(n: Column) -> Column:
     """The length, rounded up to the histogram's cell."""
-    step = F.expr("shiftleft(1L, greatest(0, length(bin(n_tokens)) - 10))")
+    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(n)) - 10)).cast("bigint")
     return (F.floor((n + step - 1) / step) * step).cast("bigint")
 
 
