@@ -1 +1 @@
-"""Part of sievestone."""
+"""Streams: the same checks and windows over unbounded input."""
