@@ -53,7 +53,7 @@ def _total(*names: str) -> Column:
 
 
 def _score(rate: Column) -> Column:
-    return F.round(100.0 * (1.0 - F.greatest(rate, F.lit(0.0))), 4)
+    return F.round(100.0 * (1.0 - F.when(rate < 0, 0.0).otherwise(rate)), 4)
 
 
 def score_expressions(rules: Rules) -> dict[str, Column]:
