@@ -120,3 +120,26 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 def op10_secret_entropy(spark, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    every = " UNION ALL ".join(f"SELECT rid, {k} AS kind, regexp_split_to_array(t, {text(p)}) AS b, regexp_extract_all(t, {text(p)}, 0) AS v FROM docs WHERE regexp_matches(t, {text(p)})" for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE)))
+    weights = ", ".join(str(round(c * math.log2(c) * UNIT) if c else 0) for c in range(WINDOW + 1))
+    least = f"""list_min(list_transform(range(1, length(val) - {WINDOW - 2}), lambda j: list_sum(list_transform(list_distinct(string_split(substr(val, j, {WINDOW}), '')), lambda c: ([{weights}])[{WINDOW} - length(replace(substr(val, j, {WINDOW}), c, '')) + 1]))))"""
+    allowed = " OR ".join([f"regexp_matches(val, {text(ALLOWED_FORMS)})", *(f"contains(lower(val), {text(x)})" for x in ALLOWED)])
+    mark = "([" + ", ".join(map(text, KINDS)) + "])[kind + 1] || ':' || start || ':' || stop"
+    listed = lambda most: f"coalesce(string_agg({mark}, ',' ORDER BY start, kind, stop) FILTER (WHERE kind <= {most}), '')"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+matched AS ({every}),
+placed AS (SELECT rid, kind, v[i] AS val, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM matched)),
+spans AS MATERIALIZED (SELECT rid, kind, val, start, start + length(val) AS stop FROM placed WHERE kind <> 0 OR length(regexp_extract(val, {text(ASSIGN)}, 2)) >= {ASSIGN_LEAST}),
+apart AS MATERIALIZED (SELECT * FROM spans s WHERE kind = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.rid = s.rid AND b.kind < 3 AND b.start < s.stop AND s.start < b.stop)),
+kept AS (SELECT * FROM spans WHERE kind < 3 UNION ALL SELECT * FROM apart WHERE {least} <= CASE WHEN regexp_matches(val, '^([0-9a-f]+|[0-9A-F]+)$') THEN {most_sum(HEX_BITS)} ELSE {most_sum(BASE64_BITS)} END)
+SELECT any_value(doc_id) AS doc_id, {', '.join(f'count(*) FILTER (WHERE kind = {k}) AS n_{KINDS[k]}' for k in range(4))}, sha256({listed(2)}) AS base_sha256, {listed(3)} AS spans
+FROM docs LEFT JOIN kept USING (rid) GROUP BY rid
+"""
+
+
+OP10_SQL = _sql()
