@@ -4,9 +4,10 @@ Three measures of each whole text under a sentencepiece vocabulary with byte fal
 code points in words per token, the share of byte-fallback ids, and the entropy of the token ids over
 its maximum, log2 of the number of tokens.  Each measure gets a band for each group: the
 outer fences of the measure's quartiles (FENCE times their distance beyond them) over
-all documents of the group, never narrower than SLACK allows.  Only the sides
-that mean trouble reject: too few or too many characters per token, too much byte
-fallback, too little entropy.
+all documents of the group, never narrower than the measure's least distance, and wider for short texts, whose
+measures vary more: by MIN_WORDS over the number of words.  Only the sides that mean
+trouble reject: too few or too many characters per token, too much byte fallback, too
+little entropy.
 
 A group is the text's language code where that is two or three letters (at most
 18,252 of them), else its most frequent script, so the bands are a table of proven
@@ -90,7 +91,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str | None = "lang", kee
 
 
 def bands(measures: DataFrame, into: str = "measures") -> DataFrame:
-    """(grp, measure columns _low and _high) from the documents that pass the base rules; grp null: over all groups."""
+    """(grp, and for each measure _low, _high, its quartiles, and _reach beyond them) from the documents that pass the base rules; grp null: over all groups."""
     rows = measures.filter(~F.col(into)["base_failed"]).select(f"{into}.*")
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.round(F.col(name) * per).cast("bigint").alias("cell")) for i, (name, per, *_) in enumerate(MEASURES)]))
     by_group = rows.select("grp", cells.alias("x")).groupBy("grp", "x.m", "x.cell").agg(F.count("*").alias("n"))
@@ -100,10 +101,9 @@ def bands(measures: DataFrame, into: str = "measures") -> DataFrame:
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("cell")))
     found = ranked.groupBy("grp", "m").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("total").alias("total")).filter((F.col("total") >= GROUP_ROWS) | F.col("grp").isNull())
     ends = []
-    for i, (name, per, slack, below, above) in enumerate(MEASURES):
-        reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")) / per, F.lit(slack))
-        ends.append(F.max(F.when(F.col("m") == i, F.col("q1") / per - reach)).alias(f"{name}_low") if below else F.lit(float("-inf")).alias(f"{name}_low"))
-        ends.append(F.max(F.when(F.col("m") == i, F.col("q3") / per + reach)).alias(f"{name}_high") if above else F.lit(float("inf")).alias(f"{name}_high"))
+    for i, (name, per, slack, *_) in enumerate(MEASURES):
+        own = lambda c, i=i: F.max(F.when(F.col("m") == i, c))
+        ends += [own(F.col("q1") / per).alias(f"{name}_low"), own(F.col("q3") / per).alias(f"{name}_high"), own(F.greatest(FENCE * (F.col("q3") - F.col("q1")) / per, F.lit(slack))).alias(f"{name}_reach")]
     return found.groupBy("grp").agg(*ends)
 
 
@@ -115,9 +115,14 @@ def judged(measures: DataFrame, into: str = "measures", verdict: str = "kept") -
     every = F.broadcast(table_.filter("grp is null").select(F.struct(*names).alias("__every"), F.lit(1).alias("__one")))
     joined = measures.withColumn("__one", F.lit(1)).join(own, F.col(into)["grp"] == F.col("__grp"), "left").join(every, "__one", "left")
     inside = F.lit(True)
-    for name, *_ in MEASURES:
-        low, high = (F.coalesce(F.col("__own")[f"{name}_{end}"], F.col("__every")[f"{name}_{end}"]) for end in ("low", "high"))
-        inside = inside & F.coalesce((F.col(into)[name] >= low) & (F.col(into)[name] <= high), F.lit(True))
+    wider = 1 + MIN_WORDS / F.greatest(F.col(into)["n_words"], F.lit(1))
+    for name, _, _, below, above in MEASURES:
+        low, high, reach = (F.coalesce(F.col("__own")[f"{name}_{end}"], F.col("__every")[f"{name}_{end}"]) for end in ("low", "high", "reach"))
+        value = F.col(into)[name]
+        if below:
+            inside = inside & F.coalesce(value >= low - reach * wider, F.lit(True))
+        if above:
+            inside = inside & F.coalesce(value <= high + reach * wider, F.lit(True))
     return joined.withColumn(verdict, ~F.col(into)["base_failed"] & inside).drop("__one", "__grp", "__own", "__every")
 
 
