@@ -159,7 +159,8 @@ def nearest(rows: DataFrame, k: int = K, is_query=None, vec_id: str = "vec_id",
     deal = lambda seed, m: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
     queries = vectors.filter(is_query).select("vec_id", "v", deal(1, down).alias("down"), every(across).alias("across"))
-    others = vectors.select("vec_id", "v", every(down).alias("down"), deal(2, across).alias("across"))
+    # New names for the right side: where both sides are one frame, pruning may take columns from it otherwise.
+    others = vectors.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), every(down).alias("down"), deal(2, across).alias("across"))
     found = queries.groupBy("down", "across").cogroup(others.groupBy("down", "across")).applyInArrow(_cells(k), _CELL)
     parts = max(tasks, math.ceil(n_queries * k * across / 2_000_000))
     return found.repartition(parts, "query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
