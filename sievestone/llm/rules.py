@@ -109,21 +109,21 @@ def bands(measures: DataFrame, into: str = "measures") -> DataFrame:
 
 def judged(measures: DataFrame, into: str = "measures", verdict: str = "kept") -> DataFrame:
     """The rows of `measures` and a boolean: false where base rules failed or a measure lies outside its band."""
-    table_ = bands(measures, into)
+    table_ = written(bands(measures, into))
     names = [c for c in table_.columns if c != "grp"]
     own = F.broadcast(table_.filter("grp is not null").select(F.col("grp").alias("__grp"), F.struct(*names).alias("__own")))
-    every = F.broadcast(table_.filter("grp is null").select(F.struct(*names).alias("__every"), F.lit(1).alias("__one")))
-    joined = measures.withColumn("__one", F.lit(1)).join(own, F.col(into)["grp"] == F.col("__grp"), "left").join(every, "__one", "left")
+    every = table_.filter("grp is null").first()
+    joined = measures.join(own, F.col(into)["grp"] == F.col("__grp"), "left")
     inside = F.lit(True)
     wider = 1 + MIN_WORDS / F.greatest(F.col(into)["n_words"], F.lit(1))
     for name, _, _, below, above in MEASURES:
-        low, high, reach = (F.coalesce(F.col("__own")[f"{name}_{end}"], F.col("__every")[f"{name}_{end}"]) for end in ("low", "high", "reach"))
+        low, high, reach = (F.coalesce(F.col("__own")[f"{name}_{end}"], F.lit(every and every[f"{name}_{end}"]).cast("double")) for end in ("low", "high", "reach"))
         value = F.col(into)[name]
         if below:
             inside = inside & F.coalesce(value >= low - reach * wider, F.lit(True))
         if above:
             inside = inside & F.coalesce(value <= high + reach * wider, F.lit(True))
-    return joined.withColumn(verdict, ~F.col(into)["base_failed"] & inside).drop("__one", "__grp", "__own", "__every")
+    return joined.withColumn(verdict, ~F.col(into)["base_failed"] & inside).drop("__grp", "__own")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang", doc_id: str = "doc_id") -> DataFrame:
