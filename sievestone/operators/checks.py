@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sievestone.functions import text as T
 from sievestone.functions.parse import split_strict, strict
 from sievestone.plans.rules import COLUMNS, REQUIRED, Rules
+from sievestone.session import written
 
 
 def _predicates(table: str, rules: Rules) -> dict[str, Column]:
@@ -100,7 +101,11 @@ def freshness(lines: DataFrame, rules: Rules) -> DataFrame:
 
 
 def all_metrics(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules) -> DataFrame:
-    """(metric, value) of every check, each a partial and a final aggregate."""
+    """(metric, value) of every check, each a partial and a final aggregate.
+
+    Several checks read each table, so the lines are written once, without what lies before them.
+    """
+    ratings, movies, users = (written(df.select("line")) for df in (ratings, movies, users))
     lines = {"ratings": ratings, "movies": movies, "users": users}
     parts = [format_check(df, name, rules) for name, df in lines.items()]
     parts += [reference_check(ratings, users, 0, "users", rules), reference_check(ratings, movies, 1, "movies", rules)]

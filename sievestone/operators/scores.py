@@ -38,8 +38,12 @@ PROBLEMS = (
 )
 
 
+#: Counters that scores are made of.
+NEEDED = tuple(dict.fromkeys([m for names, _ in (*ACCURACY, *REFERENCES, *FORMATS) for m in names] + [f"{t}_{x}" for t in ("ratings", "movies", "users") for x in ("total", "missing")] + ["ratings_pair_dup_violations", "movies_movie_dup_violations", "users_user_dup_violations", "ratings_d2_ok", "ratings_freshness_sum", "ratings_freshness_n"]))
+
+
 def _value(metric: str) -> Column:
-    return F.max(F.when(F.col("metric") == metric, F.col("value")))
+    return F.col(metric)
 
 
 def _rates(items) -> Column:
@@ -57,7 +61,7 @@ def _score(rate: Column) -> Column:
 
 
 def score_expressions(rules: Rules) -> dict[str, Column]:
-    """The five dimensions as aggregates over (metric, value)."""
+    """The five dimensions over one row with the counters as columns."""
     rows = _total("ratings_total", "movies_total", "users_total")
     some = F.when(rows > 0, rows)
     reference, form = _rates(REFERENCES), _rates(FORMATS)
@@ -74,7 +78,8 @@ def score_expressions(rules: Rules) -> dict[str, Column]:
 
 def scores(metrics: DataFrame, rules: Rules) -> DataFrame:
     """One row: the five dimensions and their weighted sum, null where a dimension is."""
-    five = metrics.agg(*[c.alias(name) for name, c in score_expressions(rules).items()])
+    wide = metrics.groupBy().pivot("metric", list(NEEDED)).agg(F.max("value"))
+    five = wide.select(*[c.alias(name) for name, c in score_expressions(rules).items()])
     overall = sum((F.col(d) * F.lit(rules.weights[d]) for d in DIMENSIONS), F.lit(0.0))
     return five.withColumn("overall", F.round(overall, 4))
 
