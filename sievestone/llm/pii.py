@@ -1,6 +1,6 @@
 """Surrogates for personal data: keyed, of the same kind and form, distinct where the originals are; built-in expressions only.
 
-Found are e-mail addresses, IPv4 addresses, payment cards, telephone numbers, US social security numbers,
+Found are e-mail addresses, IPv4 addresses, payment cards (by Luhn sum), telephone numbers, US social security numbers,
 IBANs and names of persons (after a title, or with a known given name).  Every distinct entity of the corpus gets
 one surrogate from a keyed SHA-512 of its normal form, so whatever refers to it stays together:
 case of addresses and spacing of numbers don't matter, domains and surnames are mapped on
@@ -35,16 +35,24 @@ GIVEN_M = ("James", "John", "Robert", "Michael", "William", "David", "Richard",
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _ANY = lambda *groups: "|".join(x for g in groups for x in g)
+#: Each begins with a look at the next character, which most places fail at once.
 PATTERNS = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
-    r"(?<![A-Za-z0-9+.-])[2-6][0-9]{3}(?:[0-9]{9,15}|(?:[ -][0-9]{4}){2}[ -][0-9]{4}(?:[ -][0-9]{3})?|[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    rf"(?<![\p{{L}}])(?:(?:{_ANY(TITLES_F, TITLES_M, TITLES_N)})\.? {_NAME}(?: {_NAME})?|(?:{_ANY(GIVEN_F, GIVEN_M)}) {_NAME})(?![\p{{L}}])",
+    r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    r"(?=[0-9])(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
+    r"(?=[2-6])(?<![A-Za-z0-9+.-])[2-6][0-9]{3}(?:[0-9]{9,15}|(?:[ -][0-9]{4}){2}[ -][0-9]{4}(?:[ -][0-9]{3})?|[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
+    r"(?=[0-9+(])(?<![A-Za-z0-9+.-])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?![A-Za-z0-9])",
+    r"(?=[0-9])(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_ANY(TITLES_F, TITLES_M, TITLES_N)})\.? {_NAME}(?: {_NAME})?|(?:{_ANY(GIVEN_F, GIVEN_M)}) {_NAME})(?!\p{{L}})",
 )
 
+
+def guards(text: Column) -> tuple:
+    """What a text must have for each kind: an at sign, or digits as the kind has them; names need no more than their pattern."""
+    pair = text.rlike("[0-9]{2}")
+    return F.contains(text, F.lit("@")), text.rlike("[0-9][.][0-9]"), text.rlike("[0-9]{4}"), pair, text.rlike("[0-9]-[0-9]"), text.rlike("[A-Z][A-Z][0-9]"), None
+
+
 #: Syllables of made names and words, by script.
 SYLLABLES = {
     "latin": ("ba", "be", "bri", "ca", "co", "da", "del", "do", "fa", "fe", "ga", "gil", "ha", "ho", "ja", "ka", "ki", "la", "lo", "ma", "mo", "na", "no", "pa", "ra", "ri", "sa", "so", "ta", "to", "va", "wi"),
@@ -173,8 +181,14 @@ def entities(span: Column) -> Column:
 
 
 def entity_spans(text: Column) -> Column:
-    """Spans of all kinds, ordered, of overlapping ones the first (of equal starts the earlier kind)."""
-    every = S.ordered(F.concat(*[S.found(text, p, k) for k, p in enumerate(PATTERNS)]))
+    """Spans of all kinds, ordered.  A card's number has to have a Luhn sum of 0."""
+    every = [S.found(text, p, k, g) for k, (p, g) in enumerate(zip(PATTERNS, guards(text), strict=True))]
+    every[2] = F.filter(every[2], lambda s: _luhn(_digits(s["value"])) == 0)
+    return S.ordered(F.concat(*every))
+
+
+def apart(every: Column) -> Column:
+    """Of overlapping ordered spans the first (of equal starts the earlier kind)."""
     start = F.struct(F.lit(0).alias("at"), S.none().alias("out"))
     step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).cast(S.SPAN).alias("out"))).otherwise(s)
     return F.when(F.size(every) > 1, F.aggregate(every, start, step, lambda s: s["out"])).otherwise(every)
@@ -235,7 +249,8 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, spans:
     """
     row, found = free_name(docs, "__row"), spans or free_name(docs, "__spans")
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    marked = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(found, entity_spans(own)))
+    # In two steps, so that spans that are looked at several times are found once.
+    marked = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(found, entity_spans(own)).withColumn(found, apart(F.col(found))))
     with_any = F.size(found) > 0
     each = F.explode(F.array_distinct(F.flatten(F.transform(found, entities)))).alias("e")
     occurs = cut(marked.filter(with_any).select(F.col(row).alias("row"), each).select("row", "e.kind", "e.norm"))

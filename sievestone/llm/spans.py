@@ -13,10 +13,11 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
-def found(text: Column, pattern: str, kind: int) -> Column:
+def found(text: Column, pattern: str, kind: int, guard: Column | None = None) -> Column:
     """The leftmost non-overlapping matches, from left to right, with code points as places, end exclusive.
 
-    What a split leaves between the matches gives their places.
+    What a split leaves between the matches gives their places.  Texts for which the guard
+    is false have no match, and aren't searched.
     """
     between = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -29,7 +30,8 @@ def found(text: Column, pattern: str, kind: int) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).cast(SPAN).alias("out"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda b, v: F.struct(b.alias("b"), v.alias("v")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(none())
+    some = text.rlike(pattern) if guard is None else F.when(guard, text.rlike(pattern)).otherwise(F.lit(False))
+    return F.when(some, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(none())
 
 
 def ordered(spans: Column) -> Column:
