@@ -196,16 +196,18 @@ def apart(every: Column) -> Column:
 
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, surrogate) of the distinct entities of `found`, no two alike and none an entity of the corpus itself."""
-    rows = cut(found.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)))
+    # Few bytes, but much work each: dealt out by number, which adaptive execution leaves as it is.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = found.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", F.lit(None).cast("string"))
     for _ in range(ROUNDS):
-        named = cut(rows.withColumn("surrogate", _surrogate(key)))
+        named = cut(rows.repartition(tasks, "kind", "norm").withColumn("surrogate", F.coalesce("surrogate", _surrogate(key))))
         same = Window.partitionBy("kind", "surrogate").orderBy("attempt", "norm")  # as many rows as collide
         ranked = named.withColumn("rank", F.row_number().over(same))
         real = named.select("kind", F.when(F.col("kind") == "name", F.concat(F.substring("norm", 1, 2), F.initcap(F.substring("norm", 3, 1000)))).otherwise(F.col("norm")).alias("surrogate"), F.lit(1).alias("real"))
         judged = cut(ranked.join(real.distinct(), ["kind", "surrogate"], "left").withColumn("again", (F.col("rank") > 1) | F.col("real").isNotNull()))
         if judged.filter("again").isEmpty():
             return judged.select("kind", "norm", "surrogate")
-        rows = judged.select("kind", "norm", (F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)).alias("attempt"))
+        rows = judged.select("kind", "norm", (F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)).alias("attempt"), F.when(~F.col("again"), F.col("surrogate")).alias("surrogate"))
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
