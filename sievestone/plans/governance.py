@@ -153,9 +153,9 @@ def _key_sql(name: str, source: str) -> str:
         FROM (SELECT string_split(line, '::') AS f FROM ({source}) WHERE line <> '') WHERE len(f) > {max(*keys, *values, 0)}) WHERE k <> '' GROUP BY k)"""
 
 
-def _fresh_sql(source: str) -> str:
+def _fresh_sql(source: str, digits: int = 12) -> str:
     ok = f"coalesce(len(f) >= 4 AND {_digits('f[4]')}, false)"
-    return f"""SELECT round(coalesce(sum(CASE WHEN {ok} THEN least(greatest((coalesce(TRY_CAST(f[4] AS HUGEINT)::DOUBLE, 1e38) - {R.t1}) / {R.t2 - R.t1}, 0.0), 1.0) END), 0.0), 3) AS ratings_freshness_sum,
+    return f"""SELECT round(coalesce(sum(CASE WHEN {ok} THEN least(greatest((coalesce(TRY_CAST(f[4] AS HUGEINT)::DOUBLE, 1e38) - {R.t1}) / {R.t2 - R.t1}, 0.0), 1.0) END), 0.0), {digits}) AS ratings_freshness_sum,
         count(*) FILTER (WHERE {ok}) AS ratings_freshness_n, count(*) FILTER (WHERE NOT {ok}) AS ratings_freshness_skipped FROM (SELECT string_split(line, '::') AS f FROM ({source}) WHERE line <> '')"""
 
 
@@ -260,7 +260,7 @@ def oracles() -> dict[str, str]:
         "uniq_user": _key_sql("users_user_dup", lines["users"]),
         "multi_value_movies": _key_sql("movies_value_multi", lines["movies"]),
         "multi_value_users": _key_sql("users_attr_multi", lines["users"]),
-        "freshness": _fresh_sql(lines["ratings"]),
+        "freshness": _fresh_sql(lines["ratings"], 3),
         "all_metrics": f"SELECT metric, round(value, 3) AS value FROM ({_metrics_sql(lines)})",
         "score_five_dims": _scores_sql(lines),
         "score_delta": delta,
