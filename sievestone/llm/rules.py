@@ -2,12 +2,12 @@
 
 Three measures of each whole text under a sentencepiece vocabulary with byte fallback:
 code points in words per token, the share of byte-fallback ids, and the entropy of the token ids over
-its maximum, log2 of the number of tokens.  Each measure gets a band for each group: the
-outer fences of the measure's quartiles (FENCE times their distance beyond them) over
-all documents of the group, never narrower than the measure's least distance, and wider for short texts, whose
-measures vary more: by MIN_WORDS over the number of words.  Only the sides that mean
-trouble reject: too few or too many characters per token, too much byte fallback, too
-little entropy.
+its maximum, log2 of the number of tokens.  Each measure gets a band for each group: fences
+beyond the measure's quartiles, in multiples of their distance over all documents of the
+group, and wider for short texts, whose measures vary more: by MIN_WORDS over the number of
+words.  A group whose quartiles coincide takes the distance over all groups; where that is
+nothing too, the measure rejects nothing.  Only the sides that mean trouble reject: too few
+or too many characters per token, too much byte fallback, too little entropy.
 
 A group is the text's language code where that is two or three letters (at most
 18,252 of them), else its most frequent script, so the bands are a table of proven
@@ -26,9 +26,8 @@ from sievestone.llm.token_counts import MODEL, Pieces, model_path, pretokens
 from sievestone.session import table, written
 
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
-FENCE = 3.0
-#: (measure, cells in one, least distance of the band's ends from the quartiles, reject below, reject above)
-MEASURES = (("chars_per_token", 100, 0.25, True, True), ("byte_share", 1000, 0.05, False, True), ("token_entropy", 1000, 0.05, True, False))
+#: (measure, cells in one, fence below and above in distances of the quartiles; None: that side doesn't reject)
+MEASURES = (("chars_per_token", 1000, 1.5, 3.0), ("byte_share", 10000, None, 3.0), ("token_entropy", 1000, 2.0, None))
 #: Documents with at least MIN_WORDS words that a group needs for bands of its own; smaller ones share those of all.
 GROUP_ROWS = 20
 SYMBOLS = "#*$%&|<>"
@@ -91,7 +90,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str | None = "lang", kee
 
 
 def bands(measures: DataFrame, into: str = "measures") -> DataFrame:
-    """(grp, and for each measure _low, _high, its quartiles, and _reach beyond them) from the documents that pass the base rules; grp null: over all groups."""
+    """(grp, and for each measure _low, _high, its quartiles, and _spread, their distance, null where they coincide) from the documents that pass the base rules; grp null: over all groups."""
     rows = measures.filter(~F.col(into)["base_failed"]).select(f"{into}.*")
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.round(F.col(name) * per).cast("bigint").alias("cell")) for i, (name, per, *_) in enumerate(MEASURES)]))
     by_group = rows.select("grp", cells.alias("x")).groupBy("grp", "x.m", "x.cell").agg(F.count("*").alias("n"))
@@ -101,9 +100,9 @@ def bands(measures: DataFrame, into: str = "measures") -> DataFrame:
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("cell")))
     found = ranked.groupBy("grp", "m").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.first("total").alias("total")).filter((F.col("total") >= GROUP_ROWS) | F.col("grp").isNull())
     ends = []
-    for i, (name, per, slack, *_) in enumerate(MEASURES):
+    for i, (name, per, *_) in enumerate(MEASURES):
         own = lambda c, i=i: F.max(F.when(F.col("m") == i, c))
-        ends += [own(F.col("q1") / per).alias(f"{name}_low"), own(F.col("q3") / per).alias(f"{name}_high"), own(F.greatest(FENCE * (F.col("q3") - F.col("q1")) / per, F.lit(slack))).alias(f"{name}_reach")]
+        ends += [own(F.col("q1") / per).alias(f"{name}_low"), own(F.col("q3") / per).alias(f"{name}_high"), own(F.nullif(F.col("q3") - F.col("q1"), F.lit(0)) / per).alias(f"{name}_spread")]
     return found.groupBy("grp").agg(*ends)
 
 
@@ -116,13 +115,13 @@ def judged(measures: DataFrame, into: str = "measures", verdict: str = "kept") -
     joined = measures.join(own, F.col(into)["grp"] == F.col("__grp"), "left")
     inside = F.lit(True)
     wider = 1 + MIN_WORDS / F.greatest(F.col(into)["n_words"], F.lit(1))
-    for name, _, _, below, above in MEASURES:
-        low, high, reach = (F.coalesce(F.col("__own")[f"{name}_{end}"], F.lit(every and every[f"{name}_{end}"]).cast("double")) for end in ("low", "high", "reach"))
+    for name, _, below, above in MEASURES:
+        low, high, spread = (F.coalesce(F.col("__own")[f"{name}_{end}"], F.lit(every and every[f"{name}_{end}"]).cast("double")) for end in ("low", "high", "spread"))
         value = F.col(into)[name]
-        if below:
-            inside = inside & F.coalesce(value >= low - reach * wider, F.lit(True))
-        if above:
-            inside = inside & F.coalesce(value <= high + reach * wider, F.lit(True))
+        if below is not None:
+            inside = inside & F.coalesce(value >= low - below * spread * wider, F.lit(True))
+        if above is not None:
+            inside = inside & F.coalesce(value <= high + above * spread * wider, F.lit(True))
     return joined.withColumn(verdict, ~F.col(into)["base_failed"] & inside).drop("__grp", "__own")
 
 

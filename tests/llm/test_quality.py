@@ -37,6 +37,22 @@ def test_verdict_matches_the_bands(spark):
     assert [r.doc_id for r in R.keep_by_rules(clashing(documents(spark, rows))).collect() if r.doc_id in (100, 101)] == []
 
 
+def test_bands_part_junk_from_clean(spark):
+    """Of the labelled rows that pass the base rules, the bands reject most junk and nearly no clean text."""
+    docs = table(spark, SF.replace("0.01", "0.1"), "documents")
+    passed = R.quality_rules(docs).filter("not base_failed").join(table(spark, SF.replace("0.01", "0.1"), "labels"), "doc_id")
+    share = {r.quality: r.out for r in passed.selectExpr("quality", "double(not kept) as out").groupBy("quality").agg({"out": "avg"}).withColumnRenamed("avg(out)", "out").collect()}
+    assert share[0] > 0.6 and share[1] < 0.02
+
+
+def test_a_group_without_spread_takes_that_of_all(spark):
+    rows = [(i, prose(1, 100), "de", "a", 0) for i in range(60)] + [(100 + i, prose(i, 100), "en", "a", 0) for i in range(2, 300)] + [(1000, prose(500, 100), "de", "a", 0)]
+    out = {r.doc_id: r.kept for r in R.quality_rules(documents(spark, rows)).collect()}
+    assert all(out.values())
+    one = [(i, prose(1, 100), "de", "a", 0) for i in range(60)] + [(200, prose(50, 100), "de", "a", 0)]
+    assert all(r.kept for r in R.quality_rules(documents(spark, one)).collect())
+
+
 def test_filter_keeps_the_columns_and_the_verdict(spark):
     docs = table(spark, SF, "documents")
     kept = {r.doc_id for r in R.quality_rules(docs).filter("kept").collect()}
