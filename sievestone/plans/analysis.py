@@ -163,7 +163,7 @@ QUERIES = {
     "pca_covariance": _covariance,
     "pca_explained": _explained,
     "pca_coordinates": _pca_coordinates,
-    "tsne_coords": lambda s, d: reduce.tsne(_vectors(s, d).select("id", "v").filter("id < 400"), 20.0, 300),
+    "tsne_coords": lambda s, d: reduce.tsne(_vectors(s, d).select("id", "v"), 20.0, 300),
     "knn_overlap": _overlap,
 }
 

@@ -173,3 +173,21 @@ def test_pca_and_tsne(spark):
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     assert pairs.nearest_rank(df, "x", {"p": 0.9, "m": 0.5}).first().asDict() == {"p": 89.0, "m": 50.0}
+
+
+def test_tsne_takes_every_row(spark, monkeypatch):
+    """Above MAX_TSNE the forces come by blocks; the places are those of one task."""
+    x = np.random.default_rng(12).normal(size=(90, 4))
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
+    monkeypatch.setattr(reduce, "MAX_TSNE", 50)
+    monkeypatch.setattr(reduce, "PAIRS", 90 * 20)
+    got = np.array([(r.x, r.y) for r in reduce.tsne(df, 8.0, 6).orderBy("id").collect()])
+    assert np.allclose(got, reduce.tsne_coordinates(x, 8.0, 6), rtol=1e-6, atol=1e-12)
+
+
+def test_tsne_query_has_every_embedding(spark):
+    from sievestone.plans import analysis
+    from sievestone.session import table
+
+    folder = "/root/testdata/sf0.001"
+    assert analysis.QUERIES["tsne_coords"](spark, folder).count() == table(spark, folder, "embeddings").count()
