@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievestone.operators.components import connected_components
-from sievestone.operators.pairs import distance, eps_neighbours, kth_distances, nearest_rank, scatter, silhouettes
+from sievestone.operators.pairs import davies_bouldin, distance, eps_neighbours, kth_distances, nearest_rank, scatter, silhouettes
 from sievestone.session import cut
 
 #: Rows that centres are first drawn from, and that a silhouette is sampled on while k is chosen.
@@ -65,13 +65,20 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolera
 
 
 def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42) -> list[dict]:
-    """k, sampled silhouette, and sum of squared errors of each candidate, best first; ties to the smaller k."""
-    out = []
+    """Each candidate, best first; ties to the smaller k.
+
+    k is chosen by a silhouette that is sampled on SILHOUETTE_ROWS rows ("sampled"); then the chosen one's
+    "silhouette" and "dbi" are computed over all rows, null for the others.  "sse" is over all rows for each.
+    """
+    out, fits = [], {}
     sample = cut(first_rows(vectors, SILHOUETTE_ROWS))
     for k in candidates:
-        labelled = cut(kmeans(vectors, k, seed)[0])
-        out.append({"k": k, "silhouette": silhouettes(labelled, sample).agg(F.avg("s")).first()[0], "sse": scatter(labelled).agg(F.sum("sse")).first()[0]})
-    return sorted(out, key=lambda r: (-(r["silhouette"] if r["silhouette"] is not None else -2), r["k"]))
+        fits[k] = labelled = cut(kmeans(vectors, k, seed)[0])
+        out.append({"k": k, "sampled": silhouettes(labelled, sample).agg(F.avg("s")).first()[0], "silhouette": None, "dbi": None, "sse": scatter(labelled).agg(F.sum("sse")).first()[0]})
+    out.sort(key=lambda r: (-(r["sampled"] if r["sampled"] is not None else -2), r["k"]))
+    best = fits[out[0]["k"]]
+    out[0] |= {"silhouette": silhouettes(best).agg(F.avg("s")).first()[0], "dbi": davies_bouldin(best).first()["dbi"]}
+    return out
 
 
 def suggested_eps(vectors: DataFrame, min_samples: int, share: float = 0.90, rows: int = 2000) -> float:

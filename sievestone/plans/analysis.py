@@ -121,8 +121,8 @@ def _kmeans(spark, d):
 
 
 def _choose_k(spark, d):
-    rows = clustering.choose_k(cut(_vectors(spark, d).select("id", "v")), range(2, 5))
-    return spark.createDataFrame([(r["k"], r["silhouette"], r["sse"]) for r in rows], "k int, silhouette double, sse double")
+    best = clustering.choose_k(cut(_vectors(spark, d).select("id", "v")))[0]
+    return spark.createDataFrame([(best["k"], best["silhouette"], best["dbi"], best["sse"])], "k int, silhouette double, dbi double, sse double")
 
 
 QUERIES = {

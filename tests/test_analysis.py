@@ -191,3 +191,18 @@ def test_tsne_query_has_every_embedding(spark):
 
     folder = "/root/testdata/sf0.001"
     assert analysis.QUERIES["tsne_coords"](spark, folder).count() == table(spark, folder, "embeddings").count()
+
+
+def test_k_is_found_up_to_8_and_measured_over_all_rows(spark, monkeypatch):
+    from sievestone.plans import analysis
+
+    monkeypatch.setattr(clustering, "SILHOUETTE_ROWS", 30)
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(20, 2)) * 0.1 + (9 * i, 9 * (i % 3)) for i in range(6)])
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
+    monkeypatch.setattr(analysis, "_vectors", lambda s, d: df)
+    best = analysis.QUERIES["kmeans_choose_k"](spark, "").first()
+    labelled = clustering.kmeans(df, best.k)[0]
+    assert best.k == 6
+    assert best.silhouette == pytest.approx(pairs.silhouettes(labelled).agg(F.avg("s")).first()[0])
+    assert best.dbi == pytest.approx(pairs.davies_bouldin(labelled).first().dbi) and best.sse == pytest.approx(pairs.scatter(labelled).agg(F.sum("sse")).first()[0])
