@@ -5,15 +5,16 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievestone.operators.components import connected_components
-from sievestone.operators.pairs import davies_bouldin, distance, eps_neighbours, kth_distances, nearest_rank, scatter, silhouettes
+from sievestone.operators.pairs import davies_bouldin, distance, eps_neighbours, kth_distances, matrix, nearest_rank, scatter, silhouettes
 from sievestone.session import cut
 
-#: Rows that centres are first drawn from, and that a silhouette is sampled on while k is chosen.
-SEED_ROWS, SILHOUETTE_ROWS = 5000, 800
+#: Rows that a silhouette is sampled on while k is chosen.
+SILHOUETTE_ROWS = 800
 
 
 def first_rows(vectors: DataFrame, rows: int) -> DataFrame:
@@ -21,14 +22,56 @@ def first_rows(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def plus_plus(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k centres, each further one drawn with weight of its squared distance to those before."""
+def plus_plus(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
+    """k centres, each further one drawn with weight of its squared distance to those before, from all rows in order of id.
+
+    Rows lie in ranges of ids; for each centre every range gives the sum of its weights, then one range gives the row.
+    """
+    rows = cut(vectors.select("id", "v").repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
     rng = random.Random(seed * 100003 + k)
-    centres = [points[rng.randrange(len(points))]]
+
+    def weights(t, centres: list) -> tuple[np.ndarray, np.ndarray]:
+        x = matrix(t)
+        return x, np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) if centres else np.ones(len(x))
+
+    def totals(centres: list) -> list:
+        def work(batches):
+            for t in batches:
+                if t.num_rows:
+                    yield pa.RecordBatch.from_pydict({"part": t.column("part").cast(pa.int32())[:1], "total": [float(weights(t, centres)[1].sum())]})
+
+        return rows.mapInArrow(work, "part int, total double").groupBy("part").agg(F.sum("total").alias("total")).orderBy("part").collect()
+
+    def row_at(target: float, sums: list, centres: list) -> np.ndarray:
+        """The first row that the running sum of weights reaches the target at, or the last one."""
+        upto = np.cumsum([r["total"] for r in sums])
+        i = min(int(np.searchsorted(upto, target)), len(sums) - 1)
+        rest = target - (upto[i - 1] if i else 0.0)
+
+        def work(batches):
+            before, last = 0.0, None
+            for t in batches:
+                if t.num_rows:
+                    x, w = weights(t, centres)
+                    upto = before + np.cumsum(w)
+                    at = int(np.searchsorted(upto, rest))
+                    before, last = upto[-1], x[min(at, len(x) - 1)]
+                    if at < len(x):
+                        break
+            if last is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([last.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        return np.array(rows.filter(F.col("part") == sums[i]["part"]).mapInArrow(work, "v array<double>").first()["v"])
+
+    ones = totals([])
+    n = int(sum(r["total"] for r in ones))
+    if not 1 <= k <= n:
+        raise ValueError(f"k must lie between 1 and {n}")
+    centres = [row_at(rng.randrange(n) + 1.0, ones, [])]
     while len(centres) < k:
-        d = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        at = int(np.searchsorted(np.cumsum(d), rng.random() * d.sum())) if d.sum() > 0 else rng.randrange(len(points))
-        centres.append(points[min(at, len(points) - 1)])
+        sums = totals(centres)
+        total = sum(r["total"] for r in sums)
+        centres.append(row_at(rng.random() * total, sums, centres) if total > 0 else row_at(rng.randrange(n) + 1.0, ones, []))
     return np.array(centres)
 
 
@@ -39,14 +82,8 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
-    """(vectors with cluster and dist, centres).  Centres move by one aggregate a round; an empty cluster takes the farthest point.
-
-    The first centres come from at most SEED_ROWS rows.
-    """
-    points = np.array([r["v"] for r in first_rows(vectors, SEED_ROWS).orderBy("id").collect()])
-    if not 1 <= k <= len(points):
-        raise ValueError(f"k must lie between 1 and {len(points)}")
-    centres = plus_plus(points, k, seed)
+    """(vectors with cluster and dist, centres).  Centres move by one aggregate a round; an empty cluster takes the farthest point."""
+    centres = plus_plus(vectors, k, seed)
     for _ in range(rounds):
         near = assign(vectors, centres)
         sums = near.groupBy("cluster").agg(*[F.avg(F.get("v", F.lit(i))).alias(f"x{i}") for i in range(centres.shape[1])]).collect()

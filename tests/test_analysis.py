@@ -206,3 +206,23 @@ def test_k_is_found_up_to_8_and_measured_over_all_rows(spark, monkeypatch):
     assert best.k == 6
     assert best.silhouette == pytest.approx(pairs.silhouettes(labelled).agg(F.avg("s")).first()[0])
     assert best.dbi == pytest.approx(pairs.davies_bouldin(labelled).first().dbi) and best.sse == pytest.approx(pairs.scatter(labelled).agg(F.sum("sse")).first()[0])
+
+
+def plain_plus_plus(points, k, seed):
+    rng = random.Random(seed * 100003 + k)
+    centres = [points[rng.randrange(len(points))]]
+    while len(centres) < k:
+        d = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(points[int(np.searchsorted(np.cumsum(d), rng.random() * d.sum())) if d.sum() > 0 else rng.randrange(len(points))])
+    return np.array(centres)
+
+
+def test_first_centres_are_drawn_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "SEED_ROWS", 10, raising=False)  # the cap that there was
+    x = np.random.default_rng(14).normal(size=(50, 2))
+    x[::17] += 1000
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v").repartition(5)
+    assert np.array_equal(clustering.plus_plus(df, 4, 42), plain_plus_plus(x, 4, 42))
+    same_place = df.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    assert np.array_equal(clustering.plus_plus(same_place, 2, 42), [[1, 2], [1, 2]])
+    assert len(clustering.kmeans(df, 11, rounds=1)[1]) == 11
