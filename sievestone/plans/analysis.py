@@ -153,7 +153,7 @@ QUERIES = {
     "kmeans_fit": _kmeans,
     "kmeans_choose_k": _choose_k,
     "gnb_scores": _gnb,
-    "cart_predict": lambda s, d: classify.tree_scores(_matrix(s, d), GNB_COLUMNS).groupBy("split").agg(F.count("*").alias("records"), F.avg("score").alias("mean_score")),
+    "cart_predict": lambda s, d: classify.tree_scores(_matrix(s, d), temporal.feature_names(R)).groupBy("split").agg(F.count("*").alias("records"), F.avg("score").alias("mean_score")),
     "threshold_scan": lambda s, d: _rounded(classify.threshold_scan(_scored(s, d)), ["precision", "recall", "f1", "rate"]),
     "best_threshold": lambda s, d: _rounded(classify.best_threshold(_scored(s, d)), ["f1"]),
     "confusion": lambda s, d: classify.confusion(_scored(s, d), THRESHOLD),

@@ -226,3 +226,12 @@ def test_first_centres_are_drawn_from_all_rows(spark, monkeypatch):
     same_place = df.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
     assert np.array_equal(clustering.plus_plus(same_place, 2, 42), [[1, 2], [1, 2]])
     assert len(clustering.kmeans(df, 11, rounds=1)[1]) == 11
+
+
+def test_the_tree_sees_the_whole_feature_matrix(spark, monkeypatch):
+    from sievestone.plans import analysis
+
+    seen, scores = [], classify.tree_scores
+    monkeypatch.setattr(classify, "tree_scores", lambda rows, columns: seen.append(columns) or scores(rows, columns))
+    out = {r.split: r.mean_score for r in analysis.QUERIES["cart_predict"](spark, "/root/testdata/sf0.001").collect()}
+    assert seen == [temporal.feature_names(analysis.R)] and all(0 <= x <= 1 for x in out.values())
