@@ -32,6 +32,8 @@ HEX_BITS, BASE64_BITS = 3.05, 3.75
 ALLOWED = ("example", "sample", "placeholder", "changeme", "your_", "your-", "xxxx", "00000000", "12345678", "abcdefgh", "qwerty", "lorem", "redacted", "dummy", "test_", "test-")
 #: ... UUIDs, integrity digests, words joined by separators, and words with a number at the end.
 ALLOWED_FORMS = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^sha(256|384|512)-|^[A-Za-z]*([/_=-]+([A-Za-z]+|[0-9]{1,4}))*[/_=-]*$|^[A-Za-z]+[0-9]{1,4}$"
+#: The same language without going back, so that a long candidate needs no deep stack: after separators there's one way on.
+ALLOWED_JAVA = ALLOWED_FORMS.replace("([/_=-]+([A-Za-z]+|[0-9]{1,4}))*", "(?:[/_=-]++(?:[A-Za-z]++|[0-9]{1,4}+))*+")
 
 
 def _table() -> Column:
@@ -40,25 +42,33 @@ def _table() -> Column:
 
 
 def least_sum(value: Column) -> Column:
-    """The least sum of c*log2(c), in millionths, over all windows of a string over ALPHABET of at least WINDOW characters."""
-    weigh = _table()
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("best"))
+    """The least sum of c*log2(c), in millionths, over all windows of a string over ALPHABET of at least WINDOW characters.
 
-    def changed(counts: Column, where: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, k: F.when(k + 1 == where, c + by).otherwise(c))
-
-    def step(state: Column, i: Column) -> Column:
-        into, out = at(i), F.when(i > WINDOW, at(i - WINDOW)).otherwise(F.lit(0))
-        gone = F.when(out > 0, F.get(state["counts"], out - 1)).otherwise(F.lit(0))
-        counts = F.when(out > 0, changed(state["counts"], out, -1)).otherwise(state["counts"])
-        less = state["sum"] - F.get(weigh, gone) + F.get(weigh, F.greatest(gone - 1, F.lit(0)))
-        had = F.get(state["counts"], into - 1) - F.when(into == out, 1).otherwise(0)
-        total = less - F.get(weigh, had) + F.get(weigh, had + 1)
-        best = F.when(i >= WINDOW, F.least(state["best"], total)).otherwise(state["best"])
-        return F.struct(changed(counts, into, 1).alias("counts"), total.alias("sum"), best.alias("best"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["best"])
+    The string is turned into places in ALPHABET once; each step changes the counts of one character that comes in
+    and one that goes, so time grows with the length.
+    """
+    weigh, size = _table(), len(ALPHABET)
+    place = lambda raw, i: F.instr(F.lit(ALPHABET), F.substring(raw, i, F.lit(1)).cast("string"))
+    places = lambda raw: F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: place(raw, i))
+    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("best"), F.lit(0).alias("i"))
+
+    def slide(all_: Column) -> Column:
+        def step(state: Column, into: Column) -> Column:
+            i = state["i"] + 1
+            out = F.when(i > WINDOW, F.get(all_, i - WINDOW - 1)).otherwise(F.lit(0))
+            gone = F.when(out > 0, F.get(state["counts"], out - 1)).otherwise(F.lit(0))
+            less = state["sum"] - F.get(weigh, gone) + F.get(weigh, F.greatest(gone - 1, F.lit(0)))
+            had = F.get(state["counts"], into - 1) - F.when(into == out, 1).otherwise(0)
+            total = less - F.get(weigh, had) + F.get(weigh, had + 1)
+            best = F.when(i >= WINDOW, F.least(state["best"], total)).otherwise(state["best"])
+            counts = F.when(into == out, state["counts"]).otherwise(
+                F.transform(state["counts"], lambda c, k: F.when(k + 1 == into, c + 1).when(k + 1 == out, c - 1).otherwise(c))
+            )
+            return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"), i.alias("i"))
+
+        return F.aggregate(all_, start, step, lambda s: s["best"])
+
+    return S.let(S.let(value.cast("binary"), places), slide)
 
 
 def most_sum(bits: float) -> int:
@@ -68,7 +78,7 @@ def most_sum(bits: float) -> int:
 
 def suspicious(value: Column) -> Column:
     low = F.lower(value)
-    allowed = value.rlike(ALLOWED_FORMS)
+    allowed = value.rlike(ALLOWED_JAVA)
     for x in ALLOWED:
         allowed = allowed | F.contains(low, F.lit(x))
     limit = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(most_sum(HEX_BITS))).otherwise(F.lit(most_sum(BASE64_BITS)))
@@ -84,8 +94,14 @@ def base_spans(text: Column) -> Column:
 
 def entropy_spans(text: Column, base: Column) -> Column:
     """The suspicious candidates that meet no span of `base`."""
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(S.found(text, CANDIDATE, 3), lambda s: F.when(apart(s), suspicious(s["value"])).otherwise(F.lit(False)))
+    known = lambda s: s["kind"] < 3
+
+    def judged(every: Column) -> Column:
+        pick = lambda met: F.filter(every, lambda s, i: F.when(known(s) | F.get(met, i), F.lit(False)).otherwise(suspicious(s["value"])))
+        return S.let(S.meets(every, known), pick)
+
+    own = S.found(text, CANDIDATE, 3)
+    return S.let(own, lambda c: F.when(F.size(c) > 0, S.let(S.ordered(F.concat(base, c)), judged)).otherwise(c))
 
 
 def scanned(docs: DataFrame, text: str = "text", base: str = "base", every: str = "every") -> DataFrame:

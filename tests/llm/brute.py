@@ -34,10 +34,12 @@ def best_entropy(value: str, window: int = 20) -> float:
 
 def all_spans(text: str, allowed, allowed_forms: str, hex_bits: float, base64_bits: float) -> list[tuple]:
     base = base_spans(text)
-    out = list(base)
+    out, covered = list(base), bytearray(len(text))
+    for a, _, b in base:
+        covered[a:b] = b"x" * (b - a)
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         v = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in base) or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v):
+        if any(covered[m.start() : m.end()]) or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v):
             continue
         if any(x in v.lower() for x in allowed) or re.search(allowed_forms, v):
             continue
