@@ -6,8 +6,9 @@ and ids of its path, hashed words, and a few measures.  A bidirectional LSTM, in
 whole sequence and labels every block with what stands before and after it in view.
 
 It is trained at the start of a run on synthetic pages of many templates (this module makes them)
-and on at most TRAIN_PAGES pages of the table, whose blocks are labelled by the meaning of HTML's own
-sectioning tags.  Pages are labelled in batches of bounded size; no page is shortened.
+and on at most TRAIN_PAGES pages of the table, each of at most TRAIN_CHARS characters, whose blocks are
+labelled by the meaning of HTML's own sectioning tags.  Pages are labelled in batches of bounded size; one of more
+than CELLS blocks is read in stretches that hand on the network's state.  No page is shortened.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html
 import random
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,25 +26,46 @@ from pyspark.sql import functions as F
 from sievestone.llm.common import map_rows
 from sievestone.session import table
 
-#: The bound on pages of the table that are trained on, and how many pages are made.
-TRAIN_PAGES, MADE_PAGES = 256, 700
+#: The bounds on pages of the table that are trained on and on their length, and how many pages are made.
+TRAIN_PAGES, TRAIN_CHARS, MADE_PAGES = 256, 200_000, 1200
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 96, 32, 7, 16
 EPOCHS, RATE, PAGES_A_STEP, SEED = 7, 0.01, 32, 7
 #: Blocks (with padding) that the network reads at once.
 CELLS = 40_000
 
-#: HTML's block-level elements, those without an end tag, and those whose content is no text.
+#: HTML's block-level elements, and those without an end tag.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video"
+#: Elements whose content is never text, to the end of the page if unclosed, ...
+RAW = frozenset("script style".split())
+#: ... and those whose content isn't shown; one that is closed in its own tag, or never, hides nothing.
+UNSEEN = frozenset("iframe noembed noframes svg template canvas audio video".split())
 #: Elements that end an open one of the same kind, up to the elements that hold them.
 ITEM = {"p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW | UNSEEN}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile("[a-z]+")
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of what isn't text; comments and hidden elements have no name."""
+    at, unclosed = 0, set()
+    while at is not None:
+        start, at = at, None
+        for m in _TOKEN.finditer(page, start):
+            name = (m[2] or "").lower()
+            if m[1] == "" and name in _END and name not in unclosed and not (name in UNSEEN and m[3].endswith("/")):
+                end = _END[name].search(page, m.end())
+                if end or name in RAW:
+                    at = end.end() if end else len(page)
+                    yield m.start(), at, "", False, ""
+                    break
+                unclosed.add(name)
+            yield m.start(), m.end(), name, bool(m[1]), m[3] or ""
+
+
 def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
     """(path, text, share of characters in links) of each block with text, in page order.
 
@@ -67,23 +90,19 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
         close()
         del stack[i:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, tag, ends, given in tags(page):
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
+                linked += start - at
+        at = end
         if tag == "a":
-            in_link = not m[2]
+            in_link = not ends
         elif tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
             continue
-        if m[2]:
+        if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -93,7 +112,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
             in_link = False
             continue
         close()
-        if tag in VOID:
+        if tag in VOID or tag in UNSEEN:
             continue
         if tag in ITEM or (stack[-1][0] == "p" and tag != "p"):
             kind = tag if tag in ITEM else "p"
@@ -103,7 +122,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
                     break
                 if stack[i][0] in ITEM[kind] or kind == "p":
                     break
-        names = tuple(_PART.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(m[4])).lower())) if m[4] else ()
+        names = tuple(_PART.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(given)).lower())) if given else ()
         stack.append((tag, (*stack[-1][1], (tag, *names))))
     if at < len(page):
         parts.append(page[at:])
@@ -151,21 +170,22 @@ class Vectors:
         row[-MEASURES:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, linked, sum(map(text.count, ".!?")) / len(words), text.count(",") / len(words), text[-1] in ".!?\"')", place)
         return row
 
-    def page(self, found: list) -> np.ndarray:
-        n = len(found)
-        return np.stack([self.block(*b, i / n) for i, b in enumerate(found)]) if n else np.zeros((0, PATH_DIMS + WORD_DIMS + MEASURES), dtype=np.float32)
+    def page(self, found: list, first: int = 0, last: int | None = None) -> np.ndarray:
+        """A row for each block, or for those from `first` up to `last`."""
+        n, part = len(found), found[first:last]
+        return np.stack([self.block(*b, (first + i) / n) for i, b in enumerate(part)]) if part else np.zeros((0, PATH_DIMS + WORD_DIMS + MEASURES), dtype=np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, p: dict, keep: bool = False):
-    """Hidden states (batch, steps, HIDDEN) of one direction, and what training needs."""
+def _lstm(x: np.ndarray, p: dict, keep: bool = False, state: tuple | None = None):
+    """Hidden states (batch, steps, HIDDEN) of one direction, what training needs, and the state at the end."""
     n, steps, _ = x.shape
     given = x.reshape(n * steps, -1) @ p["w"] + p["b"]
     given = given.reshape(n, steps, 4 * HIDDEN)
-    h, c = np.zeros((n, HIDDEN), dtype=np.float32), np.zeros((n, HIDDEN), dtype=np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), dtype=np.float32), np.zeros((n, HIDDEN), dtype=np.float32))
     out, past = np.empty((n, steps, HIDDEN), dtype=np.float32), []
     for t in range(steps):
         z = given[:, t] + h @ p["u"]
@@ -179,7 +199,7 @@ def _lstm(x: np.ndarray, p: dict, keep: bool = False):
         out[:, t] = h
         if keep:
             past.append((i, f, o, g, before, tc, h_before))
-    return out, past
+    return out, past, (h, c)
 
 
 def _back(x: np.ndarray, p: dict, past: list, dout: np.ndarray) -> dict:
@@ -214,15 +234,15 @@ class Labeller:
         self.p = {"ahead": one(), "back": one(), "out": {"w": (rng.normal(size=2 * HIDDEN) / HIDDEN).astype(np.float32), "b": np.zeros(1, dtype=np.float32)}}
 
     def logits(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        ahead, _ = _lstm(x, self.p["ahead"])
+        ahead = _lstm(x, self.p["ahead"])[0]
         back = _turned(_lstm(_turned(x, sizes), self.p["back"])[0], sizes)
         return np.concatenate((ahead, back), axis=2) @ self.p["out"]["w"] + self.p["out"]["b"]
 
     def gradients(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict:
         inside = (np.arange(x.shape[1])[None] < sizes[:, None]).astype(np.float32)
         rx = _turned(x, sizes)
-        ahead, past_a = _lstm(x, self.p["ahead"], True)
-        rback, past_b = _lstm(rx, self.p["back"], True)
+        ahead, past_a, _ = _lstm(x, self.p["ahead"], True)
+        rback, past_b, _ = _lstm(rx, self.p["back"], True)
         both = np.concatenate((ahead, _turned(rback, sizes)), axis=2)
         dz = (_sigmoid(both @ self.p["out"]["w"] + self.p["out"]["b"]) - y) * inside / inside.sum()
         dboth = dz[..., None] * self.p["out"]["w"]
@@ -271,6 +291,18 @@ class Labeller:
         return out
 
 
+    def label(self, vectors: Vectors, found: list, cells: int = CELLS) -> np.ndarray:
+        """As `labels`, for one page of blocks, with no more than `cells` of them as vectors at a time."""
+        n, out = len(found), np.full(len(found), self.p["out"]["b"][0], dtype=np.float32)
+        places = range(0, n, cells)
+        for k, (way, order, turn) in enumerate((("ahead", places, 1), ("back", reversed(places), -1))):
+            state = None
+            for a in order:
+                h, _, state = _lstm(vectors.page(found, a, a + cells)[None, ::turn], self.p[way], state=state)
+                out[a : a + cells] += (h[0] @ self.p["out"]["w"][k * HIDDEN : (k + 1) * HIDDEN])[::turn]
+        return out > 0
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in pages])
     x = np.zeros((len(pages), sizes.max(), pages[0].shape[1]), dtype=np.float32)
@@ -281,7 +313,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Tags and name words that say what a part of a page is for.
 SIDE_TAGS = frozenset("nav header footer aside form head title dialog menu button select textarea option".split())
-SIDE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments respond reply cookie consent notice popup modal newsletter subscribe signup login promo promoted sponsor sponsored related recommended sidebar widget share social nav navbar navigation menu footer header masthead topbar toolbar tags pagination pager search copyright legal alert disqus teaser".split())
+SIDE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments respond reply cookie consent notice popup modal newsletter subscribe signup login promo promoted sponsor sponsored related recommended sidebar widget complementary contentinfo share social nav navbar navigation topnav menu footer header masthead topbar toolbar tags pagination pager search copyright legal alert disqus teaser".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article content post entry story main body text".split())
 
@@ -317,7 +349,7 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def name(*choices: str) -> str:
         c = rng.choice(choices)
-        c = rng.choice((c, f"{c}-{rng.choice(('box', 'wrap', 'area', 'inner', 'list'))}", f"{rng.choice(('site', 'page', 'main', 'top', 'js'))}-{c}" if c not in ("content", "main") else c))
+        c = rng.choice((c, f"{c}-{rng.choice(('box', 'wrap', 'area', 'inner', 'list', 'slot', 'bar', 'block', 'col', 'section'))}", f"{rng.choice(('site', 'page', 'main', 'top', 'js'))}-{c}" if c not in ("content", "main") else c))
         return rng.choice((f' class="{c}"', f' id="{c}"', f" class='{c} x{rng.randint(1, 9)}'"))
 
     def keep(text: str) -> str:
@@ -330,7 +362,7 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def menu() -> str:
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 9)))
-        return rng.choice((f"<nav><ul>{items}</ul></nav>", f"<div{name('menu', 'nav', 'navbar', 'breadcrumb')}><ul>{items}</ul></div>", f"<header>{say(1, 3)}<nav>{items}</nav></header>"))
+        return rng.choice((f"<nav><ul>{items}</ul></nav>", f"<div{name('menu', 'nav', 'navbar', 'breadcrumb')}><ul>{items}</ul></div>", f"<header>{say(1, 3)}<nav>{items}</nav></header>", f"<div role=navigation>{link()}{link()}</div>", f"<div role=banner>{say(1, 4)}</div>", f"<p{name('menu', 'nav')}>{link()} | {link()} | {link()}</p>"))
 
     def side() -> str:
         return rng.choice((
@@ -340,11 +372,13 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
             f"<div{name('cookie', 'consent', 'notice', 'alert', 'popup')}><p>{say(6, 30)}</p><button>{say(1, 2)}</button></div>",
             f"<form{name('newsletter', 'search', 'signup', 'login')}><label>{say(1, 3)}</label><input name=q><p>{say(3, 12)}</p><button>{say(1, 2)}</button></form>",
             f"<div{name('share', 'social', 'tags', 'pagination')}>{link()} {link()} {link()}</div>",
+            f"<div role={rng.choice(('complementary', 'search', 'alert'))}><p>{say(3, 25)}</p>{link()}</div>",
         ))
 
     def talk() -> str:
-        many = "".join(f"<div{name('comment', 'reply')}><b>{say(1, 2)}</b><p>{say(4, 40)}</p></div>" for _ in range(rng.randint(1, 5)))
-        return rng.choice((f"<section{name('comments', 'disqus', 'respond')}><h3>{say(1, 3)}</h3>{many}</section>", f"<ol{name('comments')}>{''.join(f'<li><p>{say(4, 40)}</p></li>' for _ in range(3))}</ol>"))
+        by = rng.choice((lambda: f"<b>{say(1, 2)}</b>", str))
+        many = "".join(f"<div{rng.choice((name('comment', 'reply'), ' class=comment-body', ' class=comment-text'))}>{by()}<p>{say(4, 40)}</p></div>" for _ in range(rng.randint(1, 5)))
+        return rng.choice((f"<section{name('comments', 'disqus', 'respond')}><h3>{say(1, 3)}</h3>{many}</section>", f"<div{name('comments', 'disqus', 'responses')}>{many}</div>", f"<ol{name('comments')}>{''.join(f'<li><p>{say(4, 40)}</p></li>' for _ in range(3))}</ol>"))
 
     body = []
     for k in range(rng.choice((1, 2, 3, 5, 8, 14))):
@@ -362,13 +396,21 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.8:
         main.insert(0, title)
         head = f"<h1>{html.escape(title, quote=False)}</h1>"
-    inner = head + "".join(body)
+        head = rng.choice((head, head, f"<header>{head}</header>"))
+    inner = head + rng.choice(("{}", "{}", "<section>{}</section>")).format("".join(body))
+    if rng.random() < 0.1:
+        inner += f"<footer>{say(1, 6)}</footer>"
     if rng.random() < 0.25:
         inner += talk()
-    whole = rng.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article{name('post', 'story')}>{inner}</article></main>", f"<div{name('content', 'article', 'post', 'entry', 'story')}>{inner}</div>"))
+    whole = rng.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article{name('post', 'story')}>{inner}</article></main>", f"<div{name('content', 'article', 'post', 'entry', 'story')}>{inner}</div>", f"<div id={rng.choice(('primary', 'content'))}><div class={rng.choice(('entry-content', 'post-body', 'article-text'))}>{inner}</div></div>", ""))
     before = [menu() for _ in range(rng.randint(0, 2))] + [side() for _ in range(rng.randint(0, 2))]
     after = [side() for _ in range(rng.randint(0, 2))] + ([talk()] if rng.random() < 0.2 else [])
-    foot = rng.choice((f"<footer>&copy; {say(2, 20)} &middot; {say(2, 9)}</footer>", f"<footer><p>{say(3, 15)}</p>{link()}</footer>", f"<div{name('footer', 'copyright', 'legal')}>{say(3, 20)}</div>", ""))
+    if not whole:  # a page laid out as a table
+        cells = [f"<td class={rng.choice(('left', 'right', 'nav', 'menu', 'side'))}{rng.choice(('', 'col', 'bar'))}>{link()}<br>{link()}</td>" for _ in range(rng.randint(0, 2))]
+        cells.insert(rng.randint(0, len(cells)), f"<td class={rng.choice(('maintext', 'content', 'bodytext', 'main', 'text'))}>{inner}</td>")
+        top = f"<tr><td class={rng.choice(('top', 'topnav', 'banner', 'header'))}>{link()} | {link()} | {link()}</td></tr>"
+        whole = f"<table width=100%>{rng.choice(('', top))}<tr>{''.join(cells)}</tr></table>"
+    foot = rng.choice((f"<div role=contentinfo>{say(2, 12)}</div>", f"<center><font size=1>&copy; {say(2, 9)}</font></center>", f"<footer>&copy; {say(2, 20)} &middot; {say(2, 9)}</footer>", f"<footer><p>{say(3, 15)}</p>{link()}</footer>", f"<div{name('footer', 'copyright', 'legal')}>{say(3, 20)}</div>", ""))
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{''.join(before)}{whole}{''.join(after)}{foot}</body></html>", main
 
 
@@ -391,7 +433,7 @@ def train(pages: list[str], made: int = MADE_PAGES, epochs: int = EPOCHS) -> Lab
     vectors = Vectors()
     sample = [(vectors.page(found), label) for found, label in made_sample(made)]
     for page in pages:
-        found = blocks(page)[:2000]
+        found = blocks(page)
         if any(e[0] in MAIN_TAGS for path, *_ in found for e in path):
             sample.append((vectors.page(found), by_meaning(found)))
     return Labeller().fit(sample, epochs)
@@ -403,7 +445,8 @@ def _make(labeller: Labeller):
 
         def work(pages: list) -> dict:
             found = [blocks(p) for p in pages]
-            kept = labeller.labels([vectors.page(f) for f in found])
+            kept = labeller.labels([vectors.page(f) if len(f) <= CELLS else vectors.page([]) for f in found])
+            kept = [k if len(f) <= CELLS else labeller.label(vectors, f) for f, k in zip(found, kept, strict=True)]
             return {"text": ["\n".join(t for (_, t, _), k in zip(f, own, strict=True) if k) for f, own in zip(found, kept, strict=True)]}
 
         return work
@@ -412,17 +455,23 @@ def _make(labeller: Labeller):
 
 
 def extract(pages: DataFrame, labeller: Labeller, page: str = "html", keep: tuple = ("page_id", "url")) -> DataFrame:
-    """The columns `keep` and `text`: the main blocks in page order, joined by line feeds; null or no main block: empty."""
+    """The columns `keep` and `text`: the main blocks in page order, joined by line feeds; null or no main block: empty.
+
+    Each row stands for itself: repeated rows and equal ids have a row each, an empty table gives none.  Extra
+    columns may have any name; a page of any length is read whole.
+    """
     return map_rows(pages, page, "text string", _make(labeller), list(keep))
 
 
 def sampled(pages: DataFrame, rows: int = TRAIN_PAGES) -> list[str]:
-    """At most `rows` pages, chosen by a hash of the id."""
-    ids = [r[0] for r in pages.filter("page_id is not null and html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).collect()]
+    """At most `rows` pages of at most TRAIN_CHARS characters, chosen by a hash of the id."""
+    pages = pages.filter(F.length("html") <= TRAIN_CHARS)
+    ids = [r[0] for r in pages.filter("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).collect()]
     found = pages.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect() if ids else []
     return [r["html"] for r in found]
 
 
 def op4_recurrent_blocks(spark, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars (code points) for every row of `pages`; null pages have an empty text."""
     pages = table(spark, sf_dir, "pages")
     return extract(pages, train(sampled(pages))).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,61 @@ def test_blocks():
     assert H.blocks(page)[1][2] == 1.0 and H.blocks(page)[2][0][0] == ("article", "post", "main")
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<article><p>one</p><video-player></video-player><p>two</p></article>", ["one", "two"]),
+    ("<p>one</p><template-x><p>two</p></template-x><svg-icon/><p>three", ["one", "two", "three"]),
+    ("<p>one <svg/>two</p><svg><text>no</text></svg><p>three</p>", ["one two", "three"]),
+    ("<p>one</p><object/><p>two</p><object data=x><p>three</p></object><p>four</p>", ["one", "two", "three", "four"]),
+    ("<p>one</p><canvas/><iframe src='x'/><p>two</p><iframe>no</iframe><p>three</p>", ["one", "two", "three"]),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript><p>plain</p></noscript>", ["let x=1 be", "plain"]),
+    ("<p>one</p><video controls><p>two</p>", ["one", "two"]), ("<p>one</p><video>no</video><p>two", ["one", "two"]), ("<p>one</p><SVG><p>two", ["one", "two"]),
+    ("<p>a</p><script>if (a<b) '</p><!--'</script ><p>b</p><style>x{}</STYLE\n><p>c</p><script/>no<p>no", ["a", "b", "c"]),
+    ("<p>a<!-->b<!--->c<!-- no --!>d</p><p><scripty>e</scripty></p><p>f<!-- no", ["abcd", "e", "f"]),
+])
+def test_no_text_is_lost(page, texts):
+    """Custom elements, elements closed in their own tag or never, and elements that hold text."""
+    assert [b[1] for b in H.blocks(page)] == texts
+
+
+def test_many_unclosed_elements_take_time_with_the_length():
+    began = time.time()
+    assert len(H.blocks("<p>a<svg><video><iframe>" * 20_000)) == 20_000
+    assert time.time() - began < 5
+
+
+#: Pages of templates that the made ones don't have, with their main blocks.
+STRANGE = [
+    ("""<html><body><table width=100%><tr><td class=topnav><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr><tr><td class="leftcol"><a href=/1>Older entry</a><br><a href=/2>Another one</a></td>
+    <td class="maintext"><h2>The river in spring</h2><p>The river rose early this year, and the mills along its banks stood idle for a week.</p><p>Nobody had seen the like since the great flood, when the bridge was lost.</p></td></tr></table><center><font size=1>&copy; 2003 The Valley Gazette</font></center></body></html>""",
+     ["The river in spring", "The river rose early this year, and the mills along its banks stood idle for a week.", "Nobody had seen the like since the great flood, when the bridge was lost."]),
+    ("""<body class="single"><div id="masthead"><div class="menu-main"><ul><li><a href=a>Start</a><li><a href=b>Archive</a></ul></div></div><div id="primary"><div class="entry-content"><p>Bread needs four things, and patience is the one that shops leave out.</p>
+    <ul><li>Flour, as fresh as the mill has it.</li><li>Water, a little warm.</li></ul><blockquote>My aunt weighed nothing, and her loaves never failed.</blockquote></div><div class="post-tags"><a href=t>baking</a></div></div><div id="comments"><div class="comment-body"><p>I tried this and it worked, thanks!</p></div></div><div id="colophon">Proudly made by hand</div></body>""",
+     ["Bread needs four things, and patience is the one that shops leave out.", "Flour, as fresh as the mill has it.", "Water, a little warm.", "My aunt weighed nothing, and her loaves never failed."]),
+    ("""<div role=banner>City Library</div><div role=navigation><a href=/>Opening hours</a><a href=/x>Events</a></div><main id=content><h1>New reading room</h1><div class=lead>The reading room on the second floor opens on Monday, after two years of work.</div>
+    <div>It has forty desks, and a window over the park.</div><div class="newsletter-signup"><form><label>E-mail</label><button>Subscribe now</button></form></div><div>Readers may bring their own lamps.</div></main><div role=contentinfo>Imprint and privacy</div>""",
+     ["New reading room", "The reading room on the second floor opens on Monday, after two years of work.", "It has forty desks, and a window over the park.", "Readers may bring their own lamps."]),
+    ("""<div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><nav><a href=1>World</a><a href=2>Sport</a></nav><article class="story"><header><h1>Harbour strike ends</h1></header><section><p>Dockers went back to work on Friday after a vote that few had expected to pass.</p>
+    <div class="advert-slot">Cheap flights to the sun, book today</div><p>The union called the result narrow but clear.</p></section><footer>Share this story</footer></article><aside><h3>Most read</h3><ul><li><a href=3>Storm on the coast</a></ul></aside>""",
+     ["Harbour strike ends", "Dockers went back to work on Friday after a vote that few had expected to pass.", "The union called the result narrow but clear."]),
+]
+
+
+def test_templates_that_training_has_not_seen(labeller):
+    vectors, right, chosen, wanted = H.Vectors(), 0, 0, 0
+    for page, main in STRANGE:
+        found = H.blocks(page)
+        assert set(main) <= {t for _, t, _ in found}
+        kept = [t for (_, t, _), k in zip(found, labeller.labels([vectors.page(found)])[0], strict=True) if k]
+        right, chosen, wanted = right + len(set(kept) & set(main)), chosen + len(kept), wanted + len(main)
+    assert right / wanted >= 0.85 and right / chosen >= 0.8
+
+
+def test_long_pages_are_read_in_stretches(labeller):
+    vectors, rng = H.Vectors(), random.Random(9)
+    found = [b for _ in range(12) for b in H.blocks(H.made_page(rng)[0])]
+    assert (labeller.label(vectors, found, 7) == labeller.labels([vectors.page(found)])[0]).all()
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = H.Labeller(seed=1)
