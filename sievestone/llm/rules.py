@@ -1,18 +1,21 @@
-"""Quality rules: how a public tokeniser takes a text, held against bands for its language or script.
+"""Quality rules: how public tokenisers take a text, held against bands for its language or script.
 
-Three measures of each whole text under a sentencepiece vocabulary with byte fallback:
+Four measures of each whole text, under two vocabularies: with the sentencepiece one with byte fallback,
 code points in words per token, the share of byte-fallback ids, and the entropy of the token ids over
-its maximum, log2 of the number of tokens.  Each measure gets a band for each group: fences
+its maximum, log2 of the number of tokens; with the byte-level one for many languages, code points per
+token again, each word taken by itself after a space.  Each measure gets a band for each group: fences
 beyond the measure's quartiles, in multiples of their distance over all documents of the
 group, and wider for short texts, whose measures vary more: by MIN_WORDS over the number of
 words.  A group whose quartiles coincide takes the distance over all groups; where that is
 nothing too, the measure rejects nothing.  Only the sides that mean trouble reject: too few
-or too many characters per token, too much byte fallback, too little entropy.
+or too many characters per token, too much byte fallback, too little entropy.  Of a group whose measure
+is spread normally, a fence at 2 distances rejects 1 in 2,300 on its side, one at 2.5 1 in 39,000 and one at 3 1 in
+a million; what lies beyond is of another kind than the group.
 
 A group is the text's language code where that is two or three letters (at most
 18,252 of them), else its most frequent script, so the bands are a table of proven
-size.  Quartiles come from histograms of fixed cells, counted with map-side
-combining over every document; they don't depend on the order of rows.
+size.  Groups of fewer than GROUP_ROWS documents take the bands over all.  Quartiles come from histograms of
+fixed cells, counted with map-side combining over every document; they don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -21,19 +24,22 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.llm.bpe import ranks_path, read_ranks
 from sievestone.llm.common import free_name, map_rows, repeated_lines, repeated_words, word_chars
 from sievestone.llm.token_counts import MODEL, Pieces, model_path, pretokens
 from sievestone.session import table, written
 
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
 #: (measure, cells in one, fence below and above in distances of the quartiles; None: that side doesn't reject)
-MEASURES = (("chars_per_token", 1000, 1.5, 3.0), ("byte_share", 10000, None, 3.0), ("token_entropy", 1000, 2.0, None))
+MEASURES = (("chars_per_token", 1000, 2.5, 3.0), ("chars_per_token_multi", 1000, 2.5, 3.0), ("byte_share", 10000, None, 3.0), ("token_entropy", 1000, 2.0, None))
 #: Documents with at least MIN_WORDS words that a group needs for bands of its own; smaller ones share those of all.
 GROUP_ROWS = 20
 SYMBOLS = "#*$%&|<>"
+#: The byte-level vocabulary, and how many words a task keeps counts of, and the longest that is kept.
+RANKS, KEPT, LONGEST = "byte_bpe_multi_50k.tiktoken", 400_000, 64
 #: First code points of blocks and the scripts that they hold.
 SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
-SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
+SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, n_tokens_multi bigint, chars_per_token double, chars_per_token_multi double, byte_share double, token_entropy double, script string"
 
 
 def script_of(text: str) -> str:
@@ -50,20 +56,49 @@ def script_of(text: str) -> str:
     return max(totals, key=totals.get)
 
 
-def _make(model: str):
+class WordTokens:
+    """How many tokens of a byte-level vocabulary each word has after a space; counted once for each distinct word."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.library = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        self.known: dict[bytes, int] = {}
+
+    def count(self, words: list[bytes]) -> int:
+        known, long = self.known, 0
+        if new := set(words) - known.keys():
+            if len(known) + len(new) > KEPT:
+                known.clear()
+                new = set(words)
+            made = {w: len(self.library.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in new}
+            known.update(made)
+            long = [w for w in new if len(w) > LONGEST]
+        total = sum(map(known.__getitem__, words))
+        for w in long or ():
+            del known[w]
+        return total
+
+
+def _make(model: str, ranks: str):
     def make():
         pieces = Pieces(model, lambda ids: np.array(ids, dtype="<u4").tobytes())
         is_byte = np.array([pieces.library.is_byte(i) for i in range(pieces.library.get_piece_size())])
+        multi = WordTokens(ranks)
 
         def one(text: str, ids: np.ndarray) -> tuple:
             words = text.encode("utf-8", "surrogatepass").split()
             chars, n = word_chars(text), len(ids)
             if not n:
-                return len(words), chars, 0, 0, 0, 0, None, None, None, "other"
-            counts = np.bincount(ids)
+                return len(words), chars, 0, 0, 0, 0, 0, None, None, None, None, "other"
+            counts, m = np.bincount(ids), multi.count(words)
             counts = counts[counts > 0]
             entropy = (np.log2(n) - float((counts * np.log2(counts)).sum()) / n) / np.log2(n) if n > 1 else 1.0
-            return (len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text)[1], repeated_words(words), n, chars / n, float(is_byte[ids].mean()), float(entropy), script_of(text))
+            return (
+                len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text)[1], repeated_words(words), n, m,
+                chars / n, chars / m if m else None, float(is_byte[ids].mean()), float(entropy), script_of(text),
+            )
 
         def work(texts: list) -> dict:
             texts = [t or "" for t in texts]
@@ -78,10 +113,10 @@ def _make(model: str):
     return make
 
 
-def measured(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: tuple = ("doc_id",), model: str | None = None, into: str = "measures") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: tuple = ("doc_id",), model: str | None = None, ranks: str | None = None, into: str = "measures") -> DataFrame:
     """The columns `keep` and a struct `into` of the measures, the group and base_failed."""
     source = docs.select(*[docs[f"`{c}`"].alias(f"__keep{i}") for i, c in enumerate(keep)], (docs[f"`{lang}`"] if lang else F.lit(None).cast("string")).alias("__lang"), docs[f"`{text}`"].alias("__text"))
-    rows = map_rows(source, "__text", SCHEMA, _make(model or model_path(MODEL)), [c for c in source.columns if c != "__text"])
+    rows = map_rows(source, "__text", SCHEMA, _make(model or model_path(MODEL), ranks or ranks_path(RANKS)), [c for c in source.columns if c != "__text"])
     code = F.lower(F.col("__lang"))
     group = F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.concat(F.lit("script:"), F.col("script")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
@@ -129,11 +164,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang"
     """doc_id, the base counts, base_failed, kept, and the measures, for every row of `docs`.
 
     A null or empty text has no words, fails the base rules and has null measures.
-    Repeated rows each have their row.
+    Repeated rows each have their row and count each in the bands; an empty table gives no rows.  Extra columns may have any name.
     """
     rows = judged(written(measured(docs, text, lang, (doc_id,))))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return rows.select(doc_id, *[f"measures.{c}" for c in base], "kept", *[f"measures.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "grp")])
+    return rows.select(doc_id, *[f"measures.{c}" for c in base], "kept", *[f"measures.{c}" for c in ("n_tokens", "n_tokens_multi", "chars_per_token", "chars_per_token_multi", "byte_share", "token_entropy", "grp")])
 
 
 def keep_by_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -145,4 +180,5 @@ def keep_by_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang"
 
 
 def op3_tokeniser_fertility(spark, sf_dir: str) -> DataFrame:
+    """The base counts, base_failed, kept and the measures of every row of `documents`."""
     return quality_rules(table(spark, sf_dir, "documents"))

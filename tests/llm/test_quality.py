@@ -1,16 +1,23 @@
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import sentencepiece
+import tiktoken
 from cases import DOCUMENTS, clashing, documents, prose
 
+from sievestone.llm import bpe
 from sievestone.llm import quality_gam as G
 from sievestone.llm import rules as R
 from sievestone.session import table
 
 SF = "/root/testdata/sf0.01"
+PIECES = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+MULTI = tiktoken.Encoding("multi", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(R.RANKS)), special_tokens={})
 
 
 def plain_base(text):
@@ -37,12 +44,83 @@ def test_verdict_matches_the_bands(spark):
     assert [r.doc_id for r in R.keep_by_rules(clashing(documents(spark, rows))).collect() if r.doc_id in (100, 101)] == []
 
 
-def test_bands_part_junk_from_clean(spark):
-    """Of the labelled rows that pass the base rules, the bands reject most junk and nearly no clean text."""
+def plain_measures(text):
+    """Measures by the libraries on the whole text and on each word."""
+    ids = PIECES.encode(text)
+    counts, words = Counter(ids), re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars, multi = sum(map(len, words)), sum(len(MULTI.encode_ordinary(" " + w)) for w in words)
+    entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values()) / math.log2(len(ids))
+    return {"chars_per_token": chars / len(ids), "chars_per_token_multi": chars / multi, "byte_share": sum(map(PIECES.is_byte, ids)) / len(ids), "token_entropy": entropy}
+
+
+def plain_quartiles(values, per):
+    cells = sorted(round(v * per) for v in values)
+    at = lambda q: cells[math.ceil(len(cells) * q) - 1] / per
+    return at(0.25), at(0.75)
+
+
+def test_the_verdict_is_that_of_brute_force(spark):
+    """Bands and verdicts of every row of a table, restated with the libraries and plain quartiles."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    given = {r.doc_id: r for r in docs.collect()}
+    base = {d: plain_base(r.text) for d, r in given.items()}
+    passed = {d: plain_measures(given[d].text) for d, b in base.items() if not b[5]}
+    groups = {}
+    for d in passed:
+        groups.setdefault(given[d].lang, []).append(d)
+    want = dict.fromkeys(given, False)
+    for own in groups.values():
+        members = own if len(own) >= R.GROUP_ROWS else list(passed)
+        for d in own:
+            fine = True
+            for name, per, below, above in R.MEASURES:
+                low, high = plain_quartiles([passed[x][name] for x in members], per)
+                spread = high - low
+                if spread < 1e-9:
+                    first, last = plain_quartiles([passed[x][name] for x in passed], per)
+                    spread = last - first
+                wider, v = 1 + 50 / base[d][0], passed[d][name]
+                if spread > 1e-9:
+                    fine &= (below is None or v >= low - below * spread * wider - 1e-12) and (above is None or v <= high + above * spread * wider + 1e-12)
+            want[d] = bool(fine)
+    got = {r.doc_id: r for r in R.quality_rules(docs).collect()}
+    assert {d: r.kept for d, r in got.items()} == want
+    for d, m in passed.items():
+        assert all(abs(got[d][k] - v) < 1e-9 for k, v in m.items())
+    assert 0 < sum(not want[d] for d in passed) < 0.2 * len(passed)
+
+
+@pytest.fixture(scope="module")
+def judged_large(spark):
+    """sf0.1 with planted bad rows of several kinds among them."""
+    rng = random.Random(6)
+    pick = lambda chars, n, size: " ".join("".join(rng.choice(chars) for _ in range(rng.randint(*size))) for _ in range(n))
+    kinds = {
+        "other script": [pick("漢字仮名交文章中国語日本", 80, (2, 6)) for _ in range(5)] + [pick("абвгдежзиклмн", 80, (2, 9)) for _ in range(5)],
+        "byte soup": [pick([chr(c) for c in range(0x2500, 0x2600)], 80, (3, 8)) for _ in range(5)] + [pick("ÃÂ©¤¶¼\x93\x84", 90, (3, 8)) for _ in range(5)],
+        "gibberish": [pick("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ0123456789", 80, (6, 14)) for _ in range(10)],
+        "symbols": [pick("#*$%&|<>~^", 80, (2, 9)) for _ in range(10)],
+    }
+    rows = [(10_000_000 + 100 * i + j, t, "en", "planted", len(t)) for i, texts in enumerate(kinds.values()) for j, t in enumerate(texts)]
     docs = table(spark, SF.replace("0.01", "0.1"), "documents")
-    passed = R.quality_rules(docs).filter("not base_failed").join(table(spark, SF.replace("0.01", "0.1"), "labels"), "doc_id")
-    share = {r.quality: r.out for r in passed.selectExpr("quality", "double(not kept) as out").groupBy("quality").agg({"out": "avg"}).withColumnRenamed("avg(out)", "out").collect()}
-    assert share[0] > 0.6 and share[1] < 0.02
+    out = R.quality_rules(docs.unionByName(documents(spark, rows))).collect()
+    return out, {10_000_000 + 100 * i: k for i, k in enumerate(kinds)}
+
+
+def test_planted_junk_goes(judged_large):
+    out, kinds = judged_large
+    for first, kind in kinds.items():
+        own = [r for r in out if first <= r.doc_id < first + 100]
+        assert len(own) == 10 and sum(not r.kept for r in own) >= 9, kind
+        assert sum(not r.base_failed for r in own) == 10, kind
+
+
+def test_bands_part_junk_from_clean(spark, judged_large):
+    """Of the labelled rows that pass the base rules, the bands reject most junk and nearly no clean text."""
+    label = {r.doc_id: r.quality for r in table(spark, SF.replace("0.01", "0.1"), "labels").collect()}
+    passed = [r for r in judged_large[0] if not r.base_failed and r.doc_id in label]
+    gone = lambda y: np.mean([not r.kept for r in passed if label[r.doc_id] == y])
+    assert gone(0) > 0.75 and gone(1) < 0.01
 
 
 def test_a_group_without_spread_takes_that_of_all(spark):
