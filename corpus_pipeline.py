@@ -33,8 +33,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's bucket, batch and place."""
-    return packing.pack(packing.word_lengths(docs))
+    """Each document's bucket, batch and place, by its tokens."""
+    return packing.pack(packing.token_lengths(docs))
 
 
 STAGES = [

@@ -1,13 +1,14 @@
 """Packing: length buckets that pad least, and batches within a token budget inside each bucket.
 
-The global histogram of document lengths is counted with map-side combining.  Lengths of 1024 or more
-are rounded up to 512 steps an octave, so it has at most about 1024 + 512 cells an octave,
-whatever the corpus.  Dynamic programming over it finds the bucket ends that make the sum
-of padded lengths least.  Within a bucket every document is padded to the bucket's end, so a batch
-holds budget // end documents; a document longer than the budget makes a batch of its own.
+A document's length is its number of tokens (llm/token_counts.py).  The global histogram of lengths is counted with
+map-side combining.  Lengths of 1024 or more are rounded up to 512 steps an octave, so it has at most about
+1024 + 512 cells an octave, whatever the corpus.  Dynamic programming over it finds the bucket ends that make the
+sum of padded lengths least.  Within a bucket every document is padded to the bucket's end, so a batch holds
+budget // end documents; a document longer than the budget makes a batch of its own.
 
 Buckets are dealt into shards of about SHARD_ROWS documents by a hash of the id, and
-batches are numbered within a shard: no task ever orders a whole bucket.
+batches are numbered within a shard: no task ever orders a whole bucket.  A shard that is far too large all the same, as
+many rows have one id or none, is dealt again by rows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.llm.common import free_name
+from sievestone.llm.token_counts import token_counts
 from sievestone.session import table, written
 
 BUCKETS, BUDGET, SHARD_ROWS = 8, 16_384, 4096
-WORD = r"[^\x20\x09-\x0D]+"
+#: A shard of more than one in so many rows, and of more than CROWD times its share, is dealt again; so there are at most HOT.
+HOT, CROWD = 1000, 4
 
 
 def cell(n: Column) -> Column:
@@ -54,13 +58,15 @@ def bucket_ends(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -
     return [lengths[j] for j in reversed(ends)]
 
 
-def pack(lengths: DataFrame, doc_id: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(lengths: DataFrame, doc_id: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, n_tokens, bucket, padded_tokens, shard, batch, slot for every row of `lengths` (doc_id, n_tokens).
 
     A batch is named by bucket, shard and batch.  Null ids are hashed as the text 'null'
-    and come first; repeated rows take a slot each.  An empty table gives no rows.
+    and come first; repeated rows take a slot each; where shards are dealt again, equal rows may change places
+    from run to run.  An empty table gives no rows.  Further columns are left out.
     """
-    rows = written(lengths.select(doc_id, F.col("n_tokens").cast("bigint").alias("n_tokens"), cell(F.col("n_tokens")).alias("cell")))
+    row = free_name(lengths, "__row")
+    rows = written(lengths.select(doc_id, F.col("n_tokens").cast("bigint").alias("n_tokens"), cell(F.col("n_tokens")).alias("cell"), F.monotonically_increasing_id().alias(row)))
     histogram = rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
     ends = bucket_ends([r["cell"] for r in histogram], [r["n"] for r in histogram], buckets)
     sizes = [0] * max(1, len(ends))
@@ -69,44 +75,24 @@ def pack(lengths: DataFrame, doc_id: str = "doc_id", buckets: int = BUCKETS, bud
     bucket = sum((F.when(F.col("cell") > e, 1).otherwise(0) for e in ends), F.lit(0))
     pick = lambda values, c: F.get(F.array(*[F.lit(v).cast("bigint") for v in values or [0]]), c)
     spread = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    placed = rows.select(doc_id, "n_tokens", bucket.alias("bucket")).withColumn("padded_tokens", pick(ends, F.col("bucket")))
-    placed = placed.withColumn("shard", spread % pick([-(-n // SHARD_ROWS) for n in sizes], F.col("bucket")))
+    placed = rows.select(doc_id, "n_tokens", row, bucket.alias("bucket")).withColumn("padded_tokens", pick(ends, F.col("bucket")))
+    shards = pick([-(-n // shard_rows) for n in sizes], F.col("bucket"))
+    placed = placed.withColumn("shard", spread % shards)
+    crowded = placed.groupBy(F.col("bucket").alias("in_bucket"), F.col("shard").alias("in_shard")).agg(F.count("*").alias("crowd")).filter(F.col("crowd") > max(CROWD * shard_rows, sum(sizes) // HOT))
+    placed = placed.join(F.broadcast(crowded), (F.col("bucket") == F.col("in_bucket")) & (F.col("shard") == F.col("in_shard")), "left")
+    again = F.pmod(F.xxhash64(row), F.ceil(F.col("crowd") / F.lit(shard_rows)).cast("bigint"))
+    placed = placed.withColumn("shard", F.when(F.col("crowd").isNull(), F.col("shard")).otherwise(F.col("shard") + shards * (1 + again)))
     order = Window.partitionBy("bucket", "shard").orderBy(F.col(doc_id).asc_nulls_first(), "n_tokens")
     at = (F.row_number().over(order) - 1).cast("bigint")
     room = F.greatest(F.floor(F.lit(budget) / F.greatest("padded_tokens", F.lit(1))), F.lit(1)).cast("bigint")
     return placed.withColumn("at", at).select(doc_id, "n_tokens", "bucket", "padded_tokens", "shard", F.floor(F.col("at") / room).cast("bigint").alias("batch"), (F.col("at") % room).alias("slot"))
 
 
-def word_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens): the number of words of each text; null counts as none."""
-    return docs.select(doc_id, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
+def token_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens): the number of tokens of each whole text, a row for each row; null counts as none."""
+    return token_counts(docs, text, (doc_id,)).select(doc_id, "n_tokens")
 
 
 def op7_length_buckets(spark, sf_dir: str) -> DataFrame:
-    return pack(word_lengths(table(spark, sf_dir, "documents")))
-
-
-def _sql() -> str:
-    level = """
-l{k} AS (SELECT c.j, min({{'cost': p.best.cost + c.b * (c.upto - p.upto), 'i': p.j}}) AS best, any_value(c.b) AS b, any_value(c.upto) AS upto
-    FROM cells c JOIN l{p} p ON p.j < c.j GROUP BY c.j),"""
-    levels = "".join(level.format(k=k, p=k - 1) for k in range(2, BUCKETS + 1))
-    every = " UNION ALL ".join(f"SELECT {k} AS k, j, best, b FROM l{k}" for k in range(1, BUCKETS + 1))
-    return f"""
-WITH RECURSIVE lengths AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
-stepped AS (SELECT *, 1::BIGINT << greatest(0, length(bin(n_tokens)) - 10)::INTEGER AS step FROM lengths),
-rows AS (SELECT doc_id, n_tokens, ((n_tokens + step - 1) // step) * step AS cell FROM stepped),
-cells AS (SELECT cell AS b, row_number() OVER (ORDER BY cell) AS j, CAST(sum(count(*)) OVER (ORDER BY cell) AS BIGINT) AS upto, count(*) AS n FROM rows GROUP BY cell),
-l1 AS (SELECT j, {{'cost': b * upto, 'i': 0::BIGINT}} AS best, b, upto FROM cells),{levels}
-levels AS ({every}),
-walk AS (SELECT k, j, b, best.i AS i FROM levels WHERE k = least({BUCKETS}, (SELECT count(*) FROM cells)) AND j = (SELECT max(j) FROM cells)
-    UNION ALL SELECT l.k, l.j, l.b, l.best.i FROM levels l JOIN walk w ON l.k = w.k - 1 AND l.j = w.i),
-ends AS (SELECT k - 1 AS bucket, b AS padded_tokens, lag(b, 1, -1) OVER (ORDER BY k) AS lower FROM walk),
-placed AS (SELECT r.doc_id, r.n_tokens, CAST(e.bucket AS INTEGER) AS bucket, e.padded_tokens FROM rows r JOIN ends e ON r.cell > e.lower AND r.cell <= e.padded_tokens),
-sharded AS (SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT % CAST(ceil(count(*) OVER (PARTITION BY bucket) / {SHARD_ROWS}.0) AS BIGINT) AS BIGINT) AS shard FROM placed),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS pos, greatest({BUDGET} // greatest(padded_tokens, 1), 1) AS room FROM sharded)
-SELECT doc_id, n_tokens, bucket, padded_tokens, shard, pos // room AS batch, pos % room AS slot FROM numbered
-"""
-
-
-OP7_SQL = _sql()
+    """The bucket, batch and slot of every row of `documents`, by its tokens."""
+    return pack(token_lengths(table(spark, sf_dir, "documents")))
