@@ -68,12 +68,12 @@ class WordTokens:
 
     def count(self, words: list[bytes]) -> int:
         known, long = self.known, 0
-        if new := set(words) - known.keys():
+        distinct = set(words)
+        if new := [w for w in distinct if w not in known]:
             if len(known) + len(new) > KEPT:
                 known.clear()
-                new = set(words)
-            made = {w: len(self.library.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in new}
-            known.update(made)
+                new = list(distinct)
+            known.update({w: len(self.library.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in new})
             long = [w for w in new if len(w) > LONGEST]
         total = sum(map(known.__getitem__, words))
         for w in long or ():
