@@ -11,26 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-#: Rows in an Arrow batch, so that a batch of long texts stays small, and bytes of text that are worked on at once.
-BATCH_ROWS, CHUNK_CHARS = 1000, 4_000_000
+#: Bytes of text that are worked on at once, and rows in an Arrow batch, so that a batch of long texts stays small.
+CHUNK_CHARS, BATCH_ROWS = 4_000_000, 1000
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: The separators of the words [^\x20\x09-\x0D]+
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[list], dict]], keep: list[str] = ()) -> DataFrame:
+def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[list], dict]], keep: list[str] = (), arrow: bool = False) -> DataFrame:
     """The columns `keep` as they are, and those of `schema` computed from the column `text`.
 
-    make() runs once in each task and returns a function from a list of texts (None: null)
-    to a dict of columns.  Lists hold at most CHUNK_CHARS bytes, or one text.
+    make() runs once in each task and returns a function from a list of texts (None: null), or from an Arrow array of
+    them, to a dict of columns.  Lists hold at most CHUNK_CHARS bytes, or one text.  Arrow batches hold BATCH_ROWS rows, unless
+    the session has a bound of its own.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if df.sparkSession.conf.get(_BATCH) == _DEFAULT:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     keep = list(keep)
     new = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     # Names of its own, as those of the frame may clash with any that were chosen.
     inner = df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], df[f"`{text}`"].alias("text"))
     kept = [StructField(c, f.dataType, f.nullable) for c, f in zip(keep, inner.schema.fields, strict=False)]
     out = StructType(kept + list(new.fields))
-    arrow = to_arrow_schema(new)
+    types = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -43,11 +46,13 @@ def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[
                 while end < batch.num_rows and total + int(sizes[end]) <= CHUNK_CHARS:
                     total += int(sizes[end])
                     end += 1
-                made = work(texts.slice(start, end - start).to_pylist())
+                own = texts.slice(start, end - start)
+                # Some of Arrow's functions read a slice's offsets wrongly, so it is copied.
+                made = work(own.take(pa.array(np.arange(len(own)))) if arrow else own.to_pylist())
                 part = batch.slice(start, end - start)
                 arrays = [part.column(i) for i in range(len(keep))]
-                arrays += [pa.array(made[f.name], type=f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays(arrays, names=keep + [f.name for f in arrow])
+                arrays += [x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(arrays, names=keep + [f.name for f in types])
                 start = end
 
     return inner.mapInArrow(run, out)
@@ -61,6 +66,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of `data` that begin at `starts`, one after the other; where each ends there)."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return data[:0], ends
+    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])], ends
+
+
+def binary_array(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of a numpy array, by where they end, as an Arrow array of their bytes."""
+    offsets = np.append(0, ends).astype(np.int64) * data.itemsize
+    raw = np.ascontiguousarray(data).view(np.uint8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
 def repeated_words(words: list) -> int:
     """How many words lie in a 3-word window that is found at least twice in the list."""
     n = len(words)
@@ -68,9 +88,14 @@ def repeated_words(words: list) -> int:
         return 0
     seen: dict = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=n)
-    if len(seen) == n:
+    return 0 if len(seen) == n else repeated_ids(ids, len(seen))
+
+
+def repeated_ids(ids: np.ndarray, size: int) -> int:
+    """As repeated_words, for words as numbers below `size`."""
+    n = len(ids)
+    if n < 4:
         return 0
-    size = len(seen)
     pairs = ids[:-1] * size + ids[1:]
     if size > 1 << 20:
         pairs = np.unique(pairs, return_inverse=True)[1]
@@ -94,8 +119,3 @@ def repeated_lines(text: str) -> tuple[int, int]:
     """(lines with a word, those of them that equal an earlier line)."""
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     return len(lines), len(lines) - len(set(lines))
-
-
-def word_chars(text: str) -> int:
-    """Code points that lie in words."""
-    return len(text) - sum(map(text.count, SPACES))
