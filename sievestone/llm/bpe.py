@@ -19,10 +19,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.llm.common import map_rows
+from sievestone.llm.common import binary_array, gathered, map_rows
 from sievestone.session import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,6 +33,8 @@ KEPT, LONGEST, REPLAY_BYTES = 300_000, 64, 8_000_000
 _NONE = np.iinfo(np.int32).max
 #: A space beside other white space; elsewhere a pre-token always begins at a space.
 _UNSAFE = re.compile(r" \s|\s ")
+#: The same for Arrow, whose \s knows ASCII only.
+_UNSAFE_ARROW = r" [\s\p{Z}\x0b\x1c-\x1f\x{85}]|[\s\p{Z}\x0b\x1c-\x1f\x{85}] "
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -153,7 +157,8 @@ class Encoder:
     def _learn(self, strings: list[str]) -> list[bytes]:
         """The ids of strings that stand alone."""
         split = [[s] if s[1:].isalpha() and s[0] == " " else self.find(s) for s in strings]
-        new = list(set().union(*split) - self.words.keys())
+        words = self.words
+        new = [w for w in set().union(*split) if w not in words]  # a difference of sets would go through all that is known
         ranks, slow, size = self.replay.ranks, [], 0
 
         def flush() -> None:
@@ -179,7 +184,7 @@ class Encoder:
         return made
 
     def _with(self, known: dict, strings: set, lead: str) -> dict:
-        new = list(strings - known.keys())
+        new = [s for s in strings if s not in known]
         made = dict(zip(new, self._learn([lead + s for s in new]), strict=True)) if new else {}
         keep = made if all(len(s) <= LONGEST for s in new) else {s: x for s, x in made.items() if len(s) <= LONGEST}
         known.update(keep)
@@ -195,6 +200,34 @@ class Encoder:
         get = inner.__getitem__
         return [(outer[h] if h else b"") + b"".join(map(get, rest)) for h, rest in zip(heads, split, strict=True)]
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """As `encode`, for an Arrow array without nulls; words are found and ids put together without a Python object for each."""
+        plain = pc.invert(pc.match_substring_regex(texts, _UNSAFE_ARROW)).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        lengths = np.asarray(pc.list_value_length(split)).astype(np.int64)
+        words, begins = split.flatten(), np.zeros(int(lengths.sum()), dtype=bool)
+        begins[np.cumsum(lengths) - lengths] = True
+        coded = words.filter(pa.array(~begins)).dictionary_encode()
+        distinct, heads = coded.dictionary.to_pylist(), words.filter(pa.array(begins)).to_pylist()
+        odd = self.encode(texts.filter(pa.array(~plain)).to_pylist())
+        if len(self.inner) + len(self.outer) > KEPT:
+            self.inner, self.outer = {}, {}
+        outer = self._with(self.outer, {h for h in heads if h}, "")
+        inner = self._with(self.inner, set(distinct), " ")
+        # Each text is its head, or all of an odd text, and then its inner words.
+        whole = np.empty(len(texts), dtype=object)
+        whole[plain], whole[~plain] = [outer[h] if h else b"" for h in heads], odd
+        values = list(map(inner.__getitem__, distinct)) + whole.tolist()
+        sizes = np.ones(len(texts), dtype=np.int64)
+        sizes[plain] = lengths
+        first = np.zeros(int(sizes.sum()), dtype=bool)
+        first[np.cumsum(sizes) - sizes] = True
+        place = np.empty(len(first), dtype=np.int64)
+        place[first], place[~first] = len(distinct) + np.arange(len(texts)), coded.indices.to_numpy()
+        counts = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        ids, ends = gathered(np.frombuffer(b"".join(values), dtype="<u4"), (np.cumsum(counts) - counts)[place], counts[place])
+        return binary_array(ids, ends[np.cumsum(sizes) - 1] if len(sizes) else ends)
+
 
 class Decoder:
     """Ids to bytes."""
@@ -209,11 +242,15 @@ class Decoder:
 
     def decode(self, ids: bytes) -> bytes:
         own = np.frombuffer(ids, dtype="<u4")
-        sizes = self.sizes[own]
-        ends = np.cumsum(sizes)
-        if not len(own):
-            return b""
-        return self.flat[np.repeat(self.starts[own] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+        return gathered(self.flat, self.starts[own], self.sizes[own])[0].tobytes()
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """As `decode`, for an Arrow array of ids' bytes without nulls."""
+        ids = ids.cast(pa.large_binary())
+        offsets = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        own = np.frombuffer(ids.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u4") if len(ids) else np.zeros(0, dtype="<u4")
+        data, ends = gathered(self.flat, self.starts[own], self.sizes[own])
+        return binary_array(data, np.append(0, ends)[(offsets[1:] - offsets[0]) // 4])
 
 
 @lru_cache(maxsize=2)
@@ -224,7 +261,7 @@ def _replay(path: str) -> Replay:
 def _encode(path: str, pattern: str):
     def make():
         encoder = Encoder(_replay(path), pattern)
-        return lambda texts: {"ids": encoder.encode([t or "" for t in texts])}
+        return lambda texts: {"ids": encoder.encode_all(pc.fill_null(texts, ""))}
 
     return make
 
@@ -232,27 +269,32 @@ def _encode(path: str, pattern: str):
 def _decode(path: str):
     def make():
         decoder = Decoder(read_ranks(path))
-        return lambda ids: {"decoded": [decoder.decode(x or b"") for x in ids]}
+        return lambda ids: {"decoded": decoder.decode_all(pc.fill_null(ids, b""))}
 
     return make
 
 
-def encode(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), path: str | None = None) -> DataFrame:
     """The columns `keep` and `ids`: each whole text's ids as little-endian unsigned 32-bit integers (null: empty).
 
-    Special tokens' strings are ordinary text.
+    Texts fall into the matches of the public pattern, on which the split at spaces rests.  Special tokens' strings are ordinary
+    text.  Repeated rows have a row each, an empty table gives none, and extra columns may have any name.
     """
     import public_tokenizers
 
-    return map_rows(docs, text, "ids binary", _encode(path or ranks_path(), pattern or public_tokenizers.PATTERN), list(keep))
+    return map_rows(docs, text, "ids binary", _encode(path or ranks_path(), public_tokenizers.PATTERN), list(keep), arrow=True)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple = ("doc_id", "ids"), path: str | None = None) -> DataFrame:
-    """The columns `keep` and `decoded`: the bytes of each row's ids."""
-    return map_rows(encoded, ids, "decoded binary", _decode(path or ranks_path()), list(keep))
+    """The columns `keep` and `decoded`: the bytes of each row's ids; null ids count as none.
+
+    Repeated rows have a row each, an empty table gives none, and extra columns may have any name.
+    """
+    return map_rows(encoded, ids, "decoded binary", _decode(path or ranks_path()), list(keep), arrow=True)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """The number of ids and digests of ids and decoded bytes of every row of `documents`."""
     return decode(encode(table(spark, sf_dir, "documents"))).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
