@@ -21,12 +21,14 @@ fixed cells, counted with map-side combining over every document; they don't dep
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievestone.llm.bpe import ranks_path, read_ranks
-from sievestone.llm.common import free_name, map_rows, repeated_lines, repeated_words, word_chars
-from sievestone.llm.token_counts import MODEL, Pieces, model_path, pretokens
+from sievestone.llm.common import free_name, gathered, map_rows, repeated_ids, repeated_lines
+from sievestone.llm.token_counts import MODEL, Pieces, model_path, split_pieces
 from sievestone.session import table, written
 
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
@@ -64,49 +66,86 @@ class WordTokens:
         import tiktoken
 
         self.library = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-        self.known: dict[bytes, int] = {}
-
-    def count(self, words: list[bytes]) -> int:
-        known, long = self.known, 0
-        distinct = set(words)
-        if new := [w for w in distinct if w not in known]:
-            if len(known) + len(new) > KEPT:
-                known.clear()
-                new = list(distinct)
-            known.update({w: len(self.library.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in new})
-            long = [w for w in new if len(w) > LONGEST]
-        total = sum(map(known.__getitem__, words))
-        for w in long or ():
+        self.known: dict[str, int] = {}
+        self.long: list[str] = []
+        self.feed = self.library.encode_ordinary("\n")[0]
+
+    def _tokens(self, words: list[str]) -> list[int]:
+        """Each word's tokens after a space.  Words go to the library together, with line feeds between, which are tokens of their own."""
+        out = np.zeros(len(words), dtype=np.int64)
+        plain = [i for i, w in enumerate(words) if not (w[0].isspace() or w[-1].isspace())]
+        for i in range(0, len(plain), 50_000):
+            part = plain[i : i + 50_000]
+            ids = np.array(self.library.encode_ordinary(" " + "\n ".join([words[j] for j in part])), dtype=np.int64)
+            out[part] = np.diff(np.append(np.flatnonzero(ids == self.feed), len(ids)), prepend=-1) - 1
+        for i in set(range(len(words))).difference(plain) if len(plain) < len(words) else ():
+            out[i] = len(self.library.encode_ordinary(" " + words[i]))
+        return out.tolist()
+
+    def learn(self, distinct: list[str]) -> dict[str, int]:
+        """A mapping that holds all the words, for use until the next call."""
+        known = self.known
+        for w in self.long:
             del known[w]
-        return total
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = distinct
+        known.update(zip(new, self._tokens(new), strict=True))
+        self.long = [w for w in new if len(w) > LONGEST]
+        return known
 
 
 def _make(model: str, ranks: str):
     def make():
-        pieces = Pieces(model, lambda ids: np.array(ids, dtype="<u4").tobytes())
-        is_byte = np.array([pieces.library.is_byte(i) for i in range(pieces.library.get_piece_size())])
+        pieces = Pieces(model, ids=True)
+        size = pieces.library.get_piece_size()
+        is_byte = np.array([pieces.library.is_byte(i) for i in range(size)])
         multi = WordTokens(ranks)
 
-        def one(text: str, ids: np.ndarray) -> tuple:
-            words = text.encode("utf-8", "surrogatepass").split()
-            chars, n = word_chars(text), len(ids)
-            if not n:
-                return len(words), chars, 0, 0, 0, 0, 0, None, None, None, None, "other"
-            counts, m = np.bincount(ids), multi.count(words)
-            counts = counts[counts > 0]
-            entropy = (np.log2(n) - float((counts * np.log2(counts)).sum()) / n) / np.log2(n) if n > 1 else 1.0
-            return (
-                len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text)[1], repeated_words(words), n, m,
-                chars / n, chars / m if m else None, float(is_byte[ids].mean()), float(entropy), script_of(text),
-            )
-
-        def work(texts: list) -> dict:
-            texts = [t or "" for t in texts]
-            split = [pretokens(t) for t in texts]
-            known = pieces.learn(split)
-            rows = [one(t, np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")) for t, words in zip(texts, split, strict=True)]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+        def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """(the piece ids of all texts, the number of the text that each is of)."""
+            words, owner = split_pieces(texts)
+            coded = words.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            values = list(map(pieces.learn([distinct]).__getitem__, distinct))
+            counts = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+            place = coded.indices.to_numpy()
+            ids, _ = gathered(np.frombuffer(b"".join(values), dtype="<u4"), (np.cumsum(counts) - counts)[place], counts[place])
+            return ids, np.repeat(owner, counts[place])
+
+        def entropies(ids: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
+            """Of the ids of each text, over log2 of their number; one id has 1."""
+            pairs, counts = np.unique(owner * size + ids, return_counts=True)
+            total = np.bincount(pairs // size, weights=counts * np.log2(counts), minlength=len(n))
+            bits = np.log2(np.maximum(n, 2))
+            return np.where(n > 1, (bits - total / np.maximum(n, 1)) / bits, 1.0)
+
+        def work(texts: pa.Array) -> dict:
+            texts = pc.fill_null(texts, "")
+            plain, rows = texts.to_pylist(), len(texts)
+            ids, owner = ids_of(texts)
+            n = np.bincount(owner, minlength=rows)
+            some = n > 0
+            split = pc.ascii_split_whitespace(texts)
+            sizes = np.asarray(pc.list_value_length(split)).astype(np.int64)
+            words, of = split.flatten(), np.repeat(np.arange(rows), sizes)
+            full = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word there
+            coded, of = words.filter(pa.array(full)).dictionary_encode(), of[full]
+            distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            counts = np.fromiter(map(multi.learn(distinct).__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            lengths = np.asarray(pc.utf8_length(coded.dictionary)).astype(np.int64)
+            n_words = np.bincount(of, minlength=rows)
+            m, chars = (np.bincount(of, weights=x[place], minlength=rows).astype(np.int64) for x in (counts, lengths))
+            ends = np.cumsum(n_words)
+            ratio = lambda a, b: [float(x) if ok else None for x, ok in zip(a / np.maximum(b, 1), b > 0, strict=True)]
+            entropy = entropies(ids, owner, n)
+            return {
+                "n_words": n_words, "word_chars": chars, "n_symbols": [sum(map(t.count, SYMBOLS)) for t in plain], "n_dup_lines": [repeated_lines(t)[1] for t in plain],
+                "n_repeat_words": [repeated_ids(place[b - k : b], len(distinct)) for b, k in zip(ends.tolist(), n_words.tolist(), strict=True)], "n_tokens": n, "n_tokens_multi": m,
+                "chars_per_token": ratio(chars, n), "chars_per_token_multi": ratio(chars, m), "byte_share": ratio(np.bincount(owner, weights=is_byte[ids], minlength=rows), n),
+                "token_entropy": [float(x) if ok else None for x, ok in zip(entropy, some, strict=True)], "script": [script_of(t) for t in plain],
+            }
 
         return work
 
@@ -116,7 +155,7 @@ def _make(model: str, ranks: str):
 def measured(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: tuple = ("doc_id",), model: str | None = None, ranks: str | None = None, into: str = "measures") -> DataFrame:
     """The columns `keep` and a struct `into` of the measures, the group and base_failed."""
     source = docs.select(*[docs[f"`{c}`"].alias(f"__keep{i}") for i, c in enumerate(keep)], (docs[f"`{lang}`"] if lang else F.lit(None).cast("string")).alias("__lang"), docs[f"`{text}`"].alias("__text"))
-    rows = map_rows(source, "__text", SCHEMA, _make(model or model_path(MODEL), ranks or ranks_path(RANKS)), [c for c in source.columns if c != "__text"])
+    rows = map_rows(source, "__text", SCHEMA, _make(model or model_path(MODEL), ranks or ranks_path(RANKS)), [c for c in source.columns if c != "__text"], arrow=True)
     code = F.lower(F.col("__lang"))
     group = F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.concat(F.lit("script:"), F.col("script")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
