@@ -31,11 +31,18 @@ TILE_Q, TILE_C = 256, 8192
 
 
 def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, norms of the decoded vectors, and norms of what the codes miss."""
-    scale = np.abs(x).max(axis=1) / 127
-    codes = np.rint(x / scale[:, None])
+    """int8 codes, scales, norms of the decoded vectors, and (at least the) norms of what the codes miss.
+
+    A vector too small for a scale has codes of 0 and misses all it holds; that norm is told from its greatest part, as
+    squares would vanish.
+    """
+    most = np.abs(x).max(axis=1)
+    tiny = most < 1e-150
+    scale = np.where(tiny, 1.0, most / 127)
+    codes = np.where(tiny[:, None], 0.0, np.rint(x / scale[:, None]))
     decoded = codes * scale[:, None]
-    return codes.astype(np.int8), scale, np.linalg.norm(decoded, axis=1), np.linalg.norm(x - decoded, axis=1)
+    missed = np.where(tiny, most * (np.sqrt(x.shape[1]) * (1 + 1e-9)), np.linalg.norm(np.where(tiny[:, None], 0.0, x) - decoded, axis=1))
+    return codes.astype(np.int8), scale, np.linalg.norm(decoded, axis=1), missed
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -77,9 +84,10 @@ def cell(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int
             slack = slack * (1 + 1e-9) + 1e-12 * (qnorm[qs, None] * cnorm[None, cs] + 1e-300)
             least = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps[qs]])
             if about.shape[1] > k + 1:  # the query's own row may be among the best
-                low = np.partition(about - slack, about.shape[1] - k - 1, axis=1)[:, about.shape[1] - k - 1]
-                least = np.maximum(least, low)
-            left = (about + slack >= least[:, None]) & (qid[qs, None] != cid[None, cs])
+                lower = about - slack
+                lower[np.isnan(lower)] = -np.inf  # bounds beyond the largest number say nothing
+                least = np.maximum(least, np.partition(lower, about.shape[1] - k - 1, axis=1)[:, about.shape[1] - k - 1])
+            left = ~(about + slack < least[:, None]) & (qid[qs, None] != cid[None, cs])
             i, j = np.nonzero(left)
             scores = exact(q[qs][i], c[cs][j])
             for n, s, d in zip(i.tolist(), scores.tolist(), cid[cs][j].tolist(), strict=True):
@@ -167,6 +175,7 @@ def nearest(rows: DataFrame, k: int = K, is_query=None, vec_id: str = "vec_id",
 
 
 def op6_block_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The K nearest of all embeddings for each one whose vec_id is divisible by EVERY."""
     return nearest(table(spark, sf_dir, "embeddings"))
 
 

@@ -17,7 +17,7 @@ are ranked within their hash and tell their rank by further syllables, which no
 keep title and case, and a middle initial becomes that of the new surname.
 
 Documents get their own entities' surrogates by joins on keys; an entity that many documents name is joined by
-broadcast (at most HOT of them can be that frequent).  Only documents with entities are joined.
+broadcast (at most a thousand of them can be that frequent).  Only documents with entities are joined.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from sievestone.llm import spans as S
 from sievestone.llm.common import free_name
-from sievestone.session import cut, table, written
+from sievestone.session import cut, join_keyed, table, written
 
 #: The session's setting that holds the key.
 KEY_SETTING = "sievestone.surrogates.key"
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name")
-HOT, ROUNDS = 1000, 8
+ROUNDS = 8
 
 #: Titles by gender, and given names by gender.
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Госпожа", "Κυρία")
@@ -406,9 +406,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", spans: str |
     counts = occurs.groupBy("kind", "norm").agg(F.count("*").alias("n"))
     total = occurs.count()
     known = cut(names.join(counts, ["kind", "norm"]))
-    cutoff = max(total // HOT, 1)
-    frequent, rare = F.broadcast(known.filter(F.col("n") > cutoff).drop("n")), known.filter(F.col("n") <= cutoff).drop("n")
-    given = occurs.join(frequent, ["kind", "norm"]).union(occurs.join(frequent.select("kind", "norm"), ["kind", "norm"], "left_anti").join(rare, ["kind", "norm"]))
+    given = join_keyed(occurs, known, ["kind", "norm"], "n", total)
     maps = given.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("/"), "norm"), "surrogate"))).alias("__known"))
     columns = [F.col(f"`{c}`") for c in docs.columns] + ([F.col(found)] if spans else [])
     changed = marked.filter(with_any).join(maps.withColumnRenamed("row", row), row).withColumn(text, S.replaced(F.col(f"`{text}`"), F.col(found), _put(F.col("__known"))))

@@ -194,7 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns `keep` and the score of each whole text, 0 to 1; null counts as empty."""
+    """The columns `keep` and the score of each whole text, 0 to 1; null counts as empty.
+
+    Equal texts have equal scores; repeated rows have a row each, an empty table gives none, and extra columns may have any name.
+    """
 
     def make():
         classes = _classes()
@@ -210,6 +213,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text:
 
 
 def op1_quality_gam(spark, sf_dir: str) -> DataFrame:
+    """held_out, score and predicted for every row of `documents`."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

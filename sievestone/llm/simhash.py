@@ -28,13 +28,11 @@ from pyspark.sql import functions as F
 
 from sievestone.llm.common import free_name, map_rows
 from sievestone.operators.components import connected_components
-from sievestone.session import cut, table, written
+from sievestone.session import cut, join_keyed, table, written
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Fingerprints in a bucket that are compared with one another; six free bits give no more.
 SMALL = 64
-#: A fingerprint with more than one in so many rows is joined by broadcast: there are at most so many of them.
-HOT = 1000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -124,10 +122,10 @@ def components(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS)
     groups = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")))
     roots = cut(connected_components(links(groups, radius)))
     members = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "n", "root")
-    linked = members.filter("root is not null")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = cut(members.filter("root is not null"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     return members.filter("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n").union(
-        linked.join(least, "root").select("fp", "root", "component_id", "n")
+        join_keyed(linked, least, "root", "size", linked.count()).select("fp", "root", "component_id", "n")
     )
 
 
@@ -139,10 +137,7 @@ def with_components(prints: DataFrame, doc_id: str = "doc_id", radius: int = RAD
     """
     groups = cut(components(prints, doc_id, radius))
     total = groups.agg(F.sum("n")).first()[0] or 0
-    cutoff = max(total // HOT, 1)
-    hot = F.broadcast(groups.filter(F.col("n") > cutoff).select("fp", "root", "component_id"))
-    rest = groups.filter(F.col("n") <= cutoff).select("fp", "root", "component_id")
-    return prints.join(hot, "fp").union(prints.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
+    return join_keyed(prints, groups, "fp", "n", total)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,4 +166,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def op2_simhash_covering(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of `documents`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

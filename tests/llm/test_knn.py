@@ -52,6 +52,20 @@ def test_odd_rows(spark):
     assert K.nearest(frame(spark, [])).count() == 0
 
 
+def test_vectors_of_any_size_take_part(spark):
+    """Vectors too small for squares, and so large that bounds overflow, are found as by brute force."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4))
+    x[5:60] *= 1e-200
+    x[60:70] *= 5e-320
+    x[70:80] *= 1e160
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x) if np.abs(v).max() > 0]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (20, 119):
+        got = sorted(map(tuple, K.nearest(df, k).collect()))
+        assert got == brute(rows, k, {i for i in range(0, 120, 20)})
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(50, 64)) * rng.lognormal(size=(50, 1)), rng.normal(size=(60, 64))

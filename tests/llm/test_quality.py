@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -158,6 +159,39 @@ def test_held_out_accuracy(spark, model):
     assert len(hits) > 40 and np.mean(hits) > 0.95
 
 
+def plain_features(text):
+    """The features of a text, each from its own definition."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(G.FEATURES)
+    solid = [c for c in text if not c.isspace()]
+    share = lambda f: sum(map(f, solid)) / max(1, len(solid))
+    marks, strange = set(".,;:!?\"'()-"), set("#*$%&|<>@^~_=+\\/{}[]`")
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    own = Counter(text)
+    special = lambda c: c in marks or c in strange
+    return [
+        math.log1p(len(words)), np.mean([len(w) for w in words]), math.log1p(max(map(len, words))), share(lambda c: c.isalpha() and c.isupper()), share(lambda c: c.isdigit() and not c.isalpha()), share(lambda c: c in marks), share(lambda c: c in strange),
+        text.count("!") / len(words), text.count("|") / len(words), share(lambda c: not special(c) and not c.isalpha() and not c.isdigit()), text.count("\n") / len(words), math.log1p(len(words) / max(1, len(lines))),
+        (len(lines) - len(set(lines))) / max(1, len(lines)), plain_base(" ".join(words))[4] / len(words), len(set(words)) / len(words), sum(c in ".!?" for c in text) / len(words), sum(len(w) <= 2 for w in words) / len(words), sum(len(w) >= 15 for w in words) / len(words),
+        -sum(n / len(text) * math.log2(n / len(text)) for n in own.values()), sum(w[0].isupper() for w in words) / len(words),
+    ]
+
+
+def test_the_query_is_the_model_on_plain_features(spark, model):
+    """Every row of the query on sf0.001 with features, fold, score and verdict restated; and features of odd texts."""
+    texts = [t for _, t, *_ in DOCUMENTS if t is None or len(t) < 20_000]
+    assert np.allclose(G.features(texts, G._classes()), [plain_features(t) for t in texts])
+    folder = "/root/testdata/sf0.001"
+    docs, got = table(spark, folder, "documents").collect(), {r.doc_id: r for r in G.op1_quality_gam(spark, folder).collect()}
+    own = G.train(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    scores = own.score(np.array([plain_features(r.text) for r in docs]))
+    assert len(got) == len(docs)
+    for r, s in zip(docs, scores, strict=True):
+        one = got[r.doc_id]
+        assert one.score == pytest.approx(s, abs=1e-9) and one.predicted == int(one.score >= 0.3) and one.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_scores_of_odd_rows(spark, model):
     out = G.score(clashing(documents(spark)), model).collect()
     assert len(out) == len(DOCUMENTS) and all(0 <= r.score <= 1 for r in out)
