@@ -84,6 +84,33 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def rounded(c: Column, digits: int = 4) -> Column:
+    """To so many digits (7 at most) by the number's exact value; what lies half-way goes to the even one.
+
+    The product with a power of ten may look half-way where the number doesn't lie there; what the product
+    lost, told by the halves of the number's digits, then decides.
+    """
+    scale = float(10**digits)
+    product, spread = c * scale, c * 134217729.0
+    high = spread - (spread - c)
+    lost = (high * scale - product) + (c - high) * scale
+    half = (product - F.floor(product)) == 0.5
+    return F.when(half & (lost > 0), F.ceil(product)).when(half & (lost < 0), F.floor(product)).otherwise(F.rint(product)) / scale
+
+
+def placed(c: Column, low: Column, high: Column) -> Column:
+    """Where a value lies between two others, as a share; one half where they coincide."""
+    return F.coalesce(F.try_divide(c - low, high - low), F.lit(0.5))
+
+
+def finite(*columns: Column) -> Column:
+    """Whether all are numbers, neither null nor infinite nor NaN."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.coalesce(out, F.lit(False))
+
+
 def shown(c: Column, digits: int = 4) -> Column:
     """A number with fixed digits; a dash where it doesn't apply."""
     return F.coalesce(F.format_number(c, digits), F.lit("—"))

@@ -111,4 +111,7 @@ def all_metrics(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules:
     parts += [reference_check(ratings, users, 0, "users", rules), reference_check(ratings, movies, 1, "movies", rules)]
     parts += [key_check(lines[table], keys, values, mode, name, rules) for name, table, keys, values, mode in KEY_CHECKS]
     parts.append(freshness(ratings, rules))
+    names = [c for p in parts for c in p.columns]
+    if twice := {n for n in names if names.count(n) > 1}:
+        raise ValueError(f"counters of one name: {sorted(twice)}")
     return reduce(DataFrame.union, [p.select([F.col(c).cast("double") for c in p.columns]).unpivot([], p.columns, "metric", "value") for p in parts])

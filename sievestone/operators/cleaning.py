@@ -15,6 +15,9 @@ from sievestone.plans.rules import COLUMNS, Rules
 from sievestone.session import written
 
 
+TAGS = ("clean", "fixed", "conflict", "isolated")
+
+
 def _cascade(*rules: tuple[Column, str]) -> Column:
     """The reason of the first condition that holds; one that can't be told doesn't hold."""
     out = F.lit(None).cast("string")
@@ -110,10 +113,11 @@ def clean(lines: DataFrame, table: str, rules: Rules) -> DataFrame:
 def counts(cleaned: DataFrame) -> DataFrame:
     """One row: rows by tag, duplicates that went, conflicts, and input and output rows; input = output + deduped."""
     tag = lambda t: F.count_if(F.col("tag") == t).alias(f"{t}_count")
+    unknown = F.count_if(~F.coalesce(F.col("tag").isin(*TAGS), F.lit(False))).alias("unknown_count")
     conflict = F.col("reason").isin("conflict_isolated", "conflict_resolved")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return cleaned.agg(
-        *map(tag, ("clean", "fixed", "conflict", "isolated")), zero(F.sum("copies") - F.count("*")).alias("deduped_count"), F.count_distinct(F.when(conflict, F.col("key"))).alias("conflict_key_count"),
+        *map(tag, TAGS), unknown, zero(F.sum("copies") - F.count("*")).alias("deduped_count"), F.count_distinct(F.when(conflict, F.col("key"))).alias("conflict_key_count"),
         zero(F.sum(F.when(conflict, F.col("copies")))).alias("conflict_record_count"), zero(F.sum("copies")).alias("total_input_count"), F.count("*").alias("total_count"),
     )
 
@@ -123,6 +127,15 @@ def reasons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("count"))
 
 
+def all_reasons(rows: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, reason, count) of each table's dispositions, and of all together as 'total'."""
+    each = None
+    for t, df in rows.items():
+        one = reasons(df).select(F.lit(t).alias("tbl"), "reason", "count")
+        each = one if each is None else each.union(one)
+    return each.union(each.groupBy("reason").agg(F.sum("count").cast("bigint").alias("count")).select(F.lit("total").alias("tbl"), "reason", "count"))
+
+
 def outputs(cleaned: DataFrame) -> dict[str, DataFrame]:
     """What goes to the clean file, to the isolated file, and to the audit."""
     return {"clean": cleaned.filter("tag <> 'isolated'").select("record"), "isolated": cleaned.filter("tag = 'isolated'").select("record"), "audit": cleaned.filter("tag <> 'clean'").select("tag", "reason", "record")}
@@ -135,8 +148,10 @@ def reconcile(row, lines: int) -> list[str]:
         found.append("input is not output and duplicates")
     if row["total_input_count"] != lines:
         found.append(f"{lines} lines, {row['total_input_count']} rows")
-    if sum(row[f"{t}_count"] for t in ("clean", "fixed", "conflict", "isolated")) != row["total_count"]:
+    if sum(row[f"{t}_count"] for t in TAGS) != row["total_count"]:
         found.append("tags don't add up")
+    if row["unknown_count"]:
+        found.append("rows with an unknown tag")
     if not row["clean_count"] + row["fixed_count"] + row["conflict_count"]:
         found.append("nothing is left")
     return found

@@ -6,12 +6,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.operators.components import connected_components
-from sievestone.operators.pairs import davies_bouldin, distance, eps_neighbours, kth_distances, matrix, nearest_rank, scatter, silhouettes
-from sievestone.session import cut
+from sievestone.operators.pairs import davies_bouldin, distance, distances, kth_distances, least_within, links_within, matrix, nearest_rank, neighbour_counts, scatter, silhouettes
+from sievestone.operators.prefix import running_sums
+from sievestone.session import cut, join_keyed, written
 
 #: Rows that a silhouette is sampled on while k is chosen.
 SILHOUETTE_ROWS = 800
@@ -81,18 +82,53 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.withColumn("__near", F.array_min(F.array(*each))).select(*vectors.columns, F.col("__near.cluster").alias("cluster"), F.col("__near.dist").alias("dist"))
 
 
+def cluster_sums(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums and sizes of the rows nearest to each centre.
+
+    A task gives a row for each cluster and component; they are summed with map-side combining.
+    """
+    k, d = centres.shape
+
+    def work(batches):
+        total = np.zeros((k, d + 1))
+        for t in batches:
+            if t.num_rows:
+                x = matrix(t)
+                near = nearest_centres(x, centres)[0]
+                for c in np.unique(near):
+                    own = x[near == c]
+                    total[c, :d] += own.sum(axis=0)
+                    total[c, d] += len(own)
+        at = np.flatnonzero(np.repeat(total[:, d] > 0, d + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at], pa.float64())], names=["cell", "total"])
+
+    out = np.zeros(k * (d + 1))
+    for r in vectors.select("v").mapInArrow(work, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect():
+        out[r["cell"]] = r["total"]
+    out = out.reshape(k, d + 1)
+    return out[:, :d], out[:, d]
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, distance) of the nearest centre of each row, ties to the lower number."""
+    d = distances(x, centres)
+    near = d.argmin(axis=1)
+    return near, d[np.arange(len(x)), near]
+
+
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
-    """(vectors with cluster and dist, centres).  Centres move by one aggregate a round; an empty cluster takes the farthest point."""
-    centres = plus_plus(vectors, k, seed)
+    """(vectors with cluster and dist, centres).
+
+    The vectors are written once.  Centres move by one aggregate a round; empty clusters take the farthest points.
+    """
+    rows = written(vectors.select("id", "v"))
+    centres = plus_plus(rows, k, seed)
     for _ in range(rounds):
-        near = assign(vectors, centres)
-        sums = near.groupBy("cluster").agg(*[F.avg(F.get("v", F.lit(i))).alias(f"x{i}") for i in range(centres.shape[1])]).collect()
-        new = np.full_like(centres, np.nan)
-        for r in sums:
-            new[r["cluster"]] = [r[f"x{i}"] for i in range(centres.shape[1])]
-        if np.isnan(new).any():
-            far = near.orderBy(F.desc("dist"), "id").limit(k).collect()
-            for i, c in enumerate(np.flatnonzero(np.isnan(new).any(axis=1))):
+        sums, sizes = cluster_sums(rows, centres)
+        new = sums / np.maximum(sizes, 1)[:, None]
+        if not sizes.all():
+            far = assign(rows, centres).orderBy(F.desc("dist"), "id").limit(k).collect()
+            for i, c in enumerate(np.flatnonzero(sizes == 0)):
                 new[c] = far[min(i, len(far) - 1)]["v"]
         moved = np.sqrt(((new - centres) ** 2).sum(axis=1)).max()
         centres = new
@@ -101,41 +137,47 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolera
     return assign(vectors, centres), centres
 
 
-def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42) -> list[dict]:
+def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42, rounds: int = 100) -> list[dict]:
     """Each candidate, best first; ties to the smaller k.
 
     k is chosen by a silhouette that is sampled on SILHOUETTE_ROWS rows ("sampled"); then the chosen one's
-    "silhouette" and "dbi" are computed over all rows, null for the others.  "sse" is over all rows for each.
+    "silhouette" and "dbi" are computed over all rows, null for the others.  "sse" is over all rows for each; "centres" and
+    "labelled" (id, v, cluster, dist) are each one's own.
     """
-    out, fits = [], {}
+    out = []
     sample = cut(first_rows(vectors, SILHOUETTE_ROWS))
     for k in candidates:
-        fits[k] = labelled = cut(kmeans(vectors, k, seed)[0])
-        out.append({"k": k, "sampled": silhouettes(labelled, sample).agg(F.avg("s")).first()[0], "silhouette": None, "dbi": None, "sse": scatter(labelled).agg(F.sum("sse")).first()[0]})
+        labelled, centres = kmeans(vectors, k, seed, rounds)
+        labelled = cut(labelled)
+        sampled = silhouettes(labelled, sample).agg(F.avg("s")).first()[0]
+        out.append({"k": k, "sampled": sampled, "silhouette": None, "dbi": None, "sse": scatter(labelled).agg(F.sum("sse")).first()[0], "centres": centres, "labelled": labelled})
     out.sort(key=lambda r: (-(r["sampled"] if r["sampled"] is not None else -2), r["k"]))
-    best = fits[out[0]["k"]]
+    best = out[0]["labelled"]
     out[0] |= {"silhouette": silhouettes(best).agg(F.avg("s")).first()[0], "dbi": davies_bouldin(best).first()["dbi"]}
     return out
 
 
-def suggested_eps(vectors: DataFrame, min_samples: int, share: float = 0.90, rows: int = 2000) -> float:
-    """The nearest-rank percentile of distances to the min_samples-th neighbour, over at most `rows` points."""
-    found = nearest_rank(kth_distances(vectors, min_samples, first_rows(vectors, rows)), "dist", {"eps": share}).first()["eps"]
+def suggested_eps(vectors: DataFrame, min_samples: int, share: float = 0.90) -> float:
+    """The nearest-rank percentile of distances to the min_samples-th neighbour, over all points."""
+    found = nearest_rank(kth_distances(vectors, min_samples), "dist", {"eps": share}).first()["eps"]
     if found is None:
         raise ValueError("min_samples must be less than the number of points")
     return found
 
 
 def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """(id, cluster, core): clusters are numbered by their smallest core id; a border point joins the lowest number in reach; noise is -1."""
-    near = cut(eps_neighbours(vectors.select("id", "v"), eps))
-    core = cut(near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("id"))
-    inner = near.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
-    roots = connected_components(inner, "id", "other")
-    numbers = roots.select("root").distinct()
-    numbers = cut(numbers.withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int")))  # one row a cluster
-    member = cut(roots.join(numbers, "root").select(F.col("node").alias("other"), "cluster"))
-    reached = near.join(member, "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    own = member.select(F.col("other").alias("id"), F.col("cluster").alias("own"))
-    rows = vectors.select("id").join(reached, "id", "left").join(own, "id", "left")
-    return rows.select("id", F.coalesce("own", "cluster", F.lit(-1)).alias("cluster"), F.col("own").isNotNull().cast("int").alias("core"))
+    """(id, cluster, core): clusters are numbered by their smallest core id; a border point joins the lowest number in reach; noise is -1.
+
+    Points meet in blocks three times: to count neighbours, to link core points, and to find border points' clusters.  A cell
+    gives a row or two a point each time, never the pairs themselves.
+    """
+    rows = cut(vectors.select("id", "v"))
+    core = cut(rows.join(neighbour_counts(rows, eps).filter(F.col("neighbours") >= min_samples).select("id"), "id"))
+    roots = cut(connected_components(links_within(core, eps), "id", "other"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    numbers = running_sums(sizes, F.col("root"), {"one": "one"})[0].select("root", "n", (F.col("one") - 1).cast("int").alias("cluster"))
+    member = join_keyed(roots, cut(numbers), "root", "n", roots.count()).select(F.col("node").alias("id"), "cluster")
+    numbered = cut(core.join(member, "id"))
+    border = least_within(rows.join(core.select("id"), "id", "left_anti"), numbered, eps).withColumnRenamed("cluster", "near")
+    out = rows.select("id").join(numbered.select("id", "cluster"), "id", "left").join(border, "id", "left")
+    return out.select("id", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"), F.col("cluster").isNotNull().cast("int").alias("core"))

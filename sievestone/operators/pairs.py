@@ -13,12 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.operators.prefix import at_places
+from sievestone.session import HOT, cut
+
 BLOCK = 4096
 
 
-def matrix(t: pa.Table, name: str = "v") -> np.ndarray:
-    rows = t.column(name).to_pylist()
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+def matrix(t: pa.Table | pa.RecordBatch, name: str = "v") -> np.ndarray:
+    """A column of vectors of one length, as rows."""
+    lists = t.column(name)
+    if lists.null_count:
+        raise ValueError("a vector is null")
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in (lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]) if len(c)]
+    return np.concatenate(parts).astype(np.float64).reshape(t.num_rows, -1) if parts else np.zeros((0, 0))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,6 +60,69 @@ def eps_neighbours(vectors: DataFrame, eps: float) -> DataFrame:
     return cells(vectors, vectors, work, "id bigint, other bigint")
 
 
+def neighbour_counts(vectors: DataFrame, eps: float) -> DataFrame:
+    """(id, neighbours): how many points lie within eps of each point, itself among them; a cell gives a row a point."""
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        n = (distances(matrix(a), matrix(b)) <= eps).sum(axis=1) if a.num_rows and b.num_rows else np.zeros(a.num_rows, dtype=np.int64)
+        return pa.table({"id": a.column("id"), "n": pa.array(n, pa.int64())})
+
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), "v")
+    return cells(rows, rows, work, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("neighbours"))
+
+
+def groups_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The connected groups of a two-sided graph, as numbers of its left and its right nodes; each node is gone through once."""
+    left, right = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for start in range(near.shape[0]):
+        if left[start] >= 0:
+            continue
+        left[start], front = start, np.array([start])
+        while len(front):
+            reached = np.flatnonzero(near[front].any(axis=0) & (right < 0))
+            right[reached] = start
+            front = np.flatnonzero(near[:, reached].any(axis=1) & (left < 0)) if len(reached) else reached
+            left[front] = start
+    return left, right
+
+
+def links_within(vectors: DataFrame, eps: float) -> DataFrame:
+    """(id, other): links that connect the points that lie within eps of one another, each point linked to itself too.
+
+    Not all pairs: in a cell each point is linked to the least one that it is connected with there.
+    """
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        left, right = groups_of(distances(matrix(a), matrix(b)) <= eps)
+        ids = np.concatenate((a.column("id").to_numpy(), b.column("id").to_numpy()))
+        group = np.concatenate((left, right))
+        ids, group = ids[group >= 0], group[group >= 0]
+        order = np.lexsort((ids, group))
+        first = np.append(True, group[order][1:] != group[order][:-1])
+        least = ids[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+        found = np.unique(np.stack((ids[order], least), axis=1), axis=0)
+        return pa.table({"id": pa.array(found[:, 0], pa.int64()), "other": pa.array(found[:, 1], pa.int64())})
+
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), "v")
+    return cells(rows, rows, work, "id bigint, other bigint").distinct()
+
+
+def least_within(points: DataFrame, numbered: DataFrame, eps: float) -> DataFrame:
+    """(id, cluster): the least cluster number of `numbered` (id, v, cluster) within eps of each of the points that has one there."""
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "cluster": pa.array([], pa.int32())})
+        most = np.iinfo(np.int32).max
+        least = np.where(distances(matrix(a), matrix(b)) <= eps, b.column("cluster").to_numpy()[None], most).min(axis=1)
+        return pa.table({"id": a.column("id").to_numpy()[least < most], "cluster": pa.array(least[least < most], pa.int32())})
+
+    rows = points.select(F.col("id").cast("bigint").alias("id"), "v")
+    return cells(rows, numbered.select(F.col("id").cast("bigint").alias("id"), "v", F.col("cluster").cast("int").alias("cluster")), work, "id bigint, cluster int").groupBy("id").agg(F.min("cluster").alias("cluster"))
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(id, rank, other, dist): the k nearest others of each row of `left` in `right`, ties to the smaller id."""
 
@@ -79,9 +149,10 @@ def kth_distances(vectors: DataFrame, k: int, sample: DataFrame | None = None) -
 
 
 def nearest_rank(rows: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """One row of nearest-rank percentiles: the value at int(q * (m - 1) + 0.5) of the ordered values."""
-    ranked = rows.select(F.col(column).alias("x")).withColumn("place", F.row_number().over(Window.orderBy("x")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(1))))
-    return ranked.agg(*[F.max(F.when(F.col("place") == F.floor(F.lit(q) * (F.col("m") - 1) + 0.5), F.col("x"))).alias(name) for name, q in shares.items()])
+    """One row of nearest-rank percentiles: the value at int(q * (m - 1) + 0.5) of the m ordered values, nulls left out; null without values."""
+    some = rows.filter(F.col(column).isNotNull())
+    m = some.count()
+    return at_places(some, column, {name: math.floor(q * (m - 1) + 0.5) + 1 for name, q in shares.items()})
 
 
 def silhouettes(labelled: DataFrame, sample: DataFrame | None = None) -> DataFrame:
@@ -105,12 +176,22 @@ def silhouettes(labelled: DataFrame, sample: DataFrame | None = None) -> DataFra
 
     totals = cells(left, rows, work, "id bigint, other bigint, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
-    joined = totals.join(F.broadcast(sizes.withColumnRenamed("cluster", "other")), "other").join(left.select("id", "cluster"), "id")
+    joined = _with_cluster(totals, sizes.withColumnRenamed("cluster", "other"), "other").join(left.select("id", "cluster"), "id")
     own = F.col("other") == F.col("cluster")
     each = joined.groupBy("id", "cluster").agg(F.max(F.when(own, F.col("n"))).alias("size"), F.max(F.when(own, F.try_divide("total", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     return each.filter("b is not null").select("id", "cluster", F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))
 
 
+def _with_cluster(rows: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """`rows` with what `clusters` tells of their cluster: by broadcast where there are at most HOT clusters, else by a shuffle.
+
+    With more clusters than that the rows are spread over many keys.
+    """
+    clusters = cut(clusters)
+    few = clusters.limit(HOT + 1).count() <= HOT
+    return rows.join(F.broadcast(clusters) if few else clusters, key)
+
+
 def centroids(labelled: DataFrame) -> DataFrame:
     """(cluster, centre, size): means by component; noise takes no part."""
     parts = labelled.filter("cluster >= 0").select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
@@ -124,15 +205,27 @@ def distance(a, b):
 
 def scatter(labelled: DataFrame) -> DataFrame:
     """(cluster, size, sse, spread): squared and mean distance of a cluster's points to its centre."""
-    joined = labelled.filter("cluster >= 0").join(F.broadcast(centroids(labelled).select("cluster", "centre")), "cluster").withColumn("d", distance(F.col("v"), F.col("centre")))
+    joined = _with_cluster(labelled.filter("cluster >= 0"), centroids(labelled).select("cluster", "centre"), "cluster").withColumn("d", distance(F.col("v"), F.col("centre")))
     return joined.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("d") * F.col("d")).alias("sse"), F.avg("d").alias("spread"))
 
 
-def davies_bouldin(labelled: DataFrame) -> DataFrame:
-    """(dbi): null with fewer than two clusters or with centres that coincide."""
-    c = centroids(labelled).join(scatter(labelled).select("cluster", "spread"), "cluster").withColumn("one", F.lit(1))
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, (F.col("a.one") == F.col("b.one")) & (F.col("a.cluster") != F.col("b.cluster")))  # clusters by clusters
-    gap = distance(F.col("a.centre"), F.col("b.centre"))
-    worst = pairs.groupBy("a.cluster").agg(F.max(F.try_divide(F.col("a.spread") + F.col("b.spread"), gap)).alias("r"), F.min(gap).alias("gap"))
+def davies_bouldin(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(dbi): null with fewer than two clusters or with centres that coincide.
+
+    Clusters meet in a grid of blocks, and a cell gives one row a cluster: its worst ratio and its least gap.
+    """
+    c = cut(centroids(labelled).join(scatter(labelled).select("cluster", "spread"), "cluster").select(F.col("cluster").cast("bigint").alias("id"), F.col("centre").alias("v"), "spread"))
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, ratio, gap = a.column("id").to_numpy(), np.zeros(0), np.zeros(0)
+        if a.num_rows and b.num_rows:
+            d = distances(matrix(a), matrix(b))
+            own = ids[:, None] == b.column("id").to_numpy()[None]
+            sums = a.column("spread").to_numpy()[:, None] + b.column("spread").to_numpy()[None]
+            gap = np.where(own, np.inf, d).min(axis=1)
+            ratio = np.where(own | (d == 0), -np.inf, sums / np.where(d == 0, 1, d)).max(axis=1)
+        out = np.isfinite(gap)
+        return pa.table({"id": pa.array(ids[: len(gap)][out], pa.int64()), "r": pa.array(ratio[out], pa.float64()), "gap": pa.array(gap[out], pa.float64())})
+
+    worst = cells(c, c, work, "id bigint, r double, gap double", block).groupBy("id").agg(F.max("r").alias("r"), F.min("gap").alias("gap"))
     return worst.agg(F.when(F.min("gap") > 0, F.avg("r")).alias("dbi"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.operators.prefix import at_places
 from sievestone.operators.temporal import label
 from sievestone.plans.rules import Rules
+from sievestone.session import cut, written
 
 BASE = ("n_ratings", "avg_rating", "std_rating", "rating_bias", "high_share", "avg_movie_pop", "share_top_pop", "active_span_days", "avg_gap_days")
 OK, SPARSE, NONE = "OK", "INSUFFICIENT_HISTORY", "NO_TRAIN_HISTORY"
@@ -22,10 +24,11 @@ def popularity(ratings: DataFrame, rules: Rules) -> DataFrame:
 
 
 def top_cut(pop: DataFrame) -> DataFrame:
-    """(cut): the popularity at the last place of the top quarter; counted by value first, so the window is over values."""
-    values = pop.groupBy("pop").agg(F.count("*").alias("n"))
-    ranked = values.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("pop")))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    return ranked.agg(F.max(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("total") / 4)), F.col("pop"))).alias("cut"))
+    """(cut): the popularity at the last place of the top quarter, null without movies."""
+    pop = pop.select("pop")
+    movies = pop.count()
+    places = {"cut": movies - max(1, movies // 4) + 1}  # from the least popular
+    return at_places(pop, "pop", places)
 
 
 def best_ratings(ratings: DataFrame, rules: Rules) -> DataFrame:
@@ -38,9 +41,9 @@ def features(ratings: DataFrame, movies: DataFrame, rules: Rules) -> DataFrame:
 
     A rated movie that `movies` lacks counts among the user's movies, in no genre.
     """
-    train = ratings.filter(F.col("ts") <= rules.t1)
-    pop = popularity(ratings, rules)
-    cut = top_cut(pop).first()["cut"] or 0
+    ratings = written(ratings.filter(F.col("ts") <= rules.t1).select("user_id", "movie_id", "rating", "ts"))
+    train, pop = ratings, cut(popularity(ratings, rules))
+    top = top_cut(pop).first()["cut"] or 0
     mean = train.agg(F.avg("rating")).first()[0] or 0.0
     n, span = F.count("*"), (F.max("ts") - F.min("ts")) / 86400.0
     base = train.join(pop, "movie_id").groupBy("user_id").agg(
@@ -51,7 +54,7 @@ def features(ratings: DataFrame, movies: DataFrame, rules: Rules) -> DataFrame:
     tagged = movies.select("movie_id", *[F.array_contains(genres, g).cast("int").alias(f"g{i}") for i, g in enumerate(rules.genres)])
     rated = best_ratings(ratings, rules).join(pop, "movie_id").join(tagged, "movie_id", "left")
     shares = [F.avg(F.coalesce(F.col(f"g{i}"), F.lit(0))).alias(name) for i, name in enumerate(names(rules)[len(BASE) :])]
-    unique = rated.groupBy("user_id").agg(F.avg((F.col("pop") >= cut).cast("int")).alias("share_top_pop"), *shares)
+    unique = rated.groupBy("user_id").agg(F.avg((F.col("pop") >= top).cast("int")).alias("share_top_pop"), *shares)
     return base.join(unique, "user_id").select("user_id", *names(rules))
 
 

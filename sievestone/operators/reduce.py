@@ -8,27 +8,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.operators.pairs import matrix, nearest
+from sievestone.session import cut
 
 #: Points up to which t-SNE runs in one task; pairs in a block of larger sets.
 MAX_TSNE, PAIRS = 5000, 2_000_000
 
 
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums and sums of products of the components; each task gives one row."""
-    d = vectors.select(F.size("v")).first()
-    d = d[0] if d else 0
+    """Rows, sums and sums of products of the components.
+
+    A task gives one row a component and one a pair of components, and those are summed with map-side combining:
+    no task gathers the tasks' matrices.
+    """
+    first = vectors.select(F.size("v")).first()
+    d = first[0] if first else 0
+    if not d:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    at = np.triu_indices(d + 1)
 
     def work(batches):
-        n, s, g = 0, np.zeros(d), np.zeros((d, d))
+        g, some = np.zeros((d + 1, d + 1)), False
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), dtype=np.float64).reshape(-1, d)
-            n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "g"])
+            if b.num_rows:
+                x = np.concatenate((np.ones((b.num_rows, 1)), matrix(b)), axis=1)
+                g, some = g + x.T @ x, True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at[0])), pa.int32()), pa.array(g[at])], names=["cell", "total"])
 
-    parts = vectors.select("v").mapInArrow(work, "n bigint, s array<double>, g array<double>")
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    total = parts.groupBy().agg(F.sum("n").alias("n"), F.reduce(F.collect_list("s"), F.array_repeat(F.lit(0.0), d), add).alias("s"), F.reduce(F.collect_list("g"), F.array_repeat(F.lit(0.0), d * d), add).alias("g")).first()
-    return total["n"] or 0, np.array(total["s"]), np.array(total["g"]).reshape(d, d)
+    cells = vectors.select("v").mapInArrow(work, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect()
+    g = np.zeros((d + 1, d + 1))
+    for r in cells:
+        g[at[0][r["cell"]], at[1][r["cell"]]] = r["total"]
+    g = g + np.triu(g, 1).T
+    return int(g[0, 0]), g[0, 1:], g[1:, 1:]
 
 
 def covariance(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +73,15 @@ def project(vectors: DataFrame, model: dict) -> DataFrame:
     return vectors.withColumn("v", F.array(*out))
 
 
+def loadings(model: dict, names: list[str], top: int = 5) -> list[dict]:
+    """For each component of a PCA its explained share and the features that weigh most in it, ties in order of the features."""
+    out = []
+    for i, axis in enumerate(model["components"]):
+        order = sorted(range(len(axis)), key=lambda j: (-abs(axis[j]), j))[:top]
+        out.append({"component": i + 1, "explained": float(model["explained"][i]), "features": [{"feature": names[j], "loading": float(axis[j])} for j in order]})
+    return out
+
+
 def _bandwidths(d2: np.ndarray, perplexity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(precision, least distance, sum of weights) of each row of squared distances, infinite to itself."""
     n = len(d2)
@@ -78,14 +99,20 @@ def _bandwidths(d2: np.ndarray, perplexity: float) -> tuple[np.ndarray, np.ndarr
     return used, least, total
 
 
-def _descend(n: int, gradient, rounds: int, seed: int) -> np.ndarray:
+def learning_rate(n: int, rate: float | None) -> float:
+    """The one given, else a twelfth of the points: a fixed one of 200 throws small sets apart."""
+    return n / 12 if rate is None else rate
+
+
+def _descend(n: int, gradient, rounds: int, seed: int, rate: float | None) -> np.ndarray:
     """Places after so many rounds of gradient(y, exaggeration), with early exaggeration, momentum and gains."""
+    rate = learning_rate(n, rate)
     y = np.random.RandomState(seed).normal(scale=1e-4, size=(n, 2))
     step, gains, early = np.zeros_like(y), np.ones_like(y), max(250, rounds // 4)
     for t in range(rounds):
         grad = gradient(y, 12 if t < early else 1)
         gains = np.maximum(np.where(np.sign(grad) != np.sign(step), gains + 0.2, gains * 0.8), 0.01)
-        step = (0.8 if t < early else 0.9) * step - n / 12 * gains * grad
+        step = (0.8 if t < early else 0.9) * step - rate * gains * grad
         y = y + step
         y = y - y.mean(axis=0)
     return y
@@ -96,7 +123,7 @@ def _check_perplexity(perplexity: float, n: int) -> None:
         raise ValueError("three times the perplexity must be less than the number of points")
 
 
-def tsne_coordinates(x: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> np.ndarray:
+def tsne_coordinates(x: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> np.ndarray:
     """Exact t-SNE to two dimensions, with early exaggeration, momentum and gains."""
     n = len(x)
     _check_perplexity(perplexity, n)
@@ -112,7 +139,31 @@ def tsne_coordinates(x: np.ndarray, perplexity: float = 30.0, rounds: int = 500,
         pull = (p * more - q / q.sum()) * q
         return 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
 
-    return _descend(n, gradient, rounds, seed)
+    return _descend(n, gradient, rounds, seed, rate)
+
+
+def tsne_statistics(x: np.ndarray, y: np.ndarray, perplexity: float) -> dict:
+    """What a t-SNE came to: the Kullback-Leibler divergence of its places, and mean, least and greatest bandwidth; by blocks of rows."""
+    n = len(x)
+    size = max(1, PAIRS // max(1, n))
+    spans = [(a, min(n, a + size)) for a in range(0, n, size)]
+
+    def gaps(v: np.ndarray, a: int, b: int) -> np.ndarray:
+        d2 = np.clip((v[a:b] * v[a:b]).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * v[a:b] @ v.T, 0, None)
+        d2[np.arange(b - a), np.arange(a, b)] = np.inf
+        return d2
+
+    x, y = x - x.mean(axis=0), y - y.mean(axis=0)
+    beta, least, total = (np.concatenate(z) for z in zip(*(_bandwidths(gaps(x, a, b), perplexity) for a, b in spans), strict=True))
+    z = sum(float((1 / (1 + gaps(y, a, b))).sum()) for a, b in spans)
+    kl = 0.0
+    for a, b in spans:
+        d2 = gaps(x, a, b)
+        p = np.exp(-(d2 - least[a:b, None]) * beta[a:b, None]) / total[a:b, None] + np.exp(-(d2 - least) * beta) / total
+        p, q = np.maximum(p / (2 * n), 1e-12), np.maximum(1 / (1 + gaps(y, a, b)) / z, 1e-12)
+        inside = np.isfinite(d2)
+        kl += float((p * np.log(p / q))[inside].sum())
+    return {"kl": kl, "sigma_mean": float((1 / beta).mean()), "sigma_min": float((1 / beta).min()), "sigma_max": float((1 / beta).max()), "perplexity": perplexity}
 
 
 def _in_blocks(spark, n: int, work, names: list[str]) -> list[np.ndarray]:
@@ -130,7 +181,7 @@ def _in_blocks(spark, n: int, work, names: list[str]) -> list[np.ndarray]:
     return [np.concatenate([r[c] for r in rows]) for c in names]
 
 
-def tsne_blocks(spark, x: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> np.ndarray:
+def tsne_blocks(spark, x: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> np.ndarray:
     """What tsne_coordinates gives, with each round's forces by blocks of rows in tasks; no task or driver holds all pairs."""
     n = len(x)
     _check_perplexity(perplexity, n)
@@ -160,27 +211,36 @@ def tsne_blocks(spark, x: np.ndarray, perplexity: float = 30.0, rounds: int = 50
         at.destroy()
         return 4 * (more * pull - push / z.sum()).reshape(n, 2)
 
-    y = _descend(n, gradient, rounds, seed)
+    y = _descend(n, gradient, rounds, seed, rate)
     fitted.destroy()
     shared.destroy()
     return y
 
 
-def tsne(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> DataFrame:
+def tsne(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> DataFrame:
     """(id, x, y) of every row: in one task up to MAX_TSNE rows, beyond that with the forces of each round by blocks.  All pairs count in every round."""
     if vectors.count() > MAX_TSNE:
         t = vectors.select(F.col("id").cast("bigint").alias("id"), "v").orderBy("id").toArrow()
-        y = tsne_blocks(vectors.sparkSession, matrix(t), perplexity, rounds, seed)
+        y = tsne_blocks(vectors.sparkSession, matrix(t), perplexity, rounds, seed, rate)
         return vectors.sparkSession.createDataFrame(pa.table({"id": t.column("id"), "x": y[:, 0], "y": y[:, 1]}))
 
     def work(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        y = tsne_coordinates(matrix(t), perplexity, rounds, seed)
+        y = tsne_coordinates(matrix(t), perplexity, rounds, seed, rate)
         return pa.table({"id": t.column("id"), "x": y[:, 0], "y": y[:, 1]})
 
     return vectors.select("id", "v", F.lit(0).alias("all")).groupBy("all").applyInArrow(work, "id bigint, x double, y double")
 
 
+def tsne_with_stats(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> tuple[DataFrame, dict]:
+    """The places of `tsne`, and their statistics."""
+    places = cut(tsne(vectors, perplexity, rounds, seed, rate))
+    t = vectors.select(F.col("id").cast("bigint").alias("id"), "v").orderBy("id").toArrow()
+    y = places.orderBy("id").toArrow()
+    found = tsne_statistics(matrix(t), np.stack([y.column("x").to_numpy(), y.column("y").to_numpy()], axis=1), perplexity)
+    return places, found | {"learning_rate": learning_rate(t.num_rows, rate)}
+
+
 def knn_agreement(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
     """(agreement, baseline): mean share of k nearest neighbours that both spaces have in common, and what chance gives."""
     n = high.count()

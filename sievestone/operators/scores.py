@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.functions.text import sign_class
+from sievestone.functions.text import rounded, sign_class
 from sievestone.plans.rules import DIMENSIONS, Rules
 
 #: What counts against accuracy: counters and the table whose rows they are held against.
@@ -23,19 +23,46 @@ FORMATS = (
     (("movies_m_title_space",), "movies"), (("users_u_zip_bad",), "users"),
 )
 
-#: Problems: counter, dimension, action, severity.
+#: Problems as counter, dimension, action, severity; then, in words, what is wrong and why it is dealt with so.
 PROBLEMS = (
-    ("ratings_r_uid_bad", "accurate", "isolate", "high"), ("ratings_r_mid_bad", "accurate", "isolate", "high"), ("ratings_r_rating_bad", "accurate", "isolate", "high"), ("ratings_r_ts_bad", "accurate", "isolate", "medium"),
-    ("movies_m_mid_bad", "accurate", "isolate", "high"), ("movies_m_title_empty", "accurate", "isolate", "high"), ("movies_m_year_missing", "accurate", "keep", "low"), ("movies_m_year_bad", "accurate", "keep", "low"),
-    ("users_u_uid_bad", "accurate", "isolate", "high"), ("users_u_gender_bad", "accurate", "isolate", "low"), ("users_u_age_bad", "accurate", "isolate", "low"), ("users_u_occ_bad", "accurate", "isolate", "low"),
-    ("ratings_missing", "complete", "isolate", "high"), ("movies_missing", "complete", "isolate", "high"), ("users_missing", "complete", "isolate", "high"),
-    ("ratings_pair_dup_violations", "unique", "dedupe", "high"), ("movies_movie_dup_violations", "unique", "dedupe", "high"), ("users_user_dup_violations", "unique", "dedupe", "high"),
-    ("users_orphan_records", "consistent", "isolate", "high"), ("movies_orphan_records", "consistent", "isolate", "high"),
-    ("movies_value_multi_violations", "consistent", "dedupe", "high"), ("users_attr_multi_violations", "consistent", "dedupe", "medium"),
-    ("movies_m_genres_dup", "consistent", "fix", "low"), ("movies_m_genres_emptyitem", "consistent", "fix", "low"), ("movies_m_genres_unknown", "consistent", "isolate", "low"), ("movies_m_genres_empty", "consistent", "isolate", "low"),
-    ("movies_m_title_space", "consistent", "fix", "low"), ("movies_m_title_nonascii", "consistent", "keep", "info"), ("users_u_zip_bad", "consistent", "fix", "low"),
-    ("ratings_r_ts_bad", "up_to_date", "isolate", "medium"),
+    ("users_u_zip_bad", "accurate", "fix", "low", "zip code isn't five digits", "a ZIP+4 code is cut to its first five digits, any other form can't be told right"),
+    ("ratings_r_uid_bad", "accurate", "isolate", "high", "user id of a rating is no positive integer", "nothing tells the right id"),
+    ("ratings_r_mid_bad", "accurate", "isolate", "high", "movie id of a rating is no positive integer", "nothing tells the right id"),
+    ("ratings_r_rating_bad", "accurate", "isolate", "high", "rating isn't an integer in its range", "nothing tells what the user meant"),
+    ("ratings_r_ts_bad", "accurate", "isolate", "medium", "time can't be read or lies outside the data's period", "nothing tells the right time"),
+    ("movies_m_mid_bad", "accurate", "isolate", "high", "movie id is no positive integer", "nothing tells the right id"),
+    ("movies_m_title_empty", "accurate", "isolate", "high", "movie without a title", "a needed field can't be made up"),
+    ("movies_m_year_missing", "accurate", "keep", "low", "title doesn't end in a year", "the record is told apart all the same"),
+    ("movies_m_year_bad", "accurate", "keep", "low", "year of a title is out of range", "only other sources could tell"),
+    ("users_u_uid_bad", "accurate", "isolate", "high", "user id is no positive integer", "nothing tells the right id"),
+    ("users_u_gender_bad", "accurate", "isolate", "low", "gender isn't one of the codes", "nothing tells the right code"),
+    ("users_u_age_bad", "accurate", "isolate", "low", "age isn't one of the codes", "nothing tells the right code"),
+    ("users_u_occ_bad", "accurate", "isolate", "low", "occupation isn't one of the codes", "nothing tells the right code"),
+    ("ratings_missing", "complete", "isolate", "high", "rating without a needed field", "it can't be analysed"),
+    ("movies_missing", "complete", "isolate", "high", "movie without a needed field", "it can't be found"),
+    ("users_missing", "complete", "isolate", "high", "user without an id", "it can't be joined"),
+    ("ratings_pair_dup_violations", "unique", "dedupe", "high", "several ratings of one movie by one user", "user and movie are the key"),
+    ("movies_movie_dup_violations", "unique", "dedupe", "high", "movie id found again", "it is the key"),
+    ("users_user_dup_violations", "unique", "dedupe", "high", "user id found again", "it is the key"),
+    ("users_orphan_records", "consistent", "isolate", "high", "rating of a user that isn't there", "it can't be joined to the user"),
+    ("movies_orphan_records", "consistent", "isolate", "high", "rating of a movie that isn't there", "it can't be joined to the movie"),
+    ("movies_value_multi_violations", "consistent", "dedupe", "high", "one movie id, several titles or genres", "one is kept by rule; which is right stays open"),
+    ("users_attr_multi_violations", "consistent", "dedupe", "medium", "one user id, several attributes", "one is kept by rule; which is right stays open"),
+    ("movies_m_genres_dup", "consistent", "fix", "low", "a genre is named twice", "once is enough"),
+    ("movies_m_genres_emptyitem", "consistent", "fix", "low", "an empty genre among others", "it can be left out"),
+    ("movies_m_genres_unknown", "consistent", "isolate", "low", "genre that isn't one of the known", "nothing tells which was meant"),
+    ("movies_m_genres_empty", "consistent", "isolate", "low", "movie without genres", "no other field tells them"),
+    ("movies_m_title_space", "consistent", "fix", "low", "title with blanks at its ends", "they can be taken off"),
+    ("movies_m_title_nonascii", "consistent", "keep", "info", "title with letters beyond ASCII", "it is right if read and written as ISO-8859-1"),
+    ("ratings_r_ts_bad", "up_to_date", "isolate", "medium", "time can't be placed in any period", "nothing tells the right time"),
 )
+#: The problem that only cleaning shows: keys with several valid records.
+CONFLICT = ("clean_conflict_keys", "consistent", "dedupe", "medium", "several valid records of one key, of which one was kept", "which is right stays open")
+COLUMNS = ("code", "dimension", "action", "severity", "subject", "reason")
+
+
+class QualityError(RuntimeError):
+    """Counters that scores can't be made of."""
 
 
 #: Counters that scores are made of.
@@ -57,7 +84,7 @@ def _total(*names: str) -> Column:
 
 
 def _score(rate: Column) -> Column:
-    return F.round(100.0 * (1.0 - F.when(rate < 0, 0.0).otherwise(rate)), 4)
+    return rounded(100.0 * (1.0 - F.when(rate < 0, 0.0).otherwise(rate)))
 
 
 def score_expressions(rules: Rules) -> dict[str, Column]:
@@ -70,9 +97,9 @@ def score_expressions(rules: Rules) -> dict[str, Column]:
     reliable = _score((ratings - F.coalesce(_value("ratings_d2_ok"), F.lit(0.0))) / ratings)
     fresh = F.try_divide(_value("ratings_freshness_sum"), F.when(_value("ratings_freshness_n") > 0, _value("ratings_freshness_n")))
     return {
-        "accurate": F.round(100.0 * (1.0 - _rates(ACCURACY)), 4), "complete": _score(_total("ratings_missing", "movies_missing", "users_missing") / some),
+        "accurate": rounded(100.0 * (1.0 - _rates(ACCURACY))), "complete": _score(_total("ratings_missing", "movies_missing", "users_missing") / some),
         "unique": _score(_total("ratings_pair_dup_violations", "movies_movie_dup_violations", "users_user_dup_violations") / some),
-        "up_to_date": F.when(fresh.isNull(), reliable).otherwise(F.round(reliable * fresh, 4)), "consistent": F.round(100.0 * (1.0 - both), 4),
+        "up_to_date": F.when(fresh.isNull(), reliable).otherwise(rounded(reliable * fresh)), "consistent": rounded(100.0 * (1.0 - both)),
     }
 
 
@@ -81,22 +108,54 @@ def scores(metrics: DataFrame, rules: Rules) -> DataFrame:
     wide = metrics.groupBy().pivot("metric", list(NEEDED)).agg(F.max("value"))
     five = wide.select(*[c.alias(name) for name, c in score_expressions(rules).items()])
     overall = sum((F.col(d) * F.lit(rules.weights[d]) for d in DIMENSIONS), F.lit(0.0))
-    return five.withColumn("overall", F.round(overall, 4))
+    return five.withColumn("overall", rounded(overall))
 
 
 def score_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(dimension, before, after, change, trend) of the five dimensions; a change is null where a score is."""
     long = lambda df, name: df.unpivot([], list(DIMENSIONS), "dimension", name)
     rows = long(before, "before").join(long(after, "after"), "dimension")
-    change = F.round(F.col("after") - F.col("before"), 4)
+    change = rounded(F.col("after") - F.col("before"))
     return rows.withColumn("change", change).withColumn("trend", sign_class(F.col("change")))
 
 
-def problems(metrics: DataFrame) -> DataFrame:
-    """(code, dimension, action, severity, count, unresolved): the counters that are not zero and what they mean."""
-    rules = metrics.sparkSession.createDataFrame(PROBLEMS, "code string, dimension string, action string, severity string")
+def improvements(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(dimension, before, after, change, trend, description) of the dimensions that both have; a loss is told as one."""
+    rows = score_delta(before, after).filter(F.col("change").isNotNull())
+    number = lambda c: F.format_string("%.4f", c)
+    moved = F.concat("dimension", F.when(F.col("trend") == "up", " rose from ").otherwise(" fell from "), number(F.col("before")), F.lit(" to "), number(F.col("after")), F.lit(", by "), number(F.col("change")))
+    return rows.withColumn("description", F.when(F.col("trend") == "same", F.concat("dimension", F.lit(" stayed at "), number(F.col("before")))).otherwise(moved))
+
+
+def checked(metrics: DataFrame) -> dict[str, float]:
+    """The counters by name, if each table has rows and no name is there twice; else QualityError.
+
+    There are some eighty of them, whatever the tables' size.
+    """
+    rows = metrics.collect()
+    found = {r["metric"]: r["value"] for r in rows}
+    if len(found) < len(rows):
+        raise QualityError("a counter has several values")
+    if empty := [t for t in ("ratings", "movies", "users") if not found.get(f"{t}_total")]:
+        raise QualityError(f"no rows were read of {', '.join(empty)}")
+    return found
+
+
+def problems(metrics: DataFrame, cleaned: dict | None = None) -> DataFrame:
+    """code, dimension, action, severity, subject, reason, count, unresolved: the counters that are not zero and what they mean.
+
+    What is kept counts as resolved.  With counts of a cleaning (conflict_key_count, conflict_record_count, conflict_count) its
+    conflicts are a problem of their own, as the cleaned rows show none.
+    """
+    spark = metrics.sparkSession
+    rules = spark.createDataFrame(PROBLEMS, ", ".join(f"{c} string" for c in COLUMNS))
     found = metrics.join(F.broadcast(rules), metrics["metric"] == rules["code"]).filter("value > 0")
-    return found.select("code", "dimension", "action", "severity", F.col("value").cast("bigint").alias("count"), (F.col("action") != "keep").cast("int").alias("unresolved"))
+    out = found.select(*COLUMNS, F.col("value").cast("bigint").alias("count"), (F.col("action") != "keep").cast("int").alias("unresolved"))
+    if cleaned and cleaned.get("conflict_key_count"):
+        reason = f"{CONFLICT[-1]}; {cleaned.get('conflict_record_count') or 0} records, of which {cleaned.get('conflict_count') or 0} were kept"
+        one = spark.createDataFrame([(*CONFLICT[:-1], reason, int(cleaned["conflict_key_count"]), 1)], out.schema)
+        out = out.union(one)
+    return out
 
 
 def by_action(found: DataFrame) -> DataFrame:

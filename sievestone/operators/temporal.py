@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.operators.prefix import at_places
 from sievestone.plans.rules import Rules
+from sievestone.session import cut
 
 SPLITS, POSITIVE = ("train", "validate", "test"), 4
 
@@ -36,11 +40,10 @@ def duplicate_pairs(ratings: DataFrame) -> DataFrame:
 
 
 def time_quantiles(ratings: DataFrame, shares: tuple = (0.70, 0.85)) -> DataFrame:
-    """The times at nearest-rank quantiles, one row; counted by second first, so the running sum is over seconds."""
-    seconds = ratings.groupBy("ts").agg(F.count("*").alias("n"))
-    ranked = seconds.withColumn("upto", F.sum("n").over(Window.orderBy("ts"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    place = lambda q: F.floor(F.lit(q) * (F.col("total") - 1) + 0.5) + 1
-    return ranked.agg(*[F.min(F.when(F.col("upto") >= place(q), F.col("ts"))).alias(f"t{i}") for i, q in enumerate(shares, 1)])
+    """The times at nearest-rank quantiles, one row; counted by second first, and no task sees all seconds."""
+    seconds = cut(ratings.groupBy("ts").agg(F.count("*").alias("n")))
+    total = seconds.agg(F.sum("n")).first()[0] or 0
+    return at_places(seconds, "ts", {f"t{i}": math.floor(q * (total - 1) + 0.5) + 1 for i, q in enumerate(shares, 1)}, "n")
 
 
 def _past(ratings: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -71,34 +74,53 @@ def feature_names(rules: Rules) -> list[str]:
     return ["user_mean", "movie_mean", "log1p_movie_count", *[f"genre_{g.lower().replace(chr(39), '').replace(' ', '_')}" for g in rules.genres], *[f"occupation_{i}" for i in range(rules.max_occupation + 1)], "occupation_unknown", "age", "has_attributes"]
 
 
-def feature_matrix(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules) -> DataFrame:
-    """user_id, movie_id, ts, split, label and the features of each rating; missing attributes are told, not guessed.
+def with_attributes(rows: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules) -> DataFrame:
+    """`rows` (user_id, movie_id, user_mean, movie_mean, movie_count, and more) with the features of the feature matrix.
 
-    movies: movie_id, genres (joined by |); users: user_id, age, occup.
+    movies: movie_id, genres (joined by |); users: user_id, age, occup.  Missing attributes are told, not guessed.
     """
     genres = F.split("genres", "[|]", -1)
     tags = movies.select("movie_id", *[F.array_contains(genres, g).cast("int").alias(n) for g, n in zip(rules.genres, feature_names(rules)[3:], strict=False)])
     order = F.create_map(*[F.lit(x) for i, a in enumerate(rules.ages) for x in (a, i)])
     attributes = users.select("user_id", F.coalesce(F.try_element_at(order, F.col("age")), F.lit(-1)).alias("age"), F.col("occup").try_cast("int").alias("occupation"), F.lit(1).alias("has_attributes"))
-    rows = history(ratings, rules).join(tags, "movie_id", "left").join(attributes, "user_id", "left")
+    joined = rows.join(tags, "movie_id", "left").join(attributes, "user_id", "left")
     occupation = F.when(F.col("occupation").between(0, rules.max_occupation), F.col("occupation")).otherwise(-1)
     out = [F.col("user_mean"), F.col("movie_mean"), F.log1p("movie_count").alias("log1p_movie_count")]
     out += [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in tags.columns[1:]]
     out += [F.coalesce((occupation == i).cast("int"), F.lit(0)).alias(f"occupation_{i}") for i in range(rules.max_occupation + 1)]
     out += [F.coalesce((occupation == -1).cast("int"), F.lit(1)).alias("occupation_unknown"), F.coalesce(F.col("age"), F.lit(-1)).alias("age"), F.coalesce(F.col("has_attributes"), F.lit(0)).alias("has_attributes")]
-    return rows.select("user_id", "movie_id", "ts", split_of(F.col("ts"), rules).alias("split"), label(F.col("rating")).alias("label"), *out)
+    own = [c for c in rows.columns if c not in ("user_mean", "movie_mean")]
+    return joined.select(*own, *out)
+
+
+def feature_matrix(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules) -> DataFrame:
+    """user_id, movie_id, ts, split, label and the features of each rating."""
+    rows = with_attributes(history(ratings, rules), movies, users, rules)
+    return rows.select("user_id", "movie_id", "ts", split_of(F.col("ts"), rules).alias("split"), label(F.col("rating")).alias("label"), *feature_names(rules))
+
+
+def missing_attributes(matrix: DataFrame) -> DataFrame:
+    """(records, missing): rows of a feature matrix, and those whose user has no attributes."""
+    return matrix.agg(F.count("*").alias("records"), F.count_if(F.col("has_attributes") == 0).alias("missing"))
 
 
 def point_history(ratings: DataFrame, points: DataFrame, rules: Rules) -> DataFrame:
-    """For (user_id, movie_id, asked_at): means and numbers of both sides' ratings before that time."""
+    """For (user_id, movie_id, asked_at): means and numbers of both sides' ratings before that time.
+
+    Asked times join a key's seconds as seconds without ratings, so a hot key costs its seconds and its points, not
+    their product.
+    """
     mean = F.lit(train_mean(ratings, rules) or 0.0)
-    keyed = points.select("user_id", "movie_id", "asked_at").distinct()
+    keyed = cut(points.select("user_id", "movie_id", "asked_at").filter("user_id is not null and movie_id is not null and asked_at is not null").distinct())
 
     def side(key: str, p: str) -> DataFrame:
-        asked = keyed.select(key, "asked_at").distinct()
-        past = asked.join(ratings.select(key, "ts", "rating"), key, "left").filter("ts < asked_at")
-        found = past.groupBy(key, "asked_at").agg(F.avg("rating").alias(f"{p}_mean"), F.count("*").alias(f"{p}_count"))
-        return asked.join(found, [key, "asked_at"], "left").select(key, "asked_at", F.coalesce(f"{p}_mean", mean).alias(f"{p}_mean"), F.coalesce(f"{p}_count", F.lit(0)).alias(f"{p}_count"))
+        asked = keyed.select(key, F.col("asked_at").alias("ts"), F.lit(0).cast("bigint").alias("rating"), F.lit(0).alias("real")).distinct()
+        both = ratings.select(key, "ts", F.col("rating").cast("bigint").alias("rating"), F.lit(1).alias("real")).union(asked)
+        seconds = both.groupBy(key, "ts").agg(F.sum("rating").alias("s"), F.sum("real").alias("n"), F.max(1 - F.col("real")).alias("asked"))
+        before = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+        zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        found = seconds.withColumn("s", zero("s")).withColumn("c", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("asked = 1")
+        return found.select(key, F.col("ts").alias("asked_at"), F.coalesce(F.try_divide("s", "c"), mean).alias(f"{p}_mean"), F.col("c").alias(f"{p}_count"))
 
     return keyed.join(side("user_id", "user"), ["user_id", "asked_at"]).join(side("movie_id", "movie"), ["movie_id", "asked_at"])
 
@@ -109,5 +131,3 @@ def seen_unseen(ratings: DataFrame, rules: Rules) -> DataFrame:
     flag = lambda key: train.select(key).distinct().withColumn(f"{key}_seen", F.lit(1))
     test = ratings.filter(F.col("ts") > rules.t2).join(flag("user_id"), "user_id", "left").join(flag("movie_id"), "movie_id", "left")
     return test.groupBy(F.coalesce("user_id_seen", F.lit(0)).alias("user_seen"), F.coalesce("movie_id_seen", F.lit(0)).alias("movie_seen")).agg(F.count("*").alias("records"), F.sum(label(F.col("rating"))).alias("positives"))
-
-

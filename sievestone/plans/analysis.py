@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal
+from sievestone.plans import clusters, learning
 from sievestone.plans.rules import SAMPLE_RULES
-from sievestone.session import cut, table
-from sievestone.sources import sample
+from sievestone.session import cut, shared_dir, table, written
+from sievestone.sources import files, sample
 
 R = SAMPLE_RULES
 GENRES = profile.names(R)[len(profile.BASE) :]
 EPS, MIN_SAMPLES, MIN_RATINGS = 1.15, 5, 20
-GNB_COLUMNS = ["user_mean", "movie_mean", "log1p_movie_count", "genre_drama", "genre_comedy", "age", "has_attributes"]
+FEATURES = temporal.feature_names(R)
 THRESHOLD = 0.4
 
 
@@ -52,8 +55,9 @@ def _event_history(spark, d):
 
 
 def _points(spark, d):
-    points = sample.rows(spark, d, "ratings").filter("line_id % 97 = 0").select("user_id", "movie_id", F.col("ts").alias("asked_at"))
-    return _rounded(temporal.point_history(_ratings(spark, d), points, R), ["user_mean", "movie_mean"])
+    ratings = written(_ratings(spark, d))
+    points = ratings.select("user_id", "movie_id", F.col("ts").alias("asked_at"))
+    return _rounded(temporal.point_history(ratings, points, R), ["user_mean", "movie_mean"])
 
 
 def _top_quartile(spark, d):
@@ -67,18 +71,80 @@ def _labelled_users(spark, d) -> DataFrame:
     return sample.rows(spark, d, "users").select("user_id", (F.col("user_id") % 5 - 1).alias("cluster"))
 
 
-def _scored(spark, d) -> DataFrame:
-    """Test rows with a stand-in score that has ties."""
-    r = sample.rows(spark, d, "ratings").filter(F.col("ts") > R.t2)
-    return r.select(((F.col("line_id") * 7919) % 101 / 100.0).alias("score"), temporal.label(F.col("rating")).alias("label"), (F.col("user_id") % 4).alias("stratum"))
+def _scored(spark, d, *splits: str) -> DataFrame:
+    """split, label, user_seen, movie_seen and the score, to six digits, of naive Bayes over the whole feature matrix, by rows of the splits (none: test)."""
+    rows = written(classify.with_seen(_matrix(spark, d)))
+    model = classify.fit_gaussian(rows, FEATURES)
+    return written(_rounded(model.score(rows.filter(F.col("split").isin(*splits or ("test",)))).select("split", "label", "user_seen", "movie_seen", "score"), ["score"]))
+
+
+def _typed(name: str):
+    """Typed rows of the dirty lines, written as files in ISO-8859-1 and read again."""
+
+    def run(spark, d):
+        folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        for t in files.COLUMNS:
+            files.write_lines(sample.lines(spark, d, t), f"{folder}/{t}.dat")
+        rows = files.typed(files.read_tables(spark, folder)[name], name, R)
+        return rows.withColumn("genres", F.array_join("genres", "|")) if name == "movies" else rows
+
+    return run
 
 
 def _gnb(spark, d):
-    return _rounded(classify.gaussian_scores(_matrix(spark, d), GNB_COLUMNS).groupBy("split").agg(F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.count("*").alias("records")), ["mean_score", "min_score", "max_score"], 5)
+    return _scored(spark, d, *temporal.SPLITS).groupBy("split").agg(F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.min("score"), 5).alias("min_score"), F.round(F.max("score"), 5).alias("max_score"), F.count("*").alias("records"))
+
+
+def _strata(spark, d):
+    rows, out = _scored(spark, d), []
+    for name, m in classify.strata_measures(rows, THRESHOLD).items():
+        out.append((name, m["n"], *(m.get(k) for k in ("positive_rate", "precision", "recall", "f1", "roc_auc", "pr_auc"))))
+    return spark.createDataFrame(out, "stratum string, n bigint, positive_rate double, precision double, recall double, f1 double, roc_auc double, pr_auc double")
+
+
+def _frozen(spark, d):
+    """The threshold that is best on the validation split, and what it does on the test split."""
+    rows = _scored(spark, d, "validate", "test")
+    best = classify.best_threshold(rows.filter("split = 'validate'")).first()["threshold"]
+    return classify.confusion(rows.filter("split = 'test'"), best).withColumn("threshold", F.lit(best))
+
+
+def _run(spark, d, kinds=("gnb", "cart")):
+    """The measures of a whole classification run, a row for each model and split."""
+    found = learning.run(_ratings(spark, d), sample.rows(spark, d, "movies"), sample.rows(spark, d, "users"), R, kinds)
+    names = ("n", "positive_rate", "roc_auc", "pr_auc", "threshold", "accuracy", "precision", "recall", "f1", "predicted_rate")
+    rows = [(k, part, str(r["settings"]), *(float(r[part][m]) if r[part].get(m) is not None else None for m in names)) for k, r in found.items() for part in ("validation", "test", "test_at_half")]
+    return spark.createDataFrame(rows, "model string, part string, settings string, " + ", ".join(f"{m} double" for m in names))
+
+
+def _users(spark, d) -> DataFrame:
+    return clusters.user_vectors(written(_profile(spark, d)), R)
+
+
+def _cluster_assignments(spark, d):
+    """Every user's place under given centres: the vectors of the three users with the smallest ids that fit."""
+    import numpy as np
+
+    users = written(_users(spark, d))
+    centres = np.array([r["v"] for r in users.filter("fit = 1").orderBy("id").limit(3).collect()])
+    return clusters.kmeans_assignments(users, centres).withColumn("dist", F.round("dist", 4))
+
+
+def _noise(spark, d):
+    labels = clustering.dbscan(_vectors(spark, d).select("id", "v"), EPS, MIN_SAMPLES)
+    return clusters.noise_summary(labels).withColumn("noise_ratio", F.round("noise_ratio", 6))
+
+
+def _comparison(spark, d):
+    """K-Means before and after PCA to two dimensions."""
+    v = cut(_vectors(spark, d).select("id", "v"))
+    found = clusters.compare(v, reduce.project(v, reduce.pca(v)))["kmeans"]
+    rows = [(side, *(found[side][m] for m in ("silhouette", "dbi", "sse"))) for side in ("before", "after", "delta")]
+    return spark.createDataFrame(rows, "side string, silhouette double, dbi double, sse double")
 
 
 def _eps(spark, d):
-    return pairs.eps_neighbours(_vectors(spark, d).select("id", "v"), EPS).groupBy("id").agg(F.count("*").alias("neighbours"))
+    return pairs.neighbour_counts(_vectors(spark, d).select("id", "v"), EPS)
 
 
 def _cores(spark, d):
@@ -95,9 +161,9 @@ def _centroid_assign(spark, d):
 
 
 def _covariance(spark, d):
-    v = _vectors(spark, d).select("id", F.slice("v", 1, 8).alias("v"))
-    mean, cov = reduce.covariance(v)
-    return spark.createDataFrame([(i, j, float(round(cov[i, j], 8))) for i in range(8) for j in range(i, 8)], "i int, j int, cov double")
+    _, cov = reduce.covariance(_vectors(spark, d))
+    n = len(cov)
+    return spark.createDataFrame([(i, j, float(round(cov[i, j], 8))) for i in range(n) for j in range(i, n)], "i int, j int, cov double")
 
 
 def _explained(spark, d):
@@ -111,8 +177,10 @@ def _pca_coordinates(spark, d):
 
 
 def _overlap(spark, d):
+    """How well the means of every eight components keep neighbours: a reduction that SQL can make too."""
     v = _vectors(spark, d).select("id", "v")
-    return _rounded(reduce.knn_agreement(v, v.withColumn("v", F.slice("v", 1, 2))), ["agreement", "baseline"])
+    means = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(F.slice("v", i * 8 + 1, F.lit(8)), F.lit(0.0), lambda s, x: s + x) / 8)
+    return _rounded(reduce.knn_agreement(v, v.withColumn("v", means)), ["agreement", "baseline"])
 
 
 def _kmeans(spark, d):
@@ -126,6 +194,7 @@ def _choose_k(spark, d):
 
 
 QUERIES = {
+    **{f"typed_{t}": _typed(t) for t in files.COLUMNS},
     "time_split_summary": lambda s, d: temporal.split_summary(_ratings(s, d), R),
     "time_quantiles": lambda s, d: temporal.time_quantiles(_ratings(s, d)),
     "duplicate_pairs": lambda s, d: temporal.duplicate_pairs(_ratings(s, d)),
@@ -153,11 +222,17 @@ QUERIES = {
     "kmeans_fit": _kmeans,
     "kmeans_choose_k": _choose_k,
     "gnb_scores": _gnb,
-    "cart_predict": lambda s, d: classify.tree_scores(_matrix(s, d), temporal.feature_names(R)).groupBy("split").agg(F.count("*").alias("records"), F.avg("score").alias("mean_score")),
+    "missing_attributes": lambda s, d: temporal.missing_attributes(_matrix(s, d)),
+    "frozen_threshold": _frozen,
+    "classification_run": _run,
+    "cluster_assignments": _cluster_assignments,
+    "dbscan_noise": _noise,
+    "reduction_comparison": _comparison,
+    "cart_predict": lambda s, d: classify.tree_scores(written(_matrix(s, d)), temporal.feature_names(R)).groupBy("split").agg(F.count("*").alias("records"), F.avg("score").alias("mean_score")),
     "threshold_scan": lambda s, d: _rounded(classify.threshold_scan(_scored(s, d)), ["precision", "recall", "f1", "rate"]),
     "best_threshold": lambda s, d: _rounded(classify.best_threshold(_scored(s, d)), ["f1"]),
     "confusion": lambda s, d: classify.confusion(_scored(s, d), THRESHOLD),
-    "strata_eval": lambda s, d: classify.confusion(_scored(s, d), THRESHOLD, ["stratum"]),
+    "strata_eval": _strata,
     "roc_auc": lambda s, d: _rounded(classify.roc_auc(_scored(s, d)), ["roc_auc"]),
     "average_precision": lambda s, d: _rounded(classify.average_precision(_scored(s, d)), ["average_precision"]),
     "pca_covariance": _covariance,
@@ -202,18 +277,40 @@ def oracles() -> dict[str, str]:
     vec = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label AS cluster FROM embeddings"
     dist = "SELECT a.id, a.cluster, b.id AS other, b.cluster AS other_cluster, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.id <> b.id"
     centre = "SELECT cluster, list(x ORDER BY i) AS centre FROM (SELECT cluster, i, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) GROUP BY cluster, i) GROUP BY cluster"
-    scored = f"SELECT (line_id * 7919) % 101 / 100.0 AS score, {lab} AS label, user_id % 4 AS stratum FROM ({r}) WHERE ts > {R.t2}"
-    by_score = f"SELECT score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM ({scored}) GROUP BY score) WINDOW w AS (ORDER BY score DESC)"
-    scan = f"SELECT score AS threshold, tp / (tp + fp) AS precision, tp / p AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p) ELSE 0.0 END AS f1, (tp + fp) / (p + n) AS rate FROM ({by_score})"
+    columns = [f'"{c}"' for c in FEATURES]
+    fits = ", ".join(f"avg({c}) AS m_{i}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{i}, " + ", ".join(f"avg({c}) FILTER (WHERE label = {y}) AS m{y}_{i}, var_pop({c}) FILTER (WHERE label = {y}) AS v{y}_{i}" for y in (0, 1)) for i, c in enumerate(columns))
+    spread = lambda i, y: f"(v{y}_{i} / (s_{i} * s_{i}) + 1e-9)"
+    ll = lambda y: f"ln(n{y} / (n0 + n1)) + " + " + ".join(f"(-0.5 * ln(2 * pi() * {spread(i, y)}) - (({c} - m{y}_{i}) / s_{i}) * (({c} - m{y}_{i}) / s_{i}) / (2 * {spread(i, y)}))" for i, c in enumerate(columns))
+    gnb = f"""x AS MATERIALIZED ({matrix}), f AS (SELECT {fits}, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM x WHERE split = 'train'),
+        tu AS (SELECT DISTINCT user_id FROM x WHERE split = 'train'), tm AS (SELECT DISTINCT movie_id FROM x WHERE split = 'train'),
+        sc AS MATERIALIZED (SELECT split, label, CASE WHEN user_id IN (FROM tu) THEN 1 ELSE 0 END AS user_seen, CASE WHEN movie_id IN (FROM tm) THEN 1 ELSE 0 END AS movie_seen, round(1 / (1 + exp(least(greatest(({ll(0)}) - ({ll(1)}), -700), 700))), 6) AS score FROM x, f)"""
+    scored = "SELECT * FROM sc WHERE split = 'test'"
+    by_score = lambda rows: f"SELECT score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM ({rows}) GROUP BY score) WINDOW w AS (ORDER BY score DESC)"
+    scan = lambda rows: f"SELECT score AS threshold, tp / (tp + fp) AS precision, tp / p AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p) ELSE 0.0 END AS f1, (tp + fp) / (p + n) AS rate FROM ({by_score(rows)})"
+    best_of = lambda rows: f"SELECT least(greatest(threshold, 1e-6), 1 - 1e-6) AS threshold, f1 FROM ({scan(rows)}) ORDER BY rate <= 1.1 * (SELECT avg(label) FROM ({rows})) DESC, round(f1, 12) DESC, threshold DESC LIMIT 1"
+    roc = lambda rows: f"SELECT sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)) FROM ({by_score(rows)})"
+    pr = lambda rows: f"SELECT sum(pos / p * tp / (tp + fp)) FROM ({by_score(rows)})"
     conf = f"""count(*) FILTER (WHERE score >= {THRESHOLD} AND label = 1) AS tp, count(*) FILTER (WHERE score >= {THRESHOLD} AND label = 0) AS fp, count(*) FILTER (WHERE score < {THRESHOLD} AND label = 1) AS fn, count(*) FILTER (WHERE score < {THRESHOLD} AND label = 0) AS tn"""
     rates = "tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1, round((tp + fp) / (tp + fp + fn + tn), 6) AS predicted_rate"
-    fits = ", ".join(f"avg({c}) FILTER (WHERE label = {y}) AS m{y}_{c}, var_pop({c}) FILTER (WHERE label = {y}) AS v{y}_{c}" for c in GNB_COLUMNS for y in (0, 1))
-    widest = "greatest(" + ", ".join(f"var_pop({c})" for c in GNB_COLUMNS) + ")"
-    ll = lambda y: f"ln(n{y} / (n0 + n1)) + " + " + ".join(f"(-0.5 * ln(2 * pi() * (v{y}_{c} + 1e-9 * w)) - ({c} - m{y}_{c}) * ({c} - m{y}_{c}) / (2 * (v{y}_{c} + 1e-9 * w)))" for c in GNB_COLUMNS)
-    point = lambda k, p: f"coalesce((SELECT avg(rating) FROM r WHERE r.{k} = q.{k} AND r.ts < q.asked_at), {gm}) AS {p}_mean, (SELECT count(*) FROM r WHERE r.{k} = q.{k} AND r.ts < q.asked_at) AS {p}_count"
+    stratum = lambda name, cond: f"""SELECT '{name}' AS stratum, n, CASE WHEN n > 0 THEN round((tp + fn) / n, 6) END AS positive_rate, CASE WHEN n > 0 THEN round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) END AS precision, CASE WHEN n > 0 THEN round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) END AS recall,
+        CASE WHEN n > 0 THEN round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) END AS f1, CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN round(({roc(scored + ' AND ' + cond)}), 6) END AS roc_auc, CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN round(({pr(scored + ' AND ' + cond)}), 6) END AS pr_auc
+        FROM (SELECT count(*) AS n, {conf} FROM ({scored} AND {cond}))"""
+    dims = profile.names(R)
+    z27 = ", ".join(f'CASE WHEN s_{i} > 1e-12 THEN ("{c}" - m_{i}) / s_{i} ELSE 0.0 END' for i, c in enumerate(dims))
+    scale27 = ", ".join(f'avg("{c}") FILTER (WHERE fit = 1) AS m_{i}, stddev_pop("{c}") FILTER (WHERE fit = 1) AS s_{i}' for i, c in enumerate(dims))
+    users27 = f"p AS MATERIALIZED ({prof}), sc AS (SELECT {scale27} FROM p), uv AS MATERIALIZED (SELECT user_id AS id, status, fit, CASE WHEN status <> '{profile.NONE}' THEN [{z27}] END AS v FROM p, sc)"
+    dbscan = f"""vec AS MATERIALIZED ({vec}), near AS MATERIALIZED (SELECT a.id, b.id AS other FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS}), core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= {MIN_SAMPLES}),
+        inner_ AS MATERIALIZED (SELECT near.id, other FROM near JOIN core USING (id) WHERE other IN (FROM core)), reach AS (SELECT id, id AS root FROM core UNION SELECT inner_.other, reach.root FROM reach JOIN inner_ USING (id)),
+        member AS MATERIALIZED (SELECT id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster FROM (SELECT id, min(root) AS root FROM reach GROUP BY id)),
+        labels AS MATERIALIZED (SELECT vec.id, coalesce(m.cluster, n.cluster, -1) AS cluster, CASE WHEN m.id IS NULL THEN 0 ELSE 1 END AS core FROM vec LEFT JOIN member m USING (id) LEFT JOIN (SELECT near.id, min(k.cluster) AS cluster FROM near JOIN member k ON near.other = k.id GROUP BY near.id) n USING (id))"""
     nearest = lambda v, k: f"SELECT a.id, b.id AS other FROM (SELECT id, {v} AS v FROM vec) a JOIN (SELECT id, {v} AS v FROM vec) b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= {k}"
     kd = f"SELECT d FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM dist) WHERE k = {MIN_SAMPLES}"
+    cut_up = lambda t, n: f"(SELECT f FROM (SELECT string_split(line, '::') AS f FROM ({sample.duck(sample.LINES[t])}) WHERE line <> '') WHERE len(f) = {n})"
+    number = lambda i: f"TRY_CAST(f[{i}] AS BIGINT)"
     return {
+        "typed_ratings": f"SELECT {number(1)} AS user_id, {number(2)} AS movie_id, {number(3)} AS rating, {number(4)} AS ts FROM {cut_up('ratings', 4)} WHERE {number(1)} + {number(2)} + {number(3)} + {number(4)} IS NOT NULL",
+        "typed_movies": f"SELECT {number(1)} AS movie_id, f[2] AS title, CASE WHEN ends_with(f[2], ')') THEN TRY_CAST(regexp_extract(f[2], '\\(([^(]*)\\)$', 1) AS INTEGER) END AS year, f[3] AS genres FROM {cut_up('movies', 3)} WHERE {number(1)} IS NOT NULL",
+        "typed_users": f"SELECT {number(1)} AS user_id, f[2] AS gender, {number(3)} AS age, {number(4)} AS occupation, f[5] AS zipcode FROM {cut_up('users', 5)} WHERE {number(1)} IS NOT NULL",
         "time_split_summary": f"""SELECT s.split, coalesce(records, 0) AS records, coalesce(positives, 0) AS positives, coalesce(users, 0) AS users, coalesce(movies, 0) AS movies, min_ts, max_ts, round(coalesce(records, 0) / sum(coalesce(records, 0)) OVER (), 6) AS ratio, round(positives / nullif(records, 0), 6) AS positive_rate
             FROM (VALUES ('train'), ('validate'), ('test')) s(split) LEFT JOIN (SELECT {split} AS split, count(*) AS records, CAST(sum({lab}) AS BIGINT) AS positives, count(DISTINCT user_id) AS users, count(DISTINCT movie_id) AS movies, min(ts) AS min_ts, max(ts) AS max_ts FROM ({r}) GROUP BY 1) x USING (split)""",
         "time_quantiles": f"SELECT max(CASE WHEN k = CAST(floor(0.70 * (n - 1) + 0.5) AS BIGINT) + 1 THEN ts END) AS t1, max(CASE WHEN k = CAST(floor(0.85 * (n - 1) + 0.5) AS BIGINT) + 1 THEN ts END) AS t2 FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS k, count(*) OVER () AS n FROM ({r}))",
@@ -221,7 +318,7 @@ def oracles() -> dict[str, str]:
         "history_features": f"SELECT user_id, movie_id, ts, rating, round(user_mean, 6) AS user_mean, round(movie_mean, 6) AS movie_mean, user_count, movie_count FROM ({hist})",
         "event_history": f"SELECT user_id, max(c) AS most_before, count(DISTINCT t) AS seconds FROM (SELECT user_id, t, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)) GROUP BY user_id",
         "feature_matrix": f"SELECT * REPLACE ({rounded(['user_mean', 'movie_mean', 'log1p_movie_count'])}) FROM ({matrix})",
-        "point_history": f"WITH r AS MATERIALIZED ({r}), q AS (SELECT DISTINCT user_id, movie_id, ts AS asked_at FROM r WHERE line_id % 97 = 0) SELECT * REPLACE ({rounded(['user_mean', 'movie_mean'])}) FROM (SELECT user_id, movie_id, asked_at, {point('user_id', 'user')}, {point('movie_id', 'movie')} FROM q)",
+        "point_history": f"""WITH h AS ({hist}) SELECT DISTINCT user_id, movie_id, ts AS asked_at, round(user_mean, 6) AS user_mean, user_count, round(movie_mean, 6) AS movie_mean, movie_count FROM h""",
         "seen_unseen": f"SELECT CASE WHEN user_id IN (SELECT user_id FROM ({train})) THEN 1 ELSE 0 END AS user_seen, CASE WHEN movie_id IN (SELECT movie_id FROM ({train})) THEN 1 ELSE 0 END AS movie_seen, count(*) AS records, CAST(sum({lab}) AS BIGINT) AS positives FROM ({r}) WHERE ts > {R.t2} GROUP BY 1, 2",
         "movie_popularity_top_quartile": f"SELECT movie_id, pop FROM ({pop}) WHERE pop >= {cut_}",
         "user_profile": f"SELECT user_id, status, fit, {rounded(profile.BASE)} FROM ({prof})",
@@ -242,14 +339,21 @@ def oracles() -> dict[str, str]:
         "nearest_centroid": f"WITH vec AS MATERIALIZED ({vec}), c AS ({centre}) SELECT id, n.k AS cluster, round(n.d, 6) AS dist FROM (SELECT vec.id, min({{'d': list_distance(v, centre), 'k': c.cluster}}) AS n FROM vec CROSS JOIN c GROUP BY vec.id)",
         "eps_neighbours": f"WITH vec AS MATERIALIZED ({vec}) SELECT a.id, count(*) AS neighbours FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS} GROUP BY a.id",
         "dbscan_core_points": f"WITH vec AS MATERIALIZED ({vec}) SELECT a.id FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS} GROUP BY a.id HAVING count(*) >= {MIN_SAMPLES}",
-        "gnb_scores": f"""WITH x AS MATERIALIZED ({matrix}), f AS (SELECT {fits}, {widest} AS w, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM x WHERE split = 'train')
-            SELECT split, round(avg(score), 5) AS mean_score, round(min(score), 5) AS min_score, round(max(score), 5) AS max_score, count(*) AS records FROM (SELECT split, 1 / (1 + exp(({ll(0)}) - ({ll(1)}))) AS score FROM x, f) GROUP BY split""",
-        "threshold_scan": f"SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(rate, 6) AS rate FROM ({scan})",
-        "best_threshold": f"SELECT least(greatest(threshold, 1e-6), 1 - 1e-6) AS threshold, round(f1, 6) AS f1 FROM ({scan}) ORDER BY rate <= 1.1 * (SELECT avg(label) FROM ({scored})) DESC, round(f1, 12) DESC, threshold DESC LIMIT 1",
-        "confusion": f"SELECT {rates} FROM (SELECT {conf} FROM ({scored}))",
-        "strata_eval": f"SELECT stratum, {rates} FROM (SELECT stratum, {conf} FROM ({scored}) GROUP BY stratum)",
-        "roc_auc": f"SELECT round(sum(pos * (n - fp + neg / 2.0)) / (max(p) * max(n)), 6) AS roc_auc FROM ({by_score})",
-        "average_precision": f"SELECT round(sum(pos / p * tp / (tp + fp)), 6) AS average_precision FROM ({by_score})",
-        "pca_covariance": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round(covar_samp(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 8) AS cov FROM embeddings" for i in range(8) for j in range(i, 8)) + ")",
-        "knn_overlap": f"WITH vec AS MATERIALIZED ({vec}), h AS ({nearest('v', 10)}), l AS ({nearest('v[1:2]', 10)}) SELECT round(count(*) / 10.0 / (SELECT count(*) FROM vec), 6) AS agreement, round(10.0 / ((SELECT count(*) FROM vec) - 1), 6) AS baseline FROM h JOIN l USING (id, other)",
+        "gnb_scores": f"WITH {gnb} SELECT split, round(avg(score), 5) AS mean_score, round(min(score), 5) AS min_score, round(max(score), 5) AS max_score, count(*) AS records FROM sc GROUP BY split",
+        "missing_attributes": f"SELECT count(*) AS records, count(*) FILTER (WHERE has_attributes = 0) AS missing FROM ({matrix})",
+        "threshold_scan": f"WITH {gnb} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(rate, 6) AS rate FROM ({scan(scored)})",
+        "best_threshold": f"WITH {gnb} SELECT threshold, round(f1, 6) AS f1 FROM ({best_of(scored)})",
+        "frozen_threshold": f"""WITH {gnb}, b AS MATERIALIZED ({best_of("SELECT * FROM sc WHERE split = 'validate'")}) SELECT {rates}, threshold FROM (SELECT any_value(threshold) AS threshold, {conf.replace(str(THRESHOLD), 'threshold')} FROM ({scored}), b)""",
+        "confusion": f"WITH {gnb} SELECT {rates} FROM (SELECT {conf} FROM ({scored}))",
+        "strata_eval": f"WITH {gnb} " + " UNION ALL ".join(stratum(n, c) for n, c in (("user_seen_in_train", "user_seen = 1"), ("user_unseen_in_train", "user_seen = 0"), ("movie_seen_in_train", "movie_seen = 1"), ("movie_unseen_in_train", "movie_seen = 0"))),
+        "roc_auc": f"WITH {gnb} SELECT round(({roc(scored)}), 6) AS roc_auc",
+        "average_precision": f"WITH {gnb} SELECT round(({pr(scored)}), 6) AS average_precision",
+        "cluster_assignments": f"""WITH {users27}, c AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS k, v AS centre FROM uv WHERE fit = 1 QUALIFY row_number() OVER (ORDER BY id) <= 3),
+            n AS (SELECT uv.id, min({{'d': list_distance(v, centre), 'k': k}}) AS n FROM uv CROSS JOIN c WHERE v IS NOT NULL GROUP BY uv.id)
+            SELECT uv.id, n.n.k AS cluster, CASE WHEN v IS NULL THEN 'NO_TRAIN_HISTORY' WHEN fit = 1 THEN 'SUCCESS' ELSE 'ASSIGNED_FROM_FITTED_CENTROIDS' END AS status, CASE WHEN fit = 1 THEN 0 ELSE 1 END AS reliability_low, round(n.n.d, 4) AS dist FROM uv LEFT JOIN n USING (id)""",
+        "dbscan_labels": f"WITH RECURSIVE {dbscan} SELECT id, cluster, core FROM labels",
+        "dbscan_noise": f"WITH RECURSIVE {dbscan} SELECT count(*) AS points, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS clusters, count(*) FILTER (WHERE cluster < 0) AS noise, round(count(*) FILTER (WHERE cluster < 0) / count(*), 6) AS noise_ratio FROM labels",
+        "pca_covariance": """WITH e AS MATERIALIZED (SELECT vec_id, CAST(i AS INTEGER) - 1 AS i, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))
+            SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
+        "knn_overlap": f"WITH vec AS MATERIALIZED ({vec}), h AS ({nearest('v', 10)}), l AS ({nearest('list_transform(range(0, 8), lambda i: list_sum(v[i * 8 + 1:i * 8 + 8]) / 8)', 10)}) SELECT round(count(*) / 10.0 / (SELECT count(*) FROM vec), 6) AS agreement, round(10.0 / ((SELECT count(*) FROM vec) - 1), 6) AS baseline FROM h JOIN l USING (id, other)",
     }

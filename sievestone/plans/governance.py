@@ -27,9 +27,33 @@ def cleaned_lines(cleaned: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def before_and_after(lines: dict[str, DataFrame], rules: Rules) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Scores before cleaning, scores after it, and the cleaned rows."""
     cleaned = clean_all(lines, rules)
-    before = scores.scores(checks.all_metrics(*(lines[t] for t in TABLES), rules), rules)
-    after = scores.scores(checks.all_metrics(*(cleaned_lines(cleaned)[t] for t in TABLES), rules), rules)
-    return before, after, cleaned
+    sides = []
+    for one in (lines, cleaned_lines(cleaned)):
+        metrics = cut(checks.all_metrics(*(one[t] for t in TABLES), rules))
+        scores.checked(metrics)
+        sides.append(scores.scores(metrics, rules))
+    return sides[0], sides[1], cleaned
+
+
+def govern(lines: dict[str, DataFrame], rules: Rules) -> dict:
+    """A whole run: scores before and after, what changed, counts and reasons of cleaning, problems, and the cleaned rows.
+
+    Counters are gathered once each; scores of tables without rows are refused.
+    """
+    metrics = cut(checks.all_metrics(*(lines[t] for t in TABLES), rules))
+    scores.checked(metrics)
+    told = {t: cut(cleaning.dispositions(lines[t], t, rules)) for t in TABLES}
+    cleaned = {t: cut(cleaning.resolve(told[t], t, rules)) for t in TABLES}
+    later = cut(checks.all_metrics(*(df for df in cleaned_lines(cleaned).values()), rules))
+    scores.checked(later)
+    counts = cut(rollup_counts(cleaned))
+    total = counts.filter("tbl = 'total'").first().asDict()
+    before, after = scores.scores(metrics, rules), scores.scores(later, rules)
+    problems = scores.problems(metrics, total)
+    return {
+        "before": before, "after": after, "improvements": scores.improvements(before, after), "counts": counts, "reasons": cleaning.all_reasons(told),
+        "problems": problems, "unresolved": scores.problems(later, total).filter("unresolved = 1"), "by_action": scores.by_action(problems), "cleaned": cleaned,
+    }
 
 
 def rollup_counts(cleaned: dict[str, DataFrame]) -> DataFrame:
@@ -72,6 +96,12 @@ def _delta(spark, d):
     return scores.score_delta(before, after)
 
 
+def _problems(spark, d):
+    lines = _lines(spark, d)
+    counts = rollup_counts(clean_all(lines, R)).filter("tbl = 'total'").first().asDict()
+    return scores.problems(checks.all_metrics(*lines.values(), R), counts).drop("subject", "reason")
+
+
 def _tagged(t):
     return lambda spark, d: cleaning.clean(sample.lines(spark, d, t), t, R).select("tag", "reason", "record", "copies")
 
@@ -91,8 +121,10 @@ QUERIES = {
     "all_metrics": lambda spark, d: _metrics(spark, d).withColumn("value", F.round("value", 3)),
     "score_five_dims": lambda spark, d: scores.scores(_metrics(spark, d), R),
     "score_delta": _delta,
-    "problems_list": lambda spark, d: scores.problems(_metrics(spark, d)),
-    "problems_by_action": lambda spark, d: scores.by_action(scores.problems(_metrics(spark, d))),
+    "problems_list": _problems,
+    "problems_by_action": lambda spark, d: scores.by_action(_problems(spark, d)),
+    "improvements": lambda spark, d: scores.improvements(*before_and_after(_lines(spark, d), R)[:2]).select("dimension", "trend", "description"),
+    "reasons_rollup": lambda spark, d: cleaning.all_reasons({t: cleaning.dispositions(sample.lines(spark, d, t), t, R) for t in TABLES}),
     **{f"clean_tagged_{t}": _tagged(t) for t in TABLES},
     "clean_reasons": lambda spark, d: cleaning.reasons(cleaning.dispositions(sample.lines(spark, d, "ratings"), "ratings", R)),
     "clean_counts": lambda spark, d: rollup_counts({t: cleaning.clean(sample.lines(spark, d, t), t, R) for t in TABLES}),
@@ -100,7 +132,26 @@ QUERIES = {
     "clean_conflict_dim": lambda spark, d: cleaning.clean(sample.lines(spark, d, "movies"), "movies", R).filter("reason = 'conflict_resolved'").select("key", "record", "copies"),
 }
 
-# The oracles, built from common table expressions for DuckDB.
+# The oracles, built from common table expressions for DuckDB.  What scores and problems are made of is written out here once more,
+# so that a wrong row of the operators' tables shows.
+
+_ACCURATE = "ratings: r_uid_bad, r_mid_bad, r_rating_bad, r_ts_bad; movies: m_mid_bad, m_title_empty, m_year_missing + m_year_bad; users: u_uid_bad, u_gender_bad, u_age_bad, u_occ_bad, u_zip_bad"
+_REFERENCES = [("users_orphan_records", "ratings"), ("movies_orphan_records", "ratings")]
+_FORMS = [
+    ("movies_value_multi_violations", "movies"), ("users_attr_multi_violations", "users"), ("movies_m_genres_dup + movies_m_genres_emptyitem + movies_m_genres_unknown + movies_m_genres_empty", "movies"),
+    ("movies_m_title_space", "movies"), ("users_u_zip_bad", "users"),
+]
+_KEYS = {"ratings_pair_dup": ("ratings", [1, 2], []), "movies_movie_dup": ("movies", [1], []), "users_user_dup": ("users", [1], []), "movies_value_multi": ("movies", [1], [2, 3]), "users_attr_multi": ("users", [1], [2, 3, 4, 5])}
+_PROBLEM_ROWS = """
+    ('users_u_zip_bad', 'accurate', 'fix', 'low'), ('ratings_r_uid_bad', 'accurate', 'isolate', 'high'), ('ratings_r_mid_bad', 'accurate', 'isolate', 'high'), ('ratings_r_rating_bad', 'accurate', 'isolate', 'high'),
+    ('ratings_r_ts_bad', 'accurate', 'isolate', 'medium'), ('movies_m_mid_bad', 'accurate', 'isolate', 'high'), ('movies_m_title_empty', 'accurate', 'isolate', 'high'), ('movies_m_year_missing', 'accurate', 'keep', 'low'),
+    ('movies_m_year_bad', 'accurate', 'keep', 'low'), ('users_u_uid_bad', 'accurate', 'isolate', 'high'), ('users_u_gender_bad', 'accurate', 'isolate', 'low'), ('users_u_age_bad', 'accurate', 'isolate', 'low'),
+    ('users_u_occ_bad', 'accurate', 'isolate', 'low'), ('ratings_missing', 'complete', 'isolate', 'high'), ('movies_missing', 'complete', 'isolate', 'high'), ('users_missing', 'complete', 'isolate', 'high'),
+    ('ratings_pair_dup_violations', 'unique', 'dedupe', 'high'), ('movies_movie_dup_violations', 'unique', 'dedupe', 'high'), ('users_user_dup_violations', 'unique', 'dedupe', 'high'),
+    ('users_orphan_records', 'consistent', 'isolate', 'high'), ('movies_orphan_records', 'consistent', 'isolate', 'high'), ('movies_value_multi_violations', 'consistent', 'dedupe', 'high'),
+    ('users_attr_multi_violations', 'consistent', 'dedupe', 'medium'), ('movies_m_genres_dup', 'consistent', 'fix', 'low'), ('movies_m_genres_emptyitem', 'consistent', 'fix', 'low'),
+    ('movies_m_genres_unknown', 'consistent', 'isolate', 'low'), ('movies_m_genres_empty', 'consistent', 'isolate', 'low'), ('movies_m_title_space', 'consistent', 'fix', 'low'),
+    ('movies_m_title_nonascii', 'consistent', 'keep', 'info'), ('ratings_r_ts_bad', 'up_to_date', 'isolate', 'medium')"""
 
 _IN = lambda values: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -146,11 +197,11 @@ def _xref_sql(ratings: str, refs: str, i: int, prefix: str) -> str:
 
 
 def _key_sql(name: str, source: str) -> str:
-    _, _, keys, values, mode = next(c for c in checks.KEY_CHECKS if c[0] == name)
-    part = lambda places: "concat_ws('::', " + ", ".join(f"f[{i + 1}]" for i in places) + ")" if places else "''"
-    many = "count(*)" if mode == "dup" else "count(DISTINCT v)"
+    _, keys, values = _KEYS[name]
+    part = lambda places: "concat_ws('::', " + ", ".join(f"f[{i}]" for i in places) + ")" if places else "''"
+    many = "count(DISTINCT v)" if values else "count(*)"
     return f"""SELECT count(*) AS {name}_keys, count(*) FILTER (WHERE n > 1) AS {name}_violations FROM (SELECT k, {many} AS n FROM (SELECT {part(keys)} AS k, {part(values)} AS v
-        FROM (SELECT string_split(line, '::') AS f FROM ({source}) WHERE line <> '') WHERE len(f) > {max(*keys, *values, 0)}) WHERE k <> '' GROUP BY k)"""
+        FROM (SELECT string_split(line, '::') AS f FROM ({source}) WHERE line <> '') WHERE len(f) >= {max(keys + values)}) WHERE k <> '' GROUP BY k)"""
 
 
 def _fresh_sql(source: str, digits: int = 12) -> str:
@@ -162,7 +213,7 @@ def _fresh_sql(source: str, digits: int = 12) -> str:
 def _metric_parts(lines: dict[str, str]) -> list[str]:
     parts = [_check_sql(t, lines[t]) for t in TABLES]
     parts += [_xref_sql(lines["ratings"], lines["users"], 0, "users"), _xref_sql(lines["ratings"], lines["movies"], 1, "movies")]
-    parts += [_key_sql(name, lines[t]) for name, t, *_ in checks.KEY_CHECKS]
+    parts += [_key_sql(name, lines[t]) for name, (t, *_) in _KEYS.items()]
     return [*parts, _fresh_sql(lines["ratings"])]
 
 
@@ -172,14 +223,15 @@ def _metrics_sql(lines: dict[str, str]) -> str:
 
 def _scores_sql(lines: dict[str, str]) -> str:
     g = lambda n: f"m['{n}']"
-    mean = lambda items: "(" + " + ".join("(" + " + ".join(map(g, names)) + f") / {g(t + '_total')}" for names, t in items) + f") / {len(items)}.0"
+    mean = lambda items: "(" + " + ".join("(" + " + ".join(map(g, names.split(" + "))) + f") / {g(t + '_total')}" for names, t in items) + f") / {len(items)}.0"
+    accurate = [(" + ".join(f"{t}_{n}" for n in x.split(" + ")), t) for t, own in (part.split(": ") for part in _ACCURATE.split("; ")) for x in own.split(", ")]
     rows = "(m['ratings_total'] + m['movies_total'] + m['users_total'])"
     w = R.weights
     return f"""SELECT *, round(accurate * {w['accurate']} + complete * {w['complete']} + "unique" * {w['unique']} + up_to_date * {w['up_to_date']} + consistent * {w['consistent']}, 4) AS overall FROM (
-        SELECT round(100 * (1 - {mean(scores.ACCURACY)}), 4) AS accurate, round(100 * (1 - (m['ratings_missing'] + m['movies_missing'] + m['users_missing']) / {rows}), 4) AS complete,
+        SELECT round(100 * (1 - {mean(accurate)}), 4) AS accurate, round(100 * (1 - (m['ratings_missing'] + m['movies_missing'] + m['users_missing']) / {rows}), 4) AS complete,
         round(100 * (1 - (m['ratings_pair_dup_violations'] + m['movies_movie_dup_violations'] + m['users_user_dup_violations']) / {rows}), 4) AS "unique",
         round(round(100 * (1 - (m['ratings_total'] - m['ratings_d2_ok']) / m['ratings_total']), 4) * m['ratings_freshness_sum'] / m['ratings_freshness_n'], 4) AS up_to_date,
-        round(100 * (1 - ({mean(scores.REFERENCES)} + {mean(scores.FORMATS)}) / 2), 4) AS consistent
+        round(100 * (1 - ({mean(_REFERENCES)} + {mean(_FORMS)}) / 2), 4) AS consistent
         FROM (SELECT map_from_entries(list(row(metric, value))) AS m FROM ({_metrics_sql(lines)})))"""
 
 
@@ -235,17 +287,18 @@ def _clean_sql(t: str, source: str) -> str:
 
 def _counts_sql(t: str, source: str) -> str:
     conflict = "reason IN ('conflict_isolated', 'conflict_resolved')"
-    return f"""SELECT '{t}' AS tbl, {', '.join(f"count(*) FILTER (WHERE tag = '{x}') AS {x}_count" for x in ('clean', 'fixed', 'conflict', 'isolated'))}, CAST(sum(copies) - count(*) AS BIGINT) AS deduped_count, count(DISTINCT CASE WHEN {conflict} THEN key END) AS conflict_key_count,
+    return f"""SELECT '{t}' AS tbl, {', '.join(f"count(*) FILTER (WHERE tag = '{x}') AS {x}_count" for x in ('clean', 'fixed', 'conflict', 'isolated'))}, count(*) FILTER (WHERE tag NOT IN ('clean', 'fixed', 'conflict', 'isolated')) AS unknown_count, CAST(sum(copies) - count(*) AS BIGINT) AS deduped_count, count(DISTINCT CASE WHEN {conflict} THEN key END) AS conflict_key_count,
         CAST(coalesce(sum(copies) FILTER (WHERE {conflict}), 0) AS BIGINT) AS conflict_record_count, CAST(sum(copies) AS BIGINT) AS total_input_count, count(*) AS total_count FROM ({_clean_sql(t, source)})"""
 
 
 def oracles() -> dict[str, str]:
     lines = {t: sample.duck(sample.LINES[t]) for t in TABLES}
     after = {t: f"SELECT record AS line FROM ({_clean_sql(t, lines[t])}) WHERE tag <> 'isolated'" for t in TABLES}
-    names = ("clean_count", "fixed_count", "conflict_count", "isolated_count", "deduped_count", "conflict_key_count", "conflict_record_count", "total_input_count", "total_count")
+    names = ("clean_count", "fixed_count", "conflict_count", "isolated_count", "unknown_count", "deduped_count", "conflict_key_count", "conflict_record_count", "total_input_count", "total_count")
     each = " UNION ALL ".join(_counts_sql(t, lines[t]) for t in TABLES)
-    problems = ", ".join(f"('{c}', '{d}', '{a}', '{s}')" for c, d, a, s in scores.PROBLEMS)
-    found = f"SELECT p.code, p.dimension, p.action, p.severity, CAST(m.value AS BIGINT) AS count, CASE p.action WHEN 'keep' THEN 0 ELSE 1 END AS unresolved FROM ({_metrics_sql(lines)}) m JOIN (VALUES {problems}) p(code, dimension, action, severity) ON m.metric = p.code WHERE m.value > 0"
+    found = f"""SELECT p.code, p.dimension, p.action, p.severity, CAST(m.value AS BIGINT) AS count, CASE p.action WHEN 'keep' THEN 0 ELSE 1 END AS unresolved FROM ({_metrics_sql(lines)}) m
+        JOIN (VALUES {_PROBLEM_ROWS}) p(code, dimension, action, severity) ON m.metric = p.code WHERE m.value > 0
+        UNION ALL SELECT 'clean_conflict_keys', 'consistent', 'dedupe', 'medium', CAST(sum(conflict_key_count) AS BIGINT), 1 FROM ({each}) HAVING sum(conflict_key_count) > 0"""
     dims = "accurate, complete, \"unique\", up_to_date, consistent"
     delta = f"""SELECT b.dimension, b.v AS before, a.v AS after, round(a.v - b.v, 4) AS change, CASE WHEN abs(round(a.v - b.v, 4)) < 1e-9 THEN 'same' WHEN a.v > b.v THEN 'up' WHEN a.v < b.v THEN 'down' END AS trend
         FROM (UNPIVOT (SELECT {dims} FROM ({_scores_sql(lines)})) ON COLUMNS(*) INTO NAME dimension VALUE v) b JOIN (UNPIVOT (SELECT {dims} FROM ({_scores_sql(after)})) ON COLUMNS(*) INTO NAME dimension VALUE v) a USING (dimension)"""
@@ -265,6 +318,10 @@ def oracles() -> dict[str, str]:
         "score_five_dims": _scores_sql(lines),
         "score_delta": delta,
         "problems_list": found,
+        "improvements": f"""SELECT dimension, trend, CASE trend WHEN 'same' THEN dimension || ' stayed at ' || printf('%.4f', before) ELSE dimension || CASE trend WHEN 'up' THEN ' rose from ' ELSE ' fell from ' END || printf('%.4f', before) || ' to ' || printf('%.4f', after) || ', by ' || printf('%.4f', change) END AS description
+            FROM ({delta}) WHERE change IS NOT NULL""",
+        "reasons_rollup": " UNION ALL ".join(f"SELECT '{t}' AS tbl, reason, count(*) AS count FROM ({_judged_sql(t, lines[t])}) GROUP BY reason" for t in TABLES)
+        + " UNION ALL SELECT 'total', reason, count(*) FROM (" + " UNION ALL ".join(f"SELECT reason FROM ({_judged_sql(t, lines[t])})" for t in TABLES) + ") GROUP BY reason",
         "problems_by_action": f"SELECT action, CAST(sum(count) AS BIGINT) AS count FROM ({found}) GROUP BY action",
         **{f"clean_tagged_{t}": f"SELECT tag, reason, record, copies FROM ({_clean_sql(t, lines[t])})" for t in TABLES},
         "clean_reasons": f"SELECT reason, count(*) AS count FROM ({_judged_sql('ratings', lines['ratings'])}) GROUP BY reason",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field, fields, replace
 
 #: Fixed values of the data model: genres, age codes and what a needless last field holds.
@@ -21,6 +22,8 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Rules:
+    """Fixed values are the defaults of the data model: bounds, times, marks and weights."""
+
     separator: str = "::"
     other_separators: tuple = (",", "|", ":")
     extra_field: str = "EXTRA_FIELD"
@@ -53,16 +56,71 @@ class Rules:
 
     @classmethod
     def load(cls, path: str) -> Rules:
-        """Rules of a JSON object; keys that start with '_' are comments, others must be fields."""
+        """Rules of a JSON object: by the names of this class, or nested in the sections of NESTED.
+
+        Keys that start with '_' are comments, and so are keys of sections that name nothing here; at the top, unknown names
+        are refused.  A policy, weight or domain that isn't told keeps its default.
+        """
         try:
             with open(path, encoding="utf-8") as f:
-                given = {k: v for k, v in json.load(f).items() if not k.startswith("_")}
+                given = _told(json.load(f))
         except (OSError, ValueError) as e:
             raise RuleError(f"no usable rules at {path}: {e}") from e
-        names = {f.name for f in fields(cls)}
-        if unknown := set(given) - names:
+        if not isinstance(given, dict):
+            raise RuleError(f"the rules at {path} are no object")
+        names, sections = {f.name for f in fields(cls)}, {x[0] for x in NESTED} | {x[1] for x in BOUNDS}
+        if unknown := set(given) - names - sections - TOLD:
             raise RuleError(f"unknown rules: {sorted(unknown)}")
-        return replace(cls(), **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+        found = {k: v for k, v in given.items() if k in names and not (k in sections and isinstance(v, dict))}
+        for section, key, name in NESTED:
+            if isinstance(part := given.get(section), dict) and key in part:
+                found[name] = part[key]
+        for name, section, low, high in BOUNDS:
+            if isinstance(part := given.get(section), dict) and low in part and high in part:
+                found[name] = [int(part[low]), int(part[high])]
+        for table, name in (("users", "user_domain"), ("movies", "movie_domain")):
+            if bounds := (given.get("id_domains") or {}).get(table):
+                found[name] = [int(bounds["min"]), int(bounds["max"])]
+        for name in ("weights", "conflict_policy"):
+            if name in given:
+                found[name] = {k: v for k, v in given[name].items() if k in getattr(cls(), name)} if name == "conflict_policy" else given[name]
+        if isinstance(found.get("extra_field"), list):
+            if len(found["extra_field"]) != 1:
+                raise RuleError("one mark of a needless field is needed")
+            found["extra_field"] = found["extra_field"][0]
+        return replace(cls(), **{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
+
+    @classmethod
+    def resolve(cls, path: str | None = None, candidates: tuple = ()) -> Rules:
+        """The rules at a given path, else at that of the environment's SIEVESTONE_RULES, else at the first candidate that exists.
+
+        A path that is named but isn't there is refused, and so is finding none: rules are never guessed.
+        """
+        named = path or os.environ.get("SIEVESTONE_RULES")
+        if named:
+            return cls.load(named)
+        for c in candidates:
+            if os.path.exists(c):
+                return cls.load(c)
+        raise RuleError("no rules were named")
+
+
+def _told(value):
+    """Without the keys that are comments."""
+    if isinstance(value, dict):
+        return {k: _told(v) for k, v in value.items() if not k.startswith("_")}
+    return value
+
+
+#: Sections of a nested rule file, their keys, and the rules that they set; ...
+NESTED = (
+    ("time", "T1_epoch", "t1"), ("time", "T2_epoch", "t2"), ("parsing", "canonical_separator", "separator"), ("parsing", "tolerated_separators", "other_separators"), ("parsing", "extra_field_markers", "extra_field"), ("genres", "valid", "genres"),
+    ("users", "valid_gender", "genders"), ("users", "valid_age", "ages"), ("users", "occupation_max", "max_occupation"), ("ratings", "timestamp_ms_threshold", "ms_above"),
+)
+#: ... bounds: the rule, its section, and the keys of both ends; ...
+BOUNDS = (("year_bounds", "movies", "title_year_min", "title_year_max"), ("rating_bounds", "ratings", "rating_min", "rating_max"), ("ts_bounds", "ratings", "timestamp_min", "timestamp_max"))
+#: ... and what such a file may tell besides.
+TOLD = frozenset(("rule_version", "input_version", "output_version", "data_version", "required_fields", "unique_keys", "consistency_keys", "id_domains", "output"))
 
 
 #: The rules under which the driver's tables are looked at as ratings, movies and users.

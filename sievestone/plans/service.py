@@ -19,7 +19,12 @@ from dataclasses import dataclass, field
 from sievestone.plans.rules import DIMENSIONS
 
 #: The error codes of the interface.
-CODES = ("INVALID_REQUEST", "DATA_NOT_FOUND", "INVALID_DATA_VERSION", "INVALID_RULE_VERSION", "QUALITY_SCORE_ERROR", "AGENT_EXECUTION_ERROR", "INTERNAL_ERROR", "DATA_UNAVAILABLE", "VERSION_MISMATCH", "UNKNOWN_USER", "UNKNOWN_MOVIE", "INSUFFICIENT_HISTORY", "MODEL_NOT_FOUND", "INVALID_PARAMETER", "ALGORITHM_ERROR")
+CODES = ("INVALID_REQUEST", "DATA_NOT_FOUND", "INVALID_DATA_VERSION", "INVALID_RULE_VERSION", "HADOOP_EXECUTION_ERROR", "QUALITY_SCORE_ERROR", "AGENT_EXECUTION_ERROR", "INTERNAL_ERROR", "DATA_UNAVAILABLE", "VERSION_MISMATCH", "UNKNOWN_USER", "UNKNOWN_MOVIE", "INSUFFICIENT_HISTORY", "MODEL_NOT_FOUND", "INVALID_PARAMETER", "ALGORITHM_ERROR")
+#: The code of the first interface that stands for a later one.
+LEGACY = {
+    "INVALID_REQUEST": "INVALID_REQUEST", "INVALID_PARAMETER": "INVALID_REQUEST", "DATA_UNAVAILABLE": "DATA_NOT_FOUND", "VERSION_MISMATCH": "INVALID_DATA_VERSION", "UNKNOWN_USER": "INVALID_REQUEST",
+    "UNKNOWN_MOVIE": "INVALID_REQUEST", "INSUFFICIENT_HISTORY": "INVALID_REQUEST", "MODEL_NOT_FOUND": "DATA_NOT_FOUND", "ALGORITHM_ERROR": "AGENT_EXECUTION_ERROR", "INTERNAL_ERROR": "INTERNAL_ERROR",
+}
 #: Words of a request that ask for no cleaning, for cleaning, or for a dimension.
 ONLY_SCORE = ("不清洗", "不要清洗", "无需清洗", "不用清洗", "别清洗", "先不清洗", "只评估", "仅评估", "只评分", "只打分", "仅评分", "只要评分", "只跑评分", "evaluate only", "before only", "score only", "evaluate-only", "before-only", "score-only")
 CLEANING = ("清洗", "治理", "清理", "去重", "隔离", "修复", "规范化", "clean")
@@ -43,8 +48,9 @@ class TaskError(Exception):
         super().__init__(message)
         self.code, self.detail = code, detail
 
-    def as_dict(self) -> dict:
-        return {"code": self.code, "message": str(self), **({"detail": self.detail} if self.detail else {})}
+    def as_dict(self, legacy: bool = False) -> dict:
+        code = LEGACY.get(self.code, self.code) if legacy else self.code
+        return {"code": code, "message": str(self), **({"detail": self.detail} if self.detail else {})}
 
 
 def governance_plan(prompt: str | None, data_version: str | None = None, rule_version: str | None = None) -> dict:

@@ -1,0 +1,174 @@
+"""The tools that the service runs, over one workspace of tables: each gives an envelope with the same keys."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievestone.operators import profile
+from sievestone.plans import clusters, learning
+from sievestone.plans.rules import Rules
+from sievestone.plans.service import Registry, TaskError, fingerprint, user_ids
+from sievestone.session import written
+from sievestone.sources import artefacts
+
+#: Users in a report that names no users.
+SHOWN = 50
+
+
+@dataclass
+class Workspace:
+    """Cleaned tables (ratings, movies, users), their rules and version, and the folder that models are kept in."""
+
+    spark: SparkSession
+    tables: dict[str, DataFrame]
+    rules: Rules
+    folder: str
+    data_version: str
+    min_ratings: int = 20
+    notes: list = field(default_factory=list)
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """The users' profile, written once."""
+        t = self.tables
+        return written(profile.profile(t["ratings"], t["movies"], t["users"], self.rules, self.min_ratings))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return written(clusters.user_vectors(self.profile, self.rules))
+
+    @cached_property
+    def orphans(self) -> int:
+        """Raters of the train period that are no users."""
+        return profile.orphans(self.tables["ratings"], self.tables["users"], self.rules).count()
+
+    def save_profile(self, version: str | None = None) -> str:
+        """The version under which the profile and its scaler were saved."""
+        version = version or artefacts.next_version(artefacts.versions(self.spark, self.folder, "profile"))
+        names = profile.names(self.rules)
+        meta = {"data_version": self.data_version, "features": names, "scaler": profile.scaler(self.profile, names), "min_ratings": self.min_ratings, "t1": self.rules.t1, "orphans": self.orphans}
+        artefacts.save(self.spark, self.folder, "profile", version, meta, {"users": self.profile})
+        return version
+
+    def load_profile(self, version: str | None = None) -> DataFrame:
+        """A saved profile of the same data."""
+        _, path = artefacts.load(self.spark, self.folder, "profile", version, data_version=self.data_version)
+        return artefacts.tables_of(self.spark, path, "users")
+
+
+def _rows(df: DataFrame, asked: list[int] | None, **names: str) -> list[dict]:
+    """The rows of the users that were asked for, or the first SHOWN by id."""
+    rows = df.orderBy("id").limit(len(set(asked)) if asked else SHOWN).collect()
+    return [{names.get(k, k): v for k, v in r.asDict().items()} for r in rows]
+
+
+def _envelope(space: Workspace, result: dict, category: str, asked: list[int] | None, **more) -> dict:
+    limits = [f"{space.orphans} raters of the train period are no users and take no part."] if space.orphans else []
+    limits += [f"Unknown users got nothing: {result['unknown_users']}."] if result.get("unknown_users") else []
+    core = {"category": category, "algorithm": result["algorithm"], "parameters": result.get("parameters"), "metrics": result["metrics"], "data_version": space.data_version, "t1": space.rules.t1, "t2": space.rules.t2, **more}
+    return {**core, "unknown_users": result.get("unknown_users", []), "limits": limits, "model_version": fingerprint("mdl", [core["algorithm"], core["parameters"], core["data_version"], core["t1"]], 10)}
+
+
+def _summaries(space: Workspace, labels: DataFrame) -> list[dict]:
+    """What the clusters of the users that fit are like, whoever was asked for."""
+    own = labels.withColumnRenamed("id", "user_id")
+    movies = {}
+    for r in profile.representative_movies(own, space.tables["ratings"], space.tables["movies"], space.rules).orderBy("cluster", "rank").collect():
+        movies.setdefault(r["cluster"], []).append({"movie_id": r["movie_id"], "title": r["title"], "votes": r["votes"]})
+    return [{**r.asDict(), "representative_movies": movies.get(r["cluster"], [])} for r in profile.cluster_summary(own, space.profile, space.rules).orderBy("cluster").collect()]
+
+
+def _asked(plan: dict) -> list[int] | None:
+    return user_ids(plan["user_ids"]) if plan.get("user_ids") else None
+
+
+TOOLS = Registry()
+
+
+@TOOLS.add("clustering_kmeans")
+def kmeans_tool(space: Workspace, plan: dict) -> dict:
+    asked, given = _asked(plan), (plan.get("parameters") or {}).get("kmeans", {})
+    r = clusters.kmeans_run(space.users, given.get("k"), asked, given.get("seed", 42), given.get("max_iter", 100))
+    return _envelope(space, r, "clustering", asked, candidates=r["candidates"], assignments=_rows(r["assignments"], asked, id="user_id"), clusters=_summaries(space, r["labels"]))
+
+
+@TOOLS.add("clustering_dbscan")
+def dbscan_tool(space: Workspace, plan: dict) -> dict:
+    asked, given = _asked(plan), (plan.get("parameters") or {}).get("dbscan", {})
+    r = clusters.dbscan_run(space.users, given.get("eps"), given.get("min_samples", 15), asked)
+    return _envelope(space, r, "clustering", asked, assignments=_rows(r["assignments"], asked, id="user_id"), clusters=_summaries(space, r["labels"]))
+
+
+def _reduction(space: Workspace, plan: dict, method: str, **given) -> dict:
+    asked = _asked(plan)
+    r = clusters.reduction_run(space.users, profile.names(space.rules), method, asked, **given)
+    shown = lambda df: [{"user_id": x["id"], "coordinates": list(x["v"])} for x in df.select("id", "v").orderBy("id").limit(len(set(asked)) if asked else SHOWN).collect()]
+    return _envelope(space, r, "dimensionality_reduction", asked, coordinates=shown(r["coordinates"]), projected=shown(r["projected"]) if "projected" in r else [], loadings=r.get("loadings"), comparison=r["comparison"])
+
+
+@TOOLS.add("dimensionality_reduction_pca")
+def pca_tool(space: Workspace, plan: dict) -> dict:
+    given = (plan.get("parameters") or {}).get("pca", {})
+    return _reduction(space, plan, "pca", dims=given.get("target_dimensions", 2))
+
+
+@TOOLS.add("dimensionality_reduction_tsne")
+def tsne_tool(space: Workspace, plan: dict) -> dict:
+    given = (plan.get("parameters") or {}).get("tsne", {})
+    return _reduction(space, plan, "tsne", perplexity=given.get("perplexity", 30.0), rounds=given.get("n_iter", 500))
+
+
+def _classification(space: Workspace, plan: dict, kind: str) -> dict:
+    target = plan.get("target") or {}
+    if not {"user_id", "movie_id"} <= set(target):
+        raise TaskError("INVALID_REQUEST", "classification takes a user and a movie")
+    r = learning.classify_one(space.spark, space.folder, space.tables, space.rules, target["user_id"], target["movie_id"], target.get("prediction_time"), kind)["results"][0]
+    return _envelope(space, {"algorithm": kind, "parameters": r["settings"], "metrics": r["test"]}, "classification", None, target=target, prediction=r)
+
+
+@TOOLS.add("classification_gnb")
+def gnb_tool(space: Workspace, plan: dict) -> dict:
+    return _classification(space, plan, "gnb")
+
+
+@TOOLS.add("classification_cart")
+def cart_tool(space: Workspace, plan: dict) -> dict:
+    return _classification(space, plan, "cart")
+
+
+def run_plan(space: Workspace, plan: dict) -> dict:
+    """The results of a routed plan's algorithms.  One that fails leaves its error; the task fails where all do."""
+    results, errors = {}, {}
+    for algorithm in plan["algorithms"]:
+        try:
+            results[algorithm] = TOOLS.run(f"{plan['category']}_{algorithm}", space, plan)
+        except TaskError as e:
+            errors[algorithm] = e.as_dict()
+    if not results:
+        first = next(iter(errors.values()))
+        raise TaskError(first["code"], first["message"])
+    return {"category": plan["category"], "results": results, "errors": errors or None, "notes": plan.get("notes", [])}
+
+
+def save_result(space: Workspace, name: str, envelope: dict, version: str | None = None) -> str:
+    """The version under which an envelope was saved, with a report in Markdown."""
+    kind = f"result_{name}"
+    version = version or artefacts.next_version(artefacts.versions(space.spark, space.folder, kind))
+    lines = [f"# {name} {version}", "", f"Data {space.data_version}, t1 {space.rules.t1}, t2 {space.rules.t2}, model {envelope['model_version']}.", "", "| Measure | Value |", "| --- | --- |"]
+    lines += [f"| {k} | {'—' if v is None else v} |" for k, v in (envelope["metrics"] or {}).items()]
+    lines += ["", *(f"* {x}" for x in envelope["limits"]), ""]
+    artefacts.save(space.spark, space.folder, kind, version, {"envelope": envelope}, reports={"report.md": "\n".join(lines)})
+    return version
+
+
+def workspace(spark: SparkSession, ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules, folder: str, data_version: str, **more) -> Workspace:
+    """A workspace over tables as sources/files.py types them, or with genres joined by | and text columns age and occup."""
+    if dict(movies.dtypes)["genres"].startswith("array"):
+        movies = movies.withColumn("genres", F.array_join("genres", "|"))
+    if "occupation" in users.columns:
+        users = users.select("user_id", "gender", F.col("age").cast("string").alias("age"), F.col("occupation").cast("string").alias("occup"), "zipcode")
+    return Workspace(spark, {"ratings": written(ratings), "movies": written(movies), "users": written(users)}, rules, folder, data_version, **more)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -29,12 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than one in so many rows is joined by broadcast: there are at most so many of them.
+HOT = 1000
+
+
+class NoSharedFolder(RuntimeError):
+    """A cluster without spark.checkpoint.dir: executors couldn't read what others wrote."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a local session only, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("sievestone.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sievestone-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("sievestone.checkpoint.dir", found)
@@ -43,6 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANED: set = set()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the gateway may be gone already
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read again: lineage ends here and lost executors lose nothing.
 
@@ -50,22 +74,31 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievestone-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the gateway may be gone already
-            pass
-
     df.write.parquet(path)
-    atexit.register(drop)
+    atexit.register(_drop, spark, path)
     return spark.read.parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a reliable checkpoint; for small frames inside loops."""
-    shared_dir(df.sparkSession)
+    """The frame with its lineage cut by a reliable checkpoint; for small frames inside loops.
+
+    The checkpoints' folder goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if spark.sparkContext not in _CLEANED:
+        _CLEANED.add(spark.sparkContext)
+        atexit.register(_drop, spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """`rows` joined to the one row of `keyed` for their key, whose column `count` tells how many of the `total` rows have it.
+
+    Keys that more than one in HOT rows have are joined by broadcast (HOT of them at most); the others
+    by a shuffle, in which no key is large.
+    """
+    cutoff, keys = max(total // HOT, 1), [key] if isinstance(key, str) else key
+    often = F.broadcast(keyed.filter(F.col(count) > cutoff).drop(count))
+    seldom = keyed.filter(F.col(count) <= cutoff).drop(count)
+    return rows.join(often, key).unionByName(rows.join(often.select(*keys), key, "left_anti").join(seldom, key))

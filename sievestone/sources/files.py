@@ -54,12 +54,17 @@ def typed(lines: DataFrame, table: str, rules: Rules, strict: bool = False) -> D
     return f.filter(fine).select(*out)
 
 
+def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
+    """A text file in ISO-8859-1; characters beyond it become question marks."""
+    lines.select(F.encode(F.regexp_replace(column, r"[^\x00-\xFF]", "?"), "ISO-8859-1").cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_cleaned(parts: dict[str, DataFrame], folder: str, table: str) -> None:
     """The clean records and the isolated ones as text, the audit as tab-separated text."""
-    bytes_of = lambda c: F.encode(c, "ISO-8859-1").cast("string").alias("value")  # noqa: E731  the text sink writes a string's bytes as they are
-    parts["clean"].select(bytes_of("record")).write.mode("overwrite").text(f"{folder}/clean/{table}.dat")
-    parts["isolated"].select(bytes_of("record")).write.mode("overwrite").text(f"{folder}/isolated/{table}.dat")
-    parts["audit"].select(bytes_of(F.concat_ws("\t", "tag", "reason", "record"))).write.mode("overwrite").text(f"{folder}/audit/{table}.tsv")
+    # The text sink writes a string's bytes as they are.
+    write_lines(parts["clean"], f"{folder}/clean/{table}.dat", "record")
+    write_lines(parts["isolated"], f"{folder}/isolated/{table}.dat", "record")
+    write_lines(parts["audit"].select(F.concat_ws("\t", "tag", "reason", "record").alias("line")), f"{folder}/audit/{table}.tsv")
 
 
 def fingerprint(df: DataFrame) -> tuple[int, str]:

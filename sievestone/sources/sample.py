@@ -58,6 +58,17 @@ SELECT CASE dirt WHEN 0 THEN concat(u, '::', gender, '::', age, '::', occup, '::
 UNION ALL SELECT concat(u, '::', gender, '::50::', occup, '::', zipcode) AS line FROM s WHERE dirt = 6
 UNION ALL SELECT concat(u, '::', gender, '::', age, '::', occup, '::', zipcode) AS line FROM s WHERE dirt = 7"""
 
+
+
+def one_pass(sql: str) -> str:
+    """The lines for Spark: each row's first line and those that conditions add to it, from one pass over the rows."""
+    head, rest = sql.split("\nSELECT CASE dirt", 1)
+    first, *more = rest.split("\nUNION ALL SELECT ")
+    lines = ["CASE dirt" + first.removesuffix(" AS line FROM s")]
+    lines += [f"CASE WHEN {condition} THEN {line} END" for line, condition in (part.split(" AS line FROM s WHERE ") for part in more)]
+    return f"{head}\nSELECT line FROM (SELECT explode(array({', '.join(lines)})) AS line FROM s) WHERE line IS NOT NULL"
+
+
 LINES = {"ratings": RATING_LINES, "movies": MOVIE_LINES, "users": USER_LINES}
 ROWS = {"ratings": RATINGS, "movies": MOVIES, "users": USERS}
 
@@ -73,7 +84,7 @@ def duck(sql: str) -> str:
 
 
 def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return view(spark, sf_dir, LINES[name])
+    return view(spark, sf_dir, one_pass(LINES[name]))
 
 
 def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

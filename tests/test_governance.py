@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +173,99 @@ def test_before_and_after(spark):
     assert a.accurate > b.accurate and a.complete == 100.0
     total = governance.rollup_counts(cleaned).filter("tbl = 'total'").first()
     assert total.total_input_count == total.total_count + total.deduped_count == sum(len(c) for c in (RATING_CASES, MOVIE_CASES, USER_CASES))
+
+
+def test_nested_rules(tmp_path, monkeypatch):
+    """The sections of a nested file set the rules that they name; comments count nowhere, unknown names are refused."""
+    path = tmp_path / "rules.json"
+    nested = {
+        "_comment": "x", "rule_version": "r", "time": {"_note": "y", "T1_epoch": 100, "T2_epoch": 200, "T1": "2000-01-01"}, "parsing": {"canonical_separator": "##", "tolerated_separators": [";"], "extra_field_markers": ["MORE"]},
+        "genres": {"valid": ["Drama", "War"]}, "users": {"valid_gender": ["X"], "valid_age": ["1"], "occupation_max": 3}, "movies": {"title_year_min": 1950, "title_year_max": 1999}, "ratings": {"rating_min": 0, "rating_max": 9, "timestamp_min": 1, "timestamp_max": 300, "timestamp_ms_threshold": 1000},
+        "id_domains": {"_c": "", "users": {"min": 1, "max": 5}, "movies": {"min": 2, "max": 6}}, "conflict_policy": {"_c": "", "movies": "isolate", "ratings": "isolate", "users": "keep_best", "_more": 1}, "weights": {"_c": "", "accurate": 0.2, "complete": 0.2, "unique": 0.2, "up_to_date": 0.2, "consistent": 0.2},
+    }
+    path.write_text(json.dumps(nested))
+    r = Rules.load(str(path))
+    assert (r.t1, r.t2, r.separator, r.other_separators, r.extra_field, r.genres, r.genders, r.ages, r.max_occupation) == (100, 200, "##", (";",), "MORE", ("Drama", "War"), ("X",), ("1",), 3)
+    assert (r.year_bounds, r.rating_bounds, r.ts_bounds, r.ms_above, r.user_domain, r.movie_domain) == ((1950, 1999), (0, 9), (1, 300), 1000, (1, 5), (2, 6))
+    assert r.conflict_policy["movies"] == "isolate" and r.weights["unique"] == 0.2
+    path.write_text(json.dumps(nested | {"colour": 1}))
+    with pytest.raises(RuleError):
+        Rules.load(str(path))
+    path.write_text(json.dumps({"genres": ["Drama"], "t1": 5}))
+    assert Rules.resolve(None, (str(tmp_path / "none.json"), str(path))).genres == ("Drama",)
+    monkeypatch.setenv("SIEVESTONE_RULES", str(tmp_path / "none.json"))
+    with pytest.raises(RuleError):
+        Rules.resolve(None, (str(path),))
+    monkeypatch.delenv("SIEVESTONE_RULES")
+    with pytest.raises(RuleError):
+        Rules.resolve()
+
+
+def metrics(spark, **values):
+    return spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
+
+
+def test_problems_and_guards(spark):
+    m = metrics(spark, ratings_total=5, movies_total=5, users_total=5, users_u_zip_bad=2, movies_m_year_bad=1, ratings_r_ts_bad=3, users_missing=0)
+    found = {(r.code, r.dimension): r for r in scores.problems(m, {"conflict_key_count": 4, "conflict_record_count": 9, "conflict_count": 4}).collect()}
+    assert set(found) == {("users_u_zip_bad", "accurate"), ("movies_m_year_bad", "accurate"), ("ratings_r_ts_bad", "accurate"), ("ratings_r_ts_bad", "up_to_date"), ("clean_conflict_keys", "consistent")}
+    assert found["movies_m_year_bad", "accurate"].unresolved == 0 and found["users_u_zip_bad", "accurate"].action == "fix"
+    conflict = found["clean_conflict_keys", "consistent"]
+    assert conflict["count"] == 4 and conflict.unresolved == 1 and "9 records" in conflict.reason and all(r.subject and r.reason for r in found.values())
+    assert scores.problems(m, {"conflict_key_count": 0}).count() == 4
+    assert scores.checked(m)["users_u_zip_bad"] == 2
+    for bad in (m.filter("metric <> 'users_total'"), metrics(spark, ratings_total=1, movies_total=0, users_total=1), m.union(m.limit(1))):
+        with pytest.raises(scores.QualityError):
+            scores.checked(bad)
+
+
+def test_a_whole_run(spark):
+    tables = {
+        "ratings": lines(spark, f"1::10::5::{TS}", f"1::10::5::{TS}", f"2::10::4::{TS}", f"2::10::3::{TS}", f"3::99::5::{TS}", "1::10::9::1"),
+        "movies": lines(spark, "10::A (1990)::Drama", "10::B (1991)::Drama", "11::C (1950)::War"), "users": lines(spark, "1::M::25::7::12345-6789", "2::F::1::3::12345", "2::F::18::3::12345"),
+    }
+    out = governance.govern(tables, RULES)
+    counts = {r.tbl: r for r in out["counts"].collect()}
+    assert counts["total"].conflict_key_count == 3 and counts["total"].unknown_count == 0 and counts["ratings"].deduped_count == 1
+    reasons = {(r.tbl, r.reason): r["count"] for r in out["reasons"].collect()}
+    assert reasons["ratings", "rating_out_of_range"] == 1 == reasons["total", "zip4_truncated"] and reasons["total", "ok"] == sum(v for (t, k), v in reasons.items() if k == "ok" and t != "total")
+    assert "clean_conflict_keys" in {r.code for r in out["unresolved"].collect()} and out["before"].first().accurate < out["after"].first().accurate
+    told = {r.dimension: r for r in out["improvements"].collect()}
+    assert told["accurate"].trend == "up" and told["accurate"].description.startswith("accurate rose from ")
+    assert {r.action: r["count"] for r in out["by_action"].collect()}["dedupe"] >= 3
+    with pytest.raises(scores.QualityError):
+        governance.govern(tables | {"users": lines(spark, "")}, RULES)
+
+
+def test_numbers(spark):
+    row = spark.range(1).select(
+        T.rounded(F.lit(0.125), 2).alias("even"), T.rounded(F.lit(2.675), 2).alias("below"), T.rounded(F.lit(None).cast("double")).alias("none"),
+        T.placed(F.lit(3.0), F.lit(1.0), F.lit(5.0)).alias("middle"), T.placed(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("same"),
+        T.finite(F.lit(1.0), F.lit(2.0)).alias("fine"), T.finite(F.lit(1.0), F.lit(float("nan"))).alias("nan"), T.finite(F.lit(None).cast("double")).alias("null"),
+    ).first()
+    assert (row.even, row.below, row.none, row.middle, row.same, row.fine, row.nan, row.null) == (round(0.125, 2), round(2.675, 2), None, 0.5, 0.5, True, False, False)
+
+
+def test_rounding_is_that_of_python(spark):
+    rng = random.Random(4)
+    numbers = [rng.uniform(-200, 200) for _ in range(300)] + [rng.randrange(10**6) / 2e4 for _ in range(300)] + [k / 32 for k in range(-50, 50)] + [0.0, -0.0, 1e-12]
+    out = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", T.rounded(F.col("x")).alias("y")).collect()
+    assert all(r.y == round(r.x, 4) for r in out)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sievestone import __main__ as cli
+
+    rng = random.Random(2)
+    rows = [f"{u}::{m}::{rng.randint(1, 5)}::{t}" for u in range(1, 31) for m in range(1, 16) for t in (rng.choice((974862380, 974862390, 976422060)) - rng.randrange(5),)]
+    for name, own in (("ratings", rows), ("movies", [f"{m}::T{m} (1990)::Drama|War" for m in range(1, 16)]), ("users", [f"{u}::F::25::{u % 21}::12345" for u in range(1, 31)])):
+        (tmp_path / f"{name}.dat").write_text("\n".join(own) + "\n")
+    base, folder = ["--models", str(tmp_path / "models")], str(tmp_path)
+    args = lambda *x: cli.parser().parse_args([*base, *x])
+    governed = cli.run(spark, args("govern", folder, "--out", str(tmp_path / "out")))
+    assert governed["before"][0]["complete"] == 100.0 and len(files.read_lines(spark, f"{tmp_path}/out/clean/users.dat").collect()) == 30
+    trained = cli.run(spark, args("train", folder, "--algorithm", "gnb"))
+    assert trained["gnb"]["version"] == "v1"
+    assert cli.run(spark, args("classify", folder, "--user", "1", "--movie", "2", "--algorithm", "gnb"))["results"][0]["algorithm"] == "gnb"
+    assert cli.main([*base, "classify", folder, "--user", "999", "--movie", "2"]) == 2 and "UNKNOWN_USER" in capsys.readouterr().err
+    assert cli.main([*base, "govern", str(tmp_path / "nowhere")]) == 2
