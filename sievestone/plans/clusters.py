@@ -103,6 +103,14 @@ def dbscan_run(users: DataFrame, eps: float | None = None, min_samples: int = 15
     }
 
 
+def eps_probes(vectors: DataFrame, min_samples: int, shares: tuple = (0.50, 0.75)) -> list[dict]:
+    """What DBSCAN finds at lesser eps: at these percentiles of the k-distances."""
+    rows = cut(vectors.select("id", "v"))
+    names = {f"p{round(100 * q)}": q for q in shares}
+    found = pairs.nearest_rank(pairs.kth_distances(rows, min_samples), "dist", names).first().asDict()
+    return [{"share": q, "eps": found[n], **noise_summary(clustering.dbscan(rows, found[n], min_samples)).first().asDict()} for n, q in names.items() if found[n] is not None]
+
+
 def compare(before: DataFrame, after: DataFrame, k: int = COMPARED_K, seed: int = 42, eps: float | None = None, min_samples: int = 15) -> dict:
     """The same clustering of the same points (id, v) in two spaces: K-Means always, DBSCAN where eps is given.
 

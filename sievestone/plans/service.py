@@ -35,7 +35,7 @@ PARAMETERS = {
     "pca": {"target_dimensions": (2, 27), "information_retention_threshold": (0.0, 1.0)}, "tsne": {"perplexity": (5.0, 50.0), "n_iter": (250, 5000), "knn_k": (2, 50)}, "gnb": {}, "cart": {},
 }
 CATEGORIES = {"clustering": ("kmeans", "dbscan"), "classification": ("gnb", "cart"), "dimensionality_reduction": ("pca", "tsne")}
-MAX_USERS, SHOWN_USERS = 20_000, 50
+MAX_USERS, SHOWN_USERS, SHOWN_POINTS, SHOWN_MOVIES = 20_000, 50, 5, 3
 PENDING, RUNNING, SUCCESS, FAILED = "PENDING", "RUNNING", "SUCCESS", "FAILED"
 
 
@@ -245,7 +245,16 @@ def governance_result(plan: dict, before: dict | None, after: dict | None = None
 
 
 def evidence(result: dict, users: list[int] | None = None) -> dict:
-    """A result cut down for an answer: the asked users' assignments, or the first SHOWN_USERS."""
+    """A result cut down for an answer: the asked users' assignments and coordinates, or the first few, and few movies a cluster.
+
+    How many assignments there are is told beside them.
+    """
+    asked = set(users or ())
+    mine = lambda rows, shown: [r for r in rows if r.get("user_id") in asked] if asked else rows[:shown]
     rows = result.get("assignments") or []
-    kept = [a for a in rows if a.get("user_id") in set(users)] if users else rows[:SHOWN_USERS]
-    return {**result, "assignments": kept, "assignments_total": len(rows)}
+    out = {**result, "assignments": mine(rows, SHOWN_USERS), "assignments_total": len(rows)}
+    if "coordinates" in result:
+        out |= {"coordinates": mine(result["coordinates"], SHOWN_POINTS), "coordinates_total": len(result["coordinates"])}
+    if "clusters" in result:
+        out["clusters"] = [{**c, "representative_movies": c.get("representative_movies", [])[:SHOWN_MOVIES]} for c in result["clusters"]]
+    return out

@@ -241,6 +241,30 @@ def test_reduction_results(spark):
         clusters.compare(clusters.fitted(users), clusters.fitted(users), 1)
 
 
+def test_eps_probes(spark):
+    rows = [(i, [float(i if i < 20 else 1000 * i)]) for i in range(25)]
+    got = clusters.eps_probes(spark.createDataFrame(rows, "id long, v array<double>"), 2)
+    assert [(p["share"], p["eps"], p["clusters"], p["noise"]) for p in got] == [(0.5, 1.0, 1, 5), (0.75, 2.0, 1, 5)]
+
+
+def test_groups_within_a_cell():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        near = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.2
+        left, right = pairs.groups_of(near)
+        n, m = near.shape
+        reach = np.eye(n + m, dtype=bool)
+        reach[:n, n:] |= near
+        reach[n:, :n] |= near.T
+        for _ in range(n + m):
+            reach = (reach.astype(int) @ reach.astype(int)) > 0
+        both = np.concatenate((left, right))
+        for i in range(n + m):
+            for j in range(n + m):
+                if i != j:
+                    assert reach[i, j] == (both[i] == both[j] and both[i] >= 0)
+
+
 def test_tsne_statistics_are_the_plain_ones():
     rng = np.random.default_rng(10)
     x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 2))

@@ -54,6 +54,10 @@ def test_results_have_null_where_nothing_applies():
     assert S.governance_result({}, None, error=S.TaskError("DATA_NOT_FOUND", "x"))["after"] is None
     long = {"assignments": [{"user_id": i} for i in range(80)]}
     assert len(S.evidence(long)["assignments"]) == 50 and len(S.evidence(long, [79])["assignments"]) == 1
+    full = {"coordinates": [{"user_id": i} for i in range(9)], "clusters": [{"cluster": 0, "representative_movies": [1, 2, 3, 4]}]}
+    cut = S.evidence(full)
+    assert len(cut["coordinates"]) == 5 and cut["coordinates_total"] == 9 and cut["clusters"][0]["representative_movies"] == [1, 2, 3] and cut["assignments"] == []
+    assert S.evidence(full, [8, 3])["coordinates"] == [{"user_id": 3}, {"user_id": 8}]
     assert S.fingerprint("mdl", {"a": 1, "b": 2}) == S.fingerprint("mdl", {"b": 2, "a": 1})
 
 
