@@ -18,16 +18,16 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[list], dict]], keep: list[str] = (), arrow: bool = False) -> DataFrame:
+def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[list], dict]], keep: list[str] = (), arrow: bool = False, chunk: int | None = None) -> DataFrame:
     """The columns `keep` as they are, and those of `schema` computed from the column `text`.
 
     make() runs once in each task and returns a function from a list of texts (None: null), or from an Arrow array of
-    them, to a dict of columns.  Lists hold at most CHUNK_CHARS bytes, or one text.  Arrow batches hold BATCH_ROWS rows, unless
+    them, to a dict of columns.  Lists hold at most `chunk` (CHUNK_CHARS) bytes, or one text.  Arrow batches hold BATCH_ROWS rows, unless
     the session has a bound of its own.
     """
     if df.sparkSession.conf.get(_BATCH) == _DEFAULT:
         df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
-    keep = list(keep)
+    keep, most = list(keep), chunk or CHUNK_CHARS
     new = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     # Names of its own, as those of the frame may clash with any that were chosen.
     inner = df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], df[f"`{text}`"].alias("text"))
@@ -43,7 +43,7 @@ def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[
             start = 0
             while start < batch.num_rows:
                 end, total = start + 1, int(sizes[start])
-                while end < batch.num_rows and total + int(sizes[end]) <= CHUNK_CHARS:
+                while end < batch.num_rows and total + int(sizes[end]) <= most:
                     total += int(sizes[end])
                     end += 1
                 own = texts.slice(start, end - start)

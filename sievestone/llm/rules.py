@@ -39,6 +39,8 @@ GROUP_ROWS = 20
 SYMBOLS = "#*$%&|<>"
 #: The byte-level vocabulary, and how many words a task keeps counts of, and the longest that is kept.
 RANKS, KEPT, LONGEST = "byte_bpe_multi_50k.tiktoken", 400_000, 64
+#: Bytes of text that are measured at once; several numbers are held for each token.
+CHUNK = 2_000_000
 #: First code points of blocks and the scripts that they hold.
 SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD800, "other"))
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, n_tokens_multi bigint, chars_per_token double, chars_per_token_multi double, byte_share double, token_entropy double, script string"
@@ -155,7 +157,7 @@ def _make(model: str, ranks: str):
 def measured(docs: DataFrame, text: str = "text", lang: str | None = "lang", keep: tuple = ("doc_id",), model: str | None = None, ranks: str | None = None, into: str = "measures") -> DataFrame:
     """The columns `keep` and a struct `into` of the measures, the group and base_failed."""
     source = docs.select(*[docs[f"`{c}`"].alias(f"__keep{i}") for i, c in enumerate(keep)], (docs[f"`{lang}`"] if lang else F.lit(None).cast("string")).alias("__lang"), docs[f"`{text}`"].alias("__text"))
-    rows = map_rows(source, "__text", SCHEMA, _make(model or model_path(MODEL), ranks or ranks_path(RANKS)), [c for c in source.columns if c != "__text"], arrow=True)
+    rows = map_rows(source, "__text", SCHEMA, _make(model or model_path(MODEL), ranks or ranks_path(RANKS)), [c for c in source.columns if c != "__text"], arrow=True, chunk=CHUNK)
     code = F.lower(F.col("__lang"))
     group = F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.concat(F.lit("script:"), F.col("script")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
