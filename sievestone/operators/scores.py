@@ -5,7 +5,7 @@ A score that doesn't apply is null, never zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions.text import rounded, sign_class
@@ -65,50 +65,40 @@ class QualityError(RuntimeError):
     """Counters that scores can't be made of."""
 
 
-#: Counters that scores are made of.
-NEEDED = tuple(dict.fromkeys([m for names, _ in (*ACCURACY, *REFERENCES, *FORMATS) for m in names] + [f"{t}_{x}" for t in ("ratings", "movies", "users") for x in ("total", "missing")] + ["ratings_pair_dup_violations", "movies_movie_dup_violations", "users_user_dup_violations", "ratings_d2_ok", "ratings_freshness_sum", "ratings_freshness_n"]))
-
-
-def _value(metric: str) -> Column:
-    return F.col(metric)
-
-
-def _rates(items) -> Column:
+def _mean_rate(m: dict, items: tuple) -> float | None:
     """Mean of counters over their tables' rows, of the tables that have rows; null if none has."""
-    rates = [F.try_divide(sum((F.coalesce(_value(m), F.lit(0.0)) for m in names), F.lit(0.0)), F.when(_value(f"{table}_total") > 0, _value(f"{table}_total"))) for names, table in items]
-    return F.try_divide(sum((F.coalesce(r, F.lit(0.0)) for r in rates), F.lit(0.0)), sum((r.isNotNull().cast("int") for r in rates), F.lit(0)))
-
-
-def _total(*names: str) -> Column:
-    return sum((F.coalesce(_value(n), F.lit(0.0)) for n in names), F.lit(0.0))
-
-
-def _score(rate: Column) -> Column:
-    return rounded(100.0 * (1.0 - F.when(rate < 0, 0.0).otherwise(rate)))
-
-
-def score_expressions(rules: Rules) -> dict[str, Column]:
-    """The five dimensions over one row with the counters as columns."""
-    rows = _total("ratings_total", "movies_total", "users_total")
-    some = F.when(rows > 0, rows)
-    reference, form = _rates(REFERENCES), _rates(FORMATS)
-    both = F.try_divide(F.coalesce(reference, F.lit(0.0)) + F.coalesce(form, F.lit(0.0)), reference.isNotNull().cast("int") + form.isNotNull().cast("int"))
-    ratings = F.when(_value("ratings_total") > 0, _value("ratings_total"))
-    reliable = _score((ratings - F.coalesce(_value("ratings_d2_ok"), F.lit(0.0))) / ratings)
-    fresh = F.try_divide(_value("ratings_freshness_sum"), F.when(_value("ratings_freshness_n") > 0, _value("ratings_freshness_n")))
-    return {
-        "accurate": rounded(100.0 * (1.0 - _rates(ACCURACY))), "complete": _score(_total("ratings_missing", "movies_missing", "users_missing") / some),
-        "unique": _score(_total("ratings_pair_dup_violations", "movies_movie_dup_violations", "users_user_dup_violations") / some),
-        "up_to_date": F.when(fresh.isNull(), reliable).otherwise(rounded(reliable * fresh)), "consistent": rounded(100.0 * (1.0 - both)),
+    rates = [sum(m.get(n) or 0.0 for n in names) / m[f"{table}_total"] for names, table in items if m.get(f"{table}_total")]
+    return sum(rates) / len(rates) if rates else None
+
+
+def _score(rate: float | None) -> float | None:
+    return None if rate is None else round(100.0 * (1.0 - max(rate, 0.0)), 4)
+
+
+def score_values(m: dict[str, float], rules: Rules) -> dict[str, float | None]:
+    """The five dimensions and their weighted sum of counters by name, null where they don't apply."""
+    total = lambda *names: sum(m.get(n) or 0.0 for n in names)
+    rows, ratings = total("ratings_total", "movies_total", "users_total"), m.get("ratings_total") or 0.0
+    share = lambda part, whole: part / whole if whole else None
+    both = [r for r in (_mean_rate(m, REFERENCES), _mean_rate(m, FORMATS)) if r is not None]
+    reliable = _score(share(ratings - total("ratings_d2_ok"), ratings))
+    fresh = share(total("ratings_freshness_sum"), m.get("ratings_freshness_n"))
+    out = {
+        "accurate": _score(_mean_rate(m, ACCURACY)), "complete": _score(share(total("ratings_missing", "movies_missing", "users_missing"), rows)),
+        "unique": _score(share(total("ratings_pair_dup_violations", "movies_movie_dup_violations", "users_user_dup_violations"), rows)),
+        "up_to_date": reliable if fresh is None or reliable is None else round(reliable * fresh, 4), "consistent": _score(sum(both) / len(both) if both else None),
     }
+    whole = None if None in out.values() else round(sum(rules.weights[d] * out[d] for d in DIMENSIONS), 4)
+    return out | {"overall": whole}
 
 
 def scores(metrics: DataFrame, rules: Rules) -> DataFrame:
-    """One row: the five dimensions and their weighted sum, null where a dimension is."""
-    wide = metrics.groupBy().pivot("metric", list(NEEDED)).agg(F.max("value"))
-    five = wide.select(*[c.alias(name) for name, c in score_expressions(rules).items()])
-    overall = sum((F.col(d) * F.lit(rules.weights[d]) for d in DIMENSIONS), F.lit(0.0))
-    return five.withColumn("overall", rounded(overall))
+    """One row: the five dimensions and their weighted sum, null where a dimension is.
+
+    The counters, some eighty rows whatever the tables' size, come to the driver for it.
+    """
+    values = score_values({r["metric"]: r["value"] for r in metrics.collect()}, rules)
+    return metrics.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"`{d}` double" for d in values))
 
 
 def score_delta(before: DataFrame, after: DataFrame) -> DataFrame:
