@@ -208,18 +208,21 @@ def _address(key: str, norm: Column) -> Column:
     """An IPv4 address of the same range.  norm: four numbers without leading zeros."""
     octet = F.transform(F.split(norm, "[.]"), lambda x: x.cast("int"))
 
-    def within(first, second, label: str) -> Column:
-        numbers = [F.sequence(F.lit(x[0]), F.lit(x[-1])) if isinstance(x, range) else F.array(*map(F.lit, x)) for x in (first, second)]
-        place = lambda o, i: F.struct((F.array_position(numbers[i], F.get(o, F.lit(i))) - 1).cast("int").alias("v"), F.lit(len((first, second)[i])).alias("r"))
-        plain = lambda o, i: F.struct(F.get(o, F.lit(i)).alias("v"), F.lit(256).alias("r"))
-        moved = S.let(octet, lambda o: permuted(key, F.lit(f"ip{label}"), F.array(place(o, 0), place(o, 1), plain(o, 2), plain(o, 3))))
-        return S.let(moved, lambda m: F.concat_ws(".", *[F.get(numbers[i], F.get(m, F.lit(i))).cast("string") for i in (0, 1)], *[F.get(m, F.lit(i)).cast("string") for i in (2, 3)]))
-
-    out = None
-    for pattern, first, second in RANGES:
-        made = within(first, second, pattern)
-        out = F.when(norm.rlike(pattern), made) if out is None else out.when(norm.rlike(pattern), made)
-    return out
+    numbers = lambda x: F.sequence(F.lit(x[0]), F.lit(x[-1])) if isinstance(x, range) else F.array(*map(F.lit, x))
+    ranges = [F.struct(F.lit(f"ip{pattern}").alias("label"), numbers(first).alias("first"), numbers(second).alias("second")) for pattern, first, second in RANGES]
+    own = ranges[-1]
+    for (pattern, _, _), one in reversed(list(zip(RANGES[:-1], ranges[:-1], strict=True))):
+        own = F.when(norm.rlike(pattern), one).otherwise(own)
+
+    def moved(given: Column) -> Column:
+        o, r = given["octets"], given["range"]
+        within = lambda i, name: F.struct((F.array_position(r[name], F.get(o, F.lit(i))) - 1).cast("int").alias("v"), F.size(r[name]).alias("r"))
+        plain = lambda i: F.struct(F.get(o, F.lit(i)).alias("v"), F.lit(256).alias("r"))
+        made = permuted(key, r["label"], F.array(within(0, "first"), within(1, "second"), plain(2), plain(3)))
+        text = lambda m: F.concat_ws(".", *[F.get(r[n], F.get(m, F.lit(i))).cast("string") for i, n in enumerate(("first", "second"))], *[F.get(m, F.lit(i)).cast("string") for i in (2, 3)])
+        return S.let(made, text)
+
+    return S.let(F.struct(octet.alias("octets"), own.alias("range")), moved)
 
 
 def _rest97(text: Column) -> Column:
