@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievestone.operators.prefix import at_places
 from sievestone.operators.temporal import label
 from sievestone.plans.rules import Rules
-from sievestone.session import cut, written
+from sievestone.session import cut, join_keyed, written
 
 BASE = ("n_ratings", "avg_rating", "std_rating", "rating_bias", "high_share", "avg_movie_pop", "share_top_pop", "active_span_days", "avg_gap_days")
 OK, SPARSE, NONE = "OK", "INSUFFICIENT_HISTORY", "NO_TRAIN_HISTORY"
@@ -46,13 +46,17 @@ def features(ratings: DataFrame, movies: DataFrame, rules: Rules) -> DataFrame:
     top = top_cut(pop).first()["cut"] or 0
     mean = train.agg(F.avg("rating")).first()[0] or 0.0
     n, span = F.count("*"), (F.max("ts") - F.min("ts")) / 86400.0
-    base = train.join(pop, "movie_id").groupBy("user_id").agg(
+    # A movie may hold a large part of all ratings, so what is known of it joins by how many ratings have it.
+    total = train.count()
+    counted = lambda df: df.withColumn("__n", F.col("pop"))
+    base = join_keyed(train, counted(pop), "movie_id", "__n", total).groupBy("user_id").agg(
         n.cast("double").alias("n_ratings"), F.avg("rating").alias("avg_rating"), F.stddev_pop("rating").alias("std_rating"), (F.avg("rating") - mean).alias("rating_bias"), F.avg(label(F.col("rating"))).alias("high_share"),
         F.avg(F.log1p("pop")).alias("avg_movie_pop"), span.alias("active_span_days"), F.coalesce(F.try_divide(span, n - 1), F.lit(0.0)).alias("avg_gap_days"),
     )
     genres = F.split("genres", "[|]", -1)
     tagged = movies.select("movie_id", *[F.array_contains(genres, g).cast("int").alias(f"g{i}") for i, g in enumerate(rules.genres)])
-    rated = best_ratings(ratings, rules).join(pop, "movie_id").join(tagged, "movie_id", "left")
+    known = cut(pop.join(tagged, "movie_id", "left"))
+    rated = join_keyed(best_ratings(ratings, rules), counted(known), "movie_id", "__n", total)
     shares = [F.avg(F.coalesce(F.col(f"g{i}"), F.lit(0))).alias(name) for i, name in enumerate(names(rules)[len(BASE) :])]
     unique = rated.groupBy("user_id").agg(F.avg((F.col("pop") >= top).cast("int")).alias("share_top_pop"), *shares)
     return base.join(unique, "user_id").select("user_id", *names(rules))
