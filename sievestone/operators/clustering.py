@@ -23,57 +23,82 @@ def first_rows(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def plus_plus(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k centres, each further one drawn with weight of its squared distance to those before, from all rows in order of id.
+def plus_plus_many(vectors: DataFrame, ks: list[int], seed: int) -> dict[int, np.ndarray]:
+    """For each k its centres, each further one drawn with weight of its squared distance to those before, from all rows in order of id.
 
-    Rows lie in ranges of ids; for each centre every range gives the sum of its weights, then one range gives the row.
+    Rows lie in ranges of ids.  For each centre every range gives the sum of its weights, then one range gives the row; all
+    ks are drawn side by side, in two small jobs a centre.
     """
     rows = cut(vectors.select("id", "v").repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
-    rng = random.Random(seed * 100003 + k)
+    rngs = {k: random.Random(seed * 100003 + k) for k in ks}
+
+    def weights(x: np.ndarray, centres: list) -> np.ndarray:
+        return np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) if centres else np.ones(len(x))
 
-    def weights(t, centres: list) -> tuple[np.ndarray, np.ndarray]:
-        x = matrix(t)
-        return x, np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) if centres else np.ones(len(x))
+    def totals(given: dict[int, list]) -> dict[int, list]:
+        """For each k (part, sum of weights) of every range, in order."""
 
-    def totals(centres: list) -> list:
         def work(batches):
             for t in batches:
                 if t.num_rows:
-                    yield pa.RecordBatch.from_pydict({"part": t.column("part").cast(pa.int32())[:1], "total": [float(weights(t, centres)[1].sum())]})
-
-        return rows.mapInArrow(work, "part int, total double").groupBy("part").agg(F.sum("total").alias("total")).orderBy("part").collect()
-
-    def row_at(target: float, sums: list, centres: list) -> np.ndarray:
-        """The first row that the running sum of weights reaches the target at, or the last one."""
-        upto = np.cumsum([r["total"] for r in sums])
-        i = min(int(np.searchsorted(upto, target)), len(sums) - 1)
-        rest = target - (upto[i - 1] if i else 0.0)
+                    x, part = matrix(t), t.column("part")[0].as_py()
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(list(given), pa.int32()), "part": pa.array([part] * len(given), pa.int32()), "total": [float(weights(x, c).sum()) for c in given.values()]})
+
+        out: dict[int, list] = {k: [] for k in given}
+        for r in rows.mapInArrow(work, "k int, part int, total double").groupBy("k", "part").agg(F.sum("total").alias("total")).orderBy("k", "part").collect():
+            out[r["k"]].append((r["part"], r["total"]))
+        return out
+
+    def rows_at(targets: dict[int, float], sums: dict[int, list], given: dict[int, list]) -> dict[int, np.ndarray]:
+        """For each k the first row that the running sum of weights reaches the target at, or the last one."""
+        wanted = {}
+        for k, target in targets.items():
+            upto = np.cumsum([t for _, t in sums[k]])
+            i = min(int(np.searchsorted(upto, target)), len(upto) - 1)
+            wanted[k] = sums[k][i][0], target - (upto[i - 1] if i else 0.0)
 
         def work(batches):
-            before, last = 0.0, None
+            before, last = dict.fromkeys(wanted, 0.0), {}
+            done = set()
             for t in batches:
-                if t.num_rows:
-                    x, w = weights(t, centres)
-                    upto = before + np.cumsum(w)
-                    at = int(np.searchsorted(upto, rest))
-                    before, last = upto[-1], x[min(at, len(x) - 1)]
-                    if at < len(x):
-                        break
-            if last is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([last.tolist()], pa.list_(pa.float64()))], names=["v"])
-
-        return np.array(rows.filter(F.col("part") == sums[i]["part"]).mapInArrow(work, "v array<double>").first()["v"])
-
-    ones = totals([])
-    n = int(sum(r["total"] for r in ones))
-    if not 1 <= k <= n:
-        raise ValueError(f"k must lie between 1 and {n}")
-    centres = [row_at(rng.randrange(n) + 1.0, ones, [])]
-    while len(centres) < k:
-        sums = totals(centres)
-        total = sum(r["total"] for r in sums)
-        centres.append(row_at(rng.random() * total, sums, centres) if total > 0 else row_at(rng.randrange(n) + 1.0, ones, []))
-    return np.array(centres)
+                if not t.num_rows:
+                    continue
+                x, part = matrix(t), t.column("part")[0].as_py()
+                for k, (own, rest) in wanted.items():
+                    if own == part and k not in done:
+                        upto = before[k] + np.cumsum(weights(x, given[k]))
+                        at = int(np.searchsorted(upto, rest))
+                        before[k], last[k] = upto[-1], x[min(at, len(x) - 1)]
+                        if at < len(x):
+                            done.add(k)
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(list(last), pa.int32()), pa.array([v.tolist() for v in last.values()], pa.list_(pa.float64()))], names=["k", "v"])
+
+        found = rows.filter(F.col("part").isin(sorted({p for p, _ in wanted.values()}))).mapInArrow(work, "k int, v array<double>").collect()
+        return {r["k"]: np.array(r["v"]) for r in found}
+
+    ones = totals({0: []})[0]
+    n = int(sum(t for _, t in ones))
+    if bad := [k for k in ks if not 1 <= k <= n]:
+        raise ValueError(f"k must lie between 1 and {n}, not {bad[0]}")
+    centres: dict[int, list] = {k: [] for k in ks}
+    while open_ := [k for k in ks if len(centres[k]) < k]:
+        given = {k: list(centres[k]) for k in open_}
+        sums = totals({k: c for k, c in given.items() if c}) if any(given.values()) else {}
+        targets, by, drawn = {}, {}, {}
+        for k in open_:
+            total = sum(t for _, t in sums.get(k, ()))
+            even = not given[k] or not total > 0
+            targets[k] = rngs[k].randrange(n) + 1.0 if even else rngs[k].random() * total
+            by[k], drawn[k] = (ones, []) if even else (sums[k], given[k])
+        for k, v in rows_at(targets, by, drawn).items():
+            centres[k].append(v)
+    return {k: np.array(c) for k, c in centres.items()}
+
+
+def plus_plus(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
+    """k centres of `plus_plus_many`."""
+    return plus_plus_many(vectors, [k], seed)[k]
 
 
 def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -82,31 +107,33 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.withColumn("__near", F.array_min(F.array(*each))).select(*vectors.columns, F.col("__near.cluster").alias("cluster"), F.col("__near.dist").alias("dist"))
 
 
-def cluster_sums(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums and sizes of the rows nearest to each centre.
+def cluster_sums(vectors: DataFrame, *centres: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each set of centres the sums and sizes of the rows nearest to each one.
 
-    A task gives a row for each cluster and component; they are summed with map-side combining.
+    A task gives a row for each set, cluster and component; they are summed with map-side combining.
     """
-    k, d = centres.shape
+    d = centres[0].shape[1]
+    first = np.cumsum([0, *(len(c) for c in centres)])
 
     def work(batches):
-        total = np.zeros((k, d + 1))
+        total = np.zeros((first[-1], d + 1))
         for t in batches:
             if t.num_rows:
                 x = matrix(t)
-                near = nearest_centres(x, centres)[0]
-                for c in np.unique(near):
-                    own = x[near == c]
-                    total[c, :d] += own.sum(axis=0)
-                    total[c, d] += len(own)
+                for at, own in zip(first, centres, strict=False):
+                    near = nearest_centres(x, own)[0]
+                    for c in np.unique(near):
+                        rows = x[near == c]
+                        total[at + c, :d] += rows.sum(axis=0)
+                        total[at + c, d] += len(rows)
         at = np.flatnonzero(np.repeat(total[:, d] > 0, d + 1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at], pa.float64())], names=["cell", "total"])
 
-    out = np.zeros(k * (d + 1))
+    out = np.zeros(first[-1] * (d + 1))
     for r in vectors.select("v").mapInArrow(work, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect():
         out[r["cell"]] = r["total"]
-    out = out.reshape(k, d + 1)
-    return out[:, :d], out[:, d]
+    out = out.reshape(-1, d + 1)
+    return [(out[a:b, :d], out[a:b, d]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,24 +143,35 @@ def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.
     return near, d[np.arange(len(x)), near]
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
-    """(vectors with cluster and dist, centres).
+def kmeans_many(vectors: DataFrame, ks: list[int], seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> dict[int, np.ndarray]:
+    """For each k its centres.  The vectors are written once, and one aggregate a round moves the centres of all ks that still move.
 
-    The vectors are written once.  Centres move by one aggregate a round; empty clusters take the farthest points.
+    Empty clusters take the farthest points.
     """
     rows = written(vectors.select("id", "v"))
-    centres = plus_plus(rows, k, seed)
+    centres = plus_plus_many(rows, ks, seed)
+    moving = list(ks)
     for _ in range(rounds):
-        sums, sizes = cluster_sums(rows, centres)
-        new = sums / np.maximum(sizes, 1)[:, None]
-        if not sizes.all():
-            far = assign(rows, centres).orderBy(F.desc("dist"), "id").limit(k).collect()
-            for i, c in enumerate(np.flatnonzero(sizes == 0)):
-                new[c] = far[min(i, len(far) - 1)]["v"]
-        moved = np.sqrt(((new - centres) ** 2).sum(axis=1)).max()
-        centres = new
-        if moved < tolerance:
+        still = []
+        for k, (sums, sizes) in zip(moving, cluster_sums(rows, *(centres[k] for k in moving)), strict=True):
+            new = sums / np.maximum(sizes, 1)[:, None]
+            if not sizes.all():
+                far = assign(rows, centres[k]).orderBy(F.desc("dist"), "id").limit(k).collect()
+                for i, c in enumerate(np.flatnonzero(sizes == 0)):
+                    new[c] = far[min(i, len(far) - 1)]["v"]
+            moved = np.sqrt(((new - centres[k]) ** 2).sum(axis=1)).max()
+            centres[k] = new
+            if moved >= tolerance:
+                still.append(k)
+        moving = still
+        if not moving:
             break
+    return centres
+
+
+def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
+    """(vectors with cluster and dist, centres) of `kmeans_many`."""
+    centres = kmeans_many(vectors, [k], seed, rounds, tolerance)[k]
     return assign(vectors, centres), centres
 
 
@@ -146,9 +184,8 @@ def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42, rounds:
     """
     out = []
     sample = cut(first_rows(vectors, SILHOUETTE_ROWS))
-    for k in candidates:
-        labelled, centres = kmeans(vectors, k, seed, rounds)
-        labelled = cut(labelled)
+    for k, centres in kmeans_many(vectors, list(candidates), seed, rounds).items():
+        labelled = cut(assign(vectors, centres))
         sampled = silhouettes(labelled, sample).agg(F.avg("s")).first()[0]
         out.append({"k": k, "sampled": sampled, "silhouette": None, "dbi": None, "sse": scatter(labelled).agg(F.sum("sse")).first()[0], "centres": centres, "labelled": labelled})
     out.sort(key=lambda r: (-(r["sampled"] if r["sampled"] is not None else -2), r["k"]))

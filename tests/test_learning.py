@@ -205,7 +205,10 @@ def test_kmeans_ends_at_a_fixed_point(spark):
     assert np.allclose(centres, [x[own == c].mean(0) for c in range(4)])
     start = clustering.plus_plus(df, 4, 42)
     near = ((x[:, None] - start[None]) ** 2).sum(2).argmin(1)
-    sums, sizes = clustering.cluster_sums(df, start)
+    (sums, sizes), (more, _) = clustering.cluster_sums(df, start, centres)
+    assert np.allclose(more, [x[own == c].sum(0) for c in range(4)])
+    many = clustering.kmeans_many(df, [2, 4, 3], tolerance=1e-12)
+    assert all(np.allclose(many[k], clustering.kmeans(df, k, tolerance=1e-12)[1]) for k in (2, 3, 4))
     assert np.allclose(sums, [x[near == c].sum(0) for c in range(4)]) and sizes.tolist() == np.bincount(near, minlength=4).tolist()
 
 
