@@ -34,7 +34,13 @@ EPOCHS, RATE, PAGES_A_STEP, SEED = 7, 0.01, 32, 7
 CELLS = 40_000
 
 #: HTML's block-level elements, and those without an end tag.
-BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video".split())
+BLOCKS = frozenset(
+    (
+        "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset "
+        "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup "
+        "option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video"
+    ).split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text, to the end of the page if unclosed, ...
 RAW = frozenset("script style".split())
@@ -167,7 +173,8 @@ class Vectors:
         counts = np.bincount(codes, minlength=2 * WORD_DIMS)
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = (counts[:WORD_DIMS] - counts[WORD_DIMS:]) / np.sqrt(len(words))
         n = len(text)
-        row[-MEASURES:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, linked, sum(map(text.count, ".!?")) / len(words), text.count(",") / len(words), text[-1] in ".!?\"')", place)
+        stops, commas = sum(map(text.count, ".!?")) / len(words), text.count(",") / len(words)
+        row[-MEASURES:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, linked, stops, commas, text[-1] in ".!?\"')", place)
         return row
 
     def page(self, found: list, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -230,8 +237,14 @@ class Labeller:
 
     def __init__(self, seed: int = SEED):
         rng, d = np.random.default_rng(seed), PATH_DIMS + WORD_DIMS + MEASURES
-        one = lambda: {"w": (rng.normal(size=(d, 4 * HIDDEN)) / np.sqrt(d)).astype(np.float32), "u": (rng.normal(size=(HIDDEN, 4 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32), "b": np.repeat(np.array([0, 1, 0, 0], dtype=np.float32), HIDDEN)}
-        self.p = {"ahead": one(), "back": one(), "out": {"w": (rng.normal(size=2 * HIDDEN) / HIDDEN).astype(np.float32), "b": np.zeros(1, dtype=np.float32)}}
+        normal = lambda *shape: rng.normal(size=shape)
+        one = lambda: {
+            "w": (normal(d, 4 * HIDDEN) / np.sqrt(d)).astype(np.float32),
+            "u": (normal(HIDDEN, 4 * HIDDEN) / np.sqrt(HIDDEN)).astype(np.float32),
+            "b": np.repeat(np.array([0, 1, 0, 0], dtype=np.float32), HIDDEN),
+        }
+        out = {"w": lambda: (normal(2 * HIDDEN) / HIDDEN).astype(np.float32), "b": lambda: np.zeros(1, dtype=np.float32)}
+        self.p = {"ahead": one(), "back": one(), "out": {k: f() for k, f in out.items()}}
 
     def logits(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         ahead = _lstm(x, self.p["ahead"])[0]
@@ -313,7 +326,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Tags and name words that say what a part of a page is for.
 SIDE_TAGS = frozenset("nav header footer aside form head title dialog menu button select textarea option".split())
-SIDE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments respond reply cookie consent notice popup modal newsletter subscribe signup login promo promoted sponsor sponsored related recommended sidebar widget complementary contentinfo share social nav navbar navigation topnav menu footer header masthead topbar toolbar tags pagination pager search copyright legal alert disqus teaser".split())
+SIDE_NAMES = frozenset(
+    (
+        "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments respond reply cookie consent notice "
+        "popup modal newsletter subscribe signup login promo promoted sponsor sponsored related recommended sidebar "
+        "widget complementary contentinfo share social nav navbar navigation topnav menu footer header masthead topbar "
+        "toolbar tags pagination pager search copyright legal alert disqus teaser"
+    ).split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article content post entry story main body text".split())
 
@@ -362,7 +382,14 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def menu() -> str:
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 9)))
-        return rng.choice((f"<nav><ul>{items}</ul></nav>", f"<div{name('menu', 'nav', 'navbar', 'breadcrumb')}><ul>{items}</ul></div>", f"<header>{say(1, 3)}<nav>{items}</nav></header>", f"<div role=navigation>{link()}{link()}</div>", f"<div role=banner>{say(1, 4)}</div>", f"<p{name('menu', 'nav')}>{link()} | {link()} | {link()}</p>"))
+        return rng.choice((
+            f"<nav><ul>{items}</ul></nav>",
+            f"<div{name('menu', 'nav', 'navbar', 'breadcrumb')}><ul>{items}</ul></div>",
+            f"<header>{say(1, 3)}<nav>{items}</nav></header>",
+            f"<div role=navigation>{link()}{link()}</div>",
+            f"<div role=banner>{say(1, 4)}</div>",
+            f"<p{name('menu', 'nav')}>{link()} | {link()} | {link()}</p>",
+        ))
 
     def side() -> str:
         return rng.choice((
@@ -402,7 +429,15 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
         inner += f"<footer>{say(1, 6)}</footer>"
     if rng.random() < 0.25:
         inner += talk()
-    whole = rng.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article{name('post', 'story')}>{inner}</article></main>", f"<div{name('content', 'article', 'post', 'entry', 'story')}>{inner}</div>", f"<div id={rng.choice(('primary', 'content'))}><div class={rng.choice(('entry-content', 'post-body', 'article-text'))}>{inner}</div></div>", ""))
+    whole = rng.choice((
+        f"<article>{inner}</article>",
+        f"<article>{inner}</article>",
+        f"<main>{inner}</main>",
+        f"<main><article{name('post', 'story')}>{inner}</article></main>",
+        f"<div{name('content', 'article', 'post', 'entry', 'story')}>{inner}</div>",
+        f"<div id={rng.choice(('primary', 'content'))}><div class={rng.choice(('entry-content', 'post-body', 'article-text'))}>{inner}</div></div>",
+        "",
+    ))
     before = [menu() for _ in range(rng.randint(0, 2))] + [side() for _ in range(rng.randint(0, 2))]
     after = [side() for _ in range(rng.randint(0, 2))] + ([talk()] if rng.random() < 0.2 else [])
     if not whole:  # a page laid out as a table
@@ -410,7 +445,14 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
         cells.insert(rng.randint(0, len(cells)), f"<td class={rng.choice(('maintext', 'content', 'bodytext', 'main', 'text'))}>{inner}</td>")
         top = f"<tr><td class={rng.choice(('top', 'topnav', 'banner', 'header'))}>{link()} | {link()} | {link()}</td></tr>"
         whole = f"<table width=100%>{rng.choice(('', top))}<tr>{''.join(cells)}</tr></table>"
-    foot = rng.choice((f"<div role=contentinfo>{say(2, 12)}</div>", f"<center><font size=1>&copy; {say(2, 9)}</font></center>", f"<footer>&copy; {say(2, 20)} &middot; {say(2, 9)}</footer>", f"<footer><p>{say(3, 15)}</p>{link()}</footer>", f"<div{name('footer', 'copyright', 'legal')}>{say(3, 20)}</div>", ""))
+    foot = rng.choice((
+        f"<div role=contentinfo>{say(2, 12)}</div>",
+        f"<center><font size=1>&copy; {say(2, 9)}</font></center>",
+        f"<footer>&copy; {say(2, 20)} &middot; {say(2, 9)}</footer>",
+        f"<footer><p>{say(3, 15)}</p>{link()}</footer>",
+        f"<div{name('footer', 'copyright', 'legal')}>{say(3, 20)}</div>",
+        "",
+    ))
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{''.join(before)}{whole}{''.join(after)}{foot}</body></html>", main
 
 
