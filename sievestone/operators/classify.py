@@ -109,7 +109,7 @@ class Tree:
 
 
 def fit_tree(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 100, seed: int = 42, bins: int = 128) -> Tree | None:
-    """Fitted on the rows with split 'train' by MLlib's distributed learner; null without rows.
+    """Fitted on the rows with split 'train' by MLlib's distributed learner; null without both labels there.
 
     Thresholds are among `bins` quantiles of a column.
     """
@@ -117,7 +117,7 @@ def fit_tree(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 1
     from pyspark.ml.feature import VectorAssembler
 
     train = rows.filter("split = 'train'").select("label", *columns)
-    if train.isEmpty():
+    if train.select("label").distinct().count() < 2:
         return None
     assembled = VectorAssembler(inputCols=columns, outputCol="__x").transform(train).select("label", "__x")
     model = DecisionTreeClassifier(featuresCol="__x", labelCol="label", impurity="entropy", maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins, seed=seed).fit(assembled)

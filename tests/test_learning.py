@@ -65,6 +65,9 @@ def test_a_trees_score_is_the_leaf_at_the_end_of_its_path(spark):
         assert path[-1]["leaf_positive_rate"] == round(r.score, 6)
         for step in path[:-1]:
             assert (r[step["feature"]] <= model.nodes[step["node"]][1]) == (step["direction"] == "left")
+    assert classify.fit_tree(df.filter("label = 0"), COLUMNS) is None and classify.tree_scores(df.filter("label = 1"), COLUMNS).filter("score is not null").count() == 0
+    with pytest.raises(ValueError):
+        classify.train("cart", df.filter("label = 0"), COLUMNS)
     leaves = {}
     for r in train:
         leaves.setdefault(model.path(r.asDict())[-1]["node"], []).append(r.label)
