@@ -9,8 +9,8 @@ group, and wider for short texts, whose measures vary more: by MIN_WORDS over th
 words.  A group whose quartiles coincide takes the distance over all groups; where that is
 nothing too, the measure rejects nothing.  Only the sides that mean trouble reject: too few
 or too many characters per token, too much byte fallback, too little entropy.  Of a group whose measure
-is spread normally, a fence at 2 distances rejects 1 in 2,300 on its side, one at 2.5 1 in 39,000 and one at 3 1 in
-a million; what lies beyond is of another kind than the group.
+is spread normally, a fence at 2 distances rejects 1 in 2,700 on its side, one at 2.5 1 in 39,000 and one at 3 1 in
+850,000; what lies beyond is of another kind than the group.
 
 A group is the text's language code where that is two or three letters (at most
 18,252 of them), else its most frequent script, so the bands are a table of proven
