@@ -67,14 +67,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read again: lineage ends here and lost executors lose nothing.
 
-    The files go when the driver's Python ends.
+    The files go when the driver's Python ends.  `options` are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.parquet(path)
 
