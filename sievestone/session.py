@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +60,27 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANED: set = set()
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of any file system that Spark knows."""
-    try:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the gateway may be gone already
-        pass
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path is on, by any scheme that Spark knows, and the path there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def dropped(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder; whether there was one."""
+    files, at = _place(spark, path)
+    return files.delete(at, True)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver's Python ends, with its session stopped or not."""
+    files, at = _place(spark, path)
+
+    def drop() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+            files.delete(at, True)
+
+    atexit.register(drop)
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
@@ -75,7 +91,7 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievestone-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    atexit.register(_drop, spark, path)
+    _drop_at_exit(spark, path)
     return spark.read.parquet(path)
 
 
@@ -88,7 +104,7 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     if spark.sparkContext not in _CLEANED:
         _CLEANED.add(spark.sparkContext)
-        atexit.register(_drop, spark, spark.sparkContext.getCheckpointDir())
+        _drop_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
