@@ -16,6 +16,9 @@ PLACES = {
     "op8_surrogates": "pii",
     "op9_token_counts": "token_counts",
     "op10_secret_entropy": "secrets",
+    "op11_importance_csr": "importance",
+    "op12_delta_lloyd": "codes",
+    "op13_progressive_exact": "exact_dedup",
 }
 
 
