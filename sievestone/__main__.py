@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from sievestone.plans import governance, learning, tools
+from sievestone.plans.config import Config, ConfigError
 from sievestone.plans.rules import RuleError, Rules
 from sievestone.plans.service import TaskError, user_ids
 from sievestone.sources import files
@@ -17,7 +18,8 @@ from sievestone.sources import files
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievestone")
     p.add_argument("--rules", help="a JSON file of rules; without it the environment's SIEVESTONE_RULES, then the defaults")
-    p.add_argument("--models", default="models", help="the folder of models")
+    p.add_argument("--analysis", help="a JSON file that declares the analysis tools; without it the environment's SIEVESTONE_ANALYSIS, then the defaults")
+    p.add_argument("--models", default="models", help="the folder of models and of saved results")
     p.add_argument("--data-version", default="unnamed")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("govern", "train", "classify", "cluster", "reduce"):
@@ -51,7 +53,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  a few rows each
         return {k: rows(found[k]) for k in ("before", "after", "improvements", "counts", "problems", "unresolved", "by_action")}
     ratings, movies, users = (files.typed(lines[t], t, rules) for t in ("ratings", "movies", "users"))
-    space = tools.workspace(spark, ratings, movies, users, rules, args.models, args.data_version)
+    config = Config.load(args.analysis)
+    space = tools.workspace(spark, ratings, movies, users, rules, args.models, args.data_version, min_ratings=config.content.get("min_train_ratings", 10))
     if args.command == "train":
         kinds = (args.algorithm,) if args.algorithm else ("gnb", "cart")
         found = learning.run(*(space.tables[t] for t in ("ratings", "movies", "users")), rules, kinds)
@@ -59,7 +62,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.command == "classify":
         return learning.classify_one(spark, args.models, space.tables, rules, args.user, args.movie, args.time, args.algorithm)
     category = "clustering" if args.command == "cluster" else "dimensionality_reduction"
-    return tools.run_plan(space, {"category": category, "algorithms": [args.method], "user_ids": user_ids(args.users) or None, "parameters": {}})
+    found = tools.run_plan(space, {"category": category, "algorithms": [args.method], "user_ids": user_ids(args.users) or None, "parameters": {}}, config)
+    return found | {"profile": {"version": space.save_profile(), "folder": f"{args.models}/profile"}}
 
 
 def main(given: list[str] | None = None) -> int:
@@ -67,7 +71,7 @@ def main(given: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sievestone").getOrCreate()
     try:
         print(json.dumps(run(spark, args), ensure_ascii=False, indent=1, default=str))
-    except (TaskError, RuleError, files.DataNotFound) as e:
+    except (TaskError, RuleError, ConfigError, files.DataNotFound) as e:
         print(json.dumps(e.as_dict() if isinstance(e, TaskError) else {"code": "DATA_NOT_FOUND" if isinstance(e, files.DataNotFound) else "INVALID_RULE_VERSION", "message": str(e)}, ensure_ascii=False), file=sys.stderr)
         return 2
     return 0

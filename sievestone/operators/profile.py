@@ -77,7 +77,11 @@ def scaler(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]
 
 def zscores(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as z-scores; one without spread is 0, one without a value stays null."""
-    scale = scaler(rows, columns)
+    return scaled(rows, columns, scaler(rows, columns))
+
+
+def scaled(rows: DataFrame, columns: list[str], scale: dict[str, tuple[float, float]]) -> DataFrame:
+    """As zscores, by means and deviations that are given."""
     z = lambda c: (F.col(c) - scale[c][0]) / scale[c][1] if scale[c][1] > 1e-12 else F.when(F.col(c).isNotNull(), F.lit(0.0))
     return rows.select("user_id", "status", "fit", *[z(c).alias(c) for c in columns])
 
@@ -106,6 +110,11 @@ def cluster_summary(labels: DataFrame, rows: DataFrame, rules: Rules) -> DataFra
     return found.select("cluster", "size", *[f"{c}_mean" for c in ("avg_rating", "n_ratings", "high_share", "active_span_days")], F.array_join(F.transform(top, lambda x: x["g"]), ",").alias("top_genres"))
 
 
+def cluster_means(labels: DataFrame, rows: DataFrame, rules: Rules) -> DataFrame:
+    """The mean of every measure over each cluster of `labels` (user_id, cluster >= 0)."""
+    return labels.filter("cluster >= 0").join(rows, "user_id").groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in names(rules)])
+
+
 def representative_movies(labels: DataFrame, ratings: DataFrame, movies: DataFrame, rules: Rules, top: int = 3, min_votes: int = 2) -> DataFrame:
     """The movies that most of a cluster's users rate 4 or more, ties to the more widely rated, then to the smaller id."""
     best = best_ratings(ratings, rules)

@@ -69,15 +69,15 @@ def measured(labelled: DataFrame) -> dict:
     return {"silhouette": pairs.silhouettes(labelled).agg(F.avg("s")).first()[0], "dbi": pairs.davies_bouldin(labelled).first()["dbi"], "sse": pairs.scatter(labelled).agg(F.sum("sse")).first()[0]}
 
 
-def kmeans_run(users: DataFrame, k: int | None = None, asked: list[int] | None = None, seed: int = 42, max_iter: int = 100) -> dict:
-    """Choose k (2 to 8, unless it is given), fit it on the users that fit, measure it, and assign those who were asked for."""
+def kmeans_run(users: DataFrame, k: int | None = None, asked: list[int] | None = None, seed: int = 42, max_iter: int = 100, candidates: list[int] | None = None) -> dict:
+    """Choose k (2 to 8, unless it or others are given), fit it on the users that fit, measure it, and assign those who were asked for."""
     vectors = cut(fitted(users))
     n = vectors.count()
     if n < 2:
         raise TaskError("ALGORITHM_ERROR", "fewer than two users fit")
     if k is not None and not 2 <= k <= n:
         raise TaskError("INVALID_PARAMETER", f"k must lie between 2 and {n}")
-    table = clustering.choose_k(vectors, [k] if k else [x for x in range(2, 9) if x <= n], seed, max_iter)
+    table = clustering.choose_k(vectors, [k] if k else [x for x in candidates or range(2, 9) if x <= n], seed, max_iter)
     best = table[0]
     chosen, missing = resolve(users, asked)
     return {
@@ -132,7 +132,7 @@ def compare(before: DataFrame, after: DataFrame, k: int = COMPARED_K, seed: int
     return out
 
 
-def reduction_run(users: DataFrame, names: list[str], method: str = "pca", asked: list[int] | None = None, dims: int = 2, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, k: int = COMPARED_K, eps: float | None = None) -> dict:
+def reduction_run(users: DataFrame, names: list[str], method: str = "pca", asked: list[int] | None = None, dims: int = 2, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, k: int = COMPARED_K, eps: float | None = None, share: float = 0.8, rate: float | None = None, neighbours: int = 10) -> dict:
     """Reduce the users that fit (of those who were asked for) and compare clusterings before and after.
 
     Users who don't fit but have a vector are projected by PCA; t-SNE has no projection, so it leaves them out.
@@ -144,14 +144,14 @@ def reduction_run(users: DataFrame, names: list[str], method: str = "pca", asked
         raise TaskError("ALGORITHM_ERROR", f"a reduction needs {LEAST_USERS} users that fit, not {n}")
     out: dict = {"algorithm": method, "unknown_users": missing}
     if method == "pca":
-        model = reduce.pca(fit, dims)
+        model = reduce.pca(fit, dims, share)
         after = reduce.project(fit, model)
         others = reduce.project(chosen.filter("fit = 0 and v is not null").select("id", "v"), model)
         top = {m: [float(x) for x in model[m][:10]] for m in ("explained", "cumulative", "eigenvalues")}
-        out |= {"metrics": {**top, "dims_for_share": model["dims_for_share"], "without_variance": model["without_variance"]}, "loadings": reduce.loadings(model, names), "projected": others}
+        out |= {"metrics": {**top, "dims_for_share": model["dims_for_share"], "without_variance": model["without_variance"]}, "loadings": reduce.loadings(model, names), "projected": others, "model": {m: np.asarray(model[m]).tolist() for m in ("mean", "components")}}
     else:
-        after, stats = reduce.tsne_with_stats(fit, perplexity, rounds, seed)
-        agreement = reduce.knn_agreement(fit, after.select("id", F.array("x", "y").alias("v")), min(10, n - 2)).first()
+        after, stats = reduce.tsne_with_stats(fit, perplexity, rounds, seed, rate)
+        agreement = reduce.knn_agreement(fit, after.select("id", F.array("x", "y").alias("v")), min(neighbours, n - 2)).first()
         after = after.select("id", F.array("x", "y").alias("v"))
         out |= {"metrics": {**stats, **(agreement.asDict() if agreement else {})}}
     after = cut(after)

@@ -38,11 +38,10 @@ def card(result: dict, meta: dict) -> str:
 def save(spark: SparkSession, folder: str, result: dict, rules: Rules, data_version: str, version: str | None = None) -> str:
     """The version under which a result was saved: its model, measures and card."""
     kind = result["kind"]
-    version = version or artefacts.next_version(artefacts.versions(spark, folder, kind))
     content = {k: v for k, v in result.items() if k != "model"} | {"model": result["model"].as_dict()}
     meta = content | {"feature_version": FEATURES, "data_version": data_version, "t1": rules.t1, "t2": rules.t2, "model_version": fingerprint("mdl", content["model"]), "columns": result["model"].columns}
-    artefacts.save(spark, folder, kind, version, meta, reports={"card.md": card(result, meta | {"version": version})})
-    return version
+    path = artefacts.save(spark, folder, kind, version, meta, reports={"card.md": lambda v: card(result, meta | {"version": v})})
+    return path.rsplit("/", 1)[-1]
 
 
 def load(spark: SparkSession, folder: str, kind: str, version: str | None = None) -> tuple[classify.Gaussian | classify.Tree, dict]:

@@ -14,7 +14,6 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from sievestone.plans.rules import DIMENSIONS
 
@@ -32,7 +31,8 @@ DIMENSION_WORDS = {"accurate": ("准确", "合法", "错误值", "格式正确")
 #: Ranges of the parameters that a request may set, by algorithm.
 PARAMETERS = {
     "kmeans": {"k": (2, 30), "max_iter": (10, 1000), "seed": (0, 2147483647)}, "dbscan": {"eps": (0.01, 50.0), "min_samples": (3, 100)},
-    "pca": {"target_dimensions": (2, 27), "information_retention_threshold": (0.0, 1.0)}, "tsne": {"perplexity": (5.0, 50.0), "n_iter": (250, 5000), "knn_k": (2, 50)}, "gnb": {}, "cart": {},
+    "pca": {"target_dimensions": (2, 27), "information_retention_threshold": (0.0, 1.0), "clustering_k": (2, 30), "clustering_seed": (0, 2147483647)},
+    "tsne": {"perplexity": (5.0, 50.0), "n_iter": (250, 5000), "learning_rate": (10.0, 1000.0), "knn_k": (2, 50), "random_state": (0, 2147483647), "clustering_k": (2, 30), "clustering_seed": (0, 2147483647)}, "gnb": {}, "cart": {},
 }
 CATEGORIES = {"clustering": ("kmeans", "dbscan"), "classification": ("gnb", "cart"), "dimensionality_reduction": ("pca", "tsne")}
 MAX_USERS, SHOWN_USERS, SHOWN_POINTS, SHOWN_MOVIES = 20_000, 50, 5, 3
@@ -80,9 +80,9 @@ def user_ids(given) -> list[int]:
     return sorted(out)
 
 
-def checked(algorithm: str, given: dict) -> dict:
+def checked(algorithm: str, given: dict, ranges: dict | None = None) -> dict:
     """Parameters that the algorithm knows, as numbers in range; text and booleans are no numbers."""
-    allowed = PARAMETERS[algorithm]
+    allowed = PARAMETERS[algorithm] if ranges is None else ranges
     for name, value in given.items():
         if name not in allowed:
             continue
@@ -92,8 +92,13 @@ def checked(algorithm: str, given: dict) -> dict:
     return {k: v for k, v in given.items() if k in allowed}
 
 
-def route(category: str, payload: dict, data_version: str, known_user: Callable[[int], bool] | None = None) -> dict:
-    """The plan of an analysis request: algorithms, users, parameters by algorithm, target and notes."""
+def route(category: str, payload: dict, data_version: str, known_user: Callable[[int], bool] | None = None, config=None) -> dict:
+    """The plan of an analysis request: algorithms, users, parameters by algorithm, target and notes.
+
+    With a configuration its algorithms and ranges hold instead of the built-in ones.
+    """
+    declared = CATEGORIES.get(category, ()) if config is None else config.names(category)
+    ranges = PARAMETERS if config is None else {a: config.ranges(a) for a in declared}
     if category not in CATEGORIES:
         raise TaskError("INVALID_REQUEST", f"unknown category: {category}")
     if not isinstance(payload, dict):
@@ -103,8 +108,8 @@ def route(category: str, payload: dict, data_version: str, known_user: Callable[
     text, notes = payload.get("query") or payload.get("prompt") or "", []
     if not isinstance(text, str) or len(text) > 2000:
         raise TaskError("INVALID_REQUEST", "query must be text of at most 2000 characters")
-    algorithms = payload.get("algorithms") or ([payload["algorithm"]] if payload.get("algorithm") else list(CATEGORIES[category]))
-    if unknown := [a for a in algorithms if a not in CATEGORIES[category]]:
+    algorithms = payload.get("algorithms") or ([payload["algorithm"]] if payload.get("algorithm") else list(declared))
+    if unknown := [a for a in algorithms if a not in declared]:
         raise TaskError("MODEL_NOT_FOUND", f"{unknown[0]} is no algorithm of {category}")
     given = ([payload["user_id"]] if payload.get("user_id") is not None else []) + list(payload.get("user_ids") or [])
     users = user_ids(given or re.findall(r"(?:用户|user)\s*#?([1-9]\d*)", text, re.I)) or None
@@ -126,9 +131,9 @@ def route(category: str, payload: dict, data_version: str, known_user: Callable[
     parameters = payload.get("parameters") or {}
     if not isinstance(parameters, dict):
         raise TaskError("INVALID_REQUEST", "parameters must be an object")
-    if unknown := set(parameters) - {p for a in algorithms for p in PARAMETERS[a]}:
+    if unknown := set(parameters) - {p for a in algorithms for p in ranges[a]}:
         raise TaskError("INVALID_PARAMETER", f"unknown parameters: {sorted(unknown)}")
-    return {"category": category, "algorithms": algorithms, "user_ids": users, "target": target, "parameters": {a: checked(a, parameters) for a in algorithms}, "data_version": data_version, "notes": notes}
+    return {"category": category, "algorithms": algorithms, "user_ids": users, "target": target, "parameters": {a: checked(a, parameters, ranges[a]) for a in algorithms}, "data_version": data_version, "notes": notes}
 
 
 def fingerprint(prefix: str, value, length: int = 12) -> str:
@@ -136,58 +141,73 @@ def fingerprint(prefix: str, value, length: int = 12) -> str:
     return f"{prefix}-{hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()[:length]}"
 
 
-@dataclass
-class Registry:
-    """Analysis tools by name, run(session, plan) -> dict; a result must have the keys that callers rely on."""
+#: Keys that every tool's result must have, and those of a category.
+NEEDED, NEEDED_BY = ("algorithm", "parameters", "metrics", "data_version", "unknown_users", "limits", "model_version"), {"clustering": ("assignments", "assignments_total", "clusters"), "classification": ("target", "prediction"), "dimensionality_reduction": ("coordinates", "coordinates_total", "comparison")}
+
+
+def accepted(name: str, result: dict, category: str) -> dict:
+    """A tool's result with its version; one without a key that callers rely on is refused."""
+    if missing := [k for k in (*NEEDED, *NEEDED_BY.get(category, ())) if k not in result]:
+        raise TaskError("ALGORITHM_ERROR", f"{name} gave no {', '.join(missing)}", missing=missing)
+    plain = {k: v for k, v in result.items() if k != "tables"}
+    return {**result, "result_version": fingerprint("res", plain)}
 
-    tools: dict[str, Callable] = field(default_factory=dict)
-    needed: tuple = ("algorithm", "metrics")
 
-    def add(self, name: str):
-        def put(f: Callable) -> Callable:
-            self.tools[name] = f
-            return f
+class Disk:
+    """Small named texts in a folder of this machine's disk, each written whole or not at all."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        os.makedirs(folder, exist_ok=True)
+
+    def names(self) -> list[str]:
+        return sorted(os.listdir(self.folder))
 
-        return put
+    def read(self, name: str) -> str:
+        with open(os.path.join(self.folder, name), encoding="utf-8") as f:
+            return f.read()
 
-    def run(self, name: str, session, plan: dict) -> dict:
-        if name not in self.tools:
-            raise TaskError("MODEL_NOT_FOUND", f"no such tool: {name}")
-        result = self.tools[name](session, plan)
-        if missing := [k for k in self.needed if k not in result]:
-            raise TaskError("ALGORITHM_ERROR", f"{name} gave no {missing[0]}")
-        return {**result, "result_version": fingerprint("res", result)}
+    def write(self, name: str, text: str) -> None:
+        path = os.path.join(self.folder, name)
+        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(f"{path}.tmp", path)
 
 
 class Store:
-    """Task records as JSON files: PENDING, RUNNING, then SUCCESS or FAILED for good; what a stop interrupted has failed."""
+    """Task records as JSON texts: PENDING, RUNNING, then SUCCESS or FAILED for good; what a stop interrupted has failed.
 
-    def __init__(self, folder: str):
-        self.folder, self.lock = folder, threading.Lock()
-        os.makedirs(folder, exist_ok=True)
+    `shelf` keeps the texts: a Disk, or sources/artefacts.py's Shelf on a file system that several drivers share.  Each of them
+    has an owner's name, and a driver that starts again ends only the tasks that it had itself.
+    """
+
+    def __init__(self, shelf, owner: str = "service"):
+        self.shelf, self.owner, self.lock = shelf, owner, threading.Lock()
         self.tasks: dict[str, dict] = {}
-        for name in sorted(os.listdir(folder)):
+        self.refresh()
+        for task in list(self.tasks.values()):
+            if task["status"] in (PENDING, RUNNING) and task.get("owner", owner) == owner:
+                self._write(task | {"status": FAILED, "error": {"code": "AGENT_EXECUTION_ERROR", "message": "interrupted by a restart", "stage": task.get("stage")}})
+
+    def refresh(self) -> None:
+        """Reads the records that others have written meanwhile; what isn't a record is passed over."""
+        for name in self.shelf.names():
             if name.endswith(".json"):
                 try:
-                    with open(os.path.join(folder, name), encoding="utf-8") as f:
-                        task = json.load(f)
+                    task = json.loads(self.shelf.read(name))
                 except (OSError, ValueError):
                     continue
-                self.tasks[task["task_id"]] = task
-                if task["status"] in (PENDING, RUNNING):
-                    self._write(task | {"status": FAILED, "error": {"code": "AGENT_EXECUTION_ERROR", "message": "interrupted by a restart", "stage": task.get("stage")}})
+                if isinstance(task, dict) and "task_id" in task:
+                    self.tasks[task["task_id"]] = task
 
     def _write(self, task: dict) -> dict:
-        path = os.path.join(self.folder, f"{task['task_id']}.json")
-        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-            json.dump(task, f, ensure_ascii=False)
-        os.replace(f"{path}.tmp", path)
+        self.shelf.write(f"{task['task_id']}.json", json.dumps(task, ensure_ascii=False, default=str))
         self.tasks[task["task_id"]] = task
         return task
 
     def create(self, plan: dict) -> str:
         with self.lock:
-            return self._write({"task_id": f"task_{uuid.uuid4().hex[:10]}", "status": PENDING, "stage": None, "created_at": time.time(), "plan": plan, "result": None, "error": None})["task_id"]
+            return self._write({"task_id": f"task_{uuid.uuid4().hex[:10]}", "status": PENDING, "stage": None, "owner": self.owner, "created_at": time.time(), "plan": plan, "result": None, "error": None})["task_id"]
 
     def update(self, task_id: str, **changes) -> dict:
         with self.lock:
@@ -247,14 +267,14 @@ def governance_result(plan: dict, before: dict | None, after: dict | None = None
 def evidence(result: dict, users: list[int] | None = None) -> dict:
     """A result cut down for an answer: the asked users' assignments and coordinates, or the first few, and few movies a cluster.
 
-    How many assignments there are is told beside them.
+    How many there are in all is told beside them, as the tool has counted them.
     """
     asked = set(users or ())
     mine = lambda rows, shown: [r for r in rows if r.get("user_id") in asked] if asked else rows[:shown]
     rows = result.get("assignments") or []
-    out = {**result, "assignments": mine(rows, SHOWN_USERS), "assignments_total": len(rows)}
+    out = {**result, "assignments": mine(rows, SHOWN_USERS), "assignments_total": result.get("assignments_total", len(rows))}
     if "coordinates" in result:
-        out |= {"coordinates": mine(result["coordinates"], SHOWN_POINTS), "coordinates_total": len(result["coordinates"])}
+        out |= {"coordinates": mine(result["coordinates"], SHOWN_POINTS), "coordinates_total": result.get("coordinates_total", len(result["coordinates"]))}
     if "clusters" in result:
         out["clusters"] = [{**c, "representative_movies": c.get("representative_movies", [])[:SHOWN_MOVIES]} for c in result["clusters"]]
     return out

@@ -34,7 +34,7 @@ def test_routes():
 
 
 def test_tasks_end_once_and_survive_a_restart(tmp_path):
-    store = S.Store(str(tmp_path))
+    store = S.Store(S.Disk(str(tmp_path)))
     scheduler = S.Scheduler(store, lambda plan: {"n": 10 / plan["by"]})
     good, bad = scheduler.submit({"by": 2}), scheduler.submit({"by": 0})
     scheduler.waiting.join()
@@ -43,7 +43,7 @@ def test_tasks_end_once_and_survive_a_restart(tmp_path):
         store.update(good, status=S.RUNNING)
     waiting = store.create({})
     (tmp_path / "broken.json").write_text("{")
-    again = S.Store(str(tmp_path))
+    again = S.Store(S.Disk(str(tmp_path)))
     assert again.tasks[waiting]["error"]["code"] == "AGENT_EXECUTION_ERROR" and again.tasks[good]["status"] == S.SUCCESS
     assert json.loads((tmp_path / f"{waiting}.json").read_text())["status"] == S.FAILED
 
@@ -61,15 +61,18 @@ def test_results_have_null_where_nothing_applies():
     assert S.fingerprint("mdl", {"a": 1, "b": 2}) == S.fingerprint("mdl", {"b": 2, "a": 1})
 
 
-def test_registry():
-    tools = S.Registry()
-    tools.add("clustering_kmeans")(lambda session, plan: {"algorithm": "kmeans", "metrics": {}})
-    tools.add("bad")(lambda session, plan: {})
-    assert tools.run("clustering_kmeans", None, {})["result_version"].startswith("res-")
-    for name, code in (("bad", "ALGORITHM_ERROR"), ("none", "MODEL_NOT_FOUND")):
+def test_results_without_a_needed_key_are_refused():
+    whole = dict.fromkeys((*S.NEEDED, *S.NEEDED_BY["clustering"]), 1)
+    assert S.accepted("x", whole | {"tables": {"t": object()}}, "clustering")["result_version"] == S.accepted("x", whole, "clustering")["result_version"]
+    for key in whole:
         with pytest.raises(S.TaskError) as e:
-            tools.run(name, None, {})
-        assert e.value.code == code
+            S.accepted("x", {k: v for k, v in whole.items() if k != key}, "clustering")
+        assert e.value.code == "ALGORITHM_ERROR" and e.value.detail == {"missing": [key]}
+
+
+def test_totals_are_the_tools_own():
+    cut = S.evidence({"assignments": [{"user_id": i} for i in range(50)], "assignments_total": 6040, "coordinates": [], "coordinates_total": 7})
+    assert cut["assignments_total"] == 6040 and cut["coordinates_total"] == 7
 
 
 def test_streams(spark, tmp_path):
