@@ -72,13 +72,51 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             yield m.start(), m.end(), name, bool(m[1]), m[3] or ""
 
 
-def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
-    """(path, text, share of characters in links) of each block with text, in page order.
+class Place:
+    """Where a block stands: the innermost open element, its tag and the words of its class, id and role, and the place that holds it."""
 
-    A path is a tuple of elements, each its tag and the words of its class, id and role.
+    __slots__ = ("element", "above", "depth")
+
+    def __init__(self, element: tuple = (), above: Place | None = None):
+        self.element, self.above, self.depth = element, above, above.depth + 1 if above else 0
+
+    @property
+    def tag(self) -> str:
+        return self.element[0] if self.element else ""
+
+    @property
+    def path(self) -> tuple:
+        """The elements from the outermost one."""
+        out, at = [], self
+        while at.above:
+            out.append(at.element)
+            at = at.above
+        return tuple(reversed(out))
+
+
+def moves(places: Iterator[Place]) -> Iterator[tuple[Place, int, list[Place]]]:
+    """For each place in page order: it, how many elements it shares with the one before, and its further ones from the outermost.
+
+    An element that a page has left doesn't come again, so all moves together take time with the page's length, however deep
+    its elements lie in one another.
     """
-    out: list[tuple[tuple, str, float]] = []
-    stack: list[tuple[str, tuple]] = [("", ())]
+    held: list[Place] = []
+    for place in places:
+        new, at = [], place
+        while at.depth and (at.depth > len(held) or held[at.depth - 1] is not at):
+            new.append(at)
+            at = at.above
+        del held[at.depth :]
+        new.reverse()
+        held += new
+        yield place, at.depth, new
+
+
+def blocks(page: str | None) -> list[tuple[Place, str, float]]:
+    """(place, text, share of characters in links) of each block with text, in page order."""
+    out: list[tuple[Place, str, float]] = []
+    stack: list[Place] = [Place()]
+    open_at: dict[str, list[int]] = {}  # where in the stack elements of a tag are open
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
     page = page or ""
@@ -88,13 +126,17 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((stack[-1][1], text, min(1.0, linked / len(text))))
+                out.append((stack[-1], text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def pop(i: int) -> None:
         close()
-        del stack[i:]
+        while len(stack) > i:
+            open_at[stack.pop().tag].pop()
+
+    def last(tag: str) -> int:
+        return own[-1] if (own := open_at.get(tag)) else 0
 
     for start, end, tag, ends, given in tags(page):
         if start > at:
@@ -109,10 +151,8 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
         if tag not in BLOCKS:
             continue
         if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+            if i := last(tag):
+                pop(i)
             else:
                 close()
             in_link = False
@@ -120,16 +160,13 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
         close()
         if tag in VOID or tag in UNSEEN:
             continue
-        if tag in ITEM or (stack[-1][0] == "p" and tag != "p"):
-            kind = tag if tag in ITEM else "p"
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == kind:
-                    pop(i)
-                    break
-                if stack[i][0] in ITEM[kind] or kind == "p":
-                    break
-        names = tuple(_PART.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(given)).lower())) if given else ()
-        stack.append((tag, (*stack[-1][1], (tag, *names))))
+        if stack[-1].tag == "p":
+            pop(len(stack) - 1)
+        if tag in ITEM and tag != "p" and (i := last(tag)) > max(map(last, ITEM[tag])):
+            pop(i)
+        names = _PART.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(given)).lower()) if given else ()
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append(Place((tag, *names), stack[-1]))
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -140,26 +177,40 @@ class Vectors:
     """Blocks to the network's input, with caches of bounded size."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.elements: dict[tuple, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: tuple) -> np.ndarray:
-        found = self.paths.get(path)
+    def element(self, names: tuple) -> np.ndarray:
+        """The signed counts of an element's hashed tag and names."""
+        found = self.elements.get(names)
         if found is None:
-            found = np.zeros(PATH_DIMS, dtype=np.float32)
-            for depth, names in enumerate(reversed(path)):
-                for i, name in enumerate(names):
-                    for seed in (b"a", b"b", b"c"):
-                        h = zlib.crc32((f"{'t' if i == 0 else 'n'}:{name}").encode(), zlib.crc32(seed))
-                        found[h % PATH_DIMS] += (1 if h >> 16 & 1 else -1) * (1.0 if depth < 2 else 0.7)
-            if len(self.paths) > 20_000:
-                self.paths = {}
-            self.paths[path] = found
+            found = np.zeros(PATH_DIMS, dtype=np.int32)
+            for i, name in enumerate(names):
+                for seed in (b"a", b"b", b"c"):
+                    h = zlib.crc32((f"{'t' if i == 0 else 'n'}:{name}").encode(), zlib.crc32(seed))
+                    found[h % PATH_DIMS] += 1 if h >> 16 & 1 else -1
+            if len(self.elements) > 20_000:
+                self.elements = {}
+            self.elements[names] = found
         return found
 
-    def block(self, path: tuple, text: str, linked: float, place: float) -> np.ndarray:
+    def paths(self, places: Iterator[Place]) -> Iterator[np.ndarray]:
+        """For each place in page order the sum over its elements; the two innermost count whole, the others less."""
+        held: list[tuple] = []
+        total = np.zeros(PATH_DIMS, dtype=np.int64)
+        for _, shared, new in moves(places):
+            for names in held[shared:]:
+                total -= self.element(names)
+            del held[shared:]
+            for x in new:
+                held.append(x.element)
+                total += self.element(x.element)
+            near = sum((self.element(names) for names in held[-2:]), np.zeros(PATH_DIMS, dtype=np.int64))
+            yield (near + 0.7 * (total - near)).astype(np.float32)
+
+    def block(self, path: np.ndarray, text: str, linked: float, place: float) -> np.ndarray:
         row = np.zeros(PATH_DIMS + WORD_DIMS + MEASURES, dtype=np.float32)
-        row[:PATH_DIMS] = self.path(path)
+        row[:PATH_DIMS] = path
         words = text.split(" ")
         known, codes = self.words, []
         for w in words:
@@ -180,7 +231,8 @@ class Vectors:
     def page(self, found: list, first: int = 0, last: int | None = None) -> np.ndarray:
         """A row for each block, or for those from `first` up to `last`."""
         n, part = len(found), found[first:last]
-        return np.stack([self.block(*b, (first + i) / n) for i, b in enumerate(part)]) if part else np.zeros((0, PATH_DIMS + WORD_DIMS + MEASURES), dtype=np.float32)
+        paths = self.paths(b[0] for b in part)
+        return np.stack([self.block(path, *b[1:], (first + i) / n) for i, (b, path) in enumerate(zip(part, paths, strict=True))]) if part else np.zeros((0, PATH_DIMS + WORD_DIMS + MEASURES), dtype=np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -341,18 +393,26 @@ MAIN_NAMES = frozenset("article content post entry story main body text".split()
 def by_meaning(found: list) -> np.ndarray:
     """Labels by the tags' meaning: main text stands in article or main, and in nothing that is there for another end."""
     out = np.zeros(len(found), dtype=np.float32)
-    whole = any(e[0] in MAIN_TAGS for path, *_ in found for e in path)
-    for k, (path, _, linked) in enumerate(found):
-        main, side = False, False
-        for e in path:
-            if e[0] in MAIN_TAGS or not whole and MAIN_NAMES.intersection(e[1:]):
+    whole, told = has_main(found), [(False, False)]  # main and side at each depth of the place
+    for k, ((_, _, linked), (place, shared, new)) in enumerate(zip(found, moves(p for p, *_ in found), strict=True)):
+        del told[shared + 1 :]
+        for x in new:
+            (tag, *names), (main, side) = x.element, told[-1]
+            if tag in MAIN_TAGS or not whole and MAIN_NAMES.intersection(names):
                 main, side = True, False
-            elif (e[0] in SIDE_TAGS and not (e[0] == "header" and main)) or SIDE_NAMES.intersection(e[1:]):
+            elif (tag in SIDE_TAGS and not (tag == "header" and main)) or SIDE_NAMES.intersection(names):
                 side = True
-        out[k] = main and not side and (linked < 0.9 or path[-1][0] == "p")
+            told.append((main, side))
+        main, side = told[-1]
+        out[k] = main and not side and (linked < 0.9 or place.tag == "p")
     return out
 
 
+def has_main(found: list) -> bool:
+    """Whether any block lies in an element that is there for main text."""
+    return any(x.tag in MAIN_TAGS for _, _, new in moves(p for p, *_ in found) for x in new)
+
+
 def _words(rng: random.Random, n: int, stock: list) -> str:
     text = " ".join(rng.choice(stock) for _ in range(n))
     text = text[:1].upper() + text[1:]
@@ -463,8 +523,8 @@ def made_sample(pages: int = MADE_PAGES, seed: int = SEED) -> list[tuple[list, n
         page, main = made_page(rng)
         found, at = blocks(page), 0
         label = np.zeros(len(found), dtype=np.float32)
-        for i, (path, text, _) in enumerate(found):
-            if at < len(main) and text == " ".join(main[at].split()) and path and path[-1][0] != "title":
+        for i, (place, text, _) in enumerate(found):
+            if at < len(main) and text == " ".join(main[at].split()) and place.tag not in ("", "title"):
                 label[i], at = 1, at + 1
         out.append((found, label))
     return out
@@ -476,7 +536,7 @@ def train(pages: list[str], made: int = MADE_PAGES, epochs: int = EPOCHS) -> Lab
     sample = [(vectors.page(found), label) for found, label in made_sample(made)]
     for page in pages:
         found = blocks(page)
-        if any(e[0] in MAIN_TAGS for path, *_ in found for e in path):
+        if has_main(found):
             sample.append((vectors.page(found), by_meaning(found)))
     return Labeller().fit(sample, epochs)
 

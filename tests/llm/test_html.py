@@ -51,8 +51,8 @@ def test_odd_pages(spark, labeller):
 
 def test_blocks():
     page = '<title>t</title><nav><a href="x>y">m</a></nav><article class="post main"><h1>A&nbsp;&lt;b</h1><p>one<br>two <i>th</i>ree<p>four</article><script>no</script>tail'
-    assert [(b[0][-1][0] if b[0] else "", b[1]) for b in H.blocks(page)] == [("title", "t"), ("nav", "m"), ("h1", "A <b"), ("p", "one two three"), ("p", "four"), ("", "tail")]
-    assert H.blocks(page)[1][2] == 1.0 and H.blocks(page)[2][0][0] == ("article", "post", "main")
+    assert [(b[0].tag, b[1]) for b in H.blocks(page)] == [("title", "t"), ("nav", "m"), ("h1", "A <b"), ("p", "one two three"), ("p", "four"), ("", "tail")]
+    assert H.blocks(page)[1][2] == 1.0 and H.blocks(page)[2][0].path[0] == ("article", "post", "main")
 
 
 @pytest.mark.parametrize(("page", "texts"), [
@@ -77,6 +77,21 @@ def test_many_unclosed_elements_take_time_with_the_length():
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize("page", ["<div>a" * 100_000, "<div class=x>" * 60_000 + "<li>b</section>" * 60_000, "<ul><li>a<div>" * 40_000 + "</div>c" * 40_000, "<table><tr><td>x" * 30_000])
+def test_deep_pages_take_time_with_the_length(labeller, page):
+    """Elements that lie in one another by tens of thousands, unclosed and closed, from the page to its labels."""
+    began = time.time()
+    text = H._make(labeller)()([page])["text"][0]
+    assert time.time() - began < 40 and isinstance(text, str)
+    vectors, found = H.Vectors(), H.blocks(page)
+    H.by_meaning(found)
+    assert time.time() - began < 60
+    for i in (0, len(found) // 2, len(found) - 1):
+        path = found[i][0].path
+        want = sum((vectors.element(e) * (1.0 if len(path) - d <= 2 else 0.7) for d, e in enumerate(path)), np.zeros(H.PATH_DIMS))
+        assert np.allclose(vectors.page(found, i, i + 1)[0][: H.PATH_DIMS], want, rtol=1e-5)
+
+
 #: Pages of templates that the made ones don't have, with their main blocks.
 STRANGE = [
     ("""<html><body><table width=100%><tr><td class=topnav><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr><tr><td class="leftcol"><a href=/1>Older entry</a><br><a href=/2>Another one</a></td>
