@@ -32,17 +32,18 @@ def best_entropy(value: str, window: int = 20) -> float:
     return best
 
 
-def all_spans(text: str, allowed, allowed_forms: str, hex_bits: float, base64_bits: float) -> list[tuple]:
-    base = base_spans(text)
-    out, covered = list(base), bytearray(len(text))
-    for a, _, b in base:
-        covered[a:b] = b"x" * (b - a)
+def candidates(text: str, allowed, allowed_forms: str, hex_bits: float, base64_bits: float) -> list[tuple]:
+    """(start, end, class, entropy, verdict) of each candidate."""
+    out = []
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         v = m[0]
-        if any(covered[m.start() : m.end()]) or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v):
-            continue
-        if any(x in v.lower() for x in allowed) or re.search(allowed_forms, v):
-            continue
-        if best_entropy(v) >= (hex_bits if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else base64_bits):
-            out.append((m.start(), 3, m.end()))
-    return sorted(out)
+        if re.search("[0-9]", v) and re.search("[A-Za-z]", v):
+            kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "base64"
+            bits = best_entropy(v)
+            known = any(x in v.lower() for x in allowed) or re.search(allowed_forms, v)
+            out.append((m.start(), m.end(), kind, bits, "allowed" if known else "secret" if bits >= (hex_bits if kind == "hex" else base64_bits) else "low"))
+    return out
+
+
+def all_spans(text: str, allowed, allowed_forms: str, hex_bits: float, base64_bits: float) -> list[tuple]:
+    return sorted(base_spans(text) + [(a, 3, b) for a, b, _, _, verdict in candidates(text, allowed, allowed_forms, hex_bits, base64_bits) if verdict == "secret"])
