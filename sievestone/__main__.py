@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from sievestone.operators import cleaning
 from sievestone.plans import governance, learning, tools
 from sievestone.plans.config import Config, ConfigError
 from sievestone.plans.rules import RuleError, Rules
@@ -44,14 +45,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     rules = Rules.load(args.rules) if args.rules else Rules()
     lines = files.read_tables(spark, args.folder)
     if args.command == "govern":
-        found = governance.govern(lines, rules)
-        if args.out:
-            from sievestone.operators import cleaning
-
-            for name, rows in found["cleaned"].items():
-                files.write_cleaned(cleaning.outputs(rows), args.out, name)
+        found = governance.govern(lines, rules, args.out)
         rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  a few rows each
-        return {k: rows(found[k]) for k in ("before", "after", "improvements", "counts", "problems", "unresolved", "by_action")}
+        return {k: rows(found[k]) for k in ("before", "after", "improvements", "counts", "problems", "unresolved", "by_action")} | {"observed": found["observed"]}
     ratings, movies, users = (files.typed(lines[t], t, rules) for t in ("ratings", "movies", "users"))
     config = Config.load(args.analysis)
     space = tools.workspace(spark, ratings, movies, users, rules, args.models, args.data_version, min_ratings=config.content.get("min_train_ratings", 10))
@@ -71,8 +67,9 @@ def main(given: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sievestone").getOrCreate()
     try:
         print(json.dumps(run(spark, args), ensure_ascii=False, indent=1, default=str))
-    except (TaskError, RuleError, ConfigError, files.DataNotFound) as e:
-        print(json.dumps(e.as_dict() if isinstance(e, TaskError) else {"code": "DATA_NOT_FOUND" if isinstance(e, files.DataNotFound) else "INVALID_RULE_VERSION", "message": str(e)}, ensure_ascii=False), file=sys.stderr)
+    except (TaskError, RuleError, ConfigError, files.DataNotFound, cleaning.Unreconciled) as e:
+        code = "DATA_NOT_FOUND" if isinstance(e, files.DataNotFound) else getattr(e, "code", "INVALID_RULE_VERSION")
+        print(json.dumps(e.as_dict() if isinstance(e, TaskError) else {"code": code, "message": str(e)}, ensure_ascii=False), file=sys.stderr)
         return 2
     return 0
 

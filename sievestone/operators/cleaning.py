@@ -6,7 +6,7 @@ aggregate over (key, record), so a key with very many copies is no large group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievestone.functions import text as T
@@ -136,9 +136,35 @@ def all_reasons(rows: dict[str, DataFrame]) -> DataFrame:
     return each.union(each.groupBy("reason").agg(F.sum("count").cast("bigint").alias("count")).select(F.lit("total").alias("tbl"), "reason", "count"))
 
 
-def outputs(cleaned: DataFrame) -> dict[str, DataFrame]:
-    """What goes to the clean file, to the isolated file, and to the audit."""
-    return {"clean": cleaned.filter("tag <> 'isolated'").select("record"), "isolated": cleaned.filter("tag = 'isolated'").select("record"), "audit": cleaned.filter("tag <> 'clean'").select("tag", "reason", "record")}
+#: What is counted beside a pass over cleaned rows.
+OBSERVED = tuple(f"{t}_count" for t in (*TAGS, "unknown")) + ("deduped_count", "total_input_count", "total_count")
+
+
+def observed(cleaned: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and what tells the counts OBSERVED once something has gone through all of them; no pass of its own."""
+    seen = Observation()
+    tag = lambda t: F.count_if(F.col("tag") == t).alias(f"{t}_count")
+    unknown = F.count_if(~F.coalesce(F.col("tag").isin(*TAGS), F.lit(False))).alias("unknown_count")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return cleaned.observe(seen, *map(tag, TAGS), unknown, zero(F.sum("copies") - F.count(F.lit(1))).alias("deduped_count"), zero(F.sum("copies")).alias("total_input_count"), F.count(F.lit(1)).alias("total_count")), seen
+
+
+class Unreconciled(RuntimeError):
+    """Counts of a cleaning run that don't add up; `found` tells where."""
+
+    code = "HADOOP_EXECUTION_ERROR"
+
+    def __init__(self, table: str, found: list[str]):
+        super().__init__(f"{table}: {'; '.join(found)}")
+        self.table, self.found = table, found
+
+
+def settle(table: str, row: dict, lines: int, again: dict | None = None) -> dict:
+    """The counts of a table if they add up to its lines, and agree with those of a second pass where there was one; else Unreconciled."""
+    found = reconcile(row, lines) + [f"{k} is {row[k]} in one pass and {again[k]} in the other" for k in OBSERVED if again is not None and row[k] != again[k]]
+    if found:
+        raise Unreconciled(table, found)
+    return row
 
 
 def reconcile(row, lines: int) -> list[str]:

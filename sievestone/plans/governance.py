@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions import parse
 from sievestone.operators import checks, cleaning, scores
 from sievestone.plans.rules import AGES, COLUMNS, GENRES, SAMPLE_RULES, Rules
-from sievestone.session import cut
-from sievestone.sources import sample
+from sievestone.session import cut, dropped, shared_dir
+from sievestone.sources import files, sample
 
 R = SAMPLE_RULES
 TABLES = tuple(COLUMNS)
@@ -35,24 +37,34 @@ def before_and_after(lines: dict[str, DataFrame], rules: Rules) -> tuple[DataFra
     return sides[0], sides[1], cleaned
 
 
-def govern(lines: dict[str, DataFrame], rules: Rules) -> dict:
+def govern(lines: dict[str, DataFrame], rules: Rules, out: str | None = None) -> dict:
     """A whole run: scores before and after, what changed, counts and reasons of cleaning, problems, and the cleaned rows.
 
-    Counters are gathered once each; scores of tables without rows are refused.
+    Counters are gathered once each; scores of tables without rows are refused.  Each table's cleaned rows are written once and
+    counted in that pass; counts that don't add up to the lines that the checks have seen end the run (Unreconciled) before
+    anything is told.  With `out`, the three files of each table are written there in one more pass, held against the first.
     """
     metrics = cut(checks.all_metrics(*(lines[t] for t in TABLES), rules))
-    scores.checked(metrics)
+    seen = scores.checked(metrics)
     told = {t: cut(cleaning.dispositions(lines[t], t, rules)) for t in TABLES}
-    cleaned = {t: cut(cleaning.resolve(told[t], t, rules)) for t in TABLES}
+    cleaned, settled = {}, {}
+    for t in TABLES:
+        rows, observation = cleaning.observed(cleaning.resolve(told[t], t, rules))
+        cleaned[t] = cut(rows)
+        settled[t] = cleaning.settle(t, observation.get, int(seen[f"{t}_total"]))
     later = cut(checks.all_metrics(*(df for df in cleaned_lines(cleaned).values()), rules))
     scores.checked(later)
     counts = cut(rollup_counts(cleaned))
-    total = counts.filter("tbl = 'total'").first().asDict()
+    each = {r["tbl"]: r.asDict() for r in counts.collect()}
+    for t in TABLES:
+        cleaning.settle(t, settled[t], int(seen[f"{t}_total"]), each[t])
+        if out:
+            files.write_cleaned(cleaned[t], out, t, int(seen[f"{t}_total"]), settled[t])
     before, after = scores.scores(metrics, rules), scores.scores(later, rules)
-    problems = scores.problems(metrics, total)
+    problems = scores.problems(metrics, each["total"])
     return {
         "before": before, "after": after, "improvements": scores.improvements(before, after), "counts": counts, "reasons": cleaning.all_reasons(told),
-        "problems": problems, "unresolved": scores.problems(later, total).filter("unresolved = 1"), "by_action": scores.by_action(problems), "cleaned": cleaned,
+        "problems": problems, "unresolved": scores.problems(later, each["total"]).filter("unresolved = 1"), "by_action": scores.by_action(problems), "cleaned": cleaned, "observed": settled,
     }
 
 
@@ -102,6 +114,17 @@ def _problems(spark, d):
     return scores.problems(checks.all_metrics(*lines.values(), R), counts).drop("subject", "reason")
 
 
+def _observed(spark, d: str) -> DataFrame:
+    """Each table's three files written from one pass, with the counts seen in it."""
+    folder, rows = f"{shared_dir(spark)}/cleaned-{uuid.uuid4().hex}", []
+    for t in TABLES:
+        lines = sample.lines(spark, d, t)
+        n = lines.count()
+        rows.append((t, n, *(files.write_cleaned(cleaning.clean(lines, t, R), folder, t, n)[c] for c in cleaning.OBSERVED)))
+    dropped(spark, folder)
+    return spark.createDataFrame(rows, "tbl string, lines bigint, " + ", ".join(f"{c} bigint" for c in cleaning.OBSERVED))
+
+
 def _tagged(t):
     return lambda spark, d: cleaning.clean(sample.lines(spark, d, t), t, R).select("tag", "reason", "record", "copies")
 
@@ -128,6 +151,7 @@ QUERIES = {
     **{f"clean_tagged_{t}": _tagged(t) for t in TABLES},
     "clean_reasons": lambda spark, d: cleaning.reasons(cleaning.dispositions(sample.lines(spark, d, "ratings"), "ratings", R)),
     "clean_counts": lambda spark, d: rollup_counts({t: cleaning.clean(sample.lines(spark, d, t), t, R) for t in TABLES}),
+    "clean_observed": _observed,
     "clean_conflict_fact": lambda spark, d: cleaning.clean(sample.lines(spark, d, "ratings"), "ratings", R).filter("reason = 'conflict_isolated'").select("key", "record", "copies"),
     "clean_conflict_dim": lambda spark, d: cleaning.clean(sample.lines(spark, d, "movies"), "movies", R).filter("reason = 'conflict_resolved'").select("key", "record", "copies"),
 }
@@ -326,6 +350,7 @@ def oracles() -> dict[str, str]:
         **{f"clean_tagged_{t}": f"SELECT tag, reason, record, copies FROM ({_clean_sql(t, lines[t])})" for t in TABLES},
         "clean_reasons": f"SELECT reason, count(*) AS count FROM ({_judged_sql('ratings', lines['ratings'])}) GROUP BY reason",
         "clean_counts": f"SELECT * FROM ({each}) UNION ALL SELECT 'total', {', '.join(f'CAST(sum({n}) AS BIGINT)' for n in names)} FROM ({each})",
+        "clean_observed": f"SELECT tbl, total_input_count AS lines, {', '.join(cleaning.OBSERVED)} FROM ({each})",
         "clean_conflict_fact": f"SELECT key, record, copies FROM ({_clean_sql('ratings', lines['ratings'])}) WHERE reason = 'conflict_isolated'",
         "clean_conflict_dim": f"SELECT key, record, copies FROM ({_clean_sql('movies', lines['movies'])}) WHERE reason = 'conflict_resolved'",
     }

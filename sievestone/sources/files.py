@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievestone.functions import text as T
 from sievestone.functions.parse import split_strict
+from sievestone.operators import cleaning
 from sievestone.plans.rules import COLUMNS, Rules
+from sievestone.session import dropped
 
 
 class DataNotFound(FileNotFoundError):
@@ -54,17 +58,58 @@ def typed(lines: DataFrame, table: str, rules: Rules, strict: bool = False) -> D
     return f.filter(fine).select(*out)
 
 
-def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
-    """A text file in ISO-8859-1; characters beyond it become question marks."""
-    lines.select(F.encode(F.regexp_replace(column, r"[^\x00-\xFF]", "?"), "ISO-8859-1").cast("string").alias("value")).write.mode("overwrite").text(path)
+def latin1(text: Column) -> Column:
+    """The bytes of a text in ISO-8859-1, as a string that holds them as they are; characters beyond it become question marks."""
+    return F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1").cast("string")
 
 
-def write_cleaned(parts: dict[str, DataFrame], folder: str, table: str) -> None:
-    """The clean records and the isolated ones as text, the audit as tab-separated text."""
-    # The text sink writes a string's bytes as they are.
-    write_lines(parts["clean"], f"{folder}/clean/{table}.dat", "record")
-    write_lines(parts["isolated"], f"{folder}/isolated/{table}.dat", "record")
-    write_lines(parts["audit"].select(F.concat_ws("\t", "tag", "reason", "record").alias("line")), f"{folder}/audit/{table}.tsv")
+def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
+    """A text file in ISO-8859-1."""
+    lines.select(latin1(F.col(column)).alias("value")).write.mode("overwrite").text(path)
+
+
+#: Where cleaned rows go: the folder of each part, and the end of its names.
+PARTS = {"clean": "dat", "isolated": "dat", "audit": "tsv"}
+
+
+def write_cleaned(cleaned: DataFrame, folder: str, table: str, lines: int | None = None, again: dict | None = None) -> dict:
+    """The clean records and the isolated ones as text, and the audit as tab-separated text, from one pass; the counts seen in it.
+
+    A row goes to its data file, and to the audit unless it is clean.  The pass writes beside the places of the
+    files and is held against the lines of the input, and against counts taken `again`, where they are given.  Only if all adds
+    up do the parts take their places; else what was written goes, what was there stays, and Unreconciled tells why.
+    """
+    rows, seen = cleaning.observed(cleaned)
+    audit = F.when(F.col("tag") != "clean", F.struct(F.lit("audit").alias("part"), F.concat_ws("\t", "tag", "reason", "record").alias("line")))
+    data = F.struct(F.when(F.col("tag") == "isolated", "isolated").otherwise("clean").alias("part"), F.col("record").alias("line"))
+    spark, beside = cleaned.sparkSession, f"{folder}/_writing-{table}-{uuid.uuid4().hex}"
+    try:
+        # The text sink writes a string's bytes as they are.
+        rows.select(F.explode(F.array_compact(F.array(data, audit))).alias("x")).select(latin1(F.col("x.line")).alias("value"), "x.part").write.partitionBy("part").text(beside)
+        counts = seen.get
+        if lines is not None:
+            cleaning.settle(table, counts, lines, again)
+        for part, end in PARTS.items():
+            replaced(spark, f"{beside}/part={part}", f"{folder}/{part}/{table}.{end}")
+    finally:
+        dropped(spark, beside)
+    return counts
+
+
+def replaced(spark: SparkSession, source: str, target: str) -> None:
+    """A folder in the place of another one, by renames; no source: an empty folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    new, at, old = path(source), path(target), path(f"{target}.{uuid.uuid4().hex}.old")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(new):
+        fs.mkdirs(new)
+    fs.mkdirs(at.getParent())
+    was = fs.exists(at) and fs.rename(at, old)
+    if not fs.rename(new, at):
+        raise OSError(f"{target} can't be put in place")
+    if was:
+        fs.delete(old, True)
 
 
 def fingerprint(df: DataFrame) -> tuple[int, str]:

@@ -151,7 +151,8 @@ def test_latin1_files_there_and_back(spark, tmp_path):
     assert files.typed(got["ratings"], "ratings", RULES).count() == 1
     with pytest.raises(Exception, match="no ratings row"):
         files.typed(got["ratings"], "ratings", RULES, strict=True).count()
-    files.write_cleaned(cleaning.outputs(cleaning.clean(got["movies"], "movies", RULES)), str(tmp_path / "out"), "movies")
+    counts = files.write_cleaned(cleaning.clean(got["movies"], "movies", RULES), str(tmp_path / "out"), "movies", 2)
+    assert (counts["clean_count"], counts["fixed_count"], counts["total_input_count"]) == (1, 1, 2)
     raw = b"".join(p.read_bytes() for p in (tmp_path / "out/clean/movies.dat").glob("part*"))
     assert sorted(raw.decode("latin-1").splitlines()) == ["1::Misérables (1995)::Drama", "2::B (1990)::War"]
     with pytest.raises(files.DataNotFound):
@@ -237,6 +238,50 @@ def test_a_whole_run(spark):
         governance.govern(tables | {"users": lines(spark, "")}, RULES)
 
 
+def written_parts(folder):
+    """(part, table) to sorted lines of what a run has written."""
+    out = {}
+    for part, end in files.PARTS.items():
+        for at in sorted((folder / part).glob(f"*.{end}")):
+            out[part, at.stem] = sorted(b"".join(p.read_bytes() for p in at.glob("part*")).decode("latin-1").splitlines())
+    return out
+
+
+def test_the_three_way_sink_writes_once_and_reconciles(spark, tmp_path):
+    ls = {"ratings": lines(spark, *[c[0] for c in RATING_CASES]), "movies": lines(spark, *[c[0] for c in MOVIE_CASES]), "users": lines(spark, *[c[0] for c in USER_CASES])}
+    found = governance.govern(ls, RULES, str(tmp_path))
+    parts = written_parts(tmp_path)
+    for t, df in found["cleaned"].items():
+        rows = df.collect()
+        plain = lambda x: "".join(c if ord(c) < 256 else "?" for c in x)
+        assert parts["clean", t] == sorted(plain(r.record) for r in rows if r.tag != "isolated")
+        assert parts["isolated", t] == sorted(plain(r.record) for r in rows if r.tag == "isolated")
+        assert parts["audit", t] == sorted(plain(f"{r.tag}\t{r.reason}\t{r.record}") for r in rows if r.tag != "clean")
+        assert found["observed"][t]["total_count"] == len(rows) and found["observed"][t]["total_input_count"] == ls[t].count()
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+    cleaned = found["cleaned"]["ratings"]
+    for n, again in ((ls["ratings"].count() + 1, None), (ls["ratings"].count(), found["observed"]["ratings"] | {"fixed_count": 99})):
+        with pytest.raises(cleaning.Unreconciled):
+            files.write_cleaned(cleaned.limit(3), str(tmp_path), "ratings", n, again)
+    odd = cleaned.select("tag", "reason", "key", "record", "copies").union(spark.createDataFrame([("strange", "x", "k", "r", 1)], "tag string, reason string, key string, record string, copies bigint"))
+    with pytest.raises(cleaning.Unreconciled) as e:
+        files.write_cleaned(odd, str(tmp_path), "ratings", ls["ratings"].count() + 1)
+    assert "rows with an unknown tag" in e.value.found
+    assert written_parts(tmp_path) == parts and not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+    files.write_cleaned(cleaned.filter("tag = 'clean'"), str(tmp_path), "ratings")
+    again = written_parts(tmp_path)
+    assert again["isolated", "ratings"] == [] == again["audit", "ratings"] and again["clean", "movies"] == parts["clean", "movies"]
+
+
+def test_a_run_that_loses_rows_is_refused(spark, monkeypatch):
+    whole = cleaning.resolve
+    monkeypatch.setattr(cleaning, "resolve", lambda rows, t, rules: whole(rows, t, rules).filter("record not like '2%'"))
+    ls = {"ratings": lines(spark, f"1::10::5::{TS}", f"2::10::4::{TS}"), "movies": lines(spark, "10::A (1990)::Drama"), "users": lines(spark, "1::M::25::7::12345", "2::F::18::3::12345")}
+    with pytest.raises(cleaning.Unreconciled) as e:
+        governance.govern(ls, RULES)
+    assert e.value.table == "ratings" and e.value.found == ["2 lines, 1 rows"]
+
+
 def test_numbers(spark):
     row = spark.range(1).select(
         T.rounded(F.lit(0.125), 2).alias("even"), T.rounded(F.lit(2.675), 2).alias("below"), T.rounded(F.lit(None).cast("double")).alias("none"),
