@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.operators.prefix import running_sums
+from sievestone.operators.tree import constants, grow, leaf_of
 from sievestone.session import written
 
 SMOOTHING = 1e-9
@@ -78,13 +79,8 @@ class Tree:
     def score(self, rows: DataFrame) -> DataFrame:
         """`rows` with `score`, the share of label 1 in their leaf; one expression, level by level from the root."""
         values = F.array(*[F.col(c).cast("double") for c in self.columns])
-        field = lambda i: F.array(*[F.lit(n[i] if n[i] is not None else -1) for n in self.nodes])
-        depth = max(self._depths())
-        out = rows.withColumn("__x", values).withColumn("__at", F.lit(0))
-        feature, threshold, left, right, share = field(0), F.array(*[F.lit(float(n[1] or 0.0)) for n in self.nodes]), field(2), field(3), F.array(*[F.lit(float(n[5])) for n in self.nodes])
-        step = lambda at, _: F.when(F.get(feature, at) < 0, at).when(F.get(F.col("__x"), F.get(feature, at)) <= F.get(threshold, at), F.get(left, at)).otherwise(F.get(right, at))
-        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(0), step)
-        return out.withColumn("score", F.get(share, leaf)).select(*rows.columns, "score")
+        at = leaf_of(F.col("__x"), self.nodes, max(self._depths()))
+        return rows.withColumn("__x", values).withColumn("score", F.get(constants([float(n[5]) for n in self.nodes], "double"), at)).drop("__x")
 
     def _depths(self) -> list[int]:
         depth = [0] * len(self.nodes)
@@ -108,33 +104,10 @@ class Tree:
         return asdict(self)
 
 
-def fit_tree(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 100, seed: int = 42, bins: int = 128) -> Tree | None:
-    """Fitted on the rows with split 'train' by MLlib's distributed learner; null without both labels there.
-
-    Thresholds are among `bins` quantiles of a column.
-    """
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    train = rows.filter("split = 'train'").select("label", *columns)
-    if train.select("label").distinct().count() < 2:
-        return None
-    assembled = VectorAssembler(inputCols=columns, outputCol="__x").transform(train).select("label", "__x")
-    model = DecisionTreeClassifier(featuresCol="__x", labelCol="label", impurity="entropy", maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins, seed=seed).fit(assembled)
-    nodes: list = []
-
-    def read(node) -> int:
-        at = len(nodes)
-        stats = list(node.impurityStats().stats())
-        total = sum(stats)
-        nodes.append([None, None, None, None, int(total), stats[1] / total if len(stats) > 1 and total else 0.0])
-        if node.subtreeDepth() > 0:
-            split = node.split()
-            nodes[at][:4] = [split.featureIndex(), split.threshold(), read(node.leftChild()), read(node.rightChild())]
-        return at
-
-    read(model._java_obj.rootNode())
-    return Tree(list(columns), nodes)
+def fit_tree(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 100) -> Tree | None:
+    """Fitted on the rows with split 'train', over every boundary of every column (operators/tree.py); null without both labels there."""
+    nodes = grow(rows.filter("split = 'train'"), columns, depth, leaf)
+    return nodes and Tree(list(columns), nodes)
 
 
 def model_of(given: dict) -> Gaussian | Tree:
@@ -153,9 +126,9 @@ def gaussian_scores(rows: DataFrame, columns: list[str], smoothing: float = SMOO
     return model.score(rows) if model else rows.withColumn("score", F.lit(None).cast("double"))
 
 
-def tree_scores(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 100, seed: int = 42) -> DataFrame:
+def tree_scores(rows: DataFrame, columns: list[str], depth: int = 12, leaf: int = 100) -> DataFrame:
     """`rows` with `score` by a tree fitted on their train split; null where it can't be fitted."""
-    model = fit_tree(rows, columns, depth, leaf, seed)
+    model = fit_tree(rows, columns, depth, leaf)
     return model.score(rows) if model else rows.withColumn("score", F.lit(None).cast("double"))
 
 
