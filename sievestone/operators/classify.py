@@ -219,7 +219,9 @@ STRATA = {"user_seen_in_train": "user_seen = 1", "user_unseen_in_train": "user_s
 
 
 def with_seen(rows: DataFrame) -> DataFrame:
-    """`rows` of a feature matrix with user_seen and movie_seen: whether a row of the train split has the same one."""
+    """`rows` of a feature matrix with user_seen and movie_seen: whether a row of the train split has the same one; columns that are there stay."""
+    if {"user_seen", "movie_seen"} <= set(rows.columns):
+        return rows
     train = rows.filter("split = 'train'")
     for key in ("user", "movie"):
         known = train.select(f"{key}_id").distinct().withColumn(f"{key}_seen", F.lit(1))

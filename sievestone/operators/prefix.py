@@ -30,6 +30,32 @@ def running_sums(rows: DataFrame, order: Column, sums: dict[str, str]) -> tuple[
     return out.drop("__part"), upto
 
 
+def keyed_sums_before(rows: DataFrame, key: str, order: str, sums: dict[str, str]) -> DataFrame:
+    """`rows` with, for each name in `sums`, the sum of its column over the rows of the same key that come before in `order`; 0 for a key's first.
+
+    (key, order) must tell rows apart.  Rows are dealt into ranges of (key, order), so a key with very many rows lies in many ranges.  Of each
+    range the driver gets one row, its first and last key with their sums; all keys between lie in that range whole.  What the first key
+    had in earlier ranges is added to the window's sum within the range.
+    """
+    part = cut(rows.repartitionByRange(key, order).withColumn("__part", F.spark_partition_id()))
+    each = part.groupBy("__part", key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    ends = each.groupBy("__part").agg(F.min(F.struct(key, *sums)).alias("a"), F.max(F.struct(key, *sums)).alias("z")).orderBy("__part").collect()
+    carried, last, held = [], None, None
+    for r in ends:
+        first = r["a"][key]
+        begun = held if last is not None and first == last[0] else dict.fromkeys(sums, 0)
+        carried.append((r["__part"], first, *begun.values()))
+        last = (r["z"][key],)
+        held = {n: (r["z"][n] or 0) + (begun[n] if first == r["z"][key] else 0) for n in sums}
+    kinds = dict(each.dtypes)
+    held_rows = rows.sparkSession.createDataFrame(carried, f"__part int, __first {kinds[key]}, " + ", ".join(f"`__{n}` {kinds[n]}" for n in sums))
+    window = Window.partitionBy("__part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = part.join(F.broadcast(held_rows), "__part")  # a row a range
+    new = {n: zero(F.sum(c).over(window)) + F.when(F.col(key).eqNullSafe(F.col("__first")), zero(F.col(f"__{n}"))).otherwise(F.lit(0)) for n, c in sums.items()}
+    return out.withColumns(new).select(*[c for c in rows.columns if c not in sums], *sums)
+
+
 def at_places(rows: DataFrame, column: str, places: dict[str, int], count: str | None = None) -> DataFrame:
     """One row: for each name the value of `column` at that place (from 1) of the ordered rows, each counted `count` times."""
     values = rows.groupBy(F.col(column).alias("x")).agg((F.count("*") if count is None else F.sum(count)).alias("n"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievestone.operators.prefix import at_places
+from sievestone.operators.prefix import at_places, keyed_sums_before
 from sievestone.plans.rules import Rules
 from sievestone.session import cut
 
@@ -46,28 +46,33 @@ def time_quantiles(ratings: DataFrame, shares: tuple = (0.70, 0.85)) -> DataFram
     return at_places(seconds, "ts", {f"t{i}": math.floor(q * (total - 1) + 0.5) + 1 for i, q in enumerate(shares, 1)}, "n")
 
 
-def _past(ratings: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Sum and number of a key's ratings before each of its seconds.
+def _past(ratings: DataFrame, key: str, prefix: str, rules: Rules | None = None) -> DataFrame:
+    """Sum and number of a key's ratings before each of its seconds; with rules also whether it has one in the train period.
 
-    Seconds are summed before the window, so it sees one row a second and key, and equal seconds never see each other.
+    Seconds are summed first, so the running sums see one row a second and key, and equal seconds never see each other; a key with
+    very many seconds lies in many tasks.
     """
-    seconds = ratings.groupBy(key, "ts").agg(F.sum("rating").alias("s"), F.count("*").alias("n"))
-    before = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    return seconds.select(key, "ts", zero("s").alias(f"{prefix}_sum"), zero("n").alias(f"{prefix}_count"))
+    old = F.lit(0).cast("bigint") if rules is None else F.count_if(F.col("ts") <= rules.t1)
+    seconds = ratings.groupBy(key, "ts").agg(F.sum("rating").alias("s"), F.count("*").alias("n"), old.alias("old"))
+    found = keyed_sums_before(seconds, key, "ts", {f"{prefix}_sum": "s", f"{prefix}_count": "n", f"{prefix}_seen": "old"})
+    seen = [] if rules is None else [((F.col("ts") <= rules.t1) | (F.col(f"{prefix}_seen") > 0)).cast("int").alias(f"{prefix}_seen")]
+    return found.select(key, "ts", f"{prefix}_sum", f"{prefix}_count", *seen)
 
 
 def train_mean(ratings: DataFrame, rules: Rules) -> float | None:
     return ratings.filter(F.col("ts") <= rules.t1).agg(F.avg("rating")).first()[0]
 
 
-def history(ratings: DataFrame, rules: Rules) -> DataFrame:
-    """`ratings` with user_mean, movie_mean and counts of strictly earlier ratings; none: the train period's mean."""
+def history(ratings: DataFrame, rules: Rules, seen: bool = False) -> DataFrame:
+    """`ratings` with user_mean, movie_mean and counts of strictly earlier ratings; none: the train period's mean.
+
+    With `seen` also user_seen and movie_seen, whether the train period has them.
+    """
     mean = F.lit(train_mean(ratings, rules) or 0.0)
-    rows = ratings.join(_past(ratings, "user_id", "user"), ["user_id", "ts"]).join(_past(ratings, "movie_id", "movie"), ["movie_id", "ts"])
+    rows = ratings.join(_past(ratings, "user_id", "user", rules), ["user_id", "ts"]).join(_past(ratings, "movie_id", "movie", rules), ["movie_id", "ts"])
     for p in ("user", "movie"):
         rows = rows.withColumn(f"{p}_mean", F.coalesce(F.try_divide(f"{p}_sum", f"{p}_count"), mean))
-    return rows.drop("user_sum", "movie_sum")
+    return rows.drop("user_sum", "movie_sum", *(() if seen else ("user_seen", "movie_seen")))
 
 
 def feature_names(rules: Rules) -> list[str]:
@@ -93,10 +98,10 @@ def with_attributes(rows: DataFrame, movies: DataFrame, users: DataFrame, rules:
     return joined.select(*own, *out)
 
 
-def feature_matrix(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules) -> DataFrame:
-    """user_id, movie_id, ts, split, label and the features of each rating."""
-    rows = with_attributes(history(ratings, rules), movies, users, rules)
-    return rows.select("user_id", "movie_id", "ts", split_of(F.col("ts"), rules).alias("split"), label(F.col("rating")).alias("label"), *feature_names(rules))
+def feature_matrix(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules, seen: bool = False) -> DataFrame:
+    """user_id, movie_id, ts, split, label and the features of each rating; with `seen` also user_seen and movie_seen."""
+    rows = with_attributes(history(ratings, rules, seen), movies, users, rules)
+    return rows.select("user_id", "movie_id", "ts", split_of(F.col("ts"), rules).alias("split"), label(F.col("rating")).alias("label"), *feature_names(rules), *(("user_seen", "movie_seen") if seen else ()))
 
 
 def missing_attributes(matrix: DataFrame) -> DataFrame:
@@ -117,10 +122,8 @@ def point_history(ratings: DataFrame, points: DataFrame, rules: Rules) -> DataFr
         asked = keyed.select(key, F.col("asked_at").alias("ts"), F.lit(0).cast("bigint").alias("rating"), F.lit(0).alias("real")).distinct()
         both = ratings.select(key, "ts", F.col("rating").cast("bigint").alias("rating"), F.lit(1).alias("real")).union(asked)
         seconds = both.groupBy(key, "ts").agg(F.sum("rating").alias("s"), F.sum("real").alias("n"), F.max(1 - F.col("real")).alias("asked"))
-        before = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-        zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-        found = seconds.withColumn("s", zero("s")).withColumn("c", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("asked = 1")
-        return found.select(key, F.col("ts").alias("asked_at"), F.coalesce(F.try_divide("s", "c"), mean).alias(f"{p}_mean"), F.col("c").alias(f"{p}_count"))
+        found = keyed_sums_before(seconds, key, "ts", {"sum": "s", "c": "n"}).filter("asked = 1")
+        return found.select(key, F.col("ts").alias("asked_at"), F.coalesce(F.try_divide("sum", "c"), mean).alias(f"{p}_mean"), F.col("c").alias(f"{p}_count"))
 
     return keyed.join(side("user_id", "user"), ["user_id", "asked_at"]).join(side("movie_id", "movie"), ["movie_id", "asked_at"])
 

@@ -32,8 +32,8 @@ def _events(spark, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", F.col("event_id").alias("movie_id"), F.col("value").alias("rating"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ts"))
 
 
-def _matrix(spark, d: str) -> DataFrame:
-    return temporal.feature_matrix(_ratings(spark, d), sample.rows(spark, d, "movies"), sample.rows(spark, d, "users"), R)
+def _matrix(spark, d: str, seen: bool = False) -> DataFrame:
+    return temporal.feature_matrix(_ratings(spark, d), sample.rows(spark, d, "movies"), sample.rows(spark, d, "users"), R, seen)
 
 
 def _profile(spark, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _labelled_users(spark, d) -> DataFrame:
 
 def _scored(spark, d, *splits: str) -> DataFrame:
     """split, label, user_seen, movie_seen and the score, to six digits, of naive Bayes over the whole feature matrix, by rows of the splits (none: test)."""
-    rows = written(classify.with_seen(_matrix(spark, d)))
+    rows = written(_matrix(spark, d, True))
     model = classify.fit_gaussian(rows, FEATURES)
     return written(_rounded(model.score(rows.filter(F.col("split").isin(*splits or ("test",)))).select("split", "label", "user_seen", "movie_seen", "score"), ["score"]))
 
@@ -228,7 +228,7 @@ QUERIES = {
     "cluster_assignments": _cluster_assignments,
     "dbscan_noise": _noise,
     "reduction_comparison": _comparison,
-    "cart_predict": lambda s, d: classify.tree_scores(written(_matrix(s, d)), temporal.feature_names(R)).groupBy("split").agg(F.count("*").alias("records"), F.avg("score").alias("mean_score")),
+    "cart_predict": lambda s, d: classify.tree_scores(written(_matrix(s, d)), temporal.feature_names(R)).groupBy("split").agg(F.count("*").alias("records"), F.round(F.avg("score"), 6).alias("mean_score")),
     "threshold_scan": lambda s, d: _rounded(classify.threshold_scan(_scored(s, d)), ["precision", "recall", "f1", "rate"]),
     "best_threshold": lambda s, d: _rounded(classify.best_threshold(_scored(s, d)), ["f1"]),
     "confusion": lambda s, d: classify.confusion(_scored(s, d), THRESHOLD),
@@ -243,6 +243,21 @@ QUERIES = {
 }
 
 
+def _tree_sql(matrix: str, columns: list[str], depth: int = 12, leaf: int = 100) -> str:
+    """An entropy tree grown level by level, and the mean of its leaves' shares by split; node k has 2k to its left and 2k + 1 to its right."""
+    part = lambda x, n: f"CASE WHEN {x} > 0 THEN -({x} / {n}) * log2({x} / {n}) ELSE 0 END"
+    bits = lambda p, n: f"({part(p, n)} + {part(f'({n} - {p})', n)})"
+    steps = []
+    for i in range(1, depth + 1):
+        steps.append(f"""c{i} AS (SELECT node, f, v, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS p FROM (SELECT node, label, unnest(x) AS v, unnest(range(len(x))) AS f FROM a{i - 1} WHERE split = 'train' AND node >= {2 ** (i - 1)}) GROUP BY ALL),
+w{i} AS (SELECT node, f, v, lead(v) OVER o AS after, sum(n) OVER o AS nl, sum(p) OVER o AS pl, sum(n) OVER g AS n, sum(p) OVER g AS p FROM c{i} WINDOW o AS (PARTITION BY node, f ORDER BY v), g AS (PARTITION BY node, f)),
+b{i} AS MATERIALIZED (SELECT node, f, v + (after - v) / 2 AS t FROM (SELECT *, round({bits('p', 'n')} - nl / n * {bits('pl', 'nl')} - (n - nl) / n * {bits('(p - pl)', '(n - nl)')}, 10) AS gain FROM w{i} WHERE nl >= {leaf} AND n - nl >= {leaf} AND after IS NOT NULL)
+    WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1),
+a{i} AS MATERIALIZED (SELECT split, label, x, CASE WHEN f IS NULL THEN node WHEN x[f + 1] <= t THEN 2 * node ELSE 2 * node + 1 END AS node FROM a{i - 1} LEFT JOIN b{i} USING (node))""")
+    return f"""WITH m AS MATERIALIZED ({matrix}), a0 AS MATERIALIZED (SELECT split, label, [{', '.join(f'{c}::DOUBLE' for c in columns)}] AS x, 1::BIGINT AS node FROM m), {', '.join(steps)}
+SELECT split, count(*) AS records, round(avg(share), 6) AS mean_score FROM a{depth} JOIN (SELECT node, avg(label) AS share FROM a{depth} WHERE split = 'train' GROUP BY node) USING (node) GROUP BY split"""
+
+
 def oracles() -> dict[str, str]:
     r, m, u = (sample.duck(sample.ROWS[t]) for t in ("ratings", "movies", "users"))
     lab, split = "CASE WHEN rating >= 4 THEN 1 ELSE 0 END", f"CASE WHEN ts <= {R.t1} THEN 'train' WHEN ts <= {R.t2} THEN 'validate' ELSE 'test' END"
@@ -340,6 +355,7 @@ def oracles() -> dict[str, str]:
         "eps_neighbours": f"WITH vec AS MATERIALIZED ({vec}) SELECT a.id, count(*) AS neighbours FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS} GROUP BY a.id",
         "dbscan_core_points": f"WITH vec AS MATERIALIZED ({vec}) SELECT a.id FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS} GROUP BY a.id HAVING count(*) >= {MIN_SAMPLES}",
         "gnb_scores": f"WITH {gnb} SELECT split, round(avg(score), 5) AS mean_score, round(min(score), 5) AS min_score, round(max(score), 5) AS max_score, count(*) AS records FROM sc GROUP BY split",
+        "cart_predict": _tree_sql(matrix, columns),
         "missing_attributes": f"SELECT count(*) AS records, count(*) FILTER (WHERE has_attributes = 0) AS missing FROM ({matrix})",
         "threshold_scan": f"WITH {gnb} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(rate, 6) AS rate FROM ({scan(scored)})",
         "best_threshold": f"WITH {gnb} SELECT threshold, round(f1, 6) AS f1 FROM ({best_of(scored)})",

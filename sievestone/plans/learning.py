@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievestone.operators import classify, temporal
 from sievestone.plans.rules import Rules
 from sievestone.plans.service import TaskError, fingerprint
+from sievestone.session import written
 from sievestone.sources import artefacts
 
 FEATURES = "features-v1"
@@ -19,7 +20,7 @@ FALLBACK = "Without earlier ratings of the user or the movie its mean is that of
 
 def run(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules, kinds: tuple = ("gnb", "cart"), grid: dict | None = None) -> dict[str, dict]:
     """A result of classify.train for each kind, over the whole feature matrix."""
-    matrix = temporal.feature_matrix(ratings, movies, users, rules)
+    matrix = written(temporal.feature_matrix(ratings, movies, users, rules, seen=True))
     return {k: classify.train(k, matrix, temporal.feature_names(rules), (grid or {}).get(k)) for k in kinds}
 
 

@@ -235,3 +235,33 @@ def test_the_tree_sees_the_whole_feature_matrix(spark, monkeypatch):
     monkeypatch.setattr(classify, "tree_scores", lambda rows, columns: seen.append(columns) or scores(rows, columns))
     out = {r.split: r.mean_score for r in analysis.QUERIES["cart_predict"](spark, "/root/testdata/sf0.001").collect()}
     assert seen == [temporal.feature_names(analysis.R)] and all(0 <= x <= 1 for x in out.values())
+
+
+def test_sums_of_a_hot_key_lie_in_many_ranges(spark):
+    """A key with half of all rows, nulls, and keys that begin or end at a range's bounds, against plain Python."""
+    from sievestone.operators.prefix import keyed_sums_before
+
+    rng = random.Random(3)
+    rows = [(7 if rng.random() < 0.5 else rng.randrange(40), t, rng.choice([None, 1, 2, 5])) for t in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t long, x long").repartition(3)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out = keyed_sums_before(df, "k", "t", {"before": "x"})
+        got = {(r.k, r.t): r.before for r in out.collect()}
+        want, upto = {}, {}
+        for k, t, x in sorted(rows, key=lambda r: r[:2]):
+            want[k, t] = upto.get(k, 0)
+            upto[k] = upto.get(k, 0) + (x or 0)
+        assert got == want
+    spread = df.repartitionByRange(13, "k", "t").filter("k = 7").groupBy(F.spark_partition_id()).count().count()
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert spread >= 4
+    assert keyed_sums_before(df.limit(0), "k", "t", {"before": "x"}).count() == 0
+
+
+def test_seen_flags_come_with_the_history(spark):
+    df = spark.createDataFrame([(1, 1, 5, RULES.t1 - 1), (1, 2, 3, RULES.t1), (1, 2, 4, RULES.t1 + 5), (2, 2, 4, RULES.t1 + 5), (2, 3, 4, RULES.t2 + 1), (2, 9, 4, RULES.t2 + 1)], "user_id long, movie_id long, rating long, ts long")
+    rows = df.select("*", temporal.split_of(F.col("ts"), RULES).alias("split"))
+    want = sorted((r.user_id, r.movie_id, r.ts, r.user_seen, r.movie_seen) for r in classify.with_seen(rows).collect())
+    assert sorted((r.user_id, r.movie_id, r.ts, r.user_seen, r.movie_seen) for r in temporal.history(df, RULES, seen=True).collect()) == want
