@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.operators.components import connected_components
-from sievestone.operators.pairs import davies_bouldin, distance, distances, kth_distances, least_within, links_within, matrix, nearest_rank, neighbour_counts, scatter, silhouettes
+from sievestone.operators.pairs import davies_bouldin, distance, kth_distances, least_within, links_within, nearest_rank, neighbour_counts, scatter, silhouettes
 from sievestone.operators.prefix import running_sums
+from sievestone.operators.vectors import distances, matrix, on_usable
 from sievestone.session import cut, join_keyed, written
 
 #: Rows that a silhouette is sampled on while k is chosen.
@@ -23,6 +24,7 @@ def first_rows(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
+@on_usable
 def plus_plus_many(vectors: DataFrame, ks: list[int], seed: int) -> dict[int, np.ndarray]:
     """For each k its centres, each further one drawn with weight of its squared distance to those before, from all rows in order of id.
 
@@ -101,6 +103,7 @@ def plus_plus(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     return plus_plus_many(vectors, [k], seed)[k]
 
 
+@on_usable
 def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """`vectors` with cluster and dist of the nearest centre, ties to the lower number."""
     each = [F.struct(distance(F.col("v"), F.array(*[F.lit(float(x)) for x in c])).alias("dist"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
@@ -143,6 +146,7 @@ def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.
     return near, d[np.arange(len(x)), near]
 
 
+@on_usable
 def kmeans_many(vectors: DataFrame, ks: list[int], seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> dict[int, np.ndarray]:
     """For each k its centres.  The vectors are written once, and one aggregate a round moves the centres of all ks that still move.
 
@@ -169,12 +173,14 @@ def kmeans_many(vectors: DataFrame, ks: list[int], seed: int = 42, rounds: int =
     return centres
 
 
+@on_usable
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> tuple[DataFrame, np.ndarray]:
     """(vectors with cluster and dist, centres) of `kmeans_many`."""
     centres = kmeans_many(vectors, [k], seed, rounds, tolerance)[k]
     return assign(vectors, centres), centres
 
 
+@on_usable
 def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42, rounds: int = 100) -> list[dict]:
     """Each candidate, best first; ties to the smaller k.
 
@@ -194,6 +200,7 @@ def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42, rounds:
     return out
 
 
+@on_usable
 def suggested_eps(vectors: DataFrame, min_samples: int, share: float = 0.90) -> float:
     """The nearest-rank percentile of distances to the min_samples-th neighbour, over all points."""
     found = nearest_rank(kth_distances(vectors, min_samples), "dist", {"eps": share}).first()["eps"]
@@ -202,6 +209,7 @@ def suggested_eps(vectors: DataFrame, min_samples: int, share: float = 0.90) ->
     return found
 
 
+@on_usable
 def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(id, cluster, core): clusters are numbered by their smallest core id; a border point joins the lowest number in reach; noise is -1.
 

@@ -1,7 +1,10 @@
 """Operators over all pairs of vectors (id, v, and more), in blocks: neighbours, k-th distances, silhouettes.
 
-Vectors are dealt into blocks, each pair of blocks meets in one cell, and a cell gives only what is
-wanted of it: pairs in reach, the k nearest, or sums by cluster.  No pair is emitted that isn't asked for.
+Vectors are dealt into blocks, pairs of blocks meet in cells, and a cell gives only what is wanted of it: counts and links
+within a reach, the k nearest, or sums by cluster.  No pair is emitted that isn't asked for.  Where a reach or k bounds what is
+wanted, blocks are parts of balls (balls.py) and only balls that are near enough meet; sums over all points need all pairs.
+
+Rows whose vector is null, empty, not finite or of another length than the others take no part (vectors.py).
 """
 
 from __future__ import annotations
@@ -13,29 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.operators import balls
 from sievestone.operators.prefix import at_places
+from sievestone.operators.vectors import distances, matrix, on_usable
 from sievestone.session import HOT, cut
 
 BLOCK = 4096
 
 
-def matrix(t: pa.Table | pa.RecordBatch, name: str = "v") -> np.ndarray:
-    """A column of vectors of one length, as rows."""
-    lists = t.column(name)
-    if lists.null_count:
-        raise ValueError("a vector is null")
-    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in (lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]) if len(c)]
-    return np.concatenate(parts).astype(np.float64).reshape(t.num_rows, -1) if parts else np.zeros((0, 0))
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, component by component, so that equal vectors have none."""
-    total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        total += (a[:, j, None] - b[None, :, j]) ** 2
-    return np.sqrt(total)
-
-
 def cells(left: DataFrame, right: DataFrame, work, schema: str, block: int = BLOCK) -> DataFrame:
     """work(left part, right part) -> Arrow table, over all cells of the grid of blocks."""
     n, m = left.count(), right.count()
@@ -48,18 +36,7 @@ def cells(left: DataFrame, right: DataFrame, work, schema: str, block: int = BLO
     return a.groupBy("down", "across").cogroup(b.groupBy("down", "across")).applyInArrow(work, schema)
 
 
-def eps_neighbours(vectors: DataFrame, eps: float) -> DataFrame:
-    """(id, other) of all pairs within eps, each point with itself too."""
-
-    def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        i, j = np.nonzero(distances(matrix(a), matrix(b)) <= eps)
-        return pa.table({"id": a.column("id").to_numpy()[i], "other": b.column("id").to_numpy()[j]})
-
-    return cells(vectors, vectors, work, "id bigint, other bigint")
-
-
+@on_usable
 def neighbour_counts(vectors: DataFrame, eps: float) -> DataFrame:
     """(id, neighbours): how many points lie within eps of each point, itself among them; a cell gives a row a point."""
 
@@ -68,7 +45,7 @@ def neighbour_counts(vectors: DataFrame, eps: float) -> DataFrame:
         return pa.table({"id": a.column("id"), "n": pa.array(n, pa.int64())})
 
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), "v")
-    return cells(rows, rows, work, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("neighbours"))
+    return balls.cells(rows, rows, work, "id bigint, n bigint", eps)[0].groupBy("id").agg(F.sum("n").alias("neighbours"))
 
 
 def groups_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +63,7 @@ def groups_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+@on_usable
 def links_within(vectors: DataFrame, eps: float) -> DataFrame:
     """(id, other): links that connect the points that lie within eps of one another, each point linked to itself too.
 
@@ -106,9 +84,10 @@ def links_within(vectors: DataFrame, eps: float) -> DataFrame:
         return pa.table({"id": pa.array(found[:, 0], pa.int64()), "other": pa.array(found[:, 1], pa.int64())})
 
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), "v")
-    return cells(rows, rows, work, "id bigint, other bigint").distinct()
+    return balls.cells(rows, rows, work, "id bigint, other bigint", eps)[0].distinct()
 
 
+@on_usable
 def least_within(points: DataFrame, numbered: DataFrame, eps: float) -> DataFrame:
     """(id, cluster): the least cluster number of `numbered` (id, v, cluster) within eps of each of the points that has one there."""
 
@@ -120,29 +99,35 @@ def least_within(points: DataFrame, numbered: DataFrame, eps: float) -> DataFram
         return pa.table({"id": a.column("id").to_numpy()[least < most], "cluster": pa.array(least[least < most], pa.int32())})
 
     rows = points.select(F.col("id").cast("bigint").alias("id"), "v")
-    return cells(rows, numbered.select(F.col("id").cast("bigint").alias("id"), "v", F.col("cluster").cast("int").alias("cluster")), work, "id bigint, cluster int").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return balls.cells(rows, numbered.select(F.col("id").cast("bigint").alias("id"), "v", F.col("cluster").cast("int").alias("cluster")), work, "id bigint, cluster int", eps)[0].groupBy("id").agg(F.min("cluster").alias("cluster"))
 
 
+@on_usable
 def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(id, rank, other, dist): the k nearest others of each row of `left` in `right`, ties to the smaller id."""
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if a.num_rows and b.num_rows:
-            ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-            d = distances(matrix(a), matrix(b))
-            for row, own in zip(d, ids, strict=True):
-                order = np.lexsort((others, row))
-                order = order[others[order] != own][:k]
-                out += [(int(own), int(others[j]), float(row[j])) for j in order]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"id": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
-
-    found = cells(left, right, work, "id bigint, other bigint, dist double")
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+        d = np.where(ids[:, None] == others[None], np.inf, distances(matrix(a), matrix(b)))
+        kept = min(k, d.shape[1])
+        # What is at most the k-th distance stays, ties with it too; of these the first k by distance and id.
+        i, j = np.nonzero((d <= np.partition(d, kept - 1, axis=1)[:, kept - 1 : kept]) & (d < np.inf))
+        order = np.lexsort((others[j], d[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pa.table({"id": pa.array(ids[i], pa.int64()), "other": pa.array(others[j], pa.int64()), "dist": pa.array(d[i, j], pa.float64())})
+
+    plain = lambda df: df.select(F.col("id").cast("bigint").alias("id"), "v")
+    rows = plain(left)
+    found = balls.cells(rows, rows if right is left else plain(right), work, "id bigint, other bigint, dist double", k=k)[0]
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "other", "dist")
 
 
+@on_usable
 def kth_distances(vectors: DataFrame, k: int, sample: DataFrame | None = None) -> DataFrame:
     """(id, dist): the distance of each (sampled) point to its k-th nearest other."""
     return nearest(vectors if sample is None else sample, vectors, k).filter(F.col("rank") == k).select("id", "dist")
@@ -155,6 +140,7 @@ def nearest_rank(rows: DataFrame, column: str, shares: dict[str, float]) -> Data
     return at_places(some, column, {name: math.floor(q * (m - 1) + 0.5) + 1 for name, q in shares.items()})
 
 
+@on_usable
 def silhouettes(labelled: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(id, cluster, s): the silhouette of each (sampled) point of `labelled` (id, v, cluster) by Euclidean distance.
 
@@ -192,6 +178,7 @@ def _with_cluster(rows: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(clusters) if few else clusters, key)
 
 
+@on_usable
 def centroids(labelled: DataFrame) -> DataFrame:
     """(cluster, centre, size): means by component; noise takes no part."""
     parts = labelled.filter("cluster >= 0").select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
@@ -203,12 +190,14 @@ def distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+@on_usable
 def scatter(labelled: DataFrame) -> DataFrame:
     """(cluster, size, sse, spread): squared and mean distance of a cluster's points to its centre."""
     joined = _with_cluster(labelled.filter("cluster >= 0"), centroids(labelled).select("cluster", "centre"), "cluster").withColumn("d", distance(F.col("v"), F.col("centre")))
     return joined.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("d") * F.col("d")).alias("sse"), F.avg("d").alias("spread"))
 
 
+@on_usable
 def davies_bouldin(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
     """(dbi): null with fewer than two clusters or with centres that coincide.
 

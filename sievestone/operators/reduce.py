@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.operators.pairs import matrix, nearest
+from sievestone.operators.pairs import nearest
+from sievestone.operators.vectors import matrix, on_usable
 from sievestone.session import cut
 
 #: Points up to which t-SNE runs in one task; pairs in a block of larger sets.
 MAX_TSNE, PAIRS = 5000, 2_000_000
 
 
+@on_usable
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, sums and sums of products of the components.
 
@@ -43,6 +45,7 @@ def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return int(g[0, 0]), g[0, 1:], g[1:, 1:]
 
 
+@on_usable
 def covariance(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance (n - 1)."""
     n, s, g = moments(vectors)
@@ -52,6 +55,7 @@ def covariance(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mean, (g - n * np.outer(mean, mean)) / (n - 1)
 
 
+@on_usable
 def pca(vectors: DataFrame, dims: int = 2, share: float = 0.8) -> dict:
     """mean, components (rows), eigenvalues, explained shares, how many reach `share`, and how many have no variance.
 
@@ -217,6 +221,7 @@ def tsne_blocks(spark, x: np.ndarray, perplexity: float = 30.0, rounds: int = 50
     return y
 
 
+@on_usable
 def tsne(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> DataFrame:
     """(id, x, y) of every row: in one task up to MAX_TSNE rows, beyond that with the forces of each round by blocks.  All pairs count in every round."""
     if vectors.count() > MAX_TSNE:
@@ -232,6 +237,7 @@ def tsne(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed:
     return vectors.select("id", "v", F.lit(0).alias("all")).groupBy("all").applyInArrow(work, "id bigint, x double, y double")
 
 
+@on_usable
 def tsne_with_stats(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> tuple[DataFrame, dict]:
     """The places of `tsne`, and their statistics."""
     places = cut(tsne(vectors, perplexity, rounds, seed, rate))
@@ -241,6 +247,7 @@ def tsne_with_stats(vectors: DataFrame, perplexity: float = 30.0, rounds: int =
     return places, found | {"learning_rate": learning_rate(t.num_rows, rate)}
 
 
+@on_usable
 def knn_agreement(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
     """(agreement, baseline): mean share of k nearest neighbours that both spaces have in common, and what chance gives."""
     n = high.count()

@@ -2,10 +2,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal
+from sievestone.operators import balls, classify, clustering, pairs, profile, reduce, temporal
 from sievestone.operators.components import connected_components
 from sievestone.plans.rules import Rules
 
@@ -73,15 +74,72 @@ def test_cluster_measures(spark):
     assert pairs.silhouettes(df.filter("cluster <= 0")).count() == 0
 
 
-def test_blocks_of_any_size_agree(spark, monkeypatch):
+def plain_nearest(x, k):
+    out = []
+    for i in range(len(x)):
+        order = sorted((math.dist(x[i], x[j]), j) for j in range(len(x)) if j != i)
+        out += [(i, r, j) for r, (_, j) in enumerate(order[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("least", "block"), [(512, 4096), (5, 7), (2, 3)])
+def test_balls_and_blocks_of_any_size_agree(spark, monkeypatch, least, block):
+    """Neighbours, links and the k nearest, with ties and copies, as brute force has them."""
     rng = np.random.default_rng(1)
-    df = vectors(spark, [(i, v, 0) for i, v in enumerate(rng.normal(size=(60, 3)))]).select("id", "v")
-    near = lambda: sorted(map(tuple, pairs.nearest(df, df, 4).collect()))
-    eps = lambda: sorted(map(tuple, pairs.eps_neighbours(df, 0.9).collect()))
-    one = near(), eps()
-    cells = pairs.cells
-    monkeypatch.setattr(pairs, "cells", lambda a, b, w, s: cells(a, b, w, s, 7))
-    assert (near(), eps()) == one
+    x = np.concatenate([rng.normal(size=(30, 3)), rng.normal(size=(20, 3)) + 40, np.full((12, 3), 7.0), rng.integers(0, 3, size=(10, 3)) - 90.0])
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
+    monkeypatch.setattr(balls, "LEAST", least)
+    monkeypatch.setattr(balls, "BLOCK", block)
+    assert sorted((r.id, r.rank, r.other) for r in pairs.nearest(df, df, 4).collect()) == plain_nearest(x, 4)
+    near = {i: sum(math.dist(a, b) <= 0.9 for b in x) for i, a in enumerate(x)}
+    assert {r.id: r.neighbours for r in pairs.neighbour_counts(df, 0.9).collect()} == near
+    roots = {r.node: r.root for r in connected_components(pairs.links_within(df, 0.9), "id", "other").collect()}
+    group = list(range(len(x)))
+    for _ in x:
+        group = [min(group[j] for j in range(len(x)) if math.dist(x[i], x[j]) <= 0.9) for i in range(len(x))]
+    assert [roots[i] for i in range(len(x))] == group
+
+
+def test_far_balls_never_meet(spark, monkeypatch):
+    """Twelve clusters far apart: most pairs of vectors are passed over, and nothing is lost."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(50, 4)) + 100 * c for c in range(12)])
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
+    monkeypatch.setattr(balls, "LEAST", 10)
+    count = lambda a, b: pa.table({"id": a.column("id"), "n": pa.array([b.num_rows] * a.num_rows, pa.int64())})
+    for bound in ({"reach": 2.0}, {"k": 5}):
+        met, share = balls.cells(df, df, count, "id bigint, n bigint", **bound)
+        met = {r.id: r.n for r in met.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        assert len(met) == 600 and share > 0.85
+        assert sum(met.values()) / 600**2 == pytest.approx(1 - share)
+        assert all(n >= 6 for n in met.values())
+    assert sorted((r.id, r.rank, r.other) for r in pairs.nearest(df, df, 3).collect()) == plain_nearest(x, 3)
+
+
+def test_a_reach_of_k_holds_k_others():
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(80, 2)), rng.normal(size=(9, 2))
+    d = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2))
+    ball = d.argmin(1)
+    side = balls.Side(None, np.bincount(ball, minlength=9), np.array([d[ball == g, g].max(initial=0.0) for g in range(9)]))
+    for k in (1, 5, 79, 80):
+        reach = balls.reach_of_k(side, side, centres, k)
+        for i in range(len(x)):
+            assert reach[ball[i]] >= (np.inf if k == 80 else np.sort(np.sqrt(((x - x[i]) ** 2).sum(1)))[k])
+
+
+def test_bad_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(i, [float(i % 4), float(i % 3)], i % 2) for i in range(12)]
+    bad = [(20, None, 0), (21, [], 1), (22, [1.0], 0), (23, [1.0, 2.0, 3.0], 1), (24, [nan, 1.0], 0), (25, [inf, 1.0], 1), (26, [None, 1.0], 0), (None, [1.0, 1.0], 0)]
+    schema = "id long, v array<double>, cluster int"
+    a, b = spark.createDataFrame(good, schema), spark.createDataFrame(good + bad, schema)
+    both = lambda f: sorted(map(repr, f(a).collect())) == sorted(map(repr, f(b).collect()))
+    assert both(lambda df: pairs.neighbour_counts(df, 1.1)) and both(lambda df: pairs.nearest(df, df, 3)) and both(pairs.silhouettes) and both(pairs.scatter) and both(pairs.davies_bouldin)
+    assert both(lambda df: clustering.dbscan(df, 1.1, 3)) and both(lambda df: clustering.kmeans(df.select("id", "v"), 2)[0].select("id", "cluster"))
+    assert np.allclose(reduce.covariance(a)[1], reduce.covariance(b)[1]) and both(lambda df: reduce.knn_agreement(df, df, 3))
+    none = spark.createDataFrame(bad[:2], schema)
+    assert pairs.neighbour_counts(none, 1.0).count() == 0 == pairs.silhouettes(none).count() and pairs.nearest(none, none, 2).count() == 0
 
 
 def plain_dbscan(x, eps, least):
