@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
@@ -18,6 +19,19 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, what runs at once has Arrow batches of BATCH_ROWS rows, unless the session has a bound of its own."""
+    default = spark.conf.get(_BATCH) == _DEFAULT
+    if default:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if default:
+            spark.conf.set(_BATCH, _DEFAULT)
+
+
 def map_rows(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[list], dict]], keep: list[str] = (), arrow: bool = False, chunk: int | None = None) -> DataFrame:
     """The columns `keep` as they are, and those of `schema` computed from the column `text`.
 

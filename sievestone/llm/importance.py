@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sievestone.llm.common import small_batches
 from sievestone.operators.prefix import running_sums
 from sievestone.session import table, written
 
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED, UNIT = 10_000, 3, 20, 5, 42, 1000
 #: Bytes of text in a block, and of a long text that are counted at once.
-CHUNK, STRETCH = 1_000_000, 2_000_000
+CHUNK, STRETCH = 250_000, 250_000
 #: Zero bytes that one look-up shifts by at most; words longer than WORD go to zlib one by one.
 SHIFT, WORD = 255, 48
 
@@ -192,7 +193,8 @@ def count_matrix(texts: DataFrame, doc_id: str, text: str = "text", run: int = R
     kind = texts.schema[doc_id].dataType
     own = texts.select(texts[f"`{doc_id}`"].alias("id"), texts[f"`{text}`"].alias("text"))
     schema = f"ids array<{kind.simpleString()}>, " + ", ".join(f"{c} binary" for c in _KINDS)
-    return written(own.mapInArrow(_blocks(to_arrow_type(kind), run, chunk), schema), compression="zstd")
+    with small_batches(texts.sparkSession):
+        return written(own.mapInArrow(_blocks(to_arrow_type(kind), run, chunk), schema), compression="zstd")
 
 
 def _unpack(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
