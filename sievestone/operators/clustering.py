@@ -19,9 +19,27 @@ from sievestone.session import cut, join_keyed, written
 SILHOUETTE_ROWS = 800
 
 
-def first_rows(vectors: DataFrame, rows: int) -> DataFrame:
-    """At most so many rows, by a hash of the id."""
-    return vectors.orderBy(F.xxhash64("id"), "id").limit(rows)
+#: Fixed value: what a seed is multiplied by before the size of the sample is added.
+SAMPLE_FACTOR = 7919
+
+
+def sample_places(n: int, size: int, seed: int) -> list[int]:
+    """Which of n ordered rows (from 0) a sample of that size and seed has; all if there are no more."""
+    return list(range(n)) if size >= n else sorted(random.Random(seed * SAMPLE_FACTOR + size).sample(range(n), size))
+
+
+def seeded_sample(rows: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """The rows, in order of their ids (which tell them apart), at `sample_places`.
+
+    Places come from running counts by ranges of ids, so no task orders all rows; the driver draws `size` places, which are
+    joined by broadcast.
+    """
+    counted, upto = running_sums(rows.withColumn("one", F.lit(1).cast("bigint")), F.col("id"), {"place": "one"})
+    n = upto["place"] or 0
+    if size >= n:
+        return rows
+    places = rows.sparkSession.createDataFrame([(p + 1,) for p in sample_places(n, size, seed)], "place long")
+    return counted.join(F.broadcast(places), "place", "left_semi").select(*rows.columns)
 
 
 @on_usable
@@ -189,7 +207,7 @@ def choose_k(vectors: DataFrame, candidates=range(2, 9), seed: int = 42, rounds:
     "labelled" (id, v, cluster, dist) are each one's own.
     """
     out = []
-    sample = cut(first_rows(vectors, SILHOUETTE_ROWS))
+    sample = cut(seeded_sample(vectors.select("id", "v"), SILHOUETTE_ROWS, seed))
     for k, centres in kmeans_many(vectors, list(candidates), seed, rounds).items():
         labelled = cut(assign(vectors, centres))
         sampled = silhouettes(labelled, sample).agg(F.avg("s")).first()[0]

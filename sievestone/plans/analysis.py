@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievestone.functions import semi
 from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal
 from sievestone.plans import clusters, learning
 from sievestone.plans.rules import SAMPLE_RULES
@@ -193,7 +194,18 @@ def _choose_k(spark, d):
     return spark.createDataFrame([(best["k"], best["silhouette"], best["dbi"], best["sse"])], "k int, silhouette double, dbi double, sse double")
 
 
+def _event_props(spark, d):
+    """Every event's properties by type, where every tenth text has lost its last character and every seventh number is text."""
+    i, props = F.col("event_id"), F.col("props")
+    odd = F.when(i % 10 == 0, F.expr("left(props, length(props) - 1)")).when(i % 7 == 0, F.regexp_replace(props, ": *([0-9]+)", ': "n$1"')).otherwise(props)
+    e = table(spark, d, "events").select("event_type", odd.alias("props"))
+    counts = semi.profile(e, "props", {"k": "bigint", "a.b": "string"}, ["event_type"])
+    sums = e.groupBy("event_type").agg(F.sum(semi.parsed(F.col("props"), "k bigint")["k"]).alias("k_sum"), F.count_distinct(semi.at(F.col("props"), "k", "string")).alias("k_texts"))
+    return counts.join(sums, "event_type")
+
+
 QUERIES = {
+    "event_props": _event_props,
     **{f"typed_{t}": _typed(t) for t in files.COLUMNS},
     "time_split_summary": lambda s, d: temporal.split_summary(_ratings(s, d), R),
     "time_quantiles": lambda s, d: temporal.time_quantiles(_ratings(s, d)),
@@ -356,6 +368,10 @@ def oracles() -> dict[str, str]:
         "dbscan_core_points": f"WITH vec AS MATERIALIZED ({vec}) SELECT a.id FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS} GROUP BY a.id HAVING count(*) >= {MIN_SAMPLES}",
         "gnb_scores": f"WITH {gnb} SELECT split, round(avg(score), 5) AS mean_score, round(min(score), 5) AS min_score, round(max(score), 5) AS max_score, count(*) AS records FROM sc GROUP BY split",
         "cart_predict": _tree_sql(matrix, columns),
+        "event_props": """WITH e AS (SELECT event_type, CASE WHEN event_id % 10 = 0 THEN left(props, length(props) - 1) WHEN event_id % 7 = 0 THEN regexp_replace(props, ': *([0-9]+)', ': "n\\1"') ELSE props END AS props FROM events),
+            v AS (SELECT event_type, props, props IS NOT NULL AND NOT json_valid(props) AS bad, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.a.b') END AS ab FROM e)
+            SELECT event_type, count(*) AS records, count(*) FILTER (WHERE props IS NULL) AS nulls, count(*) FILTER (WHERE bad) AS malformed, count(TRY_CAST(k AS BIGINT)) AS k_fits, count(k) - count(TRY_CAST(k AS BIGINT)) AS k_other, count(*) - count(k) AS k_none,
+            count(ab) AS a_b_fits, 0::BIGINT AS a_b_other, count(*) - count(ab) AS a_b_none, CAST(sum(TRY_CAST(k AS BIGINT)) AS BIGINT) AS k_sum, count(DISTINCT k) AS k_texts FROM v GROUP BY event_type""",
         "missing_attributes": f"SELECT count(*) AS records, count(*) FILTER (WHERE has_attributes = 0) AS missing FROM ({matrix})",
         "threshold_scan": f"WITH {gnb} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(rate, 6) AS rate FROM ({scan(scored)})",
         "best_threshold": f"WITH {gnb} SELECT threshold, round(f1, 6) AS f1 FROM ({best_of(scored)})",

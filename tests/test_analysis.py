@@ -323,3 +323,13 @@ def test_seen_flags_come_with_the_history(spark):
     rows = df.select("*", temporal.split_of(F.col("ts"), RULES).alias("split"))
     want = sorted((r.user_id, r.movie_id, r.ts, r.user_seen, r.movie_seen) for r in classify.with_seen(rows).collect())
     assert sorted((r.user_id, r.movie_id, r.ts, r.user_seen, r.movie_seen) for r in temporal.history(df, RULES, seen=True).collect()) == want
+
+
+def test_a_seeded_sample_is_the_one_that_its_formula_names(spark):
+    rng = random.Random(6)
+    ids = rng.sample(range(10_000), 700)
+    df = spark.createDataFrame([(i, f"r{i}") for i in ids], "id long, name string").repartition(5)
+    for size, seed in ((40, 42), (1, 7), (699, 1)):
+        want = [sorted(ids)[p] for p in sorted(random.Random(seed * 7919 + size).sample(range(700), size))]
+        assert sorted((r.id, r.name) for r in clustering.seeded_sample(df, size, seed).collect()) == [(i, f"r{i}") for i in want]
+    assert clustering.seeded_sample(df, 700).count() == 700 == clustering.seeded_sample(df, 9000).count() and clustering.seeded_sample(df.limit(0), 3).count() == 0
