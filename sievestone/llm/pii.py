@@ -58,6 +58,15 @@ GIVEN_M = tuple(
 CUES = ("my name is", "My name is", "Name:", "name:", "Contact:", "Attn:", "Signed,", "signed by", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут", "με λένε", "Με λένε")
 
 
+#: Words before a given name that make it a place, and words that no name begins with, or that show that what is introduced is no person.
+PLACES = ("San", "Santa", "Saint", "São", "Port", "Fort", "Mount", "Lake")
+NO_NAMES = ("The", "This", "Our", "Your", "All", "New", "Annual", "Quarterly", "Monthly", "Weekly", "Daily")
+NO_PERSONS = (
+    "Ltd Inc LLC GmbH AG Corp Company Group Bank University College School Hospital Institute Department Office Team Support Service Services Centre Center Desk "
+    "Report Form List Notes Summary Project Plan Street Road Avenue Committee Council Ministry Association"
+).split()
+
+
 def _any(*groups: tuple) -> str:
     """One of the words, sorted out by their first letter."""
     words = sorted({w for g in groups for w in g})
@@ -70,8 +79,11 @@ _REST = rf"(?:(?: \p{{Lu}}\.)? {_NAME})"
 
 def name_pattern(given: tuple = ()) -> str:
     titled = rf"{_any(TITLES_F, TITLES_M, TITLES_N)}\.? (?:\p{{Lu}}\. )?{_NAME}{_REST}?"
-    introduced = rf"(?<=(?:{'|'.join(CUES)}) ){_NAME}{_REST}{{1,2}}"
-    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled}|{_any(GIVEN_F, GIVEN_M, given)}{_REST}|{introduced})(?!\p{{L}})"
+    person = rf"(?!{_any(NO_NAMES)} )(?!(?:{_NAME} ){{1,3}}{_any(tuple(NO_PERSONS))}(?!\p{{L}}))"
+    introduced = rf"(?<=(?:{'|'.join(CUES)}) ){person}{_NAME}{_REST}{{1,2}}"
+    known = rf"(?<!(?:{'|'.join(PLACES)}) ){_any(GIVEN_F, GIVEN_M, given)}{_REST}"
+    capital = rf"{_any(tuple(x.upper() for x in (*GIVEN_F, *GIVEN_M, *given)))}(?: \p{{Lu}}\.)? \p{{Lu}}[\p{{Lu}}'’-]+(?!\p{{Ll}})"
+    return rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titled}|{known}|{capital}|{introduced})(?!\p{{L}})"
 
 
 #: Each begins with a look at the next character, which most places fail at once.
@@ -79,7 +91,7 @@ PATTERNS = (
     r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     r"(?=[0-9])(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
     r"(?=[2-6])(?<![A-Za-z0-9+.-])[2-6][0-9]{3}(?:[0-9]{9,15}|(?:[ -][0-9]{4}){2}[ -][0-9]{4}(?:[ -][0-9]{3})?|[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
-    r"(?=[0-9+(])(?<![A-Za-z0-9+.-])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}"
+    r"(?=[0-9+(])(?<![A-Za-z0-9+.-])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}"
     r"|0[1-9][0-9]{1,3}[ /-](?:[0-9]{5,8}|[0-9]{3,4} [0-9]{3,4})|0[1-9](?:[ .][0-9]{2}){4})(?![A-Za-z0-9])",
     r"(?=[0-9])(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
@@ -308,9 +320,10 @@ def _titled(value: Column) -> Column:
 
 
 def _phone_norm(value: Column) -> Column:
-    """Country code (1 also without a separator after it), bar, the other digits."""
-    code = F.when(F.startswith(value, F.lit("+1")) & (F.length(_digits(value)) == 11), "1").otherwise(F.regexp_extract(value, r"^\+([0-9]{1,3}?)(?:[ .(-])", 1))
-    return F.concat(code, F.lit("|"), F.substring(_digits(value), F.length(code) + 1, F.length(value)))
+    """Country code, bar, the other digits.  A number of three, three and four digits without a code is the one that has it with code 1."""
+    national = ~F.startswith(value, F.lit("+")) & value.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}$")
+    code = F.when(national | F.startswith(value, F.lit("+1")) & (F.length(_digits(value)) == 11), "1").otherwise(F.regexp_extract(value, r"^\+([0-9]{1,3}?)(?:[ .(-])", 1))
+    return F.concat(code, F.lit("|"), F.when(national, _digits(value)).otherwise(F.substring(_digits(value), F.length(code) + 1, F.length(value))))
 
 
 def _entity(kind, norm: Column) -> Column:
@@ -382,7 +395,9 @@ def _put(known: Column):
         title = F.when(_titled(v), F.concat(F.get(words, F.lit(0)), F.lit(" "))).otherwise("")
         initial = F.when(v.rlike(r" \p{Lu}\. "), F.concat(F.substring(surname, 1, 1), F.lit(". "))).otherwise("")
         name = F.concat(title, given, initial, surname)
-        return F.when(k == 0, F.concat(first, F.lit("@"), last)).when(k == 6, name).when(k == 1, first).otherwise(_spread(v, F.regexp_replace(first, "[|]", "")))
+        # A number that is written without its country code stays so.
+        digits = F.when((k == 3) & ~F.startswith(v, F.lit("+")), F.substring_index(first, "|", -1)).otherwise(F.regexp_replace(first, "[|]", ""))
+        return F.when(k == 0, F.concat(first, F.lit("@"), last)).when(k == 6, name).when(k == 1, first).otherwise(_spread(v, digits))
 
     return put
 

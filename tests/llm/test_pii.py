@@ -163,3 +163,18 @@ def test_no_python_on_the_path(spark, monkeypatch):
     plans.append(show(X.replace_entities(spark.read.parquet(path), "k", spans="found")))
     assert len(plans) >= 5
     assert not any(x in p for p in plans for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_numbers_with_and_without_their_code_are_one(spark):
+    rows = [(1, "call +1 555-234-5678 or (555) 234-5678 or 555.234.5678 or 555 234 5678, not 555-234-5679", "en", "a", 1), (2, "+44 20 7946 0958 and 555-234-5678", "en", "a", 1)]
+    got = {r.doc_id: re.findall(r"\+[\d -]+\d|[(\d][\d() .-]{10,}\d", r.text) for r in X.replace_entities(documents(spark, rows), "k").collect()}
+    own = [re.sub(r"\D", "", x)[-10:] for x in got[1]]
+    assert len(own) == 5 and len(set(own[:4])) == 1 and own[4] != own[0] and got[1][0].startswith("+1 ") and got[1][1].startswith("(")
+    assert re.sub(r"\D", "", got[2][1]) == own[0] != "5552345678" and got[2][0].startswith("+44 ")
+
+
+def test_capitals_are_names_and_places_and_offices_are_none(spark):
+    lines = ["MARY SMITH wrote", "Mary Smith wrote", "San Antonio Texas is warm", "Contact: The Company Ltd", "Name: Quarterly Report", "Contact: Northern Water Company today", "Name: Oluwaseun Adeyemi"]
+    got = [r.text for r in X.replace_entities(documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(lines)]), "k").orderBy("doc_id").collect()]
+    assert got[2:6] == lines[2:6] and all(g != t for g, t in zip(got[:2] + got[6:], lines[:2] + lines[6:], strict=True))
+    assert got[0].split()[:2] == [x.upper() for x in got[1].split()[:2]]
