@@ -11,7 +11,7 @@ from sievestone.functions import semi
 from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal
 from sievestone.plans import clusters, learning
 from sievestone.plans.rules import SAMPLE_RULES
-from sievestone.session import cut, shared_dir, table, written
+from sievestone.session import cut, drop_at_exit, shared_dir, table, written
 from sievestone.sources import files, sample
 
 R = SAMPLE_RULES
@@ -84,6 +84,7 @@ def _typed(name: str):
 
     def run(spark, d):
         folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        drop_at_exit(spark, folder)
         for t in files.COLUMNS:
             files.write_lines(sample.lines(spark, d, t), f"{folder}/{t}.dat")
         rows = files.typed(files.read_tables(spark, folder)[name], name, R)
@@ -220,9 +221,9 @@ QUERIES = {
     "genre_shares": lambda s, d: _rounded(_profile(s, d).select("user_id", *GENRES), GENRES),
     "profile_zscore": lambda s, d: _rounded(profile.zscores(_profile(s, d), list(profile.BASE)), list(profile.BASE), 5),
     "profile_status": lambda s, d: profile.status_counts(_profile(s, d)),
-    "orphan_anti": lambda s, d: profile.orphans(_ratings(s, d), sample.rows(s, d, "users").filter("user_id % 9 <> 0"), R),
+    "orphan_anti": lambda s, d: profile.orphans(_typed("ratings")(s, d), _typed("users")(s, d), R),
     "cluster_summary": lambda s, d: _rounded(profile.cluster_summary(_labelled_users(s, d), _profile(s, d), R), [f"{c}_mean" for c in ("avg_rating", "n_ratings", "high_share", "active_span_days")]),
-    "representative_items": lambda s, d: profile.representative_movies(_labelled_users(s, d), _ratings(s, d), sample.rows(s, d, "movies").filter("movie_id % 7 <> 0"), R),
+    "representative_items": lambda s, d: profile.representative_movies(_labelled_users(s, d), _typed("ratings")(s, d), _typed("movies")(s, d).groupBy("movie_id").agg(F.min("title").alias("title")), R),
     "kdistance_percentiles": lambda s, d: _rounded(pairs.nearest_rank(pairs.kth_distances(_vectors(s, d).select("id", "v"), MIN_SAMPLES), "dist", {"min": 0.0, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "max": 1.0}), ["min", "p50", "p75", "p90", "p95", "max"]),
     "silhouette_by_label": lambda s, d: pairs.silhouettes(_vectors(s, d)).groupBy("cluster").agg(F.round(F.avg("s"), 6).alias("silhouette"), F.count("*").alias("size")),
     "sse_by_label": lambda s, d: _rounded(pairs.scatter(_vectors(s, d)), ["sse", "spread"]),
@@ -334,10 +335,13 @@ def oracles() -> dict[str, str]:
     kd = f"SELECT d FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM dist) WHERE k = {MIN_SAMPLES}"
     cut_up = lambda t, n: f"(SELECT f FROM (SELECT string_split(line, '::') AS f FROM ({sample.duck(sample.LINES[t])}) WHERE line <> '') WHERE len(f) = {n})"
     number = lambda i: f"TRY_CAST(f[{i}] AS BIGINT)"
+    typed_r = f"SELECT {number(1)} AS user_id, {number(2)} AS movie_id, {number(3)} AS rating, {number(4)} AS ts FROM {cut_up('ratings', 4)} WHERE {number(1)} + {number(2)} + {number(3)} + {number(4)} IS NOT NULL"
+    typed_m = f"SELECT {number(1)} AS movie_id, f[2] AS title, CASE WHEN ends_with(f[2], ')') THEN TRY_CAST(regexp_extract(f[2], '\\(([^(]*)\\)$', 1) AS INTEGER) END AS year, f[3] AS genres FROM {cut_up('movies', 3)} WHERE {number(1)} IS NOT NULL"
+    typed_u = f"SELECT {number(1)} AS user_id, f[2] AS gender, {number(3)} AS age, {number(4)} AS occupation, f[5] AS zipcode FROM {cut_up('users', 5)} WHERE {number(1)} IS NOT NULL"
     return {
-        "typed_ratings": f"SELECT {number(1)} AS user_id, {number(2)} AS movie_id, {number(3)} AS rating, {number(4)} AS ts FROM {cut_up('ratings', 4)} WHERE {number(1)} + {number(2)} + {number(3)} + {number(4)} IS NOT NULL",
-        "typed_movies": f"SELECT {number(1)} AS movie_id, f[2] AS title, CASE WHEN ends_with(f[2], ')') THEN TRY_CAST(regexp_extract(f[2], '\\(([^(]*)\\)$', 1) AS INTEGER) END AS year, f[3] AS genres FROM {cut_up('movies', 3)} WHERE {number(1)} IS NOT NULL",
-        "typed_users": f"SELECT {number(1)} AS user_id, f[2] AS gender, {number(3)} AS age, {number(4)} AS occupation, f[5] AS zipcode FROM {cut_up('users', 5)} WHERE {number(1)} IS NOT NULL",
+        "typed_ratings": typed_r,
+        "typed_movies": typed_m,
+        "typed_users": typed_u,
         "time_split_summary": f"""SELECT s.split, coalesce(records, 0) AS records, coalesce(positives, 0) AS positives, coalesce(users, 0) AS users, coalesce(movies, 0) AS movies, min_ts, max_ts, round(coalesce(records, 0) / sum(coalesce(records, 0)) OVER (), 6) AS ratio, round(positives / nullif(records, 0), 6) AS positive_rate
             FROM (VALUES ('train'), ('validate'), ('test')) s(split) LEFT JOIN (SELECT {split} AS split, count(*) AS records, CAST(sum({lab}) AS BIGINT) AS positives, count(DISTINCT user_id) AS users, count(DISTINCT movie_id) AS movies, min(ts) AS min_ts, max(ts) AS max_ts FROM ({r}) GROUP BY 1) x USING (split)""",
         "time_quantiles": f"SELECT max(CASE WHEN k = CAST(floor(0.70 * (n - 1) + 0.5) AS BIGINT) + 1 THEN ts END) AS t1, max(CASE WHEN k = CAST(floor(0.85 * (n - 1) + 0.5) AS BIGINT) + 1 THEN ts END) AS t2 FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS k, count(*) OVER () AS n FROM ({r}))",
@@ -352,10 +356,10 @@ def oracles() -> dict[str, str]:
         "genre_shares": f"SELECT user_id, {rounded(GENRES)} FROM ({prof})",
         "profile_zscore": f"WITH p AS MATERIALIZED ({prof}), s AS (SELECT {scale} FROM p) SELECT user_id, status, fit, {z} FROM p, s",
         "profile_status": f"SELECT status, count(*) AS users FROM ({prof}) GROUP BY status",
-        "orphan_anti": f"SELECT DISTINCT user_id FROM ({train}) WHERE user_id NOT IN (SELECT user_id FROM ({u}) WHERE user_id % 9 <> 0)",
+        "orphan_anti": f"SELECT DISTINCT user_id FROM ({typed_r}) WHERE ts <= {R.t1} AND user_id NOT IN (SELECT user_id FROM ({typed_u}))",
         "cluster_summary": f"SELECT cluster, count(*) AS size, {', '.join(f'round(avg({c}), 6) AS {c}_mean' for c in means)}, array_to_string(list_transform(list_sort([{tops}])[1:3], lambda x: x.g), ',') AS top_genres FROM ({clusters}) JOIN ({prof}) USING (user_id) WHERE cluster >= 0 GROUP BY cluster",
-        "representative_items": f"""WITH b AS MATERIALIZED ({best}), v AS (SELECT cluster, movie_id, count(*) AS votes FROM b JOIN ({clusters}) USING (user_id) WHERE best >= 4 AND cluster >= 0 GROUP BY 1, 2), k AS (SELECT v.*, raters, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, raters DESC, movie_id) AS place FROM v JOIN (SELECT movie_id, count(*) AS raters FROM b GROUP BY 1) USING (movie_id)),
-            f AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY place) AS INTEGER) AS rank FROM k WHERE place <= 8 AND votes >= 2) SELECT cluster, rank, movie_id, coalesce(title, '#' || movie_id || '(缺失)') AS title, votes FROM f LEFT JOIN (SELECT * FROM ({m}) WHERE movie_id % 7 <> 0) USING (movie_id) WHERE rank <= 3""",
+        "representative_items": f"""WITH b AS MATERIALIZED (SELECT user_id, movie_id, max(rating) AS best FROM ({typed_r}) WHERE ts <= {R.t1} GROUP BY user_id, movie_id), v AS (SELECT cluster, movie_id, count(*) AS votes FROM b JOIN ({clusters}) USING (user_id) WHERE best >= 4 AND cluster >= 0 GROUP BY 1, 2), k AS (SELECT v.*, raters, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, raters DESC, movie_id) AS place FROM v JOIN (SELECT movie_id, count(*) AS raters FROM b GROUP BY 1) USING (movie_id)),
+            f AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY place) AS INTEGER) AS rank FROM k WHERE place <= 8 AND votes >= 2) SELECT cluster, rank, movie_id, coalesce(title, '#' || movie_id || '(缺失)') AS title, votes FROM f LEFT JOIN (SELECT movie_id, min(title) AS title FROM ({typed_m}) GROUP BY movie_id) USING (movie_id) WHERE rank <= 3""",
         "kdistance_percentiles": f"""WITH vec AS MATERIALIZED ({vec}), dist AS ({dist}), k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS place, count(*) OVER () AS m FROM ({kd}))
             SELECT {', '.join(f'round(max(CASE WHEN place = CAST(floor({q} * (m - 1) + 0.5) AS BIGINT) THEN d END), 6) AS {n}' for n, q in (('min', 0.0), ('p50', 0.5), ('p75', 0.75), ('p90', 0.9), ('p95', 0.95), ('max', 1.0)))} FROM k""",
         "silhouette_by_label": f"""WITH vec AS MATERIALIZED ({vec}), dist AS ({dist}), t AS (SELECT id, cluster, other_cluster, avg(d) AS d FROM dist GROUP BY 1, 2, 3), e AS (SELECT id, cluster, max(CASE WHEN cluster = other_cluster THEN d END) AS a, min(CASE WHEN cluster <> other_cluster THEN d END) AS b FROM t GROUP BY 1, 2)

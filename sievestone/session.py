@@ -72,7 +72,7 @@ def dropped(spark: SparkSession, path: str) -> bool:
     return files.delete(at, True)
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
+def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Has a folder deleted when the driver's Python ends, with its session stopped or not."""
     files, at = _place(spark, path)
 
@@ -91,7 +91,7 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievestone-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    _drop_at_exit(spark, path)
+    drop_at_exit(spark, path)
     return spark.read.parquet(path)
 
 
@@ -104,7 +104,7 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     if spark.sparkContext not in _CLEANED:
         _CLEANED.add(spark.sparkContext)
-        _drop_at_exit(spark, spark.sparkContext.getCheckpointDir())
+        drop_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
