@@ -11,6 +11,8 @@ from sievestone.plans.rules import Rules
 from sievestone.session import cut, join_keyed, written
 
 BASE = ("n_ratings", "avg_rating", "std_rating", "rating_bias", "high_share", "avg_movie_pop", "share_top_pop", "active_span_days", "avg_gap_days")
+#: Movies up to which what is known of them is broadcast, a few bytes a genre each.
+FEW_MOVIES = 50_000
 OK, SPARSE, NONE = "OK", "INSUFFICIENT_HISTORY", "NO_TRAIN_HISTORY"
 
 
@@ -39,27 +41,35 @@ def best_ratings(ratings: DataFrame, rules: Rules) -> DataFrame:
 def features(ratings: DataFrame, movies: DataFrame, rules: Rules) -> DataFrame:
     """user_id and the profile's measures of every rater of the train period, whether known as a user or not.
 
-    A rated movie that `movies` lacks counts among the user's movies, in no genre.
+    A rated movie that `movies` lacks counts among the user's movies, in no genre.  Ratings are summed by user and movie once, and
+    all measures, the movies' popularity and the mean over all come from those sums: one shuffle of the ratings, and
+    one of the sums by user.
     """
-    ratings = written(ratings.filter(F.col("ts") <= rules.t1).select("user_id", "movie_id", "rating", "ts"))
-    train, pop = ratings, cut(popularity(ratings, rules))
-    top = top_cut(pop).first()["cut"] or 0
-    mean = train.agg(F.avg("rating")).first()[0] or 0.0
-    n, span = F.count("*"), (F.max("ts") - F.min("ts")) / 86400.0
-    # A movie may hold a large part of all ratings, so what is known of it joins by how many ratings have it.
-    total = train.count()
-    counted = lambda df: df.withColumn("__n", F.col("pop"))
-    base = join_keyed(train, counted(pop), "movie_id", "__n", total).groupBy("user_id").agg(
-        n.cast("double").alias("n_ratings"), F.avg("rating").alias("avg_rating"), F.stddev_pop("rating").alias("std_rating"), (F.avg("rating") - mean).alias("rating_bias"), F.avg(label(F.col("rating"))).alias("high_share"),
-        F.avg(F.log1p("pop")).alias("avg_movie_pop"), span.alias("active_span_days"), F.coalesce(F.try_divide(span, n - 1), F.lit(0.0)).alias("avg_gap_days"),
+    rating, ts = F.col("rating"), F.col("ts")
+    pairs = written(
+        ratings.filter(ts <= rules.t1).groupBy("user_id", "movie_id").agg(
+            F.count("*").alias("n"), F.count(rating).alias("k"), F.sum(rating).alias("s"), F.sum(rating * rating).alias("q"), F.sum(label(rating)).alias("high"), F.min(ts).alias("from"), F.max(ts).alias("to")
+        )
     )
+    pop = cut(pairs.groupBy("movie_id").agg(F.sum("n").alias("pop"), F.sum("k").alias("k"), F.sum("s").alias("s")))
+    whole = pop.agg(F.count("*").alias("movies"), F.sum("pop").alias("total"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean")).first()
+    top, mean = top_cut(pop).first()["cut"] or 0, whole["mean"] or 0.0
     genres = F.split("genres", "[|]", -1)
     tagged = movies.select("movie_id", *[F.array_contains(genres, g).cast("int").alias(f"g{i}") for i, g in enumerate(rules.genres)])
-    known = cut(pop.join(tagged, "movie_id", "left"))
-    rated = join_keyed(best_ratings(ratings, rules), counted(known), "movie_id", "__n", total)
+    known = pop.select("movie_id", "pop").join(tagged, "movie_id", "left")
+    # A movie may hold a large part of all ratings: few movies go by broadcast, of many those that are rated often.
+    if whole["movies"] <= FEW_MOVIES:
+        joined = pairs.join(F.broadcast(known), "movie_id")
+    else:
+        joined = join_keyed(pairs, cut(known).withColumn("__n", F.col("pop")), "movie_id", "__n", whole["total"])
+    n, k, s, q = (F.sum(c) for c in ("n", "k", "s", "q"))
+    span, number = (F.max("to") - F.min("from")) / 86400.0, lambda c: c.cast("double")
     shares = [F.avg(F.coalesce(F.col(f"g{i}"), F.lit(0))).alias(name) for i, name in enumerate(names(rules)[len(BASE) :])]
-    unique = rated.groupBy("user_id").agg(F.avg((F.col("pop") >= top).cast("int")).alias("share_top_pop"), *shares)
-    return base.join(unique, "user_id").select("user_id", *names(rules))
+    return joined.groupBy("user_id").agg(
+        number(n).alias("n_ratings"), F.try_divide(s, k).alias("avg_rating"), F.when(k > 0, F.sqrt(F.greatest(number(q) * k - number(s) * s, F.lit(0.0))) / k).alias("std_rating"),
+        (F.try_divide(s, k) - mean).alias("rating_bias"), F.try_divide(F.sum("high"), k).alias("high_share"), (F.sum(F.col("n") * F.log1p("pop")) / n).alias("avg_movie_pop"),
+        F.avg((F.col("pop") >= top).cast("int")).alias("share_top_pop"), span.alias("active_span_days"), F.coalesce(F.try_divide(span, n - 1), F.lit(0.0)).alias("avg_gap_days"), *shares,
+    ).select("user_id", *names(rules))
 
 
 def profile(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules, min_ratings: int = 20) -> DataFrame:

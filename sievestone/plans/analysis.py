@@ -223,6 +223,7 @@ QUERIES = {
     "profile_status": lambda s, d: profile.status_counts(_profile(s, d)),
     "orphan_anti": lambda s, d: profile.orphans(_typed("ratings")(s, d), _typed("users")(s, d), R),
     "cluster_summary": lambda s, d: _rounded(profile.cluster_summary(_labelled_users(s, d), _profile(s, d), R), [f"{c}_mean" for c in ("avg_rating", "n_ratings", "high_share", "active_span_days")]),
+    "cluster_means": lambda s, d: _rounded(profile.cluster_means(_labelled_users(s, d), _profile(s, d), R), profile.names(R)),
     "representative_items": lambda s, d: profile.representative_movies(_labelled_users(s, d), _typed("ratings")(s, d), _typed("movies")(s, d).groupBy("movie_id").agg(F.min("title").alias("title")), R),
     "kdistance_percentiles": lambda s, d: _rounded(pairs.nearest_rank(pairs.kth_distances(_vectors(s, d).select("id", "v"), MIN_SAMPLES), "dist", {"min": 0.0, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "max": 1.0}), ["min", "p50", "p75", "p90", "p95", "max"]),
     "silhouette_by_label": lambda s, d: pairs.silhouettes(_vectors(s, d)).groupBy("cluster").agg(F.round(F.avg("s"), 6).alias("silhouette"), F.count("*").alias("size")),
@@ -358,6 +359,7 @@ def oracles() -> dict[str, str]:
         "profile_status": f"SELECT status, count(*) AS users FROM ({prof}) GROUP BY status",
         "orphan_anti": f"SELECT DISTINCT user_id FROM ({typed_r}) WHERE ts <= {R.t1} AND user_id NOT IN (SELECT user_id FROM ({typed_u}))",
         "cluster_summary": f"SELECT cluster, count(*) AS size, {', '.join(f'round(avg({c}), 6) AS {c}_mean' for c in means)}, array_to_string(list_transform(list_sort([{tops}])[1:3], lambda x: x.g), ',') AS top_genres FROM ({clusters}) JOIN ({prof}) USING (user_id) WHERE cluster >= 0 GROUP BY cluster",
+        "cluster_means": f"SELECT cluster, count(*) AS size, {', '.join(f'round(avg({quoted}), 6) AS {quoted}' for quoted in (chr(34) + n + chr(34) for n in profile.names(R)))} FROM ({clusters}) JOIN ({prof}) USING (user_id) WHERE cluster >= 0 GROUP BY cluster",
         "representative_items": f"""WITH b AS MATERIALIZED (SELECT user_id, movie_id, max(rating) AS best FROM ({typed_r}) WHERE ts <= {R.t1} GROUP BY user_id, movie_id), v AS (SELECT cluster, movie_id, count(*) AS votes FROM b JOIN ({clusters}) USING (user_id) WHERE best >= 4 AND cluster >= 0 GROUP BY 1, 2), k AS (SELECT v.*, raters, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, raters DESC, movie_id) AS place FROM v JOIN (SELECT movie_id, count(*) AS raters FROM b GROUP BY 1) USING (movie_id)),
             f AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY place) AS INTEGER) AS rank FROM k WHERE place <= 8 AND votes >= 2) SELECT cluster, rank, movie_id, coalesce(title, '#' || movie_id || '(缺失)') AS title, votes FROM f LEFT JOIN (SELECT movie_id, min(title) AS title FROM ({typed_m}) GROUP BY movie_id) USING (movie_id) WHERE rank <= 3""",
         "kdistance_percentiles": f"""WITH vec AS MATERIALIZED ({vec}), dist AS ({dist}), k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS place, count(*) OVER () AS m FROM ({kd}))

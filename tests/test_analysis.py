@@ -333,3 +333,13 @@ def test_a_seeded_sample_is_the_one_that_its_formula_names(spark):
         want = [sorted(ids)[p] for p in sorted(random.Random(seed * 7919 + size).sample(range(700), size))]
         assert sorted((r.id, r.name) for r in clustering.seeded_sample(df, size, seed).collect()) == [(i, f"r{i}") for i in want]
     assert clustering.seeded_sample(df, 700).count() == 700 == clustering.seeded_sample(df, 9000).count() and clustering.seeded_sample(df.limit(0), 3).count() == 0
+
+
+def test_profiles_are_the_same_by_broadcast_and_by_counted_movies(spark, monkeypatch):
+    rng = random.Random(8)
+    df = ratings(spark, [(u, 1 if rng.random() < 0.5 else rng.randrange(2, 30), rng.randrange(1, 6), rng.randrange(0, 260)) for u in range(40) for _ in range(rng.randrange(1, 12))])
+    movies = spark.createDataFrame([(m, "Drama" if m % 2 else "Action|Comedy") for m in range(1, 25)], "movie_id long, genres string")
+    rows = lambda: sorted(tuple(round(x, 9) for x in r) for r in profile.features(df, movies, RULES).collect())
+    few = rows()
+    monkeypatch.setattr(profile, "FEW_MOVIES", 0)
+    assert rows() == few and len(few) > 30
