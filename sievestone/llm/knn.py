@@ -154,8 +154,8 @@ def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
 def nearest(rows: DataFrame, k: int = K, is_query=None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product for each query, ties to the smaller id.
 
-    Vectors are compared only with those of the same length.  A table without usable
-    rows gives none.
+    Vectors are compared only with those of the same length.  Rows that `usable` leaves out take no part; rows of the same id count
+    as one.  A table without usable rows gives none, and extra columns may have any name.
     """
     spark = rows.sparkSession
     vectors = written(usable(rows, vec_id, embedding))

@@ -207,7 +207,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple = ("doc
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of `docs` with a score of at least the threshold, with their columns."""
+    """The rows of `docs` with a score of at least the threshold, with their columns.
+
+    Null and empty texts have a score like any other.  Repeated rows stay or go together; an empty table gives no rows, and extra
+    columns may have any name.
+    """
     name = free_name(docs, "__score")
     return score(docs, model, text, tuple(docs.columns), name).filter(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 

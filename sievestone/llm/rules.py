@@ -213,7 +213,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang"
 
 
 def keep_by_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The rows of `docs` that the rules keep, with their columns."""
+    """The rows of `docs` that the rules keep, with their columns.
+
+    Null and empty texts fail the base rules and go.  Repeated rows are judged each; an empty table gives no rows, and extra columns may have
+    any name.
+    """
     into, verdict = free_name(docs, "__measures"), free_name(docs, "__kept")
     lang = lang if lang in docs.columns else None
     rows = judged(written(measured(docs, text, lang, tuple(docs.columns), into=into)), into, verdict)

@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, fingerprint (16 hex digits), component_id for every row of `docs`.
 
     Null and empty texts and texts of blanks have fingerprint zero and are linked like any
-    other.  Repeated rows stay, each with the same result.  An empty table gives no rows.
+    other.  Repeated rows stay, each with the same result.  An empty table gives no rows, and extra columns may have any name.
     """
     prints = written(fingerprints(docs, text, (doc_id,)))
     return with_components(prints, doc_id).select(
@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without those that another row of their group replaces; the smallest doc_id stays.
 
-    Of repeated rows with that id one stays; a null id is kept only where the group has no other.
+    Of repeated rows with that id one stays; a null id is kept only where the group has no other.  Null and empty texts are one
+    group.  An empty table gives no rows, and extra columns may have any name.
     """
     fp, row = free_name(docs, "__fp"), free_name(docs, "__row")
     marked = written(fingerprints(docs, text, tuple(docs.columns), name=fp).withColumn(row, F.monotonically_increasing_id()))
