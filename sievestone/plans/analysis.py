@@ -13,6 +13,7 @@ from sievestone.plans import clusters, learning
 from sievestone.plans.rules import SAMPLE_RULES
 from sievestone.session import cut, drop_at_exit, shared_dir, table, written
 from sievestone.sources import files, sample
+from sievestone.streaming import quality
 
 R = SAMPLE_RULES
 GENRES = profile.names(R)[len(profile.BASE) :]
@@ -205,7 +206,18 @@ def _event_props(spark, d):
     return counts.join(sums, "event_type")
 
 
+def _event_windows(spark, d):
+    """All events as a stream, counted by hour and type until there are no more."""
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    # A stream reads folders, so the table, which is one file, is told from the others by its name.
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    found = quality.run_to_end(quality.event_windows(events), f"{folder}/out", f"{folder}/state")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", F.round("mean_value", 6).alias("mean_value"))
+
+
 QUERIES = {
+    "event_windows": _event_windows,
     "event_props": _event_props,
     **{f"typed_{t}": _typed(t) for t in files.COLUMNS},
     "time_split_summary": lambda s, d: temporal.split_summary(_ratings(s, d), R),
@@ -374,6 +386,7 @@ def oracles() -> dict[str, str]:
         "dbscan_core_points": f"WITH vec AS MATERIALIZED ({vec}) SELECT a.id FROM vec a JOIN vec b ON list_distance(a.v, b.v) <= {EPS} GROUP BY a.id HAVING count(*) >= {MIN_SAMPLES}",
         "gnb_scores": f"WITH {gnb} SELECT split, round(avg(score), 5) AS mean_score, round(min(score), 5) AS min_score, round(max(score), 5) AS max_score, count(*) AS records FROM sc GROUP BY split",
         "cart_predict": _tree_sql(matrix, columns),
+        "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
         "event_props": """WITH e AS (SELECT event_type, CASE WHEN event_id % 10 = 0 THEN left(props, length(props) - 1) WHEN event_id % 7 = 0 THEN regexp_replace(props, ': *([0-9]+)', ': "n\\1"') ELSE props END AS props FROM events),
             v AS (SELECT event_type, props, props IS NOT NULL AND NOT json_valid(props) AS bad, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.a.b') END AS ab FROM e)
             SELECT event_type, count(*) AS records, count(*) FILTER (WHERE props IS NULL) AS nulls, count(*) FILTER (WHERE bad) AS malformed, count(TRY_CAST(k AS BIGINT)) AS k_fits, count(k) - count(TRY_CAST(k AS BIGINT)) AS k_other, count(*) - count(k) AS k_none,

@@ -82,3 +82,15 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     row = spark.table("running").first()
     assert (row.ratings_total, row.ratings_r_uid_bad, row.ratings_r_rating_bad) == (2, 1, 1)
+
+
+def test_event_windows_over_a_stream_are_those_of_a_batch(spark, tmp_path):
+    """Files that arrive one after the other, and a second run that goes on from the first one's state."""
+    rows = [(i, f"2024-01-01 {i % 5:02d}:{i % 60:02d}:00", ("a", "b")[i % 2], float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double")
+    where = str(tmp_path / "in")
+    stream = lambda: quality.event_windows(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(where), late="30 days")
+    for part in (0, 1):
+        df.filter(f"event_id % 2 = {part}").coalesce(1).write.mode("append").parquet(where)
+        got = quality.run_to_end(stream(), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quality.event_windows(spark.read.parquet(where)).collect())) and got.count() == 10
