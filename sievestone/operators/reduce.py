@@ -1,4 +1,4 @@
-"""Dimensionality reduction: PCA from one distributed Gram matrix, exact t-SNE in one task or in blocks, and how well neighbours are kept."""
+"""Dimensionality reduction: PCA from one distributed Gram matrix, and how well neighbours are kept (t-SNE is in tsne.py)."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from sievestone.operators.pairs import nearest
 from sievestone.operators.vectors import matrix, on_usable
-from sievestone.session import cut
-
-#: Points up to which t-SNE runs in one task; pairs in a block of larger sets.
-MAX_TSNE, PAIRS = 5000, 2_000_000
 
 
 @on_usable
@@ -86,167 +82,6 @@ def loadings(model: dict, names: list[str], top: int = 5) -> list[dict]:
     return out
 
 
-def _bandwidths(d2: np.ndarray, perplexity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(precision, least distance, sum of weights) of each row of squared distances, infinite to itself."""
-    n = len(d2)
-    least = d2.min(axis=1)
-    low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
-    for _ in range(60):
-        used = beta
-        w = np.exp(-(d2 - least[:, None]) * beta[:, None])
-        total = w.sum(axis=1)
-        p = w / total[:, None]
-        entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
-        flat = entropy > np.log(perplexity)
-        low, high = np.where(flat, beta, low), np.where(flat, high, beta)
-        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
-    return used, least, total
-
-
-def learning_rate(n: int, rate: float | None) -> float:
-    """The one given, else a twelfth of the points: a fixed one of 200 throws small sets apart."""
-    return n / 12 if rate is None else rate
-
-
-def _descend(n: int, gradient, rounds: int, seed: int, rate: float | None) -> np.ndarray:
-    """Places after so many rounds of gradient(y, exaggeration), with early exaggeration, momentum and gains."""
-    rate = learning_rate(n, rate)
-    y = np.random.RandomState(seed).normal(scale=1e-4, size=(n, 2))
-    step, gains, early = np.zeros_like(y), np.ones_like(y), max(250, rounds // 4)
-    for t in range(rounds):
-        grad = gradient(y, 12 if t < early else 1)
-        gains = np.maximum(np.where(np.sign(grad) != np.sign(step), gains + 0.2, gains * 0.8), 0.01)
-        step = (0.8 if t < early else 0.9) * step - rate * gains * grad
-        y = y + step
-        y = y - y.mean(axis=0)
-    return y
-
-
-def _check_perplexity(perplexity: float, n: int) -> None:
-    if not 3 * perplexity < n:
-        raise ValueError("three times the perplexity must be less than the number of points")
-
-
-def tsne_coordinates(x: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> np.ndarray:
-    """Exact t-SNE to two dimensions, with early exaggeration, momentum and gains."""
-    n = len(x)
-    _check_perplexity(perplexity, n)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2) if n <= 500 else np.clip((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0, None)
-    np.fill_diagonal(d2, np.inf)
-    beta, least, total = _bandwidths(d2, perplexity)
-    p = np.exp(-(d2 - least[:, None]) * beta[:, None]) / total[:, None]
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
-
-    def gradient(y: np.ndarray, more: float) -> np.ndarray:
-        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(q, 0)
-        pull = (p * more - q / q.sum()) * q
-        return 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
-
-    return _descend(n, gradient, rounds, seed, rate)
-
-
-def tsne_statistics(x: np.ndarray, y: np.ndarray, perplexity: float) -> dict:
-    """What a t-SNE came to: the Kullback-Leibler divergence of its places, and mean, least and greatest bandwidth; by blocks of rows."""
-    n = len(x)
-    size = max(1, PAIRS // max(1, n))
-    spans = [(a, min(n, a + size)) for a in range(0, n, size)]
-
-    def gaps(v: np.ndarray, a: int, b: int) -> np.ndarray:
-        d2 = np.clip((v[a:b] * v[a:b]).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * v[a:b] @ v.T, 0, None)
-        d2[np.arange(b - a), np.arange(a, b)] = np.inf
-        return d2
-
-    x, y = x - x.mean(axis=0), y - y.mean(axis=0)
-    beta, least, total = (np.concatenate(z) for z in zip(*(_bandwidths(gaps(x, a, b), perplexity) for a, b in spans), strict=True))
-    z = sum(float((1 / (1 + gaps(y, a, b))).sum()) for a, b in spans)
-    kl = 0.0
-    for a, b in spans:
-        d2 = gaps(x, a, b)
-        p = np.exp(-(d2 - least[a:b, None]) * beta[a:b, None]) / total[a:b, None] + np.exp(-(d2 - least) * beta) / total
-        p, q = np.maximum(p / (2 * n), 1e-12), np.maximum(1 / (1 + gaps(y, a, b)) / z, 1e-12)
-        inside = np.isfinite(d2)
-        kl += float((p * np.log(p / q))[inside].sum())
-    return {"kl": kl, "sigma_mean": float((1 / beta).mean()), "sigma_min": float((1 / beta).min()), "sigma_max": float((1 / beta).max()), "perplexity": perplexity}
-
-
-def _in_blocks(spark, n: int, work, names: list[str]) -> list[np.ndarray]:
-    """work(first, last row) -> an array for each name, over blocks of rows; each put together over all rows."""
-    size = max(1, PAIRS // n)
-    blocks = -(-n // size)
-
-    def run(batches):
-        for b in batches:
-            for at in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), *[pa.array([v.ravel().tolist()], pa.list_(pa.float64())) for v in work(at, min(n, at + size))]], names=["at", *names])
-
-    rows = spark.range(0, n, size, min(blocks, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "at bigint, " + ", ".join(f"{c} array<double>" for c in names)).collect()
-    rows.sort(key=lambda r: r["at"])
-    return [np.concatenate([r[c] for r in rows]) for c in names]
-
-
-def tsne_blocks(spark, x: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> np.ndarray:
-    """What tsne_coordinates gives, with each round's forces by blocks of rows in tasks; no task or driver holds all pairs."""
-    n = len(x)
-    _check_perplexity(perplexity, n)
-    shared = spark.sparkContext.broadcast(x)
-
-    def gaps(a: int, b: int) -> np.ndarray:
-        x = shared.value
-        d2 = np.clip((x[a:b] * x[a:b]).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x[a:b] @ x.T, 0, None)
-        d2[np.arange(b - a), np.arange(a, b)] = np.inf
-        return d2
-
-    fitted = spark.sparkContext.broadcast(_in_blocks(spark, n, lambda a, b: _bandwidths(gaps(a, b), perplexity), ["beta", "least", "total"]))
-
-    def gradient(y: np.ndarray, more: float) -> np.ndarray:
-        at = spark.sparkContext.broadcast(y)
-
-        def forces(a: int, b: int) -> tuple:
-            d2, y, (beta, least, total) = gaps(a, b), at.value, fitted.value
-            p = np.exp(-(d2 - least[a:b, None]) * beta[a:b, None]) / total[a:b, None] + np.exp(-(d2 - least) * beta) / total
-            q = 1 / (1 + (y[a:b, :1] - y[:, 0]) ** 2 + (y[a:b, 1:] - y[:, 1]) ** 2)
-            q[np.arange(b - a), np.arange(a, b)] = 0
-            pull, push = np.maximum(p / (2 * n), 1e-12) * q, q * q
-            net = lambda w: w.sum(axis=1)[:, None] * y[a:b] - w @ y
-            return net(pull), net(push), np.array([q.sum()])
-
-        pull, push, z = _in_blocks(spark, n, forces, ["pull", "push", "z"])
-        at.destroy()
-        return 4 * (more * pull - push / z.sum()).reshape(n, 2)
-
-    y = _descend(n, gradient, rounds, seed, rate)
-    fitted.destroy()
-    shared.destroy()
-    return y
-
-
-@on_usable
-def tsne(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> DataFrame:
-    """(id, x, y) of every row: in one task up to MAX_TSNE rows, beyond that with the forces of each round by blocks.  All pairs count in every round."""
-    if vectors.count() > MAX_TSNE:
-        t = vectors.select(F.col("id").cast("bigint").alias("id"), "v").orderBy("id").toArrow()
-        y = tsne_blocks(vectors.sparkSession, matrix(t), perplexity, rounds, seed, rate)
-        return vectors.sparkSession.createDataFrame(pa.table({"id": t.column("id"), "x": y[:, 0], "y": y[:, 1]}))
-
-    def work(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        y = tsne_coordinates(matrix(t), perplexity, rounds, seed, rate)
-        return pa.table({"id": t.column("id"), "x": y[:, 0], "y": y[:, 1]})
-
-    return vectors.select("id", "v", F.lit(0).alias("all")).groupBy("all").applyInArrow(work, "id bigint, x double, y double")
-
-
-@on_usable
-def tsne_with_stats(vectors: DataFrame, perplexity: float = 30.0, rounds: int = 500, seed: int = 42, rate: float | None = None) -> tuple[DataFrame, dict]:
-    """The places of `tsne`, and their statistics."""
-    places = cut(tsne(vectors, perplexity, rounds, seed, rate))
-    t = vectors.select(F.col("id").cast("bigint").alias("id"), "v").orderBy("id").toArrow()
-    y = places.orderBy("id").toArrow()
-    found = tsne_statistics(matrix(t), np.stack([y.column("x").to_numpy(), y.column("y").to_numpy()], axis=1), perplexity)
-    return places, found | {"learning_rate": learning_rate(t.num_rows, rate)}
-
-
 @on_usable
 def knn_agreement(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
     """(agreement, baseline): mean share of k nearest neighbours that both spaces have in common, and what chance gives."""

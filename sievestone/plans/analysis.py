@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions import semi
-from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal
+from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal, tsne
 from sievestone.plans import clusters, learning
 from sievestone.plans.rules import SAMPLE_RULES
 from sievestone.session import cut, drop_at_exit, shared_dir, table, written
@@ -264,7 +264,7 @@ QUERIES = {
     "pca_covariance": _covariance,
     "pca_explained": _explained,
     "pca_coordinates": _pca_coordinates,
-    "tsne_coords": lambda s, d: reduce.tsne(_vectors(s, d).select("id", "v"), 20.0, 300),
+    "tsne_coords": lambda s, d: tsne.tsne(_vectors(s, d).select("id", "v"), 20.0, 300),
     "knn_overlap": _overlap,
 }
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.operators import clustering, pairs, profile, reduce
+from sievestone.operators import clustering, pairs, profile, reduce, tsne
 from sievestone.plans.rules import Rules
 from sievestone.plans.service import TaskError
 from sievestone.session import cut
@@ -150,7 +150,7 @@ def reduction_run(users: DataFrame, names: list[str], method: str = "pca", asked
         top = {m: [float(x) for x in model[m][:10]] for m in ("explained", "cumulative", "eigenvalues")}
         out |= {"metrics": {**top, "dims_for_share": model["dims_for_share"], "without_variance": model["without_variance"]}, "loadings": reduce.loadings(model, names), "projected": others, "model": {m: np.asarray(model[m]).tolist() for m in ("mean", "components")}}
     else:
-        after, stats = reduce.tsne_with_stats(fit, perplexity, rounds, seed, rate)
+        after, stats = tsne.tsne_with_stats(fit, perplexity, rounds, seed, rate)
         agreement = reduce.knn_agreement(fit, after.select("id", F.array("x", "y").alias("v")), min(neighbours, n - 2)).first()
         after = after.select("id", F.array("x", "y").alias("v"))
         out |= {"metrics": {**stats, **(agreement.asDict() if agreement else {})}}

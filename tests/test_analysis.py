@@ -210,7 +210,7 @@ def test_bayes_separates(spark):
     assert classify.gaussian_scores(df.filter("label = 1"), ["x"]).filter("score is not null").count() == 0
 
 
-def test_pca_and_tsne(spark):
+def test_pca(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(80, 5)) @ np.diag([5, 2, 1, 0.1, 0])
     df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
@@ -221,11 +221,6 @@ def test_pca_and_tsne(spark):
     flat = reduce.project(df, m)
     assert np.allclose([r.v for r in flat.orderBy("id").collect()], (x - x.mean(0)) @ m["components"].T)
     assert reduce.knn_agreement(df, df, 5).first().agreement == 1.0 and reduce.knn_agreement(df.limit(4), df.limit(4), 5).first().agreement is None
-    blobs = np.concatenate((rng.normal(size=(30, 4)), rng.normal(size=(30, 4)) + 30))
-    y = reduce.tsne_coordinates(blobs, 8.0, 350)
-    assert np.isfinite(y).all() and np.linalg.norm(y[:30].mean(0) - y[30:].mean(0)) > 3 * y[:30].std()
-    with pytest.raises(ValueError):
-        reduce.tsne_coordinates(blobs, 20.0)
 
 
 def test_nearest_rank(spark):
@@ -233,24 +228,6 @@ def test_nearest_rank(spark):
     assert pairs.nearest_rank(df, "x", {"p": 0.9, "m": 0.5}).first().asDict() == {"p": 89.0, "m": 50.0}
 
 
-def test_tsne_takes_every_row(spark, monkeypatch):
-    """Above MAX_TSNE the forces come by blocks; the places are those of one task."""
-    x = np.random.default_rng(12).normal(size=(90, 4))
-    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
-    monkeypatch.setattr(reduce, "MAX_TSNE", 50)
-    monkeypatch.setattr(reduce, "PAIRS", 90 * 20)
-    got = np.array([(r.x, r.y) for r in reduce.tsne(df, 8.0, 6).orderBy("id").collect()])
-    assert np.allclose(got, reduce.tsne_coordinates(x, 8.0, 6), rtol=1e-6, atol=1e-12)
-
-
-def test_tsne_query_has_every_embedding(spark):
-    from sievestone.plans import analysis
-    from sievestone.session import table
-
-    folder = "/root/testdata/sf0.001"
-    assert analysis.QUERIES["tsne_coords"](spark, folder).count() == table(spark, folder, "embeddings").count()
-
-
 def test_k_is_found_up_to_8_and_measured_over_all_rows(spark, monkeypatch):
     from sievestone.plans import analysis
 

@@ -271,31 +271,6 @@ def test_groups_within_a_cell():
                     assert reach[i, j] == (both[i] == both[j] and both[i] >= 0)
 
 
-def test_tsne_statistics_are_the_plain_ones():
-    rng = np.random.default_rng(10)
-    x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 2))
-    got = reduce.tsne_statistics(x, y, 6.0)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    p, sigma = np.zeros((40, 40)), []
-    for i in range(40):
-        low, high = 1e-9, 1e9
-        for _ in range(200):
-            beta = math.sqrt(low * high)
-            w = np.exp(-(d2[i] - np.delete(d2[i], i).min()) * beta)
-            w[i] = 0
-            w /= w.sum()
-            entropy = -(w[w > 0] * np.log(w[w > 0])).sum()
-            low, high = (beta, high) if entropy > math.log(6.0) else (low, beta)
-        p[i], sigma = w, [*sigma, 1 / beta]
-    p = np.maximum((p + p.T) / 80, 1e-12)
-    q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-    np.fill_diagonal(q, 0)
-    q /= q.sum()
-    off = ~np.eye(40, dtype=bool)
-    assert got["kl"] == pytest.approx((p[off] * np.log(p[off] / q[off])).sum(), rel=1e-4)
-    assert got["sigma_mean"] == pytest.approx(np.mean(sigma), rel=1e-4) and got["sigma_max"] == pytest.approx(max(sigma), rel=1e-4)
-
-
 def test_tools_give_envelopes(spark, space):
     route = lambda c, p: S.route(c, {"data_version": "data-v1", **p}, "data-v1")
     out = tools.run_plan(space, route("clustering", {"user_ids": [1, 2, 26, 500], "parameters": {"k": 2, "eps": 8.0, "min_samples": 3}}))
