@@ -165,13 +165,13 @@ def nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.
 
 
 @on_usable
-def kmeans_many(vectors: DataFrame, ks: list[int], seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> dict[int, np.ndarray]:
+def kmeans_many(vectors: DataFrame, ks: list[int], seed: int = 42, rounds: int = 100, tolerance: float = 1e-4, start: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
     """For each k its centres.  The vectors are written once, and one aggregate a round moves the centres of all ks that still move.
 
-    Empty clusters take the farthest points.
+    Empty clusters take the farthest points.  `start` gives the first centres of each k, which are drawn otherwise.
     """
     rows = written(vectors.select("id", "v"))
-    centres = plus_plus_many(rows, ks, seed)
+    centres = plus_plus_many(rows, ks, seed) if start is None else {k: np.array(start[k], dtype=np.float64) for k in ks}
     moving = list(ks)
     for _ in range(rounds):
         still = []

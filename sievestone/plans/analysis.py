@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions import semi
+from sievestone.functions import text as T
 from sievestone.operators import classify, clustering, pairs, profile, reduce, temporal, tsne
 from sievestone.plans import clusters, learning
 from sievestone.plans.rules import SAMPLE_RULES
 from sievestone.session import cut, drop_at_exit, shared_dir, table, written
-from sievestone.sources import files, sample
+from sievestone.sources import artefacts, files, sample
 from sievestone.streaming import quality
 
 R = SAMPLE_RULES
@@ -20,6 +21,7 @@ GENRES = profile.names(R)[len(profile.BASE) :]
 EPS, MIN_SAMPLES, MIN_RATINGS = 1.15, 5, 20
 FEATURES = temporal.feature_names(R)
 THRESHOLD = 0.4
+LLOYD_K, LLOYD_ROUNDS = 6, 5
 
 
 def _ratings(spark, d: str) -> DataFrame:
@@ -191,6 +193,63 @@ def _kmeans(spark, d):
     return labelled.select("id", "cluster", F.round("dist", 6).alias("dist"))
 
 
+def _lloyd(spark, d):
+    """K-Means from the vectors of the smallest ids, moved so many rounds: every vector's cluster and distance."""
+    import numpy as np
+
+    v = cut(_vectors(spark, d).select("id", "v"))
+    first = np.array([r["v"] for r in v.orderBy("id").limit(LLOYD_K).collect()])
+    centres = clustering.kmeans_many(v, [LLOYD_K], rounds=LLOYD_ROUNDS, tolerance=0.0, start={LLOYD_K: first})[LLOYD_K]
+    return clustering.assign(v, centres).select("id", "cluster", F.round("dist", 6).alias("dist"))
+
+
+def _recomposed(spark, d):
+    """What all eigenpairs give when put together again, the covariance, and what the axes give among themselves, ones on the diagonal."""
+    import numpy as np
+
+    v = _vectors(spark, d)
+    m = reduce.pca(v, dims=v.select(F.size("v")).first()[0])
+    axes, n = m["components"], len(m["eigenvalues"])
+    whole, among = axes.T @ np.diag(m["eigenvalues"]) @ axes, axes @ axes.T
+    rows = [(i, j, float(round(whole[i, j], 8)), float(round(among[i, j], 8)) + 0.0) for i in range(n) for j in range(i, n)]
+    return spark.createDataFrame(rows, "i int, j int, cov double, dot double")
+
+
+def _event_values(spark, d):
+    """Every event's day, its value as text, and where it lies between the least and the greatest."""
+    e = table(spark, d, "events")
+    ends = e.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    place = T.placed(F.col("value"), F.lit(ends["low"]), F.lit(ends["high"]))
+    return e.select("event_id", T.utc_date(seconds).alias("day"), T.shown(F.col("value"), 2).alias("value_text"), F.round(place, 9).alias("place"), T.finite(F.col("value"), place).alias("fine"))
+
+
+def _plain_texts(spark, d):
+    """Every document's text in ASCII, by its digest, and a slug of its language and source."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.ascii_only(F.col("text")), 256).alias("ascii_sha256"), T.slug(F.concat("lang", F.lit(" Child's "), "source")).alias("slug"))
+
+
+def _line_counts(spark, d):
+    """Lines of the tables' files in ISO-8859-1, counted by splits."""
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    rows = []
+    for t in files.COLUMNS:
+        files.write_lines(sample.lines(spark, d, t), f"{folder}/{t}.dat")
+        rows.append((t, artefacts.line_count(spark, f"{folder}/{t}.dat")))
+    return spark.createDataFrame(rows, "name string, lines bigint")
+
+
+def _saved_profile(spark, d):
+    """The users' profile, saved as a version and loaded again."""
+    folder = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    artefacts.save(spark, folder, "profile", None, {"data_version": d}, {"users": _profile(spark, d)})
+    meta, path = artefacts.load(spark, folder, "profile", data_version=d)
+    rows = artefacts.tables_of(spark, path, "users").withColumn("version", F.lit(meta["version"]))
+    return _rounded(rows.select("user_id", "status", "fit", "version", *profile.BASE), list(profile.BASE))
+
+
 def _choose_k(spark, d):
     best = clustering.choose_k(cut(_vectors(spark, d).select("id", "v")))[0]
     return spark.createDataFrame([(best["k"], best["silhouette"], best["dbi"], best["sse"])], "k int, silhouette double, dbi double, sse double")
@@ -246,6 +305,12 @@ QUERIES = {
     "dbscan_core_points": _cores,
     "dbscan_labels": lambda s, d: clustering.dbscan(_vectors(s, d).select("id", "v"), EPS, MIN_SAMPLES),
     "kmeans_fit": _kmeans,
+    "kmeans_rounds": _lloyd,
+    "pca_recomposed": _recomposed,
+    "event_values": _event_values,
+    "plain_texts": _plain_texts,
+    "line_counts": _line_counts,
+    "saved_profile": _saved_profile,
     "kmeans_choose_k": _choose_k,
     "gnb_scores": _gnb,
     "missing_attributes": lambda s, d: temporal.missing_attributes(_matrix(s, d)),
@@ -284,6 +349,15 @@ a{i} AS MATERIALIZED (SELECT split, label, x, CASE WHEN f IS NULL THEN node WHEN
 SELECT split, count(*) AS records, round(avg(share), 6) AS mean_score FROM a{depth} JOIN (SELECT node, avg(label) AS share FROM a{depth} WHERE split = 'train' GROUP BY node) USING (node) GROUP BY split"""
 
 
+def _lloyd_sql(vec: str) -> str:
+    """Rounds of assigning each vector to the nearest centre, ties to the lower number, and moving the centres to their means."""
+    near = lambda t: f"SELECT id, min({{'d': list_distance(v, centre), 'k': k}}) AS n FROM vec CROSS JOIN c{t} GROUP BY id"
+    mean = lambda t: f"SELECT k, list(x ORDER BY i) AS centre FROM (SELECT k, i, avg(x) AS x FROM (SELECT n.k AS k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec JOIN n{t} USING (id)) GROUP BY k, i) GROUP BY k"
+    steps = ", ".join(f"n{t} AS MATERIALIZED ({near(t)}), c{t + 1} AS MATERIALIZED ({mean(t)})" for t in range(LLOYD_ROUNDS))
+    return f"""WITH vec AS MATERIALIZED ({vec}), c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS k, v AS centre FROM vec QUALIFY row_number() OVER (ORDER BY id) <= {LLOYD_K}),
+        {steps} SELECT id, n.k AS cluster, round(n.d, 6) AS dist FROM ({near(LLOYD_ROUNDS)})"""
+
+
 def oracles() -> dict[str, str]:
     r, m, u = (sample.duck(sample.ROWS[t]) for t in ("ratings", "movies", "users"))
     lab, split = "CASE WHEN rating >= 4 THEN 1 ELSE 0 END", f"CASE WHEN ts <= {R.t1} THEN 'train' WHEN ts <= {R.t2} THEN 'validate' ELSE 'test' END"
@@ -406,5 +480,12 @@ def oracles() -> dict[str, str]:
         "dbscan_noise": f"WITH RECURSIVE {dbscan} SELECT count(*) AS points, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS clusters, count(*) FILTER (WHERE cluster < 0) AS noise, round(count(*) FILTER (WHERE cluster < 0) / count(*), 6) AS noise_ratio FROM labels",
         "pca_covariance": """WITH e AS MATERIALIZED (SELECT vec_id, CAST(i AS INTEGER) - 1 AS i, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))
             SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
+        "pca_recomposed": """WITH e AS MATERIALIZED (SELECT vec_id, CAST(i AS INTEGER) - 1 AS i, x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))
+            SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 8) AS cov, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dot FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
+        "kmeans_rounds": _lloyd_sql(vec),
+        "event_values": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, coalesce(format('{:,.2f}', value), '—') AS value_text, round(CASE WHEN max(value) OVER () > min(value) OVER () THEN (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) ELSE 0.5 END, 9) AS place, coalesce(isfinite(value), false) AS fine FROM events",
+        "plain_texts": r"SELECT doc_id, sha256(regexp_replace(text, '[^\x00-\x7F]', '?', 'g')) AS ascii_sha256, replace(replace(lower(lang || ' Child''s ' || source), chr(39), ''), ' ', '_') AS slug FROM documents",
+        "line_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS lines FROM ({sample.duck(sample.LINES[t])})" for t in files.COLUMNS),
+        "saved_profile": f"SELECT user_id, status, fit, 'v1' AS version, {rounded(profile.BASE)} FROM ({prof})",
         "knn_overlap": f"WITH vec AS MATERIALIZED ({vec}), h AS ({nearest('v', 10)}), l AS ({nearest('list_transform(range(0, 8), lambda i: list_sum(v[i * 8 + 1:i * 8 + 8]) / 8)', 10)}) SELECT round(count(*) / 10.0 / (SELECT count(*) FROM vec), 6) AS agreement, round(10.0 / ((SELECT count(*) FROM vec) - 1), 6) AS baseline FROM h JOIN l USING (id, other)",
     }
