@@ -33,6 +33,8 @@ from sievestone.session import table, written
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED, UNIT = 10_000, 3, 20, 5, 42, 1000
 #: Bytes of text in a block, and of a long text that are counted at once.
 CHUNK, STRETCH = 250_000, 250_000
+#: Blocks in a row group of the written matrix and in an Arrow batch of it: readers hold either whole, in every task.
+GROUP = 16
 #: Zero bytes that one look-up shifts by at most; words longer than WORD go to zlib one by one.
 SHIFT, WORD = 255, 48
 
@@ -194,7 +196,7 @@ def count_matrix(texts: DataFrame, doc_id: str, text: str = "text", run: int = R
     own = texts.select(texts[f"`{doc_id}`"].alias("id"), texts[f"`{text}`"].alias("text"))
     schema = f"ids array<{kind.simpleString()}>, " + ", ".join(f"{c} binary" for c in _KINDS)
     with small_batches(texts.sparkSession):
-        return written(own.mapInArrow(_blocks(to_arrow_type(kind), run, chunk), schema), compression="zstd")
+        return written(own.mapInArrow(_blocks(to_arrow_type(kind), run, chunk), schema), **{"compression": "zstd", "parquet.block.row.count.limit": str(GROUP)})
 
 
 def _unpack(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
@@ -213,7 +215,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def column_sums(matrix: DataFrame) -> np.ndarray:
     """The features in each bucket over all rows: BUCKETS numbers, to which each task adds at most as many."""
-    found = matrix.select("buckets", "counts").mapInArrow(_sums, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    with small_batches(matrix.sparkSession, GROUP):
+        found = matrix.select("buckets", "counts").mapInArrow(_sums, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS, dtype=np.int64)
     for r in found:
         out[r["bucket"]] = r["n"]
@@ -266,7 +269,8 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     """
     matrix = count_matrix(docs, doc_id, text)
     gain = gains(column_sums(matrix), column_sums(count_matrix(target, target_id, target_text)))
-    scored = written(weights(matrix, gain).withColumn("score", F.col("weight") + noise(seed=seed)).withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession, GROUP):
+        scored = written(weights(matrix, gain).withColumn("score", F.col("weight") + noise(seed=seed)).withColumn("row", F.monotonically_increasing_id()))
     enough = scored.filter(F.col("n_words") >= least_words).withColumn("one", F.lit(1).cast("bigint"))
     order = F.struct((-F.col("score")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
     ranked, upto = running_sums(enough, order, {"rank": "one"})

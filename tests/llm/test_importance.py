@@ -102,3 +102,18 @@ def test_query_against_sql(spark):
         for t in ("documents", "benchmark"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         assert same(I.op11_importance_csr(spark, sf)) == sorted(c.execute(I.OP11_SQL).fetchall(), key=repr)
+
+
+def test_readers_of_the_matrix_hold_few_blocks_at_once(spark):
+    import pyarrow.parquet as pq
+
+    rows = [(i, f"alpha beta {i}", "en", "a", 1) for i in range(10 * I.GROUP)]
+    matrix = I.count_matrix(documents(spark, rows).coalesce(1), "doc_id", chunk=1)
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in matrix.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == len(rows) and max(groups) <= I.GROUP
+    sizes = []
+    with I.small_batches(spark, I.GROUP):
+        sizes = [r["n"] for r in matrix.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= I.GROUP
+    assert I.column_sums(matrix).sum() == sum(sum(features(r[1])[1].values()) for r in rows)
