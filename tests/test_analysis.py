@@ -295,6 +295,30 @@ def test_sums_of_a_hot_key_lie_in_many_ranges(spark):
     assert keyed_sums_before(df.limit(0), "k", "t", {"before": "x"}).count() == 0
 
 
+def test_a_history_deals_the_ratings_out_once_for_each_key(spark):
+    """Ties in time, over bounds of Arrow batches and of ranges, against plain Python; nothing is joined back by a shuffle."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(6), rng.randrange(9), rng.randrange(1, 6), RULES.t1 - 40 + rng.randrange(60)) for _ in range(900)] + [(None, 1, 5, 3), (1, None, 5, 3), (1, 1, 5, None)]
+    df = spark.createDataFrame(rows, "user_id long, movie_id long, rating long, ts long").repartition(3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    out = temporal.history(df, RULES, seen=True)
+    got = sorted((r.user_id, r.movie_id, r.rating, r.ts, r.user_count, round(r.user_mean, 9), r.movie_count, round(r.movie_mean, 9), r.user_seen, r.movie_seen) for r in out.collect())
+    spark.conf.set(batch, held)
+    mean = sum(x[2] for x in rows if x[3] is not None and x[3] <= RULES.t1) / sum(x[3] is not None and x[3] <= RULES.t1 for x in rows)
+    whole = [x for x in rows if None not in x]
+
+    def side(x, i):
+        past = [y[2] for y in whole if y[i] == x[i] and y[3] < x[3]]
+        return len(past), round(sum(past) / len(past) if past else mean, 9)
+
+    seen = lambda x, i: int(any(y[i] == x[i] and y[3] <= RULES.t1 for y in whole))
+    assert got == sorted((*x, *side(x, 0), *side(x, 1), seen(x, 0), seen(x, 1)) for x in whole)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_seen_flags_come_with_the_history(spark):
     df = spark.createDataFrame([(1, 1, 5, RULES.t1 - 1), (1, 2, 3, RULES.t1), (1, 2, 4, RULES.t1 + 5), (2, 2, 4, RULES.t1 + 5), (2, 3, 4, RULES.t2 + 1), (2, 9, 4, RULES.t2 + 1)], "user_id long, movie_id long, rating long, ts long")
     rows = df.select("*", temporal.split_of(F.col("ts"), RULES).alias("split"))
