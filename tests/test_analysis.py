@@ -344,3 +344,38 @@ def test_profiles_are_the_same_by_broadcast_and_by_counted_movies(spark, monkeyp
     few = rows()
     monkeypatch.setattr(profile, "FEW_MOVIES", 0)
     assert rows() == few and len(few) > 30
+
+
+def test_distances_take_no_copies_of_the_whole_grid():
+    import tracemalloc
+
+    import numpy as np
+
+    from sievestone.operators.vectors import TILE, distances
+
+    draw = np.random.default_rng(5)
+    for n, m in ((TILE[0] + 1, TILE[1] + 1), (1, 1), (0, 3), (3, 0)):
+        a, b = draw.normal(size=(n, 7)), draw.normal(size=(m, 7))
+        assert np.array_equal(distances(a, b), np.sqrt(sum((a[:, j, None] - b[None, :, j]) ** 2 for j in range(7))))
+    a = draw.normal(size=(1500, 4))
+    tracemalloc.start()
+    d = distances(a, a)
+    assert tracemalloc.get_traced_memory()[1] < 1.2 * d.nbytes and not d.diagonal().any()
+    tracemalloc.stop()
+
+
+def test_distances_by_a_matrix_product_are_those_by_components():
+    import numpy as np
+
+    from sievestone.operators.vectors import distances, rough_distances, within
+
+    draw = np.random.default_rng(6)
+    for shift in (0.0, 1e6):
+        a, b = draw.normal(size=(300, 16)) + shift, draw.normal(size=(700, 16)) + shift
+        b[:40], b[40:80] = a[:40], np.nextafter(a[:40], 9e9)
+        d = distances(a, b)
+        assert np.allclose(rough_distances(a, b), d, rtol=1e-9, atol=0) and not rough_distances(a, b)[range(40), range(40)].any()
+        for eps in (float(d[3, 300]), float(d[250, 1]), float(d[0, 40]), 0.0, -1.0, 4.0):
+            assert np.array_equal(within(a, b, eps), d <= eps)
+    big = np.full((2, 3), 1e200)
+    assert np.array_equal(within(big, -big, 1.0), distances(big, -big) <= 1.0)
