@@ -384,20 +384,26 @@ def _cased(made: Column, like: Column) -> Column:
 
 def _put(known: Column):
     """The text that stands in for a span, by the document's map from entity to surrogate."""
-    look = lambda e: F.try_element_at(known, F.concat(e["kind"], F.lit("/"), e["norm"]))
-
     def put(span: Column) -> Column:
-        v, k, own = span["value"], span["kind"], entities(span)
-        first, last = look(F.get(own, F.lit(0))), look(F.get(own, F.size(own) - 1))
-        words = F.split(v, " ")
-        surname = _cased(F.substring(last, 3, 1000), F.element_at(words, -1))
-        given = F.when(F.size(own) > 1, F.concat(_cased(F.substring(first, 3, 1000), _given(v)), F.lit(" "))).otherwise("")
-        title = F.when(_titled(v), F.concat(F.get(words, F.lit(0)), F.lit(" "))).otherwise("")
-        initial = F.when(v.rlike(r" \p{Lu}\. "), F.concat(F.substring(surname, 1, 1), F.lit(". "))).otherwise("")
-        name = F.concat(title, given, initial, surname)
-        # A number that is written without its country code stays so.
-        digits = F.when((k == 3) & ~F.startswith(v, F.lit("+")), F.substring_index(first, "|", -1)).otherwise(F.regexp_replace(first, "[|]", ""))
-        return F.when(k == 0, F.concat(first, F.lit("@"), last)).when(k == 6, name).when(k == 1, first).otherwise(_spread(v, digits))
+        v = span["value"]
+        title = F.when(_titled(v), F.concat(F.substring_index(v, " ", 1), F.lit(" "))).otherwise("")
+
+        def named(own: Column) -> Column:
+            surname = _cased(F.substring(own["last"], 3, 1000), F.substring_index(v, " ", -1))
+            given = F.when(own["many"], F.concat(_cased(F.substring(own["first"], 3, 1000), _given(v)), F.lit(" "))).otherwise("")
+            initial = lambda s: F.when(v.rlike(r" \p{Lu}\. "), F.concat(F.substring(s, 1, 1), F.lit(". "))).otherwise("")
+            return S.let(surname, lambda s: F.concat(title, given, initial(s), s))
+
+        def written_as(own: Column) -> Column:
+            k, first = span["kind"], own["first"]
+            # A number that is written without its country code stays so.
+            digits = F.when((k == 3) & ~F.startswith(v, F.lit("+")), F.substring_index(first, "|", -1)).otherwise(F.regexp_replace(first, "[|]", ""))
+            return F.when(k == 0, F.concat(first, F.lit("@"), own["last"])).when(k == 6, named(own)).when(k == 1, first).otherwise(_spread(v, digits))
+
+        # Each is bound once: an expression that is looked at several times stands in the plan as often.
+        ends = lambda keys: F.struct(F.try_element_at(known, F.get(keys, F.lit(0))).alias("first"), F.try_element_at(known, F.element_at(keys, -1)).alias("last"), (F.size(keys) > 1).alias("many"))
+        names = F.transform(entities(span), lambda e: F.concat(e["kind"], F.lit("/"), e["norm"]))
+        return S.let(S.let(names, ends), written_as)
 
     return put
 
