@@ -379,3 +379,29 @@ def test_distances_by_a_matrix_product_are_those_by_components():
             assert np.array_equal(within(a, b, eps), d <= eps)
     big = np.full((2, 3), 1e200)
     assert np.array_equal(within(big, -big, 1.0), distances(big, -big) <= 1.0)
+
+
+def test_a_vector_is_sent_by_blocks_not_by_balls(spark, monkeypatch):
+    """Where all balls meet, a vector was sent once for each of them, which filled disks."""
+    rng = np.random.default_rng(5)
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(rng.normal(size=(200, 8)))]).select("id", "v")
+    monkeypatch.setattr(balls, "LEAST", 5)
+    count = lambda a, b: pa.table({"id": a.column("id"), "n": pa.array([b.num_rows] * a.num_rows, pa.int64())})
+    for block, most in ((32768, 1), (50, 4)):
+        met, share = balls.cells(df, df, count, "id bigint, n bigint", reach=100.0, block=block)
+        rows = met.collect()
+        assert share == 0 and len(rows) <= 200 * most and sum(r.n for r in rows) == 200**2
+
+
+def test_k_nearest_over_several_parts(monkeypatch):
+    """Parts of the right side one after the other, with ties, copies and lengths that a product can't take."""
+    from sievestone.operators import vectors as V
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(V, "SIDE", 7)
+    for x in (rng.normal(size=(40, 3)), rng.integers(0, 3, size=(40, 3)).astype(float), np.full((40, 3), 0.1), rng.normal(size=(40, 3)) * 1e120, rng.normal(size=(40, 3)) + 1e6):
+        ids = rng.permutation(40)
+        d = V.distances(x, x)
+        i, j, near = V.k_nearest(x, x, 4, ids, ids)
+        want = [(a, b, d[a, b]) for a in range(40) for b in sorted((b for b in range(40) if b != a), key=lambda b: (d[a, b], ids[b]))[:4]]
+        assert sorted(zip(i.tolist(), near.tolist(), ids[j].tolist())) == sorted((a, t, ids[b]) for a, b, t in want)
