@@ -120,7 +120,8 @@ def _observed(spark, d: str) -> DataFrame:
     for t in TABLES:
         lines = sample.lines(spark, d, t)
         n = lines.count()
-        rows.append((t, n, *(files.write_cleaned(cleaning.clean(lines, t, R), folder, t, n)[c] for c in cleaning.OBSERVED)))
+        counts = files.write_cleaned(cleaning.clean(lines, t, R), folder, t, n)
+        rows.append((t, n, *(counts[c] for c in cleaning.OBSERVED)))
     dropped(spark, folder)
     return spark.createDataFrame(rows, "tbl string, lines bigint, " + ", ".join(f"{c} bigint" for c in cleaning.OBSERVED))
 

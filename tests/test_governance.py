@@ -314,3 +314,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run(spark, args("classify", folder, "--user", "1", "--movie", "2", "--algorithm", "gnb"))["results"][0]["algorithm"] == "gnb"
     assert cli.main([*base, "classify", folder, "--user", "999", "--movie", "2"]) == 2 and "UNKNOWN_USER" in capsys.readouterr().err
     assert cli.main([*base, "govern", str(tmp_path / "nowhere")]) == 2
+
+
+def test_observed_writes_each_table_once(spark, monkeypatch):
+    told, write = [], files.write_cleaned
+    monkeypatch.setattr(files, "write_cleaned", lambda *a: told.append(a[2]) or write(*a))
+    assert governance.QUERIES["clean_observed"](spark, "/root/testdata/sf0.001").count() == 3
+    assert told == ["ratings", "movies", "users"]
