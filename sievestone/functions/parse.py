@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from sievestone.plans.rules import COLUMNS, Rules
 
+#: What stands for a separator of several characters while a line is split; lines that have it are split by a pattern.
+MARK = "\x01"
+
 
 def _pattern(separator: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() else c for c in separator)
 
 
 def split_strict(line: Column, rules: Rules) -> Column:
-    """All fields between separators, empty ones too."""
-    return F.split(line, _pattern(rules.separator), -1)
+    """All fields between separators, empty ones too.
+
+    A pattern of more than one character is compiled anew for each line, so such a separator gives way to a character that
+    the line doesn't have, which Java splits at without a pattern.
+    """
+    by_pattern = F.split(line, _pattern(rules.separator), -1)
+    if len(rules.separator) < 2:
+        return by_pattern
+    return F.when(F.contains(line, F.lit(MARK)), by_pattern).otherwise(F.split(F.replace(line, F.lit(rules.separator), F.lit(MARK)), MARK, -1))
 
 
 def strict(lines: DataFrame, table: str, rules: Rules, line: str = "line") -> DataFrame:

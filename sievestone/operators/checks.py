@@ -100,12 +100,13 @@ def freshness(lines: DataFrame, rules: Rules) -> DataFrame:
     return f.agg(F.coalesce(F.sum(F.when(usable, value)), F.lit(0.0)).alias("ratings_freshness_sum"), F.count_if(F.coalesce(usable, F.lit(False))).alias("ratings_freshness_n"), F.count_if(~F.coalesce(usable, F.lit(False))).alias("ratings_freshness_skipped"))
 
 
-def all_metrics(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules) -> DataFrame:
+def all_metrics(ratings: DataFrame, movies: DataFrame, users: DataFrame, rules: Rules, write: bool = True) -> DataFrame:
     """(metric, value) of every check, each a partial and a final aggregate.
 
-    Several checks read each table, so the lines are written once, without what lies before them.
+    Several checks read each table, so the lines are written once, without what lies before them, unless they are a table already (`write` false).
     """
-    ratings, movies, users = (written(df.select("line")) for df in (ratings, movies, users))
+    if write:
+        ratings, movies, users = (written(df.select("line")) for df in (ratings, movies, users))
     lines = {"ratings": ratings, "movies": movies, "users": users}
     parts = [format_check(df, name, rules) for name, df in lines.items()]
     parts += [reference_check(ratings, users, 0, "users", rules), reference_check(ratings, movies, 1, "movies", rules)]

@@ -31,8 +31,11 @@ def _with_repair(condition: Column, name: str) -> Column:
 
 
 def _ratings(rows: DataFrame, rules: Rules) -> tuple[DataFrame, Column]:
-    rating, ts = T.to_number(F.col("rating")), T.to_number(F.col("ts"))
-    seconds = F.when(ts > rules.ms_above, F.floor(ts / 1000)).otherwise(ts)
+    # Numbers and times are read once a row; conditions look at them several times.
+    numbers = {f"__{c}": T.to_number(F.col(c)) for c in ("rating", "ts")}
+    rating, ts, late = F.col("__rating"), F.col("__ts"), F.col("__late")
+    rows = rows.withColumns(numbers).withColumn("__late", F.coalesce(ts > rules.ms_above, F.lit(False)))
+    rows = rows.withColumn("__seconds", F.when(late, F.floor(ts / 1000).cast("decimal(38,0)")).otherwise(ts))
     reason = _cascade(
         (~T.in_domain(F.col("uid"), rules.user_domain), "uid_out_of_domain"),
         (~T.in_domain(F.col("mid"), rules.movie_domain), "mid_out_of_domain"),
@@ -40,10 +43,10 @@ def _ratings(rows: DataFrame, rules: Rules) -> tuple[DataFrame, Column]:
         (~F.coalesce(rating.between(*rules.rating_bounds), F.lit(False)), "rating_out_of_range"),
         (~T.is_digits(F.col("ts")), "timestamp_not_numeric"),
         (~F.col("ts").rlike("[1-9]"), "timestamp_not_positive"),
-        (~F.coalesce(seconds.between(*rules.ts_bounds), F.lit(False)), "timestamp_out_of_range"),
+        (~F.coalesce(F.col("__seconds").between(*rules.ts_bounds), F.lit(False)), "timestamp_out_of_range"),
     )
-    repaired = rows.withColumn("reason", reason).withColumn("repairs", _with_repair(ts > rules.ms_above, "timestamp_ms"))
-    return repaired.withColumn("ts", F.when(ts > rules.ms_above, seconds.cast("decimal(38,0)").cast("string")).otherwise(F.col("ts"))), F.col("uid")
+    repaired = rows.withColumn("reason", reason).withColumn("repairs", _with_repair(late, "timestamp_ms"))
+    return repaired.withColumn("ts", F.when(late, F.col("__seconds").cast("string")).otherwise(F.col("ts"))), F.col("uid")
 
 
 def _movies(rows: DataFrame, rules: Rules) -> tuple[DataFrame, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievestone.functions import parse
 from sievestone.operators import checks, cleaning, scores
 from sievestone.plans.rules import AGES, COLUMNS, GENRES, SAMPLE_RULES, Rules
-from sievestone.session import cut, dropped, shared_dir
+from sievestone.session import cut, dropped, shared_dir, written
 from sievestone.sources import files, sample
 
 R = SAMPLE_RULES
@@ -28,10 +28,11 @@ def cleaned_lines(cleaned: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def before_and_after(lines: dict[str, DataFrame], rules: Rules) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Scores before cleaning, scores after it, and the cleaned rows."""
+    lines = {t: written(df.select("line")) for t, df in lines.items()}
     cleaned = clean_all(lines, rules)
     sides = []
-    for one in (lines, cleaned_lines(cleaned)):
-        metrics = cut(checks.all_metrics(*(one[t] for t in TABLES), rules))
+    for one, write in ((lines, False), (cleaned_lines(cleaned), True)):
+        metrics = cut(checks.all_metrics(*(one[t] for t in TABLES), rules, write))
         scores.checked(metrics)
         sides.append(scores.scores(metrics, rules))
     return sides[0], sides[1], cleaned
@@ -109,9 +110,9 @@ def _delta(spark, d):
 
 
 def _problems(spark, d):
-    lines = _lines(spark, d)
+    lines = {t: written(df) for t, df in _lines(spark, d).items()}
     counts = rollup_counts(clean_all(lines, R)).filter("tbl = 'total'").first().asDict()
-    return scores.problems(checks.all_metrics(*lines.values(), R), counts).drop("subject", "reason")
+    return scores.problems(checks.all_metrics(*lines.values(), R, False), counts).drop("subject", "reason")
 
 
 def _observed(spark, d: str) -> DataFrame:

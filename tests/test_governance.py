@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sievestone.functions import parse
 from sievestone.functions import text as T
 from sievestone.operators import checks, cleaning, scores
 from sievestone.plans import governance
@@ -321,3 +322,32 @@ def test_observed_writes_each_table_once(spark, monkeypatch):
     monkeypatch.setattr(files, "write_cleaned", lambda *a: told.append(a[2]) or write(*a))
     assert governance.QUERIES["clean_observed"](spark, "/root/testdata/sf0.001").count() == 3
     assert told == ["ratings", "movies", "users"]
+
+
+def test_numbers_are_read_once_and_separators_split_without_a_pattern(spark):
+    """A condition that looks at a number doesn't read it again, however long the number; lines with the mark split as before."""
+    df = cleaning.dispositions(lines(spark, "1::2::3::4"), "ratings", RULES)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # Once as a long and once as a decimal for the rating and the time each, and two bounds for both ids.
+    assert plan.count("RLIKE(ts") <= 3 and plan.count("RLIKE(rating") <= 2
+    odd = ["a\x01b::c", "a::\x01::", ":::x", "::", "\x01", "a::::b", ""]
+    got = lines(spark, *odd).select(parse.split_strict(F.col("line"), RULES).alias("f")).collect()
+    assert [r.f for r in got] == [x.split("::") for x in odd]
+    texts = ["0", "007", "9" * 18, "1" + "0" * 18, "9" * 38, "9" * 39, "-1", " 1", "1.0", ""]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(T.to_number(F.col("x")).alias("n"), T.in_domain(F.col("x"), (1, 10**18)).alias("fine")).collect()
+    assert [None if r.n is None else int(r.n) for r in got] == [int(x) if x.isdigit() and len(x) <= 38 else None for x in texts]
+    assert [r.fine for r in got] == [False, False, True, True] + [False] * 6
+
+
+def test_lines_are_made_once_for_cleaning_and_checks(spark, monkeypatch):
+    """Cleaning and the checks before it read one written table, not the lines' source each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = {"ratings": [f"1::2::3::{TS}"] * 2, "movies": ["2::A (1990)::Drama"] * 2, "users": ["1::M::25::3::12345"] * 2}
+    governance.before_and_after({t: lines(spark, *x).mapInArrow(count, "line string") for t, x in rows.items()}, RULES)
+    assert made.value == 6
