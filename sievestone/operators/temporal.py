@@ -121,7 +121,8 @@ def point_history(ratings: DataFrame, points: DataFrame, rules: Rules) -> DataFr
     their product.
     """
     mean = F.lit(train_mean(ratings, rules) or 0.0)
-    keyed = cut(points.select("user_id", "movie_id", "asked_at").filter("user_id is not null and movie_id is not null and asked_at is not null").distinct())
+    # A checkpoint isn't compressed, and the points may be as many as the ratings.
+    keyed = written(points.select("user_id", "movie_id", "asked_at").filter("user_id is not null and movie_id is not null and asked_at is not null").distinct())
 
     def side(key: str, p: str) -> DataFrame:
         asked = keyed.select(key, F.col("asked_at").alias("ts"), F.lit(0).cast("bigint").alias("rating"), F.lit(0).alias("real")).distinct()

@@ -405,3 +405,11 @@ def test_k_nearest_over_several_parts(monkeypatch):
         i, j, near = V.k_nearest(x, x, 4, ids, ids)
         want = [(a, b, d[a, b]) for a in range(40) for b in sorted((b for b in range(40) if b != a), key=lambda b: (d[a, b], ids[b]))[:4]]
         assert sorted(zip(i.tolist(), near.tolist(), ids[j].tolist())) == sorted((a, t, ids[b]) for a, b, t in want)
+
+
+def test_point_history_keeps_its_points_compressed(spark, monkeypatch):
+    """The points may be as many as the ratings; a checkpoint of them isn't compressed."""
+    monkeypatch.setattr(temporal, "cut", lambda df: pytest.fail("points go to a checkpoint"))
+    ratings = spark.createDataFrame([(1, 2, 4, 10), (1, 3, 2, 20)], "user_id long, movie_id long, rating long, ts long")
+    points = spark.createDataFrame([(1, 2, 15), (1, 2, 15), (None, 2, 15)], "user_id long, movie_id long, asked_at long")
+    assert [tuple(r) for r in temporal.point_history(ratings, points, RULES).select("user_mean", "user_count", "movie_mean", "movie_count").collect()] == [(4.0, 1, 4.0, 1)]
