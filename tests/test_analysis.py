@@ -413,3 +413,48 @@ def test_point_history_keeps_its_points_compressed(spark, monkeypatch):
     ratings = spark.createDataFrame([(1, 2, 4, 10), (1, 3, 2, 20)], "user_id long, movie_id long, rating long, ts long")
     points = spark.createDataFrame([(1, 2, 15), (1, 2, 15), (None, 2, 15)], "user_id long, movie_id long, asked_at long")
     assert [tuple(r) for r in temporal.point_history(ratings, points, RULES).select("user_mean", "user_count", "movie_mean", "movie_count").collect()] == [(4.0, 1, 4.0, 1)]
+
+
+def test_silhouettes_find_each_distance_once(spark):
+    """Two blocks meet once, not in either order, and what a cell sums for both sides is what all pairs give."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sievestone.operators.vectors import distance_sums, distances
+
+    draw = np.random.default_rng(21)
+    for shift in (0.0, 1e6, 1e150):
+        a, b = draw.normal(size=(150, 5)) + shift, draw.normal(size=(2100, 5)) + shift
+        b[:9] = a[:9]
+        of_a, of_b = np.sort(draw.integers(0, 3, 150)), np.sort(draw.integers(0, 4, 2100))
+        down, across = distance_sums(a, b, of_a, of_b)
+        d = distances(a, b)
+        assert np.allclose(down, np.stack([d[:, of_b == g].sum(axis=1) for g in range(4)], axis=1), rtol=1e-9)
+        assert np.allclose(across, np.stack([d[of_a == g].sum(axis=0) for g in range(3)], axis=1), rtol=1e-9)
+    df = vectors(spark, [(i, v, i % 3) for i, v in enumerate(draw.normal(size=(90, 2)))])
+    met = pairs.halved_cells(df, lambda a, b, same: pa.table({"n": [a.num_rows * (a.num_rows + 1) // 2 if same else a.num_rows * b.num_rows]}), "n bigint", 20)
+    assert met.agg(F.sum("n")).first()[0] == 90 * 91 // 2 and met.count() > 1
+
+
+def test_all_candidates_are_measured_in_one_pass(spark, monkeypatch):
+    """What the sampled pass tells of each k is what the operators tell of its labelled rows, whose pairs it never deals out."""
+    import numpy as np
+
+    monkeypatch.setattr(clustering, "SILHOUETTE_ROWS", 25)
+    x = np.random.default_rng(22).normal(size=(120, 3))
+    x[100:] = x[:20]
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)]).select("id", "v")
+    dealt, real = [], pairs.silhouettes
+    monkeypatch.setattr(clustering, "silhouettes", lambda *a: dealt.append(a) or real(*a))
+    found = clustering.choose_k(df, range(1, 6))
+    assert len(dealt) == 1
+    sample = clustering.seeded_sample(df, 25)
+    for r in found:
+        labelled = r["labelled"]
+        wanted = real(labelled, sample).agg(F.avg("s")).first()[0]
+        assert r["sampled"] == (None if wanted is None else pytest.approx(wanted)) and r["sse"] == pytest.approx(pairs.scatter(labelled).agg(F.sum("sse")).first()[0])
+    centres = [r["centres"] for r in found]
+    near = clustering.nearest_numbers(x, *centres, np.repeat(x[:1], 3, axis=0))
+    assert near[-1].max() == 0
+    for r, k in zip(found, near, strict=False):
+        assert dict(r["labelled"].select("id", "cluster").collect()) == dict(enumerate(k.tolist()))
