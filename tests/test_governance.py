@@ -351,3 +351,16 @@ def test_lines_are_made_once_for_cleaning_and_checks(spark, monkeypatch):
     rows = {"ratings": [f"1::2::3::{TS}"] * 2, "movies": ["2::A (1990)::Drama"] * 2, "users": ["1::M::25::3::12345"] * 2}
     governance.before_and_after({t: lines(spark, *x).mapInArrow(count, "line string") for t, x in rows.items()}, RULES)
     assert made.value == 6
+
+
+def test_problems_keep_no_cleaned_rows(spark, monkeypatch):
+    """Problems draw counts only from the cleaned rows, which aren't kept for that."""
+    from sievestone.plans import governance
+
+    wanted = sorted(map(tuple, governance.QUERIES["problems_list"](spark, "/root/testdata/sf0.001").collect()), key=str)
+
+    def kept(df):
+        raise AssertionError("cleaned rows were kept")
+
+    monkeypatch.setattr(governance, "cut", kept)
+    assert sorted(map(tuple, governance.QUERIES["problems_list"](spark, "/root/testdata/sf0.001").collect()), key=str) == wanted != []
