@@ -86,6 +86,13 @@ def test_what_cannot_be_split(spark):
     assert [r.score for r in flat.score(frame(spark, [([2.0] * 5, 1)])).collect()] == [0.5]
 
 
+def test_many_cells_are_given_in_parts(spark, monkeypatch):
+    rows = made(7, 400)
+    for name, size in (("CHUNK", 64), ("DENSE", 8), ("HELD", 32)):
+        monkeypatch.setattr(tree, name, size)
+    assert nested(tree.grow(frame(spark, rows).repartition(2), COLUMNS, 3, 5)) == plain(rows, 3, 5)
+
+
 def test_halfway_lies_between():
     a = 1.0
     b = math.nextafter(a, 2)
