@@ -86,6 +86,18 @@ def test_what_cannot_be_split(spark):
     assert [r.score for r in flat.score(frame(spark, [([2.0] * 5, 1)])).collect()] == [0.5]
 
 
+@pytest.mark.parametrize("few", [1 << 16, 6, 2])
+def test_trees_side_by_side_are_those_grown_alone_in_the_passes_of_the_deepest(spark, monkeypatch, few):
+    """Features with at most `few` values are counted by codes, the others by values."""
+    rows, passes, by_codes = made(6, 300, True), [], tree._best_by_codes
+    monkeypatch.setattr(tree, "FEW", few)
+    monkeypatch.setattr(tree, "_best_by_codes", lambda *given: passes.append(1) or by_codes(*given))
+    settings = ({"depth": 2, "leaf": 40}, {"depth": 4, "leaf": 20}, {"depth": 5, "leaf": 3})
+    models = classify.fit_all("cart", frame(spark, rows).repartition(3), COLUMNS, settings)
+    assert [nested(m.nodes) for m in models] == [plain(rows, s["depth"], s["leaf"]) for s in settings]
+    assert len(passes) == 5
+
+
 def test_many_cells_are_given_in_parts(spark, monkeypatch):
     rows = made(7, 400)
     for name, size in (("CHUNK", 64), ("DENSE", 8), ("HELD", 32)):
