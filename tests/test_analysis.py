@@ -167,6 +167,24 @@ def test_dbscan_is_the_plain_one(spark):
     assert [got[i] for i in range(90)] == plain_dbscan(x, 0.7, 4)
 
 
+def test_dbscan_by_few_scouts_is_the_plain_one(spark, monkeypatch):
+    """Few points are decided by the scouts; chains, clusters and noise without one are met by all."""
+    rng = random.Random(5)
+    x = [(rng.random() * 6, rng.random() * 6) for _ in range(90)] + [(20 + i / 2, 0.0) for i in range(12)] + [(40.0, 40.0)] * 6
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)])
+    monkeypatch.setattr(pairs, "SCOUTS", 7)
+    got = {r.id: r.cluster for r in clustering.dbscan(df, 0.7, 3).collect()}
+    assert [got[i] for i in range(len(x))] == plain_dbscan(x, 0.7, 3)
+
+
+def test_dbscan_holds_dense_points_against_the_scouts_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(rng.normal(size=(400, 3)) * 0.1)])
+    monkeypatch.setattr(pairs, "SCOUTS", 50)
+    monkeypatch.setattr(pairs.balls, "cells", lambda *_, **__: pytest.fail("all points meet"))
+    assert {tuple(r)[1:] for r in clustering.dbscan(df, 1.5, 5).collect()} == {(0, 1)}
+
+
 def test_kmeans_finds_blobs(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(30, 2)) * 0.1 + c for c in ((0, 0), (5, 5), (0, 5))])
